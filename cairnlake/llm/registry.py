@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .decontaminate import OP7_SQL, op7_decontaminate
+from .token_counts import op3_token_counts
 
 QUERIES = {
+    "op3_token_counts": op3_token_counts,
     "op7_decontaminate": op7_decontaminate,
 }
 ORACLES = {
