@@ -10,7 +10,6 @@ hits; other columns pass through untouched.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import defaultdict
 
