@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .decontaminate import OP7_SQL, op7_decontaminate
+from .quality import op4_quality_rules
 from .secrets import op5_secret_scan
 from .token_counts import op3_token_counts
 
 QUERIES = {
     "op3_token_counts": op3_token_counts,
+    "op4_quality_rules": op4_quality_rules,
     "op5_secret_scan": op5_secret_scan,
     "op7_decontaminate": op7_decontaminate,
 }
