@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from .decontaminate import OP7_SQL, op7_decontaminate
+from .languages import op6_language_id
+from .licenses import op2_license_scan
 from .quality import op4_quality_rules
 from .secrets import op5_secret_scan
 from .token_counts import op3_token_counts
 
 QUERIES = {
+    "op2_license_scan": op2_license_scan,
     "op3_token_counts": op3_token_counts,
     "op4_quality_rules": op4_quality_rules,
     "op5_secret_scan": op5_secret_scan,
+    "op6_language_id": op6_language_id,
     "op7_decontaminate": op7_decontaminate,
 }
 ORACLES = {
