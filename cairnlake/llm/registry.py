@@ -5,17 +5,21 @@ from __future__ import annotations
 from .decontaminate import OP7_SQL, op7_decontaminate
 from .languages import op6_language_id
 from .licenses import op2_license_scan
+from .mixing import op1_mix_sources
 from .quality import op4_quality_rules
 from .secrets import op5_secret_scan
+from .sharding import op8_shards
 from .token_counts import op3_token_counts
 
 QUERIES = {
+    "op1_mix_sources": op1_mix_sources,
     "op2_license_scan": op2_license_scan,
     "op3_token_counts": op3_token_counts,
     "op4_quality_rules": op4_quality_rules,
     "op5_secret_scan": op5_secret_scan,
     "op6_language_id": op6_language_id,
     "op7_decontaminate": op7_decontaminate,
+    "op8_shards": op8_shards,
 }
 ORACLES = {
     "op7_decontaminate": OP7_SQL,
