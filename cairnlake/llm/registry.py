@@ -10,6 +10,7 @@ from .quality import op4_quality_rules
 from .secrets import op5_secret_scan
 from .sharding import op8_shards
 from .token_counts import op3_token_counts
+from .warc import OP10_SQL, op10_warc
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
@@ -20,7 +21,9 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op7_decontaminate": op7_decontaminate,
     "op8_shards": op8_shards,
+    "op10_warc": op10_warc,
 }
 ORACLES = {
     "op7_decontaminate": OP7_SQL,
+    "op10_warc": OP10_SQL,
 }
