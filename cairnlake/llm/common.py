@@ -68,7 +68,7 @@ def scan_texts(
         types = [to_arrow_type(f.dataType) for f in fields]
         for batch in batches:
             texts = batch.column(0).cast(pa.binary()).to_pylist()
-            made = [pa.array(x, t) for x, t in zip(work(texts), types, strict=True)]
+            made = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(work(texts), types, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], names=schema.names)
 
     own = F.col(f"`{text}`").cast("string").alias("__text")

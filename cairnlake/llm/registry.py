@@ -6,6 +6,7 @@ from .decontaminate import OP7_SQL, op7_decontaminate
 from .languages import op6_language_id
 from .licenses import op2_license_scan
 from .mixing import op1_mix_sources
+from .near_duplicates import OP9_SQL, op9_near_duplicates
 from .quality import op4_quality_rules
 from .secrets import op5_secret_scan
 from .sharding import op8_shards
@@ -21,9 +22,11 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op7_decontaminate": op7_decontaminate,
     "op8_shards": op8_shards,
+    "op9_near_duplicates": op9_near_duplicates,
     "op10_warc": op10_warc,
 }
 ORACLES = {
     "op7_decontaminate": OP7_SQL,
+    "op9_near_duplicates": OP9_SQL,
     "op10_warc": OP10_SQL,
 }
