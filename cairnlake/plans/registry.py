@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
+from . import facts_queries
+
+_MODULES = [facts_queries]
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for _module in _MODULES:
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
