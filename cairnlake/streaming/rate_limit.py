@@ -24,14 +24,15 @@ def fold(hits: list[int], events: Iterable[tuple[int, int]], limit: int, window:
     return hits, verdicts
 
 
-def limited(events: DataFrame, *, limit: int, seconds: int) -> DataFrame:
+def limited(events: DataFrame, *, limit: int, seconds: int, delay: str = "10 minutes") -> DataFrame:
     """Verdicts for a stream of (user_id, event_id, ts).
 
-    State per key is at most `limit` times, whatever the number of events; a key that stays silent for a window is
-    forgotten. Events within a batch are taken in time order, as the limiter met them.
+    State per key is at most `limit` times, whatever the number of events; a key that stays silent for a window, by
+    event time and `delay`, is forgotten. Events within a batch are taken in time order, as the limiter met them.
     """
     window = seconds * 1_000_000
-    keyed = events.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at_micros"))
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    keyed = timed.select("user_id", "event_id", "ts", F.unix_micros("ts").alias("at_micros"))
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -41,14 +42,15 @@ def limited(events: DataFrame, *, limit: int, seconds: int) -> DataFrame:
         rows = pd.concat(list(frames)).sort_values(["at_micros", "event_id"], kind="stable")
         hits, verdicts = fold(hits, zip(rows["at_micros"], rows["event_id"], strict=True), limit, window)
         state.update((hits,))
-        state.setTimeoutDuration(max(1, seconds * 1000))
+        last = int(rows["at_micros"].max()) // 1000
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + seconds * 1000 + 1)
         yield rows.assign(accepted=verdicts)[["user_id", "event_id", "at_micros", "accepted"]]
 
-    return keyed.groupBy("user_id").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return keyed.groupBy("user_id").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def limited_batch(events: DataFrame, *, limit: int, seconds: int) -> DataFrame:
-    """The same verdicts over a finished table, one group per key and day-sized slice handed on by key."""
+    """The same verdicts over a finished table, a group per key: the fold is sequential in each key's few events."""
     window = seconds * 1_000_000
     keyed = events.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at_micros"))
 
