@@ -8,9 +8,12 @@ whole sequence if it has fewer words), held as 64-bit hashes. Documents link wit
    ranks that grow, so an element stops as soon as no register can still fall. 32 bands of 4 registers: a pair with
    similarity 0.75 shares no band once in 200,000 times.
 3. In each bucket the members are verified against one centre, not all pairs. Linked members form components; buckets
-   within one component are done. Rounds with other centres follow while buckets hold many unexamined pairs; what
-   then remains between different components is examined pair by pair.
-4. Candidates pass a bound from their set sizes and a 128-bit sketch (over six standard deviations wide), then links are
+   within one component are done. In those that hold several, elements are counted: an element of one document alone is
+   in no intersection, which rules out most heavily edited copies without a look at any pair. Rounds follow in which
+   each document meets the centres of two of its buckets; what then remains is paired by the prefix principle: of two
+   linked sets each has an element of the other among its rarest quarter, so that documents which only share a common
+   passage never meet. Per element, members outside the largest component meet all members; pairs within it aren't made.
+4. Candidates pass a bound from their set sizes and a 128-bit sketch (five standard deviations wide), then links are
    confirmed on the full sets.
 5. Links are grouped by alternating stars.
 
@@ -35,9 +38,9 @@ PART, WHOLE = 75, 100
 REGISTERS, BANDS = 128, 32
 ROWS = REGISTERS // BANDS
 #: Of the sketch's 128 bits 16 differ at similarity 0.75 on average, with a standard deviation of 3.7.
-MOST_DIFFERENT_BITS = 40
-#: Rounds with one centre a bucket go on while unexamined pairs exceed this many per bucket member.
-PAIRS_A_MEMBER, MOST_ROUNDS = 4, 8
+MOST_DIFFERENT_BITS = 35
+#: Rounds with other centres at most (they end when one finds no link), and the buckets whose centre a document meets in one.
+MOST_ROUNDS, CENTRES = 4, 2
 #: Elements that are signed together.
 ELEMENTS = 1 << 16
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -143,15 +146,22 @@ def fingerprints(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _likely(pairs: DataFrame, marks: DataFrame) -> DataFrame:
-    """(a, b) whose set sizes and sketches allow a link."""
-    one = marks.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("s1").alias("a1"), F.col("s2").alias("a2"))
-    two = marks.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("s1").alias("b1"), F.col("s2").alias("b2"))
-    return pairs.join(one, "a").join(two, "b").filter(_may_link("na", "a1", "a2", "nb", "b1", "b2")).select("a", "b")
+    """(a, b) whose marks allow a link."""
+    one = marks.select(*[F.col(c).alias(f"{c}_a" if c != "id" else "a") for c in MARKS])
+    two = marks.select(*[F.col(c).alias(f"{c}_b" if c != "id" else "b") for c in MARKS])
+    return pairs.join(one, "a").join(two, "b").filter(_may_link("_a", "_b")).select("a", "b")
 
 
-def _may_link(na, a1, a2, nb, b1, b2) -> F.Column:
-    near = F.bit_count(F.col(a1).bitwiseXOR(F.col(b1))) + F.bit_count(F.col(a2).bitwiseXOR(F.col(b2))) <= MOST_DIFFERENT_BITS
-    return near & (WHOLE * F.least(na, nb) >= PART * F.greatest(na, nb))
+#: A set's size, the elements that some other open set has too (all of them where that isn't known yet), and its sketch.
+MARKS = ["id", "n", "s", "s1", "s2"]
+
+
+def _may_link(x: str, y: str) -> F.Column:
+    """An intersection is within both sets' shared elements, whatever remains of either is in the union."""
+    n, s, s1, s2 = ((F.col(f"{c}{x}"), F.col(f"{c}{y}")) for c in MARKS[1:])
+    common = F.least(*s)
+    near = F.bit_count(s1[0].bitwiseXOR(s1[1])) + F.bit_count(s2[0].bitwiseXOR(s2[1])) <= MOST_DIFFERENT_BITS
+    return near & (WHOLE * common >= PART * (n[0] + n[1] - common)) & (WHOLE * F.least(*n) >= PART * F.greatest(*n))
 
 
 def _confirmed(pairs: DataFrame, pool: DataFrame) -> DataFrame:
@@ -183,6 +193,48 @@ def _grouped(links: DataFrame | None, ids: DataFrame) -> DataFrame:
     return materialise(joined.select("id", F.coalesce("component", "id").alias("component")), "near-components")
 
 
+def _torn(rows: DataFrame, key: str) -> DataFrame:
+    """The rows (with a component) of keys that hold more than one component."""
+    several = rows.groupBy(key).agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+    return rows.join(several.select(key), key)
+
+
+def _known_elements(pool: DataFrame, members: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, element, times) of elements that several members have, and the marks of members that can link at all.
+
+    Counts are joined back to the elements: both sides are shuffled by element, partial counts before that.
+    """
+
+    def make():
+        return lambda texts: [[shingles(x).view(np.int64) for x in texts]]
+
+    held = scan_texts(pool.join(members, "id", "left_semi"), "t", ["id"], [T.StructField("elements", T.ArrayType(_LONG))], make)
+    rows = materialise(held, "near-open-sets").select("id", F.explode("elements").alias("element"))
+    counts = rows.groupBy("element").agg(F.count("*").alias("times")).filter("times > 1")
+    known = materialise(rows.join(counts, "element"), "near-known")
+    able = marks.drop("s").join(known.groupBy("id").agg(F.count("*").alias("s")), "id").filter(WHOLE * F.col("s") >= PART * F.col("n"))
+    return known, materialise(able.select(*MARKS), "near-marks")
+
+
+def _by_prefix(known: DataFrame, grouped: DataFrame, marks: DataFrame) -> DataFrame:
+    """(a, b) of different components that share an element among the rarest of each and whose marks allow a link.
+
+    A set of n elements that links has at least 75 % of them in common, so one of its n - ceil(0.75 n) + 1 first ones in
+    any order common to all sets. By frequency, elements of its own come first and pair with nothing, a passage that
+    many documents share comes last.
+    """
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("times", "element"))
+    first = F.col("n") - F.ceil(F.col("n") * F.lit(PART) / F.lit(WHOLE)) + 1
+    rare = known.join(marks, "id").withColumn("rank", rank).filter(F.col("rank") <= first - (F.col("n") - F.col("s")))
+    torn = materialise(_torn(rare.select(*MARKS, "element").join(grouped, "id"), "element"), "near-rare")
+    sizes = torn.groupBy("element", "component").agg(F.count("*").alias("times"))
+    largest = sizes.groupBy("element").agg(F.max_by("component", F.struct("times", "component")).alias("largest"))
+    outside = torn.join(largest, "element").filter("component <> largest").drop("largest")
+    other = torn.select("element", *[F.col(c).alias(f"{c}_") for c in (*MARKS, "component")])
+    met = outside.join(other, "element").filter((F.col("component") != F.col("component_")) & _may_link("", "_"))
+    return met.select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()
+
+
 def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n (set size) and component of each document with an id; component is the smallest id reachable."""
     prints = materialise(fingerprints(docs, doc_id, text), "near-prints")
@@ -193,38 +245,33 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> D
     buckets = rows.groupBy("bucket").agg(F.count("*").alias("members"), F.min("id").alias("centre")).filter("members > 1")
     shared = materialise(rows.join(buckets.select("bucket", "centre"), "bucket"), "near-buckets")
     ids = materialise(shared.select("id").distinct(), "near-ids")
-    marks = materialise(single.select("id", "n", "s1", "s2").join(ids, "id", "left_semi"), "near-marks")
+    marks = materialise(single.select("id", "n", F.col("n").alias("s"), "s1", "s2").join(ids, "id", "left_semi"), "near-marks")
     pool = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("t")).join(ids, "id", "left_semi")
     pool = materialise(pool, "near-texts")
     tested = materialise(_likely(shared.filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), marks), "near-tested")
     links = materialise(_confirmed(tested, pool), "near-links")
     grouped = _grouped(links, ids)
-    for turn in range(MOST_ROUNDS + 1):
-        labelled = shared.select("bucket", "id").join(grouped, "id")
-        torn = labelled.groupBy("bucket").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-        torn = materialise(labelled.join(torn.select("bucket", "members"), "bucket"), "near-torn")
-        size = torn.agg(F.count("*").alias("n"), F.sum("members").alias("pairs")).first()
-        if not size["n"]:
-            break
-        last = turn == MOST_ROUNDS or size["pairs"] <= 2 * PAIRS_A_MEMBER * size["n"]
-        if last:
-            full = torn.join(marks, "id").select("bucket", "id", "component", "n", "s1", "s2")
-            other = full.select("bucket", *[F.col(c).alias(f"{c}_") for c in ("id", "component", "n", "s1", "s2")])
-            fits = (F.col("id") < F.col("id_")) & (F.col("component") != F.col("component_")) & _may_link("n", "s1", "s2", "n_", "s1_", "s2_")
-            likely = full.join(other, "bucket").filter(fits).select(F.col("id").alias("a"), F.col("id_").alias("b")).distinct()
-        else:
-            chance = F.xxhash64("id", F.lit(turn))
-            centre = torn.groupBy("bucket").agg(F.min_by(F.struct(F.col("id").alias("c"), F.col("component").alias("cc")), chance).alias("centre"))
-            across = torn.join(centre, "bucket").filter("component <> centre.cc")
-            likely = _likely(across.select(F.least("id", "centre.c").alias("a"), F.greatest("id", "centre.c").alias("b")).distinct(), marks)
-        fresh = materialise(likely.join(tested, ["a", "b"], "left_anti"), "near-fresh")
-        if fresh.limit(1).count():
-            more = materialise(_confirmed(fresh, pool), "near-links")
-            tested, links = tested.unionByName(fresh), links.unionByName(more)
-            if more.limit(1).count():
-                grouped = _grouped(links, ids)
-        if last:
+    torn = _torn(shared.select("bucket", "id").join(grouped, "id"), "bucket")
+    known, marks = _known_elements(pool, torn.select("id").distinct(), marks)
+    shared = materialise(shared.select("bucket", "id").join(marks.select("id"), "id", "left_semi"), "near-open")
+    for turn in range(MOST_ROUNDS):
+        torn = _torn(shared.join(grouped, "id"), "bucket")
+        turn_order = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("bucket", F.lit(turn))))
+        centre = torn.groupBy("bucket").agg(F.min_by(F.struct(F.col("id").alias("c"), F.col("component").alias("cc")), F.xxhash64("id", F.lit(turn))).alias("centre"))
+        some = torn.withColumn("turn", turn_order).filter(F.col("turn") <= CENTRES)
+        across = some.join(centre, "bucket").filter("component <> centre.cc")
+        pairs = across.select(F.least("id", "centre.c").alias("a"), F.greatest("id", "centre.c").alias("b")).distinct()
+        fresh = materialise(_likely(pairs, marks).join(tested, ["a", "b"], "left_anti"), "near-fresh")
+        more = materialise(_confirmed(fresh, pool), "near-links")
+        tested = tested.unionByName(fresh)
+        if not more.limit(1).count():
             break
+        links = links.unionByName(more)
+        grouped = _grouped(links, ids)
+    fresh = materialise(_by_prefix(known, grouped, marks).join(tested, ["a", "b"], "left_anti"), "near-fresh")
+    more = materialise(_confirmed(fresh, pool), "near-links")
+    if more.limit(1).count():
+        grouped = _grouped(links.unionByName(more), ids)
     heads = equal.join(grouped.withColumnRenamed("component", "found"), "id", "left")
     heads = heads.select("n", "d1", "d2", F.coalesce("found", "id").alias("component"))
     joined = prints.select("id", "n", "d1", "d2").join(heads, ["n", "d1", "d2"], "left")
