@@ -135,6 +135,25 @@ def test_bm25_prefers_rare_terms_and_phrases(spark):
     assert [r["passage_id"] for r in rows] == ["p3", "p4", "p1"] and rows[0]["score"] == 0.85
 
 
+def test_phrases_of_any_length_and_inside_tokens(spark, monkeypatch):
+    texts = [
+        (1, 'He said "that and the other thing\tis here to stay" twice.'), (2, "one two three four five. Six seven eight"), (3, "a three word phrase, once"), (4, None), (5, ""),
+        (6, "overrun one two three four five six seven eightfold"), (7, "short"), (None, "one two three four five six seven eight"), (3, "one two three four five"),
+    ]
+    phrases = [
+        (10, "three word phrase"), (11, "that and the other thing is here to stay"), (12, "One two three  four five"), (13, "run one two three four five six seven eight"), (14, "hort"),
+        (15, "nowhere at all"), (16, None), (17, "five six"), (18, "one two three four five six seven"), (18, "a three"), (19, "that and the other thing is there"), (20, "two three four five six seven"),
+    ]
+    plain = lambda x: " ".join(x.lower().split())
+    want = {(i, p) for i, t in texts for p, q in phrases if t is not None and q is not None and plain(q) in plain(t)}
+    frames = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(phrases, "phrase_id long, phrase string")
+    assert {(3, 10), (1, 11), (2, 12), (6, 13), (None, 18)} <= want
+    assert sorted(map(tuple, R.phrase_matches(*frames).collect()), key=repr) == sorted(want, key=repr)
+    monkeypatch.setattr(R, "MOST_SCANNED", 100)
+    monkeypatch.setattr(R, "MOST_QUERIES", 2)
+    assert sorted(map(tuple, R.phrase_matches(*frames).collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_review_fold_and_metrics(spark):
     reviews = spark.createDataFrame([(1, 0, "comment"), (1, 1, "accept"), (1, 2, "override"), (1, 3, "comment"), (2, 0, "comment")], "finding_id long, seq int, decision string")
     assert {r["finding_id"]: (r["state"], r["comments"]) for r in W.fold_reviews(reviews).collect()} == {1: ("override", 2), 2: ("unreviewed", 1)}
