@@ -135,6 +135,16 @@ def test_bm25_prefers_rare_terms_and_phrases(spark):
     assert [r["passage_id"] for r in rows] == ["p3", "p4", "p1"] and rows[0]["score"] == 0.85
 
 
+def test_bm25_keeps_passages_with_only_a_phrase_or_a_metric(spark):
+    passages = spark.createDataFrame([("p1", "water use", "paragraph", None, []), ("p2", "it was that and this", "paragraph", None, None), ("p3", "nothing here", "table", None, ["e", "w"]), ("p4", "water that", "paragraph", None, ["w"]), ("p5", "none", "paragraph", "Water", ["x"])], "passage_id string, line string, kind string, section string, metric_keys array<string>")
+    queries = spark.createDataFrame([(1, "That and water", ["That and", ""], ["water"], ["w", "w"]), (2, "that and", ["that and"], [], None)], "query_id long, query string, phrases array<string>, section_terms array<string>, metric_keys array<string>")
+    rows = {(r["query_id"], r["passage_id"]): r["score"] for r in R.bm25(passages, queries).collect()}
+    # p4 has one token after stop words and so the best raw score; p1's share of it follows from k1 and b
+    assert set(rows) == {(1, "p1"), (1, "p2"), (1, "p3"), (1, "p4"), (2, "p2")}
+    assert (rows[1, "p2"], rows[1, "p3"], rows[1, "p4"], rows[2, "p2"]) == (0.15, 0.3, 1.1, 0.15) and 0 < rows[1, "p1"] < 0.6
+    assert {(r["query_id"], r["passage_id"]) for r in R.bm25(passages.drop("metric_keys"), queries.drop("metric_keys"), terms_only=True).collect()} == {(1, "p1"), (1, "p4")}
+
+
 def test_phrases_of_any_length_and_inside_tokens(spark, monkeypatch):
     texts = [
         (1, 'He said "that and the other thing\tis here to stay" twice.'), (2, "one two three four five. Six seven eight"), (3, "a three word phrase, once"), (4, None), (5, ""),
