@@ -13,7 +13,7 @@ import corpus_pipeline
 from cairnlake.llm import registry
 from cairnlake.llm.components import components
 from cairnlake.llm.mixing import MOST_REPEATS, mix, mix_plan, targets
-from cairnlake.llm.near_duplicates import REGISTERS, classes, keep_one_each, shingles, signatures
+from cairnlake.llm.near_duplicates import REGISTERS, _may_link, classes, keep_one_each, shingles, signatures
 from cairnlake.llm.sharding import shard_documents, split
 from cairnlake.llm.warc import candidates, read_archives, records, write_archives
 
@@ -161,6 +161,12 @@ def test_superminhash_estimates_with_less_variance():
     assert (alone[0] == among[1]).all()
 
 
+def test_sketch_bound_keeps_pairs_up_to_forty_bits(spark):
+    rows = [(100, 100, 0, 0, 100, 100, (1 << k) - 1, 0) for k in (0, 35, 36, 38, 40, 41)]
+    pairs = spark.createDataFrame(rows, ", ".join(f"{c}_{x} long" for x in "ab" for c in ("n", "s", "s1", "s2")))
+    assert sorted(r["s1_b"].bit_length() for r in pairs.filter(_may_link("_a", "_b")).collect()) == [0, 35, 36, 38, 40]
+
+
 def test_near_duplicate_cases(spark):
     docs = clashing(docs_frame(spark))
     found = {r["id"]: (r["n"], r["component"]) for r in classes(docs).collect()}
