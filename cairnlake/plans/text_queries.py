@@ -93,14 +93,31 @@ def bm25_search(spark, sf_dir):
     return R.bm25(_passages(spark, sf_dir), _queries(spark, sf_dir), terms_only=True)
 
 
+def bm25_search_whole(spark, sf_dir):
+    """DOM-1..3, WIN-9, SRT-1: the eight best passages for each item's whole text, its sentences being the phrases."""
+    words = F.split(F.trim(F.regexp_replace("text", r"[^A-Za-z0-9]+", " ")), " ")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.array_distinct(sentences(F.trim("text"))).alias("phrases"), F.filter(F.array_distinct(words), lambda w: w != "").alias("section_terms"))
+    return R.bm25(_passages(spark, sf_dir), items)
+
+
 def phrase_match(spark, sf_dir):
-    """JN-16: benchmark items whose first eight words a document contains."""
+    """JN-16 as its SQL has it: benchmark items whose first eight words a document contains; see phrase_match_whole."""
     words = F.split(F.trim(F.regexp_replace(F.lower("text"), r"\s+", " ")), " ")
     phrases = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("phrase_id"), F.array_join(F.slice(words, 1, 8), " ").alias("phrase"))
     found = R.phrase_matches(_docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text"), phrases)
     return found.select(F.col("id").alias("doc_id"), F.col("phrase_id").alias("item_id"))
 
 
+def phrase_match_whole(spark, sf_dir):
+    """JN-16: how many of an item's windows of eight words (the whole item, if it has fewer) a document contains."""
+    words = F.split(F.trim(F.regexp_replace(F.lower("text"), r"\s+", " ")), " ")
+    items = table(spark, sf_dir, "benchmark").select("item_id", words.alias("w"))
+    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 7, F.lit(1))), lambda k: F.array_join(F.slice("w", k, F.lit(8)), " "))
+    phrases = items.filter("w IS NOT NULL").select("item_id", F.explode(F.array_distinct(windows)).alias("phrase")).filter("phrase <> ''")
+    found = R.phrase_matches(_docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text"), phrases.select(F.struct("item_id", "phrase").alias("phrase_id"), "phrase"))
+    return found.groupBy(F.col("id").alias("doc_id"), F.col("phrase_id.item_id").alias("item_id")).agg(F.count("*").alias("windows"))
+
+
 def sentence_split(spark, sf_dir):
     """SCL-22: sentences per document and the longest of them."""
     split = _docs(spark, sf_dir).select("doc_id", sentences(F.col("text")).alias("s"))
@@ -154,7 +171,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         passage_segmentation, html_passages, running_line_removal, evidence_ids, duplicate_documents, document_versions, current_documents, weighted_mode_period,
-        tokenize_terms, term_doc_frequency, bm25_search, phrase_match, sentence_split, number_parsing,
+        tokenize_terms, term_doc_frequency, bm25_search, bm25_search_whole, phrase_match, phrase_match_whole, sentence_split, number_parsing,
     )
 }
 

@@ -1,15 +1,20 @@
 """Operators on small scenarios with known outcomes."""
 
+import collections
 import datetime as dt
+import math
+import re
 
 from pyspark.sql import functions as F
 
+from cairnlake.functions.text import STOP_WORDS
 from cairnlake.operators import assessment as A
 from cairnlake.operators import disclosures as D
 from cairnlake.operators import passages as P
 from cairnlake.operators import retrieval as R
 from cairnlake.operators import workflow as W
 from cairnlake.operators.extraction import sentence_metrics, table_row_metrics
+from cairnlake.plans import text_queries
 from cairnlake.streaming.ingest import document_stream, on_superseded, passage_stream
 from cairnlake.streaming.rate_limit import OUTPUT, fold, limited, limited_batch
 
@@ -164,6 +169,45 @@ def test_phrases_of_any_length_and_inside_tokens(spark, monkeypatch):
     assert sorted(map(tuple, R.phrase_matches(*frames).collect()), key=repr) == sorted(want, key=repr)
 
 
+def test_whole_items_are_searched(spark, tmp_path):
+    item = "Alpha beta gamma delta epsilon zeta eta theta iota kappa. Lambda mu 42 omicron!"
+    docs = [(1, "ETA\nTheta iota kappa and more\nplain line here."), (2, "xx delta epsilon zeta eta theta iota\nkappa. lambda mu"), (3, "Lambda mu 42 omicron! it is.\nAlpha beta alone."), (4, None), (5, "tiny onesie"), (6, "epsilon zeta eta theta iota kappa. lambda muon")]
+    items = [(7, item), (8, "tiny one"), (9, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    want = set()
+    for d, text in docs:
+        for i, whole in items:
+            words = (whole or "").lower().split()
+            windows = {" ".join(words[k : k + 8]) for k in range(max(1, len(words) - 7))} - {""}
+            n = sum(w in " ".join((text or "").lower().split()) for w in windows)
+            want |= {(d, i, n)} if n else set()
+    assert {(2, 7, 2), (5, 8, 1), (6, 7, 1)} <= want
+    assert {tuple(r) for r in text_queries.phrase_match_whole(spark, str(tmp_path)).collect()} == want
+
+    def tokens(x):
+        return [w for w in re.findall("[a-z0-9]+", x.lower()) if w not in STOP_WORDS]
+
+    rows = [r for r in P.passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()]
+    n, mean, best = len(rows), sum(max(1, len(tokens(r["line"]))) for r in rows) / len(rows), {}
+    df = collections.Counter(t for r in rows for t in set(tokens(r["line"])))
+    for i, whole in items[:2]:
+        raw = {}
+        for r in rows:
+            ts = tokens(r["line"])
+            raw[r["passage_id"]] = sum(math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * ts.count(t) * 2.4 / (ts.count(t) + 1.4 * (0.25 + 0.75 * len(ts) / mean)) for t in set(tokens(whole)) & set(ts))
+        top = max(raw.values()) or 1.0
+        for r in rows:
+            phrases = sum(s.lower() in r["line"].lower() for s in re.split(r"(?<=[.;!?])\s+(?=[A-Z(])", whole))
+            section = 0.1 if any(w.lower() in (r["section"] or "").lower() for w in re.findall("[A-Za-z0-9]+", whole)) else 0.0
+            score = (0.6 * raw[r["passage_id"]] / top + min(0.45, 0.15 * phrases) + section) * (0.35 if r["kind"] == "heading" else 1.0)
+            if raw[r["passage_id"]] > 0 or phrases:
+                best[i, r["passage_id"]] = round(score, 6)
+    found = {(r["query_id"], r["passage_id"]): r["score"] for r in text_queries.bm25_search_whole(spark, str(tmp_path)).collect()}
+    assert 5 < len(best) <= 16 and found.keys() == best.keys() and all(abs(found[k] - best[k]) < 2e-6 for k in best)
+
+
 def test_review_fold_and_metrics(spark):
     reviews = spark.createDataFrame([(1, 0, "comment"), (1, 1, "accept"), (1, 2, "override"), (1, 3, "comment"), (2, 0, "comment")], "finding_id long, seq int, decision string")
     assert {r["finding_id"]: (r["state"], r["comments"]) for r in W.fold_reviews(reviews).collect()} == {1: ("override", 2), 2: ("unreviewed", 1)}
