@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import evidence_id, running_key
 
-#: Characters after which a long block is cut at the next line that ends a sentence.
+#: Characters of a document after which its chunk number rises, wherever a sentence ends.
 CHUNK = 900
 BULLET = r"^\s*(?:[-*•–]|\d{1,2}[.)])\s+"
 
@@ -27,8 +27,7 @@ def kind_of(line: Column) -> Column:
 def passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A passage per line: deterministic id, kind, the heading it stands under, and its chunk.
 
-    Chunks restart when the characters so far pass a multiple of CHUNK after a line that ends a sentence. The windows
-    run within one document, whose lines come from one row: their sort is bounded by the document.
+    A line's chunk is the number of whole CHUNKs of characters before it in the document. The windows run within one document, whose lines come from one row: their sort is bounded by the document.
     """
     order = Window.partitionBy(doc_id).orderBy("ordinal")
     staged = lines(docs, doc_id=doc_id, text=text).withColumn("kind", kind_of(F.col("line")))

@@ -125,7 +125,7 @@ def evidence_links(spark, sf_dir):
 
 
 def run_diff(spark, sf_dir):
-    """DOM-14, JN-17, SET-1: findings that changed between two runs."""
+    """DOM-14 without the causes "requirement revised" and "method changed", JN-17, SET-1: findings that changed between two runs."""
     return A.diff_runs(_findings(spark, sf_dir, BEFORE), _findings(spark, sf_dir, AFTER))
 
 
@@ -151,7 +151,7 @@ def evidence_package(spark, sf_dir):
 
 
 def markdown_report(spark, sf_dir):
-    """SNK-5: a report text per company."""
+    """The summary table of SNK-5: a report text per company."""
     return W.markdown_report(_findings(spark, sf_dir))
 
 

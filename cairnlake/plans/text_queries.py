@@ -16,13 +16,13 @@ def _docs(spark, sf_dir):
 
 
 def passage_segmentation(spark, sf_dir):
-    """SEG-8..13, SEG-17: passages of documents with kind, section and chunk."""
+    """SEG-9, SEG-11, SEG-17 and a simpler SEG-12: passages of documents with kind, section (the last heading) and chunk."""
     found = P.passages(_docs(spark, sf_dir))
     return found.select("doc_id", "passage_id", "ordinal", "kind", "chunk", F.coalesce("section", F.lit("")).alias("section"))
 
 
 def html_passages(spark, sf_dir):
-    """SEG-9..11: blocks of pages under their headings."""
+    """SEG-9, SEG-11: blocks of pages, each with the last heading before it."""
     return P.html_passages(table(spark, sf_dir, "pages").select("page_id", "html"))
 
 
