@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +37,10 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Where the tables are that a frame reads, for `discard`.
+_PATHS: weakref.WeakKeyDictionary[DataFrame, list[str]] = weakref.WeakKeyDictionary()
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write `df` once to the shared folder and read it from there, which cuts its lineage.
 
@@ -42,7 +48,41 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """
     spark, path = df.sparkSession, shared_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _PATHS[table] = [path]
+    return table
+
+
+def standing_on(view: DataFrame, *tables: DataFrame) -> DataFrame:
+    """`view`, which reads `tables`: who discards it, discards them."""
+    _PATHS[view] = [path for table in tables for path in _PATHS.pop(table, [])]
+    return view
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of `materialise` that no later job reads. Call it only once all that stands on them is written."""
+    for table in tables:
+        for path in _PATHS.pop(table, []):
+            spark = table.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+#: Bytes of text of which Python objects are made at once; a longer text is alone.
+SLICE_BYTES = 1 << 20
+
+
+def slices(batch: pa.RecordBatch, *texts: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose texts (columns by position) have about `most` bytes together, one row at least."""
+    sizes = np.zeros(batch.num_rows, dtype=np.int64)
+    for k in texts:
+        sizes += pc.fill_null(pc.binary_length(batch.column(k)), 0).to_numpy(zero_copy_only=False)
+    upto, start = np.cumsum(sizes), 0
+    while start < batch.num_rows:
+        before = upto[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(upto, before + most, side="right")))
+        yield batch.slice(start, end - start)
+        start = end
 
 
 def scan_texts(
@@ -54,8 +94,8 @@ def scan_texts(
 ) -> DataFrame:
     """`keep` columns and one column per field, computed batch by batch from the whole text's UTF-8 bytes.
 
-    `make` runs once a task and gives a function from the batch's texts (bytes or None) to one list per field.
-    A column of `keep` with a field's name is replaced by it. No shuffle, one batch in memory at a time.
+    `make` runs once a task and gives a function from some texts (bytes or None) to one list per field. A column of `keep`
+    with a field's name is replaced by it. No shuffle; Spark bounds a batch by its bytes, Python takes it slice by slice.
     """
     new = {f.name for f in fields}
     keep = [k for k in keep if k not in new]
@@ -67,9 +107,10 @@ def scan_texts(
         work = make()
         types = [to_arrow_type(f.dataType) for f in fields]
         for batch in batches:
-            texts = batch.column(0).cast(pa.binary()).to_pylist()
-            made = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(work(texts), types, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], names=schema.names)
+            for part in slices(batch, 0):
+                texts = part.column(0).cast(pa.binary()).to_pylist()
+                made = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(work(texts), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *made], names=schema.names)
 
     own = F.col(f"`{text}`").cast("string").alias("__text")
     return df.select(own, *[F.col(f"`{k}`") for k in keep]).mapInArrow(run, schema)
@@ -87,9 +128,9 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """64-bit hash of a word's bytes, remembered up to a bound so that memory stays flat."""
+    """64-bit hash of a word's bytes, remembered up to a bound (some MB) so that memory stays flat."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 1 << 15):
         super().__init__()
         import xxhash
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise, standing_on
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -31,8 +31,9 @@ def components(edges: DataFrame) -> DataFrame:
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     edges = materialise(edges, "edges")
     while not _settled(edges):
-        edges = materialise(_small_star(_large_star(edges)).distinct(), "edges")
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+        before, edges = edges, materialise(_small_star(_large_star(edges)).distinct(), "edges")
+        discard(before)
+    return standing_on(edges.select(F.col("u").alias("id"), F.col("v").alias("component")), edges)
 
 
 def _settled(edges: DataFrame) -> bool:

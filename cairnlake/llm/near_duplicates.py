@@ -17,9 +17,11 @@ whole sequence if it has fewer words), held as 64-bit hashes. Documents link wit
    confirmed on the full sets.
 5. Links are grouped by alternating stars.
 
+Each step is a table in the shared folder, deleted once nothing later reads it. Workers hold a slice of texts at a time.
+
 Defined cases: null, empty and wordless texts have an empty set and link with nothing; a null id has component null and
-is kept; rows that share an id are one document; an empty table gives no rows; extra columns pass through in
-`keep_one_each` and are ignored elsewhere.
+is kept; rows that share an id are one document, which stands for its set of the smallest digest where it is the first
+of several sets; an empty table gives no rows; extra columns pass through in `keep_one_each` and are ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, materialise, mix64, scan_texts
+from .common import WordHashes, discard, materialise, mix64, scan_texts, slices, standing_on
 from .components import components
 
 SHINGLE = 5
@@ -42,7 +44,7 @@ MOST_DIFFERENT_BITS = 40
 #: Rounds with other centres at most (they end when one finds no link), and the buckets whose centre a document meets in one.
 MOST_ROUNDS, CENTRES = 4, 2
 #: Elements that are signed together.
-ELEMENTS = 1 << 16
+ELEMENTS = 1 << 15
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _ODD = mix64(np.arange(1, 9, dtype=np.uint64) * _GOLDEN) | np.uint64(1)
 _WORDS = WordHashes()
@@ -165,7 +167,7 @@ def _may_link(x: str, y: str) -> F.Column:
 
 
 def _confirmed(pairs: DataFrame, pool: DataFrame) -> DataFrame:
-    """(a, b) of the pairs that link on their full sets. Rows come sorted by a, whose set is made once."""
+    """(a, b) of the pairs that link on their full sets. Rows mostly come sorted by a, whose set is made once then."""
     schema = T.StructType([pairs.schema["a"], pairs.schema["b"]])
     one, two = pool.select(F.col("id").alias("a"), F.col("t").alias("ta")), pool.select(F.col("id").alias("b"), F.col("t").alias("tb"))
     both = pairs.join(two, "b").join(one, "a").select("a", "b", "ta", "tb")
@@ -173,24 +175,29 @@ def _confirmed(pairs: DataFrame, pool: DataFrame) -> DataFrame:
     def run(batches):
         last, own = object(), np.empty(0, dtype=np.uint64)
         for batch in batches:
-            ids, left, right = batch.column(0).to_pylist(), batch.column(2), batch.column(3).cast(pa.binary()).to_pylist()
-            linked = np.zeros(len(ids), dtype=bool)
-            for k, (a, data) in enumerate(zip(ids, right, strict=True)):
-                if a != last:
-                    last, own = a, shingles(left[k].cast(pa.binary()).as_py())
-                other = shingles(data)
-                common = len(np.intersect1d(own, other, assume_unique=True))
-                linked[k] = WHOLE * common >= PART * (len(own) + len(other) - common) and common > 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(linked))
+            for part in slices(batch, 2, 3):
+                ids, left, right = part.column(0).to_pylist(), part.column(2), part.column(3).cast(pa.binary()).to_pylist()
+                linked = np.zeros(len(ids), dtype=bool)
+                for k, (a, data) in enumerate(zip(ids, right, strict=True)):
+                    if a != last:
+                        last, own = a, shingles(left[k].cast(pa.binary()).as_py())
+                    other = shingles(data)
+                    common = len(np.intersect1d(own, other, assume_unique=True))
+                    linked[k] = WHOLE * common >= PART * (len(own) + len(other) - common) and common > 0
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(linked))
 
     return both.mapInArrow(run, schema)
 
 
-def _grouped(links: DataFrame | None, ids: DataFrame) -> DataFrame:
-    """(id, component) for every id."""
-    found = components(links)
-    joined = ids.join(found, "id", "left")
-    return materialise(joined.select("id", F.coalesce("component", "id").alias("component")), "near-components")
+def _merged(grouped: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, component) after more links: only the components that they join are grouped, and `grouped` is renamed."""
+    first, second = (grouped.select(F.col("id").alias(end), F.col("component").alias(f"c{end}")) for end in ("a", "b"))
+    ends = links.join(first, "a").join(second, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    found = components(ends)
+    joined = grouped.join(found.select(F.col("id").alias("component"), F.col("component").alias("least")), "component", "left")
+    after = materialise(joined.select("id", F.coalesce("least", "component").alias("component")), "near-components")
+    discard(found, grouped)
+    return after
 
 
 def _torn(rows: DataFrame, key: str) -> DataFrame:
@@ -209,9 +216,11 @@ def _known_elements(pool: DataFrame, members: DataFrame, marks: DataFrame) -> tu
         return lambda texts: [[shingles(x).view(np.int64) for x in texts]]
 
     held = scan_texts(pool.join(members, "id", "left_semi"), "t", ["id"], [T.StructField("elements", T.ArrayType(_LONG))], make)
-    rows = materialise(held, "near-open-sets").select("id", F.explode("elements").alias("element"))
+    sets = materialise(held, "near-open-sets")
+    rows = sets.select("id", F.explode("elements").alias("element"))
     counts = rows.groupBy("element").agg(F.count("*").alias("times")).filter("times > 1")
     known = materialise(rows.join(counts, "element"), "near-known")
+    discard(sets)
     able = marks.drop("s").join(known.groupBy("id").agg(F.count("*").alias("s")), "id").filter(WHOLE * F.col("s") >= PART * F.col("n"))
     return known, materialise(able.select(*MARKS), "near-marks")
 
@@ -239,49 +248,67 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> D
     """id, n (set size) and component of each document with an id; component is the smallest id reachable."""
     prints = materialise(fingerprints(docs, doc_id, text), "near-prints")
     equal = materialise(prints.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("id")), "near-equal")
-    single = prints.join(equal.select("id"), "id", "left_semi").dropDuplicates(["id"])
-    single = materialise(single.select("id", "n", "s1", "s2", "bands"), "near-single")
+    # one row a set, then one a document: the second only matters where rows of one id have several sets
+    firsts = prints.join(equal, ["n", "d1", "d2", "id"], "left_semi").groupBy("id").agg(F.min(F.struct("n", "d1", "d2", "s1", "s2", "bands")).alias("p"))
+    single = materialise(firsts.select("id", "p.n", "p.s1", "p.s2", "p.bands"), "near-single")
     rows = single.select("id", F.explode("bands").alias("bucket"))
     buckets = rows.groupBy("bucket").agg(F.count("*").alias("members"), F.min("id").alias("centre")).filter("members > 1")
     shared = materialise(rows.join(buckets.select("bucket", "centre"), "bucket"), "near-buckets")
     ids = materialise(shared.select("id").distinct(), "near-ids")
-    marks = materialise(single.select("id", "n", F.col("n").alias("s"), "s1", "s2").join(ids, "id", "left_semi"), "near-marks")
+    every = materialise(single.select("id", "n", F.col("n").alias("s"), "s1", "s2").join(ids, "id", "left_semi"), "near-marks")
     pool = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("t")).join(ids, "id", "left_semi")
     pool = materialise(pool, "near-texts")
-    tested = materialise(_likely(shared.filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), marks), "near-tested")
-    links = materialise(_confirmed(tested, pool), "near-links")
-    grouped = _grouped(links, ids)
-    torn = _torn(shared.select("bucket", "id").join(grouped, "id"), "bucket")
-    known, marks = _known_elements(pool, torn.select("id").distinct(), marks)
-    shared = materialise(shared.select("bucket", "id").join(marks.select("id"), "id", "left_semi"), "near-open")
+    discard(single)
+    to_centre = shared.filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+    tested = [materialise(_likely(to_centre, every), "near-tested")]
+    links = materialise(_confirmed(tested[0], pool), "near-links")
+    grouped = _merged(materialise(ids.select("id", F.col("id").alias("component")), "near-components"), links)
+    discard(ids, links)
+    open_ids = _torn(shared.select("bucket", "id").join(grouped, "id"), "bucket").select("id").distinct()
+    known, marks = _known_elements(pool, open_ids, every)
+    still = materialise(shared.select("bucket", "id").join(marks.select("id"), "id", "left_semi"), "near-open")
+    discard(shared, every)
     for turn in range(MOST_ROUNDS):
-        torn = _torn(shared.join(grouped, "id"), "bucket")
+        torn = _torn(still.join(grouped, "id"), "bucket")
         turn_order = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("bucket", F.lit(turn))))
         centre = torn.groupBy("bucket").agg(F.min_by(F.struct(F.col("id").alias("c"), F.col("component").alias("cc")), F.xxhash64("id", F.lit(turn))).alias("centre"))
         some = torn.withColumn("turn", turn_order).filter(F.col("turn") <= CENTRES)
         across = some.join(centre, "bucket").filter("component <> centre.cc")
         pairs = across.select(F.least("id", "centre.c").alias("a"), F.greatest("id", "centre.c").alias("b")).distinct()
-        fresh = materialise(_likely(pairs, marks).join(tested, ["a", "b"], "left_anti"), "near-fresh")
-        more = materialise(_confirmed(fresh, pool), "near-links")
-        tested = tested.unionByName(fresh)
-        if not more.limit(1).count():
+        grouped, found = _test(pairs, marks, tested, pool, grouped)
+        if not found:
             break
-        links = links.unionByName(more)
-        grouped = _grouped(links, ids)
-    fresh = materialise(_by_prefix(known, grouped, marks).join(tested, ["a", "b"], "left_anti"), "near-fresh")
-    more = materialise(_confirmed(fresh, pool), "near-links")
-    if more.limit(1).count():
-        grouped = _grouped(links.unionByName(more), ids)
+    grouped, _ = _test(_by_prefix(known, grouped, marks), None, tested, pool, grouped)
+    discard(known, marks, still, pool, *tested)
     heads = equal.join(grouped.withColumnRenamed("component", "found"), "id", "left")
     heads = heads.select("n", "d1", "d2", F.coalesce("found", "id").alias("component"))
     joined = prints.select("id", "n", "d1", "d2").join(heads, ["n", "d1", "d2"], "left")
-    return joined.select("id", "n", F.coalesce("component", "id").alias("component"))
+    return standing_on(joined.select("id", "n", F.coalesce("component", "id").alias("component")), prints, equal, grouped)
+
+
+def _test(pairs: DataFrame, marks: DataFrame | None, tested: list[DataFrame], pool: DataFrame, grouped: DataFrame) -> tuple[DataFrame, bool]:
+    """The components after the likely ones of new pairs are confirmed, and whether any were. `tested` gains the pairs.
+
+    Without `marks` the pairs are likely ones already.
+    """
+    likely = pairs if marks is None else _likely(pairs, marks)
+    for before in tested:
+        likely = likely.join(before, ["a", "b"], "left_anti")
+    fresh = materialise(likely, "near-tested")
+    tested.append(fresh)
+    more = materialise(_confirmed(fresh, pool), "near-links")
+    found = bool(more.limit(1).count())
+    if found:
+        grouped = _merged(grouped, more)
+    discard(more)
+    return grouped, found
 
 
 def keep_one_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` with one document of each class, that of the smallest id, once; rows without an id stay; columns as before."""
-    kept = classes(docs, doc_id=doc_id, text=text).filter("id = component").select(F.col("id").alias("__id")).distinct()
-    kept = materialise(kept, "near-kept")
+    found = classes(docs, doc_id=doc_id, text=text)
+    kept = materialise(found.filter("id = component").select(F.col("id").alias("__id")).distinct(), "near-kept")
+    discard(found)
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(f"`{doc_id}`").alias("__id"))
     once = F.row_number().over(Window.partitionBy("__id").orderBy(F.xxhash64("__row")))
     named = whole.filter("__id is not null").join(kept, "__id").withColumn("__at", once).filter("__at = 1")

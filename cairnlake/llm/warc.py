@@ -2,37 +2,39 @@
 
 Writing: of the pages with equal payloads (of at least `LEAST_REVISIT` bytes) the one with the largest page_id is a
 `response`, the others are `revisit` records without a payload. A record is one string, and `CRLF CRLF`, which ends
-each record, is the writer's line separator; an archive holds up to `ARCHIVE_RECORDS` of them.
+each record, is the writer's line separator. Only (digest, page_id) of all pages is shuffled; a bitmap of fixed size tells
+which pages surely have no copy, and these are written from where they are read. Of the rest, payloads of likely
+responses move.
 
-Reading: each task looks for the record magic in its archives and emits every candidate's successor offset (its start,
-header and Content-Length). Payloads may contain the magic, so candidates prove nothing; pointer jumping from each
-archive's start keeps the reachable ones, doubling the reach in each round.
+Reading: Spark's text reader takes archives by byte ranges, with the record magic as line separator, so that an archive may
+be of any size. Each piece is a candidate record with a successor offset (its start, header and Content-Length). Payloads
+may contain the magic, so candidates prove nothing; pointer jumping from each archive's start keeps the reachable ones,
+doubling the reach in each round. A record whose payload holds the magic is put together from its pieces in a second scan.
+Sizes and digests of responses are computed from the bytes read.
 
 Defined cases: a null html is an empty payload; a null url leaves out the target; a null page_id is written and read
-back as null and never referred to; rows with the same largest
-page_id are all responses; control characters in a url
-are percent-encoded; an empty table writes no record; extra columns aren't written.
+back as null and never referred to; rows with the same largest page_id are all responses; control characters in a url
+are percent-encoded; an empty table writes no record; extra columns aren't written; a record without its end mark, or whose
+digest isn't that of its payload, is read with `sound` false.
 """
 
 from __future__ import annotations
 
-import base64
-import hashlib
-import re
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import materialise, shared_path
+from .common import discard, materialise, shared_path
 
-MAGIC = b"WARC/1.1\r\n"
+MAGIC = "WARC/1.1\r\n"
+#: Where the reader cuts: the part of the magic that all versions share.
+CUT = "WARC/1."
 END = "\r\n\r\n"
 LEAST_REVISIT = 0
-#: Records of an archive at most, so that one fits a task's memory.
+#: Records of an archive at most: pointer jumping takes as many rounds as this number has bits, if no payload is an archive.
 ARCHIVE_RECORDS = 2_000
 DATE = "2024-01-01T00:00:00Z"
+#: Bits of the bitmap that tells keys apart which surely aren't there: 2 MB, whatever the data.
+BITS = 1 << 24
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -45,8 +47,19 @@ def base32_of_hex(digest: F.Column) -> F.Column:
     return F.concat(*letters)
 
 
+def _maybe_in(rows: DataFrame, key: str, few: DataFrame, name: str) -> DataFrame:
+    """`rows` and `name`: false where the key is surely not among those of `few`. The bitmap is BITS long at most."""
+    slot = F.pmod(F.xxhash64(key), F.lit(BITS))
+    bits = few.select(slot.alias("__slot")).groupBy(F.bitmap_bucket_number("__slot").alias("__bucket"))
+    bits = bits.agg(F.bitmap_construct_agg(F.bitmap_bit_position("__slot")).alias("__bits"))
+    at = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    joined = rows.withColumn("__bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(bits), "__bucket", "left")
+    return joined.withColumn(name, F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).drop("__bucket", "__bits")
+
+
 def records(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST_REVISIT) -> DataFrame:
-    """One row a page: page_id, url, payload (string), payload_bytes, payload_digest, record_type, refers_to.
+    """One row a page: page_id, url, payload (string; null in revisits), payload_bytes, payload_digest, record_type, refers_to.
 
     The largest page_id per digest is aggregated before the shuffle; large groups of copies are an ordinary join's
     skewed side, which Spark splits.
@@ -59,12 +72,18 @@ def records(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", htm
         F.octet_length(payload).cast("long").alias("payload_bytes"),
         F.sha1(payload.cast("binary")).alias("__sha1"),
     )
-    first = own.groupBy("__sha1").agg(F.max("page_id").alias("__first"))
-    revisit = (F.col("payload_bytes") >= least) & F.col("__first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("__first"))
-    return own.join(first, "__sha1").select(
+    counted = own.filter(F.col("payload_bytes") >= least).groupBy("__sha1").agg(F.max("page_id").alias("__first"), F.count("*").alias("__n"))
+    several = materialise(counted.filter("__n > 1").drop("__n"), "warc-copies")
+    marked = _maybe_in(own, "__sha1", several, "__copy")
+    likely = _maybe_in(marked.filter("__copy"), "page_id", several.select(F.col("__first").alias("page_id")), "__response")
+    moved = likely.withColumn("payload", F.when(F.col("__response") | F.col("page_id").isNull(), F.col("payload")))
+    joined = moved.drop("__copy", "__response").join(several, "__sha1", "left")
+    alone = marked.filter("NOT __copy").drop("__copy").withColumn("__first", F.lit(None).cast("long"))
+    revisit = F.col("__first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("__first"))
+    return alone.unionByName(joined).select(
         "page_id",
         "url",
-        "payload",
+        F.when(~revisit, F.col("payload")).alias("payload"),
         "payload_bytes",
         base32_of_hex(F.col("__sha1")).alias("payload_digest"),
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
@@ -88,119 +107,151 @@ def _header(record: DataFrame) -> F.Column:
         F.lit("Content-Type: application/http; msgtype=response"),
         F.concat(F.lit("Content-Length: "), body.cast("string")),
     ]
-    return F.concat(F.lit(MAGIC.decode()), F.concat_ws("\r\n", *lines), F.lit(END))
+    return F.concat(F.lit(MAGIC), F.concat_ws("\r\n", *lines), F.lit(END))
 
 
 def write_archives(pages: DataFrame, path: str, **columns: str) -> None:
-    """Write `pages` as uncompressed archives into `path`: payloads are shuffled once, for the join on their digests."""
+    """Write `pages` as uncompressed archives into `path`."""
     made = records(pages, **columns)
-    body = F.when(F.col("record_type") == "revisit", "").otherwise(F.col("payload"))
-    lines = made.select(F.concat(_header(made), body).alias("value"))
+    lines = made.select(F.concat(_header(made), F.coalesce("payload", F.lit(""))).alias("value"))
     lines.write.option("lineSep", END).option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
 
 
-_FIELDS = T.StructType([
-    T.StructField("archive", T.StringType()),
-    T.StructField("offset", T.LongType()),
-    T.StructField("successor", T.LongType()),
-    T.StructField("page_id", T.LongType()),
-    T.StructField("url", T.StringType()),
-    T.StructField("record_type", T.StringType()),
-    T.StructField("payload_bytes", T.LongType()),
-    T.StructField("payload_digest", T.StringType()),
-    T.StructField("refers_to", T.LongType()),
-    T.StructField("sound", T.BooleanType()),
-    T.StructField("payload", T.BinaryType()),
-])
-_HEAD = re.compile(rb"WARC/1\.[01]\r\n((?:[^\r\n]+\r\n)+)\r\n")
-_PAGE = re.compile(rb"<urn:page:(-?\d+)>")
-
-
-def _parse(data: bytes, at: int) -> tuple | None:
-    """(successor offset, fields, payload start, payload end) of a well-formed candidate at `at`."""
-    head = _HEAD.match(data, at)
-    if not head:
-        return None
-    fields = dict(line.split(b": ", 1) for line in head[1].split(b"\r\n")[:-1] if b": " in line)
-    length = fields.get(b"Content-Length", b"")
-    if not length.isdigit():
-        return None
-    stop = head.end() + int(length)
-    if data[stop : stop + 4] != b"\r\n\r\n":
-        return None
-    return stop + 4, fields, head.end(), stop
-
-
-def candidates(archives: DataFrame, *, payloads: bool) -> DataFrame:
-    """Every well-formed candidate of every archive (binaryFile rows, of bounded size), real or inside a payload."""
-
-    def page(value: bytes | None) -> int | None:
-        found = _PAGE.fullmatch(value or b"")
-        return int(found[1]) if found else None
-
-    def run(batches):
-        for batch in batches:
-            for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows, held, at = [], 0, data.find(b"WARC/1.")
-                while at >= 0:
-                    if found := _parse(data, at):
-                        successor, fields, start, stop = found
-                        body = data[start:stop]
-                        kind = fields.get(b"WARC-Type", b"").decode("utf-8", "replace")
-                        digest = fields.get(b"WARC-Payload-Digest", b"").removeprefix(b"sha1:").decode("utf-8", "replace")
-                        size = fields.get(b"WARC-Payload-Length", b"")
-                        sound = kind == "revisit" or base64.b32encode(hashlib.sha1(body).digest()).decode() == digest
-                        url = fields.get(b"WARC-Target-URI")
-                        rows.append((
-                            path, at, successor if successor < len(data) else None, page(fields.get(b"WARC-Record-ID")), url and url.decode("utf-8", "replace"),
-                            kind, int(size) if size.isdigit() else len(body), digest, page(fields.get(b"WARC-Refers-To")), sound, body if payloads else None,
-                        ))
-                        held += len(body)
-                    if len(rows) >= 5000 or payloads and held > 16 << 20:
-                        yield _batch(rows)
-                        rows, held = [], 0
-                    at = data.find(b"WARC/1.", at + 1)
-                if rows:
-                    yield _batch(rows)
-
-    return archives.select("path", "content").mapInArrow(run, _FIELDS)
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return pa.RecordBatch.from_arrays([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(zip(*rows, strict=True), _FIELDS, strict=True)], names=_FIELDS.names)
+def _pieces(spark: SparkSession, path: str) -> DataFrame:
+    """The archives under `path`, cut at each magic: archive, block (where its byte range starts), seq (order in it), value, n."""
+    rows = spark.read.option("lineSep", CUT).option("pathGlobFilter", "*.txt").text(path)
+    return rows.select(
+        F.col("_metadata.file_path").alias("archive"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("seq"),
+        "value",
+        F.octet_length("value").cast("long").alias("n"),
+    )
+
+
+def _placed(pieces: DataFrame) -> DataFrame:
+    """Adds each piece's offset (that of the magic before it) and its archive's size, as sums within a range and over ranges."""
+    width = F.col("n") + len(CUT)
+    blocks = pieces.groupBy("archive", "block").agg(F.sum(width).alias("w"))
+    whole = Window.partitionBy("archive")
+    earlier = whole.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("archive", "block", F.coalesce(F.sum("w").over(earlier), F.lit(0)).alias("base"), (F.sum("w").over(whole) - len(CUT)).alias("size"))
+    within = Window.partitionBy("archive", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.col("base") + F.coalesce(F.sum(width).over(within), F.lit(0)) - len(CUT)
+    return pieces.join(blocks, ["archive", "block"]).withColumn("offset", offset).drop("base", "block", "seq")
+
+
+def candidates(spark: SparkSession, path: str, *, payloads: bool) -> DataFrame:
+    """Every well-formed candidate of every archive, real or inside a payload; `whole` if no magic parts its record.
+
+    A row has archive, offset, successor (null at the archive's end), the header's fields, and of whole records the
+    payload's SHA-1, that the end mark follows it, and if asked for the payload.
+    """
+    own = _pieces(spark, path)
+    head = F.substring_index("value", END, 1)
+    rest = F.replace(head, F.lit("\r\n"), F.lit(""))
+
+    def field(name: str) -> F.Column:
+        return F.nullif(F.regexp_extract("head", rf"(?i)\r\n{name}:[ \t]*([^\r\n]+)", 1), F.lit(""))
+
+    fine = F.contains("value", F.lit(END)) & F.substring("value", 1, 3).isin("0\r\n", "1\r\n") & ~F.contains(rest, F.lit("\r")) & ~F.contains(rest, F.lit("\n"))
+    parsed = own.withColumn("head", F.when(fine, head)).withColumns({
+        "length": field("Content-Length").try_cast("long"),
+        "page_id": F.nullif(F.regexp_extract("head", r"(?i)\r\nWARC-Record-ID:[ \t]*<urn:page:(-?[0-9]+)>", 1), F.lit("")).try_cast("long"),
+        "url": field("WARC-Target-URI"),
+        "record_type": field("WARC-Type"),
+        "told_bytes": field("WARC-Payload-Length").try_cast("long"),
+        "told_digest": F.regexp_replace(field("WARC-Payload-Digest"), "(?i)^sha1:", ""),
+        "refers_to": F.nullif(F.regexp_extract("head", r"(?i)\r\nWARC-Refers-To:[ \t]*<urn:page:(-?[0-9]+)>", 1), F.lit("")).try_cast("long"),
+        "header": F.octet_length("head").cast("long") + len(END),
+    })
+    whole = F.col("header") + F.col("length") + len(END) <= F.col("n")
+    start, size = F.col("header").cast("int"), F.col("length").cast("int")
+    data = F.col("value").cast("binary")
+    body = F.when(whole, F.substring(data, start + 1, size))
+    ended = F.when(whole, F.substring(data, start + size + 1, F.lit(len(END))) == F.lit(END).cast("binary"))
+    narrow = parsed.select(
+        "archive", "block", "seq", "n", "header", "length", "page_id", "url", "record_type", "told_bytes", "told_digest", "refers_to",
+        whole.alias("whole"), ended.alias("ended"), F.sha1(body).alias("sha1"), *([body.alias("payload")] if payloads else []),
+    )
+    cut = materialise(narrow, "warc-pieces")
+    after = F.col("offset") + len(CUT) + F.col("header") + F.col("length") + len(END)
+    placed = _placed(cut).withColumn("successor", after).filter("offset >= 0 AND length >= 0 AND successor <= size AND coalesce(ended, true)")
+    found = materialise(placed.withColumn("successor", F.when(F.col("successor") < F.col("size"), F.col("successor"))).drop("size", "n"), "warc-candidates")
+    discard(cut)
+    return found
 
 
 def reachable(links: DataFrame) -> DataFrame:
     """(archive, offset) of the records on the chain from offset 0; `links` has archive, offset and successor.
 
     Pointer jumping: in round k each known record adds the one 2^k records on, and the jumps double. Rounds are the
-    logarithm of the longest chain; every round is a join on (archive, offset), however many archives there are.
+    logarithm of the longest chain; every round is a join on (archive, offset), however many archives there are. A round's
+    tables go once the next ones are written.
     """
     jumps = links.select("archive", "offset", F.col("successor").alias("to"))
     known = links.filter("offset = 0").select("archive", "offset").distinct()
     while True:
         ahead = known.join(jumps, ["archive", "offset"]).filter("to is not null").select("archive", F.col("to").alias("offset"))
         onto = jumps.select("archive", F.col("offset").alias("to"), F.col("to").alias("next"))
-        jumps = materialise(jumps.filter("to is not null").join(onto, ["archive", "to"], "left").select("archive", "offset", F.col("next").alias("to")), "warc-jumps")
+        further = jumps.filter("to is not null").join(onto, ["archive", "to"]).filter("next is not null")
+        before = jumps, known
         known = materialise(known.unionByName(ahead), "warc-known")
-        if not jumps.filter("to is not null").limit(1).count():
+        jumps = materialise(further.select("archive", "offset", F.col("next").alias("to")), "warc-jumps")
+        discard(*before)
+        if not jumps.limit(1).count():
+            discard(jumps)
             return known
 
 
+def _put_together(spark: SparkSession, path: str, parted: DataFrame, chain: DataFrame) -> DataFrame:
+    """(archive, offset, sha1, ended, payload) of reachable records that a magic parts: their archives are cut once more.
+
+    Each piece belongs to the last reachable record that starts no later; a record's pieces are one record's bytes.
+    """
+    own = _placed(_pieces(spark, path).join(parted.select("archive").distinct(), "archive", "left_semi")).filter("offset >= 0")
+    starts = chain.withColumn("start", F.col("offset"))
+    upto = Window.partitionBy("archive").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
+    owned = own.select("archive", "offset", "n").join(starts, ["archive", "offset"], "left").withColumn("start", F.last("start", ignorenulls=True).over(upto))
+    wanted = parted.select("archive", F.col("offset").alias("start"), "header", "length")
+    parts = own.select("archive", "offset", "value").join(owned.select("archive", "offset", "start"), ["archive", "offset"]).join(wanted, ["archive", "start"])
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("offset", "value"))), lambda x: x["value"])
+    data = parts.groupBy("archive", "start", "header", "length").agg(F.array_join(texts, CUT).cast("binary").alias("data"))
+    at, size = F.col("header").cast("int"), F.col("length").cast("int")
+    body, mark = F.substring("data", at + 1, size), F.substring("data", at + size + 1, F.lit(len(END)))
+    return data.select("archive", F.col("start").alias("offset"), F.sha1(body).alias("sha1"), (mark == F.lit(END).cast("binary")).alias("ended"), body.alias("payload"))
+
+
 def read_archives(spark: SparkSession, path: str, *, payloads: bool = False) -> DataFrame:
-    """The records that are reachable in the archives under `path`; `sound` tells whether a payload has its digest."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
-    found = materialise(candidates(files, payloads=payloads), "warc-candidates")
-    chain = reachable(found.select("archive", "offset", "successor"))
-    return found.join(chain, ["archive", "offset"], "left_semi")
+    """The records that are reachable in the archives under `path`.
+
+    payload_bytes and payload_digest are those of the bytes read, and what the header tells in a revisit; `sound` says
+    whether a response's header tells the same and its end mark stands.
+    """
+    found = candidates(spark, path, payloads=payloads)
+    chain = reachable(found)
+    real = found.join(chain, ["archive", "offset"], "left_semi")
+    parted = real.filter("NOT whole")
+    if parted.limit(1).count():
+        made = _put_together(spark, path, parted, chain)
+        made = made if payloads else made.drop("payload")
+        rest = parted.drop(*[c for c in made.columns if c not in ("archive", "offset")]).join(made, ["archive", "offset"])
+        real = real.filter("whole").unionByName(rest)
+    told = F.col("record_type") == "revisit"
+    digest = base32_of_hex(F.col("sha1"))
+    return real.select(
+        "archive", "offset", "page_id", "url", "record_type",
+        F.when(told, F.coalesce("told_bytes", F.lit(0))).otherwise(F.col("length")).alias("payload_bytes"),
+        F.when(told, F.col("told_digest")).otherwise(digest).alias("payload_digest"),
+        "refers_to",
+        (F.col("ended") & (told | (digest == F.col("told_digest")))).alias("sound"),
+        *(["payload"] if payloads else []),
+    )
 
 
 def op10_warc(spark, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
-    path = shared_path(spark, "warc-archives")
-    write_archives(pages, path)
+    path = shared_path(spark, "warc")
+    write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), path)
     return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
