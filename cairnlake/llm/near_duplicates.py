@@ -10,8 +10,9 @@ whole sequence if it has fewer words), held as 64-bit hashes. Documents link wit
 3. In each bucket the members are verified against one centre, not all pairs. Linked members form components; buckets
    within one component are done. In those that hold several, elements are counted: an element of one document alone is
    in no intersection, which rules out most heavily edited copies without a look at any pair. Rounds follow in which
-   each document meets the centres of two of its buckets; what then remains is paired by the prefix principle: of two
-   linked sets each has an element of the other among its rarest quarter, so that documents which only share a common
+   each document meets the centres of two of its buckets, first those with the fewest elements of their own, which are the
+   nearest to all copies of a text; what then remains is paired by the prefix principle: two linked sets share one of the
+   rarest elements of each, fewer of them the more its sets have of their own, so that documents which only share a common
    passage never meet. Per element, members outside the largest component meet all members; pairs within it aren't made.
 4. Candidates pass a bound from their set sizes and a 128-bit sketch (five standard deviations wide), then links are
    confirmed on the full sets.
@@ -42,7 +43,7 @@ ROWS = REGISTERS // BANDS
 #: Of the sketch's 128 bits 16 differ at similarity 0.75 on average, with a standard deviation of 3.7.
 MOST_DIFFERENT_BITS = 40
 #: Rounds with other centres at most (they end when one finds no link), and the buckets whose centre a document meets in one.
-MOST_ROUNDS, CENTRES = 4, 2
+MOST_ROUNDS, CENTRES = 2, 2
 #: Elements that are signed together.
 ELEMENTS = 1 << 15
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -228,20 +229,25 @@ def _known_elements(pool: DataFrame, members: DataFrame, marks: DataFrame) -> tu
 def _by_prefix(known: DataFrame, grouped: DataFrame, marks: DataFrame) -> DataFrame:
     """(a, b) of different components that share an element among the rarest of each and whose marks allow a link.
 
-    A set of n elements that links has at least 75 % of them in common, so one of its n - ceil(0.75 n) + 1 first ones in
-    any order common to all sets. By frequency, elements of its own come first and pair with nothing, a passage that
-    many documents share comes last.
+    Two linked sets have `least` = ceil(75 / 175 of the sum of their sizes) elements in common, so one of the
+    n - least + 1 first ones of either in any order common to all sets. By frequency, elements of its own come first
+    and pair with nothing, a passage that many documents share comes last. A set's own longest such prefix, with a
+    partner of 75 % of its size, is what is looked up; each pair is held to its own sizes' shorter ones.
     """
     rank = F.row_number().over(Window.partitionBy("id").orderBy("times", "element"))
-    first = F.col("n") - F.ceil(F.col("n") * F.lit(PART) / F.lit(WHOLE)) + 1
-    rare = known.join(marks, "id").withColumn("rank", rank).filter(F.col("rank") <= first - (F.col("n") - F.col("s")))
-    torn = materialise(_torn(rare.select(*MARKS, "element").join(grouped, "id"), "element"), "near-rare")
+    place = rank + F.col("n") - F.col("s")
+    longest = F.col("n") - F.ceil(F.col("n") * F.lit(PART) / F.lit(WHOLE)) + 1
+    rare = known.join(marks, "id").withColumn("place", place).filter(F.col("place") <= longest)
+    torn = materialise(_torn(rare.select(*MARKS, "element", "place").join(grouped, "id"), "element"), "near-rare")
     sizes = torn.groupBy("element", "component").agg(F.count("*").alias("times"))
     largest = sizes.groupBy("element").agg(F.max_by("component", F.struct("times", "component")).alias("largest"))
     outside = torn.join(largest, "element").filter("component <> largest").drop("largest")
-    other = torn.select("element", *[F.col(c).alias(f"{c}_") for c in (*MARKS, "component")])
-    met = outside.join(other, "element").filter((F.col("component") != F.col("component_")) & _may_link("", "_"))
-    return met.select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()
+    other = torn.select("element", *[F.col(c).alias(f"{c}_") for c in (*MARKS, "place", "component")])
+    least = F.ceil((F.col("n") + F.col("n_")) * F.lit(PART) / F.lit(WHOLE + PART))
+    held = (F.col("place") <= F.col("n") - least + 1) & (F.col("place_") <= F.col("n_") - least + 1)
+    met = outside.join(other, "element").filter((F.col("component") != F.col("component_")) & held & _may_link("", "_"))
+    pairs = met.select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()
+    return standing_on(pairs, torn)
 
 
 def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -266,20 +272,24 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> D
     discard(ids, links)
     open_ids = _torn(shared.select("bucket", "id").join(grouped, "id"), "bucket").select("id").distinct()
     known, marks = _known_elements(pool, open_ids, every)
-    still = materialise(shared.select("bucket", "id").join(marks.select("id"), "id", "left_semi"), "near-open")
+    # of the documents with a bucket, how small a part of their sets is their own: the least edited of copies is nearest to all
+    alone = marks.select("id", ((F.col("n") - F.col("s")) / F.col("n")).alias("alone"))
+    still = materialise(shared.select("bucket", "id").join(alone, "id"), "near-open")
     discard(shared, every)
     for turn in range(MOST_ROUNDS):
         torn = _torn(still.join(grouped, "id"), "bucket")
         turn_order = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("bucket", F.lit(turn))))
-        centre = torn.groupBy("bucket").agg(F.min_by(F.struct(F.col("id").alias("c"), F.col("component").alias("cc")), F.xxhash64("id", F.lit(turn))).alias("centre"))
+        first = F.xxhash64("id", F.lit(turn)) if turn else F.struct("alone", "id")
+        centre = torn.groupBy("bucket").agg(F.min_by(F.struct(F.col("id").alias("c"), F.col("component").alias("cc")), first).alias("centre"))
         some = torn.withColumn("turn", turn_order).filter(F.col("turn") <= CENTRES)
         across = some.join(centre, "bucket").filter("component <> centre.cc")
         pairs = across.select(F.least("id", "centre.c").alias("a"), F.greatest("id", "centre.c").alias("b")).distinct()
         grouped, found = _test(pairs, marks, tested, pool, grouped)
         if not found:
             break
-    grouped, _ = _test(_by_prefix(known, grouped, marks), None, tested, pool, grouped)
-    discard(known, marks, still, pool, *tested)
+    rare = _by_prefix(known, grouped, marks)
+    grouped, _ = _test(rare, None, tested, pool, grouped)
+    discard(known, marks, still, rare, pool, *tested)
     heads = equal.join(grouped.withColumnRenamed("component", "found"), "id", "left")
     heads = heads.select("n", "d1", "d2", F.coalesce("found", "id").alias("component"))
     joined = prints.select("id", "n", "d1", "d2").join(heads, ["n", "d1", "d2"], "left")
