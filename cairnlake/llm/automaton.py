@@ -6,6 +6,7 @@ Syntax: literals, `\\xNN` and escaped punctuation, classes with ranges and `^`,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -284,14 +285,13 @@ class Scanner:
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "_flat"}
 
-    def ends(self, data: bytes) -> list[tuple[int, int]]:
-        """(end, rules that end there) for each place where a match of any rule ends."""
+    def ends(self, data: bytes) -> Iterator[tuple[int, int]]:
+        """(end, rules that end there) for each place where a match of any rule ends, one by one: a run may end everywhere."""
         if not hasattr(self, "_flat"):
             own: dict[int, int] = {}
             self._flat = [own.setdefault(x, x) for x in self.table.tolist()]
-        flat, state, first_end, found = self._flat, self.begin, self.first_end, []
+        flat, state, first_end, masks = self._flat, self.begin, self.first_end, self.masks
         for at, byte in enumerate(data):
             state = flat[state + byte]
             if state >= first_end:
-                found.append((at + 1, self.masks[state >> 8]))
-        return found
+                yield at + 1, masks[state >> 8]

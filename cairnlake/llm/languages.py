@@ -21,14 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, scan_texts, unit_interval
+from .common import mix64, scan_texts, slices, unit_interval
 
 #: Labelled rows of each language that are learned from: about this many, chosen by a hash of their id.
 FIT_ROWS = 4_000
 #: n-grams a language keeps, slots of the filter (a power of two) and look-ups an n-gram.
 GRAMS, SLOTS, LOOKUPS = 20_000, 1 << 20, 3
 SIZES = (3, 4)
-MOST_LANGUAGES = 63
+#: Languages a plane of the filter; each plane has a 64-bit word a slot (8 MB).
+PLANE = 64
 SEED = 8128
 _ODD = (np.random.default_rng(SEED).integers(1 << 62, size=8, dtype=np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
 
@@ -71,11 +72,11 @@ class Filter:
 
     def __init__(self, languages: list[str], per_language: list[np.ndarray]):
         self.languages = languages
-        self.slots = np.zeros(SLOTS, dtype=np.uint64)
+        self.planes = np.zeros((-(-len(languages) // PLANE), SLOTS), dtype=np.uint64)
         for k, hashes in enumerate(per_language):
             for at in self._places(hashes):
-                np.bitwise_or.at(self.slots, at, np.uint64(1 << k))
-        filled = np.array([((self.slots >> np.uint64(k)) & np.uint64(1)).mean() for k in range(len(languages))])
+                np.bitwise_or.at(self.planes[k // PLANE], at, np.uint64(1 << k % PLANE))
+        filled = np.array([((self.planes[k // PLANE] >> np.uint64(k % PLANE)) & np.uint64(1)).mean() for k in range(len(languages))])
         self.false_rate = filled**LOOKUPS
 
     @staticmethod
@@ -84,8 +85,9 @@ class Filter:
 
     def hits(self, hashes: np.ndarray) -> np.ndarray:
         """n-grams that each language contains, less the expected false positives."""
-        masks = np.bitwise_and.reduce([self.slots[at] for at in self._places(hashes)])
-        counts = np.array([np.count_nonzero(masks & np.uint64(1 << k)) for k in range(len(self.languages))], dtype=float)
+        places = self._places(hashes)
+        masks = [np.bitwise_and.reduce([plane[at] for at in places]) for plane in self.planes]
+        counts = np.array([np.count_nonzero(masks[k // PLANE] & np.uint64(1 << k % PLANE)) for k in range(len(self.languages))], dtype=float)
         return np.maximum(0, (counts - len(hashes) * self.false_rate) / (1 - self.false_rate))
 
     def predict(self, data: bytes | None) -> tuple[str, float]:
@@ -99,14 +101,12 @@ class Filter:
 
 
 def learn(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", most: int = FIT_ROWS) -> Filter:
-    """A filter from about `most` rows of each language; at most MOST_LANGUAGES languages fit a slot.
+    """A filter from about `most` rows of each language; it grows by a plane for each PLANE languages.
 
     Languages are counted first. Tasks send summed n-gram counts; at most GRAMS a language reach the driver.
     """
     known = docs.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{lang}`").cast("string").alias("__lang"), F.col(f"`{text}`").alias("__t")).dropna(subset=["__id", "__lang"])
-    sizes = {r["__lang"]: r["count"] for r in known.groupBy("__lang").count().limit(MOST_LANGUAGES + 1).collect()}
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    sizes = {r["__lang"]: r["count"] for r in known.groupBy("__lang").count().collect()}
     languages = sorted(sizes, key=lambda x: (-sizes[x], x))
     if not languages:
         return Filter([], [])
@@ -115,7 +115,7 @@ def learn(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())])
 
     def count(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1, most=16 << 20)):
             langs, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
             for one in sorted(set(langs)):
                 parts = [grams(x) for k, x in zip(langs, texts, strict=True) if k == one]
@@ -131,7 +131,7 @@ def learn(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
 
 
 def identify(docs: DataFrame, trained: Filter, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """`keep` (default: all columns), lang_pred and score. One pass, no shuffle; the filter is 8 MB whatever the data."""
+    """`keep` (default: all columns), lang_pred and score. One pass, no shuffle; the filter is 8 MB for each PLANE languages."""
     held = docs.sparkSession.sparkContext.broadcast(trained)
 
     def make():

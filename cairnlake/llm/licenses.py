@@ -4,7 +4,8 @@ Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z. Docume
 counted over the whole corpus. Each template is indexed under its rarest words (highest IDF) with their positions; a
 file's own rare license words are looked up, the postings are intersected by relative position (file position less
 template position gives where the template would start), and a start is verified: mandatory key phrases must stand
-there word for word, and a notice's words must agree up to `LEAST_AGREEMENT` of their IDF weight.
+there word for word, and a notice's words must agree, in order and with few words in between, up to `LEAST_AGREEMENT` of
+their IDF weight.
 
 A base phrase is a template of its own that must agree wholly; its rarest word stands in each of its occurrences, so
 every place is found. Score: 0 without a match, 0.5 for phrases alone, 0.5 + agreement / 2 for a notice.
@@ -15,7 +16,7 @@ an empty corpus gives equal document frequencies; repeated rows get equal rows;
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from dataclasses import dataclass
 from math import log
 
@@ -43,25 +44,44 @@ BASE = (
     Template("cc-by", "cc by", base=True),
     Template("mit", "mit license", base=True),
 )
-#: Notices as their licenses word them, lower-cased without punctuation.
+_PERMITS = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"
+_FREE = "this {0} is free software you can redistribute it and or modify it under the terms of the gnu {1}general public license as published by the free software foundation either version {2} of the license or at your option any later version"
+_BSD = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+#: Notices as their licenses word them, lower-cased without punctuation, and the one-line forms by which files refer to them.
 NOTICES = (
+    *(Template(f"{kind}gpl-{n}.0", _FREE.format(noun, name, n), ("free software", f"gnu {name}general public license", f"version {n}")) for kind, noun, name, n in (
+        ("", "program", "", 2), ("", "program", "", 3), ("l", "library", "lesser ", 2), ("l", "library", "lesser ", 3), ("a", "program", "affero ", 3))),
     Template("gpl-3.0", "licensed under the gnu general public license version 3", ("gnu general public license version 3",)),
     Template("gpl-2.0", "licensed under the gnu general public license version 2", ("gnu general public license version 2",)),
     Template("lgpl", "licensed under the gnu lesser general public license", ("gnu lesser general public license",)),
     Template("agpl", "licensed under the gnu affero general public license", ("gnu affero general public license",)),
     Template("apache-2.0", "licensed under the apache license version 2 0", ("apache license version 2 0",)),
+    Template("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", ("apache license version 2 0", "as is basis")),
     Template("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
+    Template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", ("mozilla public license",)),
+    Template("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", ("eclipse public license",)),
     Template("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
     Template("cc-by-sa", "licensed under cc by sa 4 0", ("cc by sa",)),
     Template("cc-by-nd", "licensed under cc by nd 4 0", ("cc by nd",)),
+    Template("cc-by-4.0", "this work is licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4 0",)),
+    Template("cc-by-sa-4.0", "this work is licensed under a creative commons attribution sharealike 4 0 international license", ("creative commons attribution sharealike",)),
+    Template("cc0-1.0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ("waived all copyright",)),
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted free of charge",)),
+    Template("mit", _PERMITS + " including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions", ("permission is hereby granted free of charge", "without restriction")),
+    Template("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ("person or organization",)),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms",)),
+    Template("bsd-2-clause", _BSD, ("redistribution and use in source and binary forms", "redistributions in binary form")),
+    Template("bsd-3-clause", _BSD + " neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("redistribution and use in source and binary forms", "endorse or promote products")),
     Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("permission to use copy modify",)),
+    Template("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", ("alter it and redistribute it freely",)),
     Template("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
-)
+    Template("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed", ("verbatim or modified copies",)),
+)
 LEAST_AGREEMENT = 0.8
-#: Rare words a notice is indexed under; two of them must agree on its start. A phrase has one.
-ANCHORS = 3
+#: Rare words a notice is indexed under; two of them must agree on its start, within SLACK words. A phrase has one.
+ANCHORS = 6
+#: Words that may be put in between two words of a notice.
+SLACK = 6
 
 
 def words_of(data: bytes | None) -> list[bytes]:
@@ -96,22 +116,51 @@ class Index:
         """(start word, template, agreement) of every verified place, in that order."""
         if self.postings.keys().isdisjoint(words):
             return []
-        votes: Counter = Counter()
+        votes: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for at, word in enumerate(words):
             for k, place in self.postings.get(word, ()):
-                votes[at - place, k] += 1
-        return sorted((s, k, a) for (s, k), n in votes.items() if n >= self.needed[k] and (a := self._agreement(words, s, k)))
-
-    def _agreement(self, words: list[bytes], start: int, k: int) -> float:
-        """0 unless every key phrase stands and enough of the weight agrees; notices may be cut at the text's edges."""
-        for place, key in self.keys[k]:
-            at = start + place
-            if at < 0 or words[at : at + len(key)] != key:
-                return 0.0
-        own = self.weights[k]
-        found = sum(w for j, (word, w) in enumerate(zip(self.words[k], own, strict=True)) if 0 <= start + j < len(words) and words[start + j] == word)
-        share = found / sum(own)
-        return share if share >= (1 - 1e-9 if self.templates[k].base else LEAST_AGREEMENT) else 0.0
+                votes[k].append((at - place, place))
+        found = []
+        for k, each in votes.items():
+            if self.templates[k].base:
+                found += [(s, k, 1.0) for s in {s for s, _ in each} if s >= 0 and words[s : s + len(self.words[k])] == self.words[k]]
+            else:
+                found += self._notices(words, k, sorted(each))
+        return sorted(found)
+
+    def _notices(self, words: list[bytes], k: int, votes: list[tuple[int, int]]) -> list[tuple[int, int, float]]:
+        """Places of a notice: enough of its anchors agree on a start within SLACK words, and the words there prove it."""
+        found, end, low = [], 0, -1
+        for at, (start, _) in enumerate(votes):
+            while end < len(votes) and votes[end][0] <= start + SLACK:
+                end += 1
+            if start > low and len({place for _, place in votes[at:end]}) >= self.needed[k] and (proof := self._agreement(words, start, k)):
+                first, last, share = proof
+                if not found or first != found[-1][0]:
+                    found.append((first, k, share))
+                low = max(start + SLACK, last - len(self.words[k]))
+        return found
+
+    def _agreement(self, words: list[bytes], start: int, k: int) -> tuple[int, int, float] | None:
+        """First and last word and weight of what agrees, in order and with up to SLACK words in between.
+
+        Every key phrase must stand word for word in it, and enough of the weight agree; a notice may be cut at the text's edges.
+        """
+        at, first, total, agreed = max(0, start - SLACK), None, 0.0, 0.0
+        reach = 2 * SLACK + 1
+        for word, weight in zip(self.words[k], self.weights[k], strict=True):
+            total += weight
+            near = words[at : at + reach]
+            if word in near:
+                at += near.index(word) + 1
+                first, reach = at - 1 if first is None else first, SLACK + 1
+                agreed += weight
+        if first is None or agreed / total < LEAST_AGREEMENT:
+            return None
+        span = words[first:at]
+        if any(all(span[p : p + len(key)] != key for p in range(len(span) - len(key) + 1)) for _, key in self.keys[k]):
+            return None
+        return first, at, agreed / total
 
 
 def document_frequencies(docs: DataFrame, templates: tuple[Template, ...], *, text: str = "text") -> tuple[dict[bytes, int], int]:

@@ -24,8 +24,8 @@ from .common import scan_texts
 PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The same over ASCII texts, for the faster engine.
 PRE_TOKENS_ASCII = r"""'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"""
-#: Merged pre-tokens remembered by a worker before it forgets them all.
-MOST_REMEMBERED = 500_000
+#: Merged pre-tokens remembered by a worker before it forgets them all, and the code points of one at most: some 30 MB.
+MOST_REMEMBERED, LONGEST_REMEMBERED = 200_000, 48
 LIMIT = 512
 
 
@@ -96,13 +96,17 @@ class Counter:
     def _whole_text(self, text: str) -> int:
         return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _merge(self, rest: list[str]) -> None:
+    def _merge(self, rest: list[str]) -> dict[str, int]:
+        """Counts of pre-tokens, which are remembered unless they are long."""
         if len(self.known) > len(self.whole) + MOST_REMEMBERED:
             self.known = dict(self.whole)
+        counts = {}
         for k in range(0, len(rest), 20_000):
             some = rest[k : k + 20_000]
             for text, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[text] = len(found.ids)
+                counts[text] = len(found.ids)
+        self.known.update((text, n) for text, n in counts.items() if len(text) <= LONGEST_REMEMBERED)
+        return counts
 
     def count(self, texts: list[str]) -> list[int]:
         counts = []
@@ -122,9 +126,8 @@ class Counter:
                 try:
                     n += sum(map(known.__getitem__, pieces))
                 except KeyError:
-                    self._merge([p for p in dict.fromkeys(pieces) if p not in known])
-                    known = self.known
-                    n += sum(known[p] if p in known else self._whole_text(p) for p in pieces)
+                    fresh = self._merge([p for p in dict.fromkeys(pieces) if p not in known])
+                    n += sum(fresh[p] if p in fresh else known[p] for p in pieces)
             counts.append(n)
         return counts
 

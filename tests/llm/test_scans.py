@@ -4,13 +4,14 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cairnlake.llm import registry
 from cairnlake.llm.automaton import Dfa, Scanner, parse
 from cairnlake.llm.decontaminate import contamination, n_hit, remove_documents, remove_spans
-from cairnlake.llm.languages import identify, learn
+from cairnlake.llm.languages import Filter, grams, identify, learn
 from cairnlake.llm.licenses import BASE as LICENSE_BASE
 from cairnlake.llm.licenses import license_matches
 from cairnlake.llm.quality import fit, judge, keep_good, statistics
@@ -129,6 +130,25 @@ def test_secret_automaton_against_regular_expressions():
         assert found == brute_secrets(text), text
 
 
+def test_one_very_long_run_is_one_match_in_little_memory():
+    import tracemalloc
+
+    compiled, data = Secrets(), b"x token=" + b"0123456789abcdef" * 60_000 + b" end"
+    compiled.spans(b"a")  # its tables are made once
+    tracemalloc.start()
+    spans = compiled.spans(data)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(s["kind"], s["start"], s["end"]) for s in spans] == [("assign", 2, 960_008), ("hex", 8, 960_008)]
+    assert peak < 8 * len(data)
+
+
+def test_added_secret_rules():
+    web, cloud = "eyJ" + "hbGciOiJ.IUzI1NiJ9_" * 4, "AIza" + "SyA-1234567" * 4
+    kinds = [s["kind"] for s in Secrets().spans(f"{web} {cloud} eyJshort AIzashort".encode())]
+    assert kinds == ["web", "cloud"]
+
+
 def test_secret_query(spark, sf_dir):
     found = {r["doc_id"]: r for r in registry.QUERIES["op5_secret_scan"](spark, sf_dir).collect()}
     for doc_id, text in texts_of(spark, sf_dir):
@@ -152,7 +172,7 @@ def test_secret_operator_cases(spark):
 def test_automaton_syntax():
     for pattern, text, end in [("a(b|c){2,3}d?", b"abcbd", 5), ("[^x]+", b"abxc", 2), (r"\x41\.", b"A.", 2), ("(ab)*c", b"ababc", 5)]:
         assert Dfa([parse(pattern)], search=False).longest(text, 0) == end
-    assert Scanner([parse("ab"), parse("b+")]).ends(b"xabb") == [(3, 3), (4, 2)]
+    assert list(Scanner([parse("ab"), parse("b+")]).ends(b"xabb")) == [(3, 3), (4, 2)]
     with pytest.raises(ValueError):
         parse("a$")
 
@@ -185,6 +205,11 @@ def test_license_notices_and_cases(spark):
     found = {r["doc_id"]: r["licenses"] for r in license_matches(docs_frame(spark, rows), keep=["doc_id"]).collect()}
     assert [m["label"] for m in found[20]] == ["bsd"] and found[20][0]["agreement"] < 1
     assert sorted(m["start"] for m in found[21] if m["base"]) == [0, 5, 7, 9] and found[22] == [] and found[3] == []
+    mit = "Permission is hereby granted, free of charge, to any lucky person obtaining a copy of this (fine) software and associated documentation files"
+    changed = [(1, "x " + mit, None, None, None), (2, mit.replace("hereby", ""), None, None, None), (3, "This program is really free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", None, None, None), (4, " ".join(reversed(mit.split())), None, None, None)]
+    found = {r["doc_id"]: r["licenses"] for r in license_matches(docs_frame(spark, changed), keep=["doc_id"]).collect()}
+    assert ([m["label"] for m in found[1]], found[1][0]["start"], found[2], found[4]) == (["mit"], 1, [], [])
+    assert {m["label"] for m in found[3]} == {"gpl-3.0", "gpl"}
     assert license_matches(docs_frame(spark, [])).count() == 0
     assert license_matches(clashing(docs_frame(spark))).count() == len(awkward())
 
@@ -200,6 +225,34 @@ def test_language_held_out_accuracy(spark, sf_dir):
     assert (both[both["held_out"]]["lang"] == both[both["held_out"]]["lang_pred"]).mean() > 0.98
 
 
+def brute_language(text, trained):
+    """The same decision from plain sets of n-grams, without a filter."""
+    hashes = grams(text.encode()) if text else []
+    counts = [sum(int(h) in own for h in hashes) for own in trained]
+    return counts
+
+
+def test_language_filter_against_sets(spark, sf_dir):
+    """Each n-gram's languages by the bit-sliced filter are those of plain sets, but for the false positives it corrects."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text is not null and lang is not null")
+    rows = docs.orderBy("doc_id").limit(160).collect()
+    names = sorted({r["lang"] for r in rows})
+    own = [np.unique(np.concatenate([grams(r["text"].encode()) for r in rows[:80] if r["lang"] == k] or [np.empty(0, dtype=np.uint64)])) for k in names]
+    trained, sets = Filter(names, own), [set(map(int, x)) for x in own]
+    for r in rows[80:]:
+        want, found = brute_language(r["text"], sets), trained.hits(grams(r["text"].encode()))
+        assert np.abs(found - want).max() <= 1 + 0.01 * len(grams(r["text"].encode()))
+        assert sum(want) == 0 or trained.predict(r["text"].encode())[0] in {names[k] for k, n in enumerate(want) if n >= max(want) - 2}
+
+
+def test_more_languages_than_bits_of_a_word():
+    names = [f"l{k:03}" for k in range(150)]
+    words = [f"zz{k:03}qq" for k in range(150)]
+    texts = [" ".join([w.translate(str.maketrans("0123456789", "abcdefghij"))] * 3) for w in words]
+    trained = Filter(names, [np.unique(grams(t.encode())) for t in texts])
+    assert [trained.predict(t.encode())[0] for t in texts] == names
+
+
 def test_language_cases(spark):
     rows = [*awkward(), (30, "12 34 !?", "en", None, None), (31, "漢字", None, None, None)]
     trained = learn(docs_frame(spark, [r for r in rows if r[0] != 8]))
@@ -237,16 +290,18 @@ def test_contamination_against_brute_force(spark):
         assert (row["n_words"], row["h"], row["hit_items"]) == brute_hits(row["text"], ITEMS)
 
 
-def test_contamination_in_blocks_is_the_same(spark, monkeypatch):
+def test_contamination_by_join_is_the_same(spark, monkeypatch):
     import cairnlake.llm.decontaminate as module
 
     items, docs = spark.createDataFrame(ITEMS, "item_id long, text string"), docs_frame(spark)
     want = sorted(map(str, contamination(docs, items, keep=["doc_id"]).collect()))
+    cut = sorted(map(str, remove_spans(docs, items).collect()))
     monkeypatch.setattr(module, "MOST_BROADCAST", 100)
+    monkeypatch.setattr(module, "BITS", 1 << 16)
     assert sorted(map(str, contamination(docs, items, keep=["doc_id"]).collect())) == want
-    monkeypatch.setattr(module, "MOST_BLOCKS", 1)
-    with pytest.raises(ValueError):
-        contamination(docs, items)
+    assert sorted(map(str, remove_spans(docs, items).collect())) == cut
+    assert contamination(clashing(docs), items).count() == docs.count()
+    assert contamination(docs_frame(spark, []), items).count() == 0
 
 
 def test_removal(spark):
