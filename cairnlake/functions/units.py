@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 #: symbol, family, factor to the family's base, base (fixed values: 1 MWh = 3.6 GJ and decimal prefixes)
 UNITS = [
     ("MtCO2e", "emissions", 1e6, "tCO2e"),
@@ -27,11 +29,6 @@ UNITS = [
     ("t", "mass", 1.0, "t"),
     ("%", "percent", 1.0, "%"),
 ]
-UNIT_SCHEMA = "symbol string, family string, factor double, base string"
-
-
-def unit_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(UNITS, UNIT_SCHEMA)
 
 
 def _look_up(unit: Column, column: int) -> Column:
@@ -61,28 +58,32 @@ def convert(value: Column, unit: Column, to: Column) -> Column:
     return F.when(family(unit) == family(to), value * factor(unit) / factor(to))
 
 
-#: Spellings in the order they are tried: longer and prefixed ones come first.
-SPELLINGS = [
-    ("MtCO2e", r"(?:Mt|million\s+(?:tonnes|tons|t))\s*(?:of\s+)?CO2\s*-?e(?:q)?"),
-    ("ktCO2e", r"(?:kt|thousand\s+(?:tonnes|tons|t))\s*(?:of\s+)?CO2\s*-?e(?:q)?"),
-    ("kgCO2e", r"kg\s*(?:of\s+)?CO2\s*-?e(?:q)?"),
-    ("tCO2e", r"(?:tonnes|tons|t)\s*(?:of\s+)?CO2\s*-?e(?:q)?"),
-    ("TWh", r"TWh"),
-    ("GWh", r"GWh"),
-    ("MWh", r"MWh|megawatt[\s-]hours?"),
-    ("kWh", r"kWh|kilowatt[\s-]hours?"),
-    ("PJ", r"PJ"),
-    ("TJ", r"TJ|terajoules?"),
-    ("GJ", r"GJ|gigajoules?"),
-    ("MJ", r"MJ|megajoules?"),
-    ("million m3", r"million\s+(?:m3|cubic\s+met(?:re|er)s)"),
-    ("thousand m3", r"thousand\s+(?:m3|cubic\s+met(?:re|er)s)"),
-    ("ML", r"ML|megalit(?:re|er)s"),
-    ("m3", r"m3|cubic\s+met(?:re|er)s"),
-    ("kt", r"kt|thousand\s+(?:tonnes|tons)"),
-    ("t", r"(?:metric\s+)?(?:tonnes|tons)|t"),
-    ("%", r"%|per\s?cent"),
-]
+#: Number words and signs for a factor before a unit, and what symbols have instead.
+_MANY = {"million": r"million\s+", "thousand": r"(?:thousand\s+|['’]000\s*)"}
+_PREFIXES = {"k": "kilo", "M": "mega", "G": "giga", "T": "tera", "P": "peta"}
+_GAS = r"(?:CO\s?2(?:[\s‑-]*e(?:q(?:uivalents?)?)?)?|carbon\s+dioxide(?:\s+equivalents?)?)\.?"
+_TONNES = r"(?:metric\s+)?ton(?:ne)?s"
+_CUBIC = r"(?:m3|cubic\s+met(?:re|er)s)"
+
+
+def _spellings() -> list[tuple[str, str]]:
+    """(symbol, pattern) of all units: a counted noun or a prefixed symbol, with what is longer before what it starts with."""
+
+    def weight(symbol: str, many: str) -> str:
+        return rf"{many}(?:{_TONNES}|t)(?:\s+of)?\s*{_GAS}|{symbol}\s?{_GAS}"
+
+    found = [("MtCO2e", weight("Mt", _MANY["million"])), ("ktCO2e", weight("kt", _MANY["thousand"])), ("kgCO2e", rf"kg(?:\s+of)?\s?{_GAS}")]
+    found.append(("tCO2e", rf"{_TONNES}(?:\s+of)?\s+{_GAS}|t\s?{_GAS}"))
+    for symbol, noun, prefixes in (("Wh", r"watt[\s-]hours?", "TGMk"), ("J", "joules?", "PTGM")):
+        found += [(f"{p}{symbol}", rf"{p}{symbol}|{_PREFIXES[p]}{noun}") for p in prefixes]
+    found += [(f"{name} m3", many + _CUBIC) for name, many in _MANY.items()]
+    found += [("ML", rf"ML|{_PREFIXES['M']}lit(?:re|er)s?"), ("m3", _CUBIC)]
+    found += [("kt", rf"thousand\s+{_TONNES}|kt"), ("t", rf"{_TONNES}|t"), ("%", r"%|per\s?cent")]
+    return [(unit, pattern if unit == "%" else rf"(?:{pattern})(?![A-Za-z0-9])") for unit, pattern in found]
+
+
+#: Spellings in the order they are tried.
+SPELLINGS = _spellings()
 
 
 def plain(text: Column) -> Column:
@@ -92,14 +93,29 @@ def plain(text: Column) -> Column:
 
 def unit_at_start(text: Column) -> Column:
     """The unit that the text starts with, spellings tried in order; null if none."""
-    return F.coalesce(*[F.when(plain(text).rlike(rf"^\s*(?:{p})(?![A-Za-z0-9])"), F.lit(u)) for u, p in SPELLINGS])
+    return let(plain(text), lambda t: F.coalesce(*[F.when(t.rlike(rf"(?i)^\s*(?:{p})"), F.lit(u)) for u, p in SPELLINGS]))
+
+
+#: Any unit at the start of a text.
+UNIT_START = r"(?i)^\s*(?:" + "|".join(p for _, p in SPELLINGS) + ")"
+
+
+def after_unit(text: Column) -> Column:
+    """The text behind the unit that it starts with; it has no signs that `plain` would change in length."""
+    return F.regexp_replace(plain(text), UNIT_START, "")
+
+
+def unit_from_symbol(symbol: Column) -> Column:
+    """The unit that the whole text spells; null if none."""
+    return let(plain(F.trim(symbol)), lambda s: F.coalesce(*[F.when(s.rlike(rf"(?i)^(?:{p})$"), F.lit(u)) for u, p in SPELLINGS]))
 
 
 def first_unit(text: Column) -> Column:
     """The unit with the smallest start anywhere in the text; equal starts go to the earlier spelling."""
-    found = [
-        F.when(F.regexp_instr(plain(text), F.lit(rf"(?<![A-Za-z0-9])(?:{p})(?![A-Za-z0-9])")) > 0, F.struct(
-            F.regexp_instr(plain(text), F.lit(rf"(?<![A-Za-z0-9])(?:{p})(?![A-Za-z0-9])")).alias("at"), F.lit(k).alias("k"), F.lit(u).alias("unit")))
-        for k, (u, p) in enumerate(SPELLINGS)
-    ]
-    return F.array_min(F.array(*found))["unit"]
+
+    def places(label: Column) -> Column:
+        at = [F.regexp_instr(label, F.lit(rf"(?i)(?<![A-Za-z])(?:{p})")) for _, p in SPELLINGS]
+        found = F.array(*[F.struct(a.alias("at"), F.lit(k).alias("k"), F.lit(u).alias("unit")) for k, (a, (u, _)) in enumerate(zip(at, SPELLINGS, strict=True))])
+        return F.array_min(F.filter(found, lambda x: x["at"] > 0))["unit"]
+
+    return let(plain(text), places)

@@ -55,7 +55,8 @@ def element_results(companies: DataFrame, facts: DataFrame, catalogue: list[Elem
     """company, code, element with status (satisfied, missing, not_applicable), weak, confidence and its passages.
 
     Up to three passages by (table first, confidence, id) stand for an element. Facts are reduced to the catalogue's
-    keys before they are grouped; the catalogue is broadcast, being the driver's own list.
+    keys, and per role to the first three before anything is collected: Spark cuts each task's rows to them before the
+    shuffle. The catalogue is broadcast, being the driver's own list.
     """
     spark = facts.sparkSession
     elements = catalogue_frame(spark, catalogue)
@@ -64,16 +65,20 @@ def element_results(companies: DataFrame, facts: DataFrame, catalogue: list[Elem
     )
     keys = keys.unionByName(elements.filter("when_key IS NOT NULL").select("code", "element", F.col("when_key").alias("metric_key"), F.lit("when").alias("role")))
     used = facts.filter((F.col("period_label") == period_label) & ~F.col("base_year")).join(F.broadcast(keys), "metric_key")
+    # a strong fact of a stated period counts once more, as explicit
+    roles = F.when((F.col("role") == "strong") & ~F.col("inferred"), F.array(F.lit("strong"), F.lit("explicit"))).otherwise(F.array("role"))
     order = F.struct((F.col("method") != "table").alias("t"), (-F.col("confidence_pct")).alias("c"), F.col("passage_id").alias("p"), F.col("method").alias("m"))
+    each = used.select("company_id", "code", "element", F.explode(roles).alias("role"), order.alias("o"))
+    rank = F.row_number().over(Window.partitionBy("company_id", "code", "element", "role").orderBy("o"))
+    three = each.withColumn("rank", rank).filter("rank <= 3")
 
     def best(role: str) -> Column:
-        # the three best of each side survive partial aggregation; a group is one company's few facts of one element
-        return F.slice(F.array_sort(F.collect_list(F.when(F.col("role") == role, order))), 1, 3)
+        return F.array_sort(F.collect_list(F.when(F.col("role") == role, F.col("o"))))
 
-    grouped = used.groupBy("company_id", "code", "element").agg(
+    grouped = three.groupBy("company_id", "code", "element").agg(
         best("strong").alias("strong_best"), best("weak").alias("weak_best"),
         F.count_if(F.col("role") == "when").alias("n_when"),
-        F.count_if((F.col("role") == "strong") & ~F.col("inferred")).alias("n_explicit"),
+        F.count_if(F.col("role") == "explicit").alias("n_explicit"),
     )
     cells = [F.struct(F.lit(e.code).alias("code"), F.lit(e.element).alias("element"), F.lit(k).alias("ordinal"), F.lit(e.weight).alias("weight"), F.lit(e.kind).alias("kind")) for k, e in enumerate(catalogue)]
     grid = companies.select("company_id", F.explode(F.array(*cells)).alias("cell")).select("company_id", "cell.*")
@@ -199,14 +204,108 @@ def evidence_links(elements: DataFrame, disagreements: DataFrame) -> DataFrame:
     return both.select("company_id", "code", "passage_id", F.when(F.col("conflict"), "conflicting").otherwise("supporting").alias("role"), names.alias("elements"), rank.cast("long").alias("rank"))
 
 
-def diff_runs(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Findings of two runs that differ in status, completeness or evidence, and why."""
+#: Statuses a verdict can be far from (fixed values).
+RANKS = {"not_found": 0, "partially_supported": 1, "supported": 2}
+
+
+def merged_findings(found: DataFrame, merged: DataFrame, models: DataFrame) -> DataFrame:
+    """Findings after the verdicts are merged: completeness and status of the merged elements, confidence, reasons to review.
+
+    `models` has company_id, code, model_status, model_confidence, wants_review and n_evidence of each answer. A model that sees
+    evidence lifts "not found" to "partially supported" if it says so too; two ranks apart, or an unsure model that asks for it,
+    makes a human review; conflicts stay. Confidence is the mean of both, at 0.85 of it where they disagree, at most 0.95.
+    """
+    per = merged.groupBy("company_id", "code").agg(completeness().alias("completeness"), F.array_sort(F.collect_set("reason")).alias("reasons"))
+    both = found.select("company_id", "code", (F.col("status") == "conflicting").alias("conflicting"), F.col("confidence").alias("rules_confidence"), F.col("requires_review").alias("had")).join(per, ["company_id", "code"])
+    joined = both.join(models, ["company_id", "code"], "left").withColumn("s0", status_of(F.col("completeness"), F.col("conflicting")))
+    lifted = (F.col("s0") == "not_found") & (F.col("model_status") == "partially_supported") & (F.col("n_evidence") > 0)
+    joined = joined.withColumn("s1", F.when(lifted, "partially_supported").otherwise(F.col("s0")))
+    ranks = F.create_map(*[F.lit(x) for kv in RANKS.items() for x in kv])
+    far = F.coalesce(F.abs(ranks[F.col("model_status")] - ranks[F.col("s1")]) == 2, F.lit(False))
+    joined = joined.withColumns({"far": far, "s2": F.when(far, "human_review").otherwise(F.col("s1"))})
+    unsure = F.coalesce(F.col("wants_review") & (F.col("model_confidence") < 0.5), F.lit(False)) & (F.col("s2") != "conflicting")
+    doubted = F.coalesce(F.col("model_status") == "conflicting", F.lit(False)) & (F.col("s2") != "conflicting")
+    joined = joined.withColumns({"unsure": unsure, "doubted": doubted, "status": F.when(unsure, "human_review").otherwise(F.col("s2"))})
+    agree = F.when(F.col("model_status") == F.col("status"), 1.0).otherwise(0.85)
+    mean = (F.col("rules_confidence") + F.col("model_confidence")) / 2 * agree
+    more = F.array_compact(F.array(F.when(F.col("far"), "views differ by two ranks"), F.when(F.col("doubted"), "contradiction not confirmed by values"), F.when(F.col("unsure"), "model could not resolve it")))
+    reasons = F.concat("reasons", more)
+    return joined.select(
+        "company_id", "code", "completeness", "status", F.when(F.col("model_status").isNull(), F.col("rules_confidence")).otherwise(F.round(F.least(F.lit(0.95), mean), 2)).alias("confidence"),
+        (F.col("had") | (F.size(reasons) > 0) | F.col("status").isin("conflicting", "human_review")).alias("requires_review"), F.array_join(reasons, "; ").alias("reasons"),
+    )
+
+
+def diff_runs(before: DataFrame, after: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
+    """Findings of two runs that differ in status, completeness (3 places) or evidence, and every cause.
+
+    `manifest` has company_id, code, revised, documents_changed and method_changed of the pair of runs; without it documents are
+    taken to have changed where evidence differs. A cause of documents needs evidence that differs; where nothing else explains
+    a difference, the selection of evidence does.
+    """
     a = before.select("company_id", "code", F.col("status").alias("status_before"), F.col("completeness").alias("share_before"), F.col("evidence").alias("evidence_before"))
     b = after.select("company_id", "code", F.col("status").alias("status_after"), F.col("completeness").alias("share_after"), F.col("evidence").alias("evidence_after"))
     both = a.join(b, ["company_id", "code"], "full_outer")
+    if manifest is None:
+        both = both.withColumns({"revised": F.lit(False), "documents_changed": F.lit(True), "method_changed": F.lit(False)})
+    else:
+        both = both.join(manifest, ["company_id", "code"], "left")
     none = F.array().cast("array<string>")
     added = F.size(F.array_except(F.coalesce("evidence_after", none), F.coalesce("evidence_before", none))).cast("long")
     removed = F.size(F.array_except(F.coalesce("evidence_before", none), F.coalesce("evidence_after", none))).cast("long")
-    moved = ~F.col("status_before").eqNullSafe(F.col("status_after")) | ~F.round("share_before", 3).eqNullSafe(F.round("share_after", 3))
-    cause = F.when(F.col("status_before").isNull(), "requirement added").when(F.col("status_after").isNull(), "requirement removed").when(added + removed > 0, "documents changed").otherwise("evidence selection changed")
-    return both.withColumns({"added": added, "removed": removed}).filter(moved | (added + removed > 0)).select("company_id", "code", "status_before", "status_after", "added", "removed", cause.alias("cause"))
+    moved = ~F.col("status_before").eqNullSafe(F.col("status_after")) | (F.round(F.coalesce("share_before", F.lit(0.0)), 3) != F.round(F.coalesce("share_after", F.lit(0.0)), 3))
+    listed = F.when(F.col("status_before").isNull(), "requirement added").when(F.col("status_after").isNull(), "requirement removed").when(F.coalesce("revised", F.lit(False)), "requirement revised")
+    causes = F.array_compact(F.array(listed, F.when(F.coalesce("documents_changed", F.lit(False)) & (F.col("added") + F.col("removed") > 0), "documents changed"), F.when(F.coalesce("method_changed", F.lit(False)), "method changed")))
+    changed = both.withColumns({"added": added, "removed": removed}).filter(moved | (added + removed > 0))
+    cause = F.when(F.size(causes) > 0, F.array_join(causes, "; ")).otherwise("evidence selection changed")
+    return changed.select("company_id", "code", "status_before", "status_after", "added", "removed", cause.alias("cause"))
+
+
+def element_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Elements whose status differs between two runs, those of one run only included."""
+    keys = ["company_id", "code", "element"]
+    both = before.select(*keys, F.col("status").alias("status_before")).join(after.select(*keys, F.col("status").alias("status_after")), keys, "full_outer")
+    return both.filter(~F.col("status_before").eqNullSafe(F.col("status_after")))
+
+
+def document_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Documents (company_id, lineage_id, document_id, version, sha256) added, replaced or removed between two manifests."""
+    keys = ["company_id", "lineage_id"]
+
+    def named(rows: DataFrame, end: str) -> DataFrame:
+        return rows.select(*keys, *[F.col(c).alias(f"{c}_{end}") for c in ("document_id", "version", "sha256")])
+
+    both = named(before, "before").join(named(after, "after"), keys, "full_outer")
+    replaced = (F.col("sha256_before") != F.col("sha256_after")) | (F.col("document_id_before") != F.col("document_id_after"))
+    change = F.when(F.col("document_id_before").isNull(), "added").when(F.col("document_id_after").isNull(), "removed").when(replaced, "replaced")
+    found = both.withColumn("change", change).filter("change IS NOT NULL")
+    versions = [F.when(F.col("change") == "replaced", F.col(f"version_{end}")).alias(f"{end}_version") for end in ("before", "after")]
+    return found.select(*keys, "change", F.coalesce("document_id_after", "document_id_before").alias("document_id"), *versions)
+
+
+def related_passages(hits: DataFrame, links: DataFrame, *, limit: int = 3) -> DataFrame:
+    """The first hits (company_id, code, passage_id, rank) that are no evidence of their finding yet, in their order."""
+    free = hits.join(links.select("company_id", "code", "passage_id"), ["company_id", "code", "passage_id"], "left_anti")
+    place = F.row_number().over(Window.partitionBy("company_id", "code").orderBy("rank", "passage_id"))
+    return free.withColumn("place", place.cast("long")).filter(F.col("place") <= limit).drop("rank")
+
+
+def candidate_passages(elements: DataFrame, disagreements: DataFrame, hits: DataFrame, *, each: int = 2, limit: int = 12) -> DataFrame:
+    """Passages shown to a model: two of each element, both ends of conflicts, then hits; each once, where it comes first, 12 at most."""
+    own = elements.select("company_id", "code", F.posexplode(F.slice("passages", 1, each)).alias("k", "passage_id"), F.lit(1).alias("stage"), F.col("ordinal").cast("long").alias("at"), F.lit("").alias("name"))
+    ends = disagreements.select("company_id", "code", F.posexplode(F.array("low_passage", "high_passage")).alias("k", "passage_id"), F.lit(2).alias("stage"), F.lit(0).cast("long").alias("at"), F.col("metric_key").alias("name"))
+    more = hits.select("company_id", "code", F.lit(0).alias("k"), "passage_id", F.lit(3).alias("stage"), F.col("rank").cast("long").alias("at"), F.lit("").alias("name"))
+    first = own.unionByName(ends).unionByName(more).groupBy("company_id", "code", "passage_id").agg(F.min(F.struct("stage", "at", "name", "k")).alias("first"))
+    place = F.row_number().over(Window.partitionBy("company_id", "code").orderBy("first", "passage_id"))
+    return first.withColumn("place", place.cast("long")).filter(F.col("place") <= limit).select("company_id", "code", "passage_id", "place")
+
+
+def resolved_dependencies(actions: DataFrame) -> DataFrame:
+    """Each action's dependencies `<code>:<gap>` as ids of the same company's actions, in order; unknown ones are dropped.
+
+    `actions` has company_id, code, gap_key, action_id and depends_on.
+    """
+    wanted = actions.select("company_id", "action_id", F.posexplode("depends_on").alias("at", "key"))
+    known = actions.select("company_id", F.concat_ws(":", "code", "gap_key").alias("key"), F.col("action_id").alias("needs"))
+    found = wanted.join(known, ["company_id", "key"]).groupBy("action_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "needs"))), lambda x: x["needs"]).alias("needs"))
+    return actions.select("company_id", "action_id").join(found, "action_id", "left").withColumn("needs", F.coalesce("needs", F.array().cast("array<string>")))

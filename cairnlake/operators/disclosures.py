@@ -86,10 +86,14 @@ def key_disclosures(facts: DataFrame, *, by: list[str]) -> DataFrame:
 def match_periods(metric_periods: DataFrame, targets: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """Interval join of metric periods with assessment periods (target_start, target_end) under FIL-3's tolerance.
 
-    Matching ends differ by less than a year, so end years within one of each other are the equi-key of a hash join;
-    the tolerance is its residual. Each target is spread over three years, metric periods over none.
+    The ends of a match are no further apart than (1 / tolerance - tolerance) of the target's span, so the years that lie
+    so near to its end are the equi-key of a hash join; the tolerance is its residual. A target of a year is spread over two
+    or three years, metric periods over none.
     """
-    keyed = targets.withColumn("__year", F.explode(F.sequence(F.year("target_end") - 1, F.year("target_end") + 1)))
+    span = F.datediff("target_end", "target_start") + 1
+    apart = F.ceil(span * (1 / tolerance - tolerance)).cast("int") + 1
+    years = F.sequence(F.year(F.date_sub("target_end", apart)), F.year(F.date_add("target_end", apart)))
+    keyed = targets.withColumn("__year", F.explode(years))
     joined = metric_periods.withColumn("__year", F.year("period_end")).join(keyed, "__year")
     fits = period_matches(F.col("period_start"), F.col("period_end"), F.col("target_start"), F.col("target_end"), tolerance)
     return joined.filter(fits).drop("__year")

@@ -1,4 +1,4 @@
-"""Event folds and presentation: reviews, runs, applicability, queues, metering, limits, evaluation, exports."""
+"""Event folds: reviews, runs, applicability, queues, metering, limits, evaluation."""
 
 from __future__ import annotations
 
@@ -68,26 +68,3 @@ def citation_check(cited: DataFrame, valid: DataFrame, *, by: str, ids: str) ->
     spread = cited.select(by, F.explode(F.array_distinct(ids)).alias("id")).join(valid.select("id", F.lit(True).alias("found")), "id", "left")
     grouped = spread.groupBy(by).agg(F.array_sort(F.collect_list("id")).alias("all"), F.array_sort(F.collect_list(F.when(F.col("found").isNull(), F.col("id")))).alias("bad"))
     return grouped.select(by, F.array_join("all", ",").alias("cited"), F.array_join("bad", ",").alias("invalid"), F.round(1 - F.size("bad") / F.size("all"), 3).alias("valid_share"))
-
-
-def export_rows(found: DataFrame) -> DataFrame:
-    """The columns of the findings export as text."""
-    return found.select(
-        F.col("company_id").cast("string").alias("company"), F.col("code").alias("requirement"), "status",
-        F.format_string("%.2f", "completeness").alias("completeness"), F.format_string("%.2f", "confidence").alias("confidence"),
-        "missing", F.when(F.col("requires_review"), "yes").otherwise("no").alias("review"), F.size("evidence").cast("string").alias("evidence"),
-    )
-
-
-def evidence_package(found: DataFrame, elements: DataFrame) -> DataFrame:
-    """A JSON document per company: findings in order, each with its elements."""
-    one = elements.groupBy("company_id", "code").agg(F.array_sort(F.collect_list(F.struct("ordinal", "element", "status", "weak"))).alias("elements"))
-    nested = found.join(one, ["company_id", "code"]).groupBy("company_id").agg(F.array_sort(F.collect_list(F.struct("code", "status", "completeness", "elements"))).alias("findings"))
-    return nested.select("company_id", F.size("findings").cast("long").alias("n_findings"), F.to_json(F.struct("company_id", "findings")).alias("package"))
-
-
-def markdown_report(found: DataFrame) -> DataFrame:
-    """A report per company: a summary table and a line per finding, built without leaving the JVM."""
-    line = F.concat(F.lit("| "), F.col("code"), F.lit(" | "), F.col("status"), F.lit(" | "), F.format_string("%.2f", "completeness"), F.lit(" |"))
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("code", line.alias("line")))), lambda r: r["line"])
-    return found.groupBy("company_id").agg(F.array_join(F.concat(F.array(F.lit("| requirement | status | completeness |"), F.lit("|---|---|---|")), rows), "\n").alias("report"))

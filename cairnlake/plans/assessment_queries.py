@@ -71,14 +71,14 @@ def review_triggers(spark, sf_dir):
 
 
 def findings_status_counts(spark, sf_dir):
-    """AGG-10, AGG-19, AGG-20: findings by status within an organisation."""
+    """AGG-10, AGG-19: findings by status within an organisation."""
     found = _findings(spark, sf_dir).join(_companies(spark, sf_dir), "company_id")
     counts = found.groupBy("org_id", "status").agg(F.count("*").alias("n"), F.count_if("requires_review").alias("needs_review"), F.sum(F.round(F.col("completeness") * 10000).cast("long")).alias("completeness_sum"))
     return counts
 
 
 def remediation_priority(spark, sf_dir):
-    """SCL-29, FIL-7: priority of findings that aren't supported, by a fixed calendar."""
+    """SCL-29: priority of findings that aren't supported, by a fixed calendar."""
     importance = F.create_map(*[F.lit(x) for kv in A.IMPORTANCE.items() for x in kv])[F.col("code")]
     days = F.when(F.col("company_id") % 5 != 0, F.col("company_id") * 7 % 250)
     found = _findings(spark, sf_dir).filter("status <> 'supported'")
@@ -125,8 +125,11 @@ def evidence_links(spark, sf_dir):
 
 
 def run_diff(spark, sf_dir):
-    """DOM-14 without the causes "requirement revised" and "method changed", JN-17, SET-1: findings that changed between two runs."""
-    return A.diff_runs(_findings(spark, sf_dir, BEFORE), _findings(spark, sf_dir, AFTER))
+    """DOM-14, JN-17, SET-1: findings that changed between two runs, and why."""
+    cells = _companies(spark, sf_dir).select("company_id", F.explode(F.array(*map(F.lit, sorted(A.IMPORTANCE)))).alias("code"))
+    id_ = F.col("company_id")
+    manifest = cells.select("company_id", "code", (F.col("code") == "R3").alias("revised"), (id_ % 3 != 0).alias("documents_changed"), (id_ % 5 == 0).alias("method_changed"))
+    return A.diff_runs(_findings(spark, sf_dir, BEFORE), _findings(spark, sf_dir, AFTER), manifest)
 
 
 def stale_findings(spark, sf_dir):
@@ -140,21 +143,6 @@ def stale_findings(spark, sf_dir):
     return stale.groupBy("company_id", "code").agg(F.countDistinct("document_id").alias("documents"), F.count("*").alias("passages"))
 
 
-def csv_export_rows(spark, sf_dir):
-    """SNK-3: the findings export."""
-    return W.export_rows(_findings(spark, sf_dir))
-
-
-def evidence_package(spark, sf_dir):
-    """SNK-4: findings with their elements as one JSON document per company."""
-    return W.evidence_package(_findings(spark, sf_dir), _elements(spark, sf_dir))
-
-
-def markdown_report(spark, sf_dir):
-    """The summary table of SNK-5: a report text per company."""
-    return W.markdown_report(_findings(spark, sf_dir))
-
-
 def _values(rows):
     def cell(x):
         return "NULL" if x is None else f"'{x}'" if isinstance(x, str) else f"{x:e}" if isinstance(x, float) else str(x)
@@ -233,7 +221,7 @@ QUERIES = {name: _check(kind) for name, kind in _CHECKS.items()} | {
     f.__name__: f
     for f in (
         check_pattern_context, requirement_completeness, requirement_status, finding_confidence, review_triggers, findings_status_counts, remediation_priority, dashboard_top_gaps,
-        gap_expansion, action_sync, merge_policy, evidence_links, run_diff, stale_findings, csv_export_rows, evidence_package, markdown_report,
+        gap_expansion, action_sync, merge_policy, evidence_links, run_diff, stale_findings,
     )
 }
 
@@ -278,15 +266,11 @@ FROM firsts f FULL OUTER JOIN ends e ON e.company_id = f.company_id AND e.code =
   SELECT coalesce(a.company_id, b.company_id) AS company_id, coalesce(a.code, b.code) AS code, b.status AS status_before, a.status AS status_after, b.completeness AS cb, a.completeness AS ca,
     len([x for x in coalesce(a.evidence, []) if not list_contains(coalesce(b.evidence, []), x)])::BIGINT AS added, len([x for x in coalesce(b.evidence, []) if not list_contains(coalesce(a.evidence, []), x)])::BIGINT AS removed
   FROM findings a FULL OUTER JOIN findings_b b ON a.company_id = b.company_id AND a.code = b.code)
-SELECT company_id, code, status_before, status_after, added, removed, CASE WHEN status_before IS NULL THEN 'requirement added' WHEN status_after IS NULL THEN 'requirement removed'
-  WHEN added + removed > 0 THEN 'documents changed' ELSE 'evidence selection changed' END AS cause
+SELECT company_id, code, status_before, status_after, added, removed, coalesce(nullif(concat_ws('; ', CASE WHEN status_before IS NULL THEN 'requirement added' WHEN status_after IS NULL THEN 'requirement removed'
+  WHEN code = 'R3' THEN 'requirement revised' END, CASE WHEN company_id % 3 <> 0 AND added + removed > 0 THEN 'documents changed' END, CASE WHEN company_id % 5 = 0 THEN 'method changed' END), ''), 'evidence selection changed') AS cause
 FROM d WHERE status_before IS DISTINCT FROM status_after OR round(cb, 3) IS DISTINCT FROM round(ca, 3) OR added + removed > 0""",
     "stale_findings": f"""{_F}, linked AS (SELECT company_id, code, unnest(evidence) AS passage_id FROM findings),
 superseded AS (SELECT o_orderkey FROM orders QUALIFY lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) IS NOT NULL)
 SELECT l.company_id, l.code, count(DISTINCT document_id) AS documents, count(*) AS passages FROM linked l JOIN (SELECT passage_id, document_id FROM facts WHERE period_label = '{AFTER}') USING (passage_id)
 WHERE document_id IN (SELECT o_orderkey FROM superseded) GROUP BY ALL""",
-    "csv_export_rows": f"""{_F} SELECT company_id::VARCHAR AS company, code AS requirement, status, (completeness::DECIMAL(18, 6))::DECIMAL(18, 2)::VARCHAR AS completeness, (confidence::DECIMAL(18, 6))::DECIMAL(18, 2)::VARCHAR AS confidence, missing,
-  CASE WHEN requires_review THEN 'yes' ELSE 'no' END AS review, len(evidence)::VARCHAR AS evidence FROM findings""",
-    "markdown_report": f"""{_F} SELECT company_id, '| requirement | status | completeness |' || chr(10) || '|---|---|---|' || chr(10)
-  || string_agg('| ' || code || ' | ' || status || ' | ' || (completeness::DECIMAL(18, 6))::DECIMAL(18, 2)::VARCHAR || ' |', chr(10) ORDER BY code) AS report FROM findings GROUP BY company_id""",
 }

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.extraction import sentence_metrics, table_row_metrics
+from ..functions.periods import find_periods, period_of_label
+from ..operators.extraction import rate_metrics, sentence_metrics, table_row_metrics
 from ..sources.tables import table
 from ..streaming.rate_limit import limited_batch
 
@@ -13,28 +14,73 @@ def _amount(column: str) -> F.Column:
     return F.format_number(F.floor(F.col(column)), 0)
 
 
+def _written(choice: F.Column, *ways: F.Column) -> F.Column:
+    return F.element_at(F.array(*ways), (choice % len(ways) + 1).cast("int"))
+
+
 def metric_extraction_text(spark, sf_dir):
-    """SCL-19, SCL-23, SCL-26: sentences of six wordings, read back into typed values."""
+    """SCL-19..23, WIN-11, WIN-12: sentences of ten wordings, read back into typed values with period and qualifiers."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.year("o_orderdate").cast("string").alias("y"))
-    n = _amount("o_totalprice")
-    way = F.col("o_orderkey") % 6
-    text = (
-        F.when(way == 0, F.concat(F.lit("Scope 1 emissions were "), n, F.lit(" tCO2e in FY"), F.col("y"), F.lit(". Nothing else changed.")))
-        .when(way == 1, F.concat(F.lit("Total energy use fell to "), n, F.lit(" MWh, of which "), n, F.lit(" GJ came from gas in FY"), F.col("y"), F.lit(".")))
-        .when(way == 2, F.concat(F.lit("Sites generated "), n, F.lit(" tonnes of waste in FY"), F.col("y"), F.lit("; total waste was "), n, F.lit(" t.")))
-        .when(way == 3, F.concat(F.lit("We drew "), n, F.lit(" visitors in FY"), F.col("y"), F.lit(".")))
-        .when(way == 4, F.concat(F.lit("Water withdrawal was "), n, F.lit(" m3.")))
-        .otherwise(F.concat(F.lit("Scope 1 and 2 emissions came to "), n, F.lit(" ktCO2e in FY"), F.col("y"), F.lit(".")))
+    n, y = _amount("o_totalprice"), F.col("y")
+    text = _written(
+        F.col("o_orderkey"),
+        F.concat(F.lit("Scope 1 emissions were "), n, F.lit(" tCO2e in FY"), y, F.lit(". Nothing else changed.")),
+        F.concat(F.lit("Total energy use fell to "), n, F.lit(" MWh, of which "), n, F.lit(" GJ came from gas in FY"), y, F.lit(".")),
+        F.concat(F.lit("Sites generated "), n, F.lit(" tonnes of waste in FY"), y, F.lit("; total waste was "), n, F.lit(" t.")),
+        F.concat(F.lit("We drew "), n, F.lit(" visitors in FY"), y, F.lit(".")),
+        F.concat(F.lit("Water withdrawal was "), n, F.lit(" m3.")),
+        F.concat(F.lit("Scope 1 and 2 emissions came to "), n, F.lit(" ktCO2e in FY"), y, F.lit(".")),
+        F.concat(F.lit("Scope 2 emissions (location-based) were "), n, F.lit(" tCO2e in 2024, compared with "), n, F.lit(" tCO2e in 2023.")),
+        F.concat(F.lit("In the 2019 base year, Scope 1 emissions were "), n, F.lit(" tCO2e.")),
+        F.concat(F.lit("We reduced emissions by an estimated "), n, F.lit(" tonnes of CO₂e in FY"), y, F.lit(" against the prior year.")),
+        F.concat(F.lit("Emissions intensity was "), n, F.lit(" kgCO2e per tonne (restated) in FY"), y, F.lit(".")),
+    )
+    found = sentence_metrics(orders.select(F.col("o_orderkey").alias("id"), text.alias("text")))
+    return found.select("id", "metric_key", "value", "unit", "normalized_value", "year", "confidence", "base_year", "method", "restated", "estimated")
+
+
+def rate_extraction(spark, sf_dir):
+    """SCL-24: rates without units, and the year nearest to them."""
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_suppkey").cast("string").alias("n"))
+    text = _written(
+        F.col("id"),
+        F.concat(F.lit("Safety matters. The LTIFR was "), F.col("n"), F.lit(".5 in 2024, from 9.1 in 2019.")),
+        F.concat(F.lit("Our total recordable incident rate stood at "), F.col("n"), F.lit(".25 hours.")),
+        F.lit("TRIR 2023 is given elsewhere: 1.5"),
+    )
+    return rate_metrics(suppliers.select("id", text.alias("text"))).select("id", "metric_key", "value", "period_label", "period_inferred", "confidence")
+
+
+def period_finder(spark, sf_dir):
+    """SCL-12..16: periods in the six wordings, with a March year end; a label's own period."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.year("o_orderdate").alias("y"))
+    y, before, short = F.col("y").cast("string"), (F.col("y") - 1).cast("string"), F.substring(F.col("y").cast("string"), 3, 2)
+    text = _written(
+        F.col("id"),
+        F.concat(F.lit("from 1st April "), before, F.lit(" to March 31, "), y, F.lit(", that is FY"), y),
+        F.concat(F.lit("the financial year ended 30 June "), y),
+        F.concat(F.lit("FY"), before, F.lit("/"), short, F.lit(" and CY"), before),
+        F.concat(F.lit("fiscal year "), y, F.lit(", "), before, F.lit("/"), short),
+        F.concat(F.lit("the 31 June "), y),
+        y,
     )
-    return sentence_metrics(orders.select(F.col("o_orderkey").alias("id"), text.alias("text")))
+    found = orders.select("id", text.alias("text")).withColumn("found", find_periods(F.col("text"), F.lit("03-31")))
+    named = period_of_label(F.col("text"), F.lit("03-31"))
+    labels = F.array_join(F.transform("found", lambda m: F.concat_ws(":", m["from"].cast("string"), m["label"])), " ")
+    return found.select("id", labels.alias("labels"), named["start"].cast("string").alias("start"), named["end"].cast("string").alias("end"), named["explicit"].alias("explicit"))
 
 
 def table_row_extraction(spark, sf_dir):
-    """SCL-25, SEG-13: rows of a two-year table, read back into typed values."""
+    """SCL-25: rows of a two-year table, read back into typed values."""
     suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
     n = F.format_number(F.floor(F.abs("s_acctbal")), 0)
-    label = F.element_at(F.array(F.lit("Electricity (MWh)"), F.lit("Scope 2 emissions, tCO2e"), F.lit("Waste (thousand tonnes)"), F.lit("Headcount")), (F.col("s_suppkey") % 4 + 1).cast("int"))
-    rows = suppliers.select(F.col("s_suppkey").alias("id"), label.alias("label"), F.array(F.lit("FY2024"), F.lit("FY2023")).alias("headers"), F.array(n, F.when(F.col("s_suppkey") % 5 == 0, "–").otherwise(F.concat(F.lit("("), n, F.lit(")")))).alias("values"))
+    label = _written(
+        F.col("s_suppkey"), F.lit("Electricity consumption (MWh)"), F.lit("Scope 2 emissions, tCO2e"), F.lit("Waste generated (thousand tonnes)"), F.lit("Headcount"),
+        F.lit("Natural gas"), F.lit("GHG intensity (kgCO2e per unit)"), F.lit("LTIFR"),
+    )
+    context = F.when(F.col("s_suppkey") % 7 == 4, "Energy use in GJ").otherwise("")
+    values = F.array(n, F.when(F.col("s_suppkey") % 5 == 0, "–").otherwise(F.concat(F.lit("("), n, F.lit(")"))))
+    rows = suppliers.select(F.col("s_suppkey").alias("id"), label.alias("label"), context.alias("context"), F.array(F.lit("FY2024"), F.lit("earlier")).alias("headers"), values.alias("values"))
     return table_row_metrics(rows)
 
 
@@ -44,16 +90,29 @@ def rate_limit_replay(spark, sf_dir):
     return limited_batch(events, limit=2, seconds=3600).select("event_id", "accepted")
 
 
-QUERIES = {f.__name__: f for f in (metric_extraction_text, table_row_extraction, rate_limit_replay)}
+QUERIES = {f.__name__: f for f in (metric_extraction_text, rate_extraction, period_finder, table_row_extraction, rate_limit_replay)}
 
-_AMOUNT = "floor(o_totalprice)"
 ORACLES = {
-    "metric_extraction_text": f"""WITH o AS (SELECT o_orderkey AS id, {_AMOUNT} AS n, year(o_orderdate)::INT AS y, o_orderkey % 6 AS way FROM orders),
-m(way, metric_key, unit, factor, dated, confidence) AS (VALUES (0, 'ghg_scope1', 'tCO2e', 1e0, true, 85e-2), (1, 'energy_total', 'MWh', 1e0, true, 85e-2), (1, 'energy_total', 'GJ', 1e0 / 36e-1, true, 7e-1),
-  (2, 'waste_generated', 't', 1e0, true, 85e-2), (4, 'water_withdrawal', 'm3', 1e0, false, 75e-2), (5, 'ghg_scope1_2', 'ktCO2e', 1e3, true, 85e-2))
-SELECT id, metric_key, n AS value, unit, round(n * factor, 6) AS normalized_value, CASE WHEN dated THEN y END AS year, confidence FROM o JOIN m USING (way)""",
-    "table_row_extraction": """WITH s AS (SELECT s_suppkey AS id, floor(abs(s_acctbal)) AS n, s_suppkey % 4 AS way, s_suppkey % 5 = 0 AS dash FROM supplier),
-m(way, metric_key, unit, factor) AS (VALUES (0, 'energy_electricity', 'MWh', 1e0), (1, 'ghg_scope2', 'tCO2e', 1e0), (2, 'waste_generated', 'kt', 1e3)),
-c AS (SELECT id, metric_key, unit, factor, 2024 AS year, n AS value FROM s JOIN m USING (way) UNION ALL SELECT id, metric_key, unit, factor, 2023, -n FROM s JOIN m USING (way) WHERE NOT dash)
-SELECT id, metric_key, unit, year, value, round(value * factor, 6) AS normalized_value FROM c""",
+    "metric_extraction_text": """WITH o AS (SELECT o_orderkey AS id, floor(o_totalprice) AS n, year(o_orderdate)::INT AS y, o_orderkey % 10 AS way FROM orders),
+m(way, metric_key, unit, factor, named, confidence, base_year, method, restated, estimated) AS (VALUES
+  (0, 'ghg_scope1', 'tCO2e', 1e0, -1, 85e-2, false, NULL, false, false), (1, 'energy_total', 'MWh', 1e0, -1, 85e-2, false, NULL, false, false),
+  (1, 'energy_total', 'GJ', 1e0 / 36e-1, -1, 7e-1, false, NULL, false, false), (2, 'waste_generated', 't', 1e0, -1, 78e-2, false, NULL, false, false),
+  (2, 'waste_generated', 't', 1e0, -1, 85e-2, false, NULL, false, false), (4, 'water_withdrawal', 'm3', 1e0, NULL, 75e-2, false, NULL, false, false),
+  (5, 'ghg_scope1_2', 'ktCO2e', 1e3, -1, 85e-2, false, NULL, false, false), (6, 'ghg_scope2_location', 'tCO2e', 1e0, 2024, 85e-2, false, 'location-based', false, false),
+  (6, 'ghg_scope2_location', 'tCO2e', 1e0, 2023, 7e-1, false, 'location-based', false, false), (7, 'ghg_scope1', 'tCO2e', 1e0, 2019, 85e-2, true, NULL, false, false),
+  (8, 'ghg_reduction', 'tCO2e', 1e0, -1, 85e-2, false, NULL, false, true), (9, 'ghg_intensity', 'kgCO2e/tonne', 1e0, -1, 85e-2, false, NULL, true, false))
+SELECT id, metric_key, n AS value, unit, round(n * factor, 6) AS normalized_value, CASE WHEN named = -1 THEN y ELSE named END::INT AS year, confidence, base_year, method, restated, estimated FROM o JOIN m USING (way)""",
+    "rate_extraction": """SELECT s_suppkey AS id, CASE s_suppkey % 3 WHEN 0 THEN 'ltifr' ELSE 'trir' END AS metric_key, s_suppkey + CASE s_suppkey % 3 WHEN 0 THEN 5e-1 ELSE 25e-2 END AS value,
+  CASE s_suppkey % 3 WHEN 0 THEN 'FY2024' END AS period_label, s_suppkey % 3 <> 0 AS period_inferred, CASE s_suppkey % 3 WHEN 0 THEN 75e-2 ELSE 65e-2 END AS confidence
+FROM supplier WHERE s_suppkey % 3 <> 2""",
+    "period_finder": """WITH o AS (SELECT o_orderkey AS id, year(o_orderdate) AS y, o_orderkey % 6 AS way FROM orders)
+SELECT id, CASE way WHEN 0 THEN '0:FY' || y || ' 47:FY' || y WHEN 1 THEN '4:FY' || y WHEN 2 THEN '0:FY' || y || ' 14:CY' || (y - 1) WHEN 3 THEN '0:FY' || y || ' 18:FY' || y ELSE '' END AS labels,
+  CASE way WHEN 0 THEN (y - 1) || '-04-01' WHEN 1 THEN (y - 1) || '-07-01' ELSE (y - 1) || '-04-01' END AS "start",
+  CASE way WHEN 1 THEN y || '-06-30' ELSE y || '-03-31' END AS "end", way <= 1 AS explicit FROM o""",
+    "table_row_extraction": """WITH s AS (SELECT s_suppkey AS id, floor(abs(s_acctbal)) AS n, s_suppkey % 7 AS way, s_suppkey % 5 = 0 AS dash FROM supplier),
+m(way, metric_key, unit, factor, confidence) AS (VALUES (0, 'energy_electricity', 'MWh', 1e0, 92e-2), (1, 'ghg_scope2', 'tCO2e', 1e0, 92e-2), (2, 'waste_generated', 'kt', 1e3, 92e-2),
+  (5, 'ghg_intensity', 'kgCO2e/unit', 1e0, 92e-2), (6, 'ltifr', 'rate', 1e0, 9e-1)),
+c AS (SELECT id, metric_key, unit, factor, 2024 AS year, n AS value, confidence FROM s JOIN m USING (way) UNION ALL
+  SELECT id, metric_key, unit, factor, NULL, -n, round(confidence - 2e-1, 2) FROM s JOIN m USING (way) WHERE NOT dash)
+SELECT id, metric_key, unit, year, value, round(value * factor, 6) AS normalized_value, confidence FROM c""",
 }

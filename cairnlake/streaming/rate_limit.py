@@ -50,13 +50,23 @@ def limited(events: DataFrame, *, limit: int, seconds: int, delay: str = "10 min
 
 
 def limited_batch(events: DataFrame, *, limit: int, seconds: int) -> DataFrame:
-    """The same verdicts over a finished table, a group per key: the fold is sequential in each key's few events."""
+    """The same verdicts over a finished table: partitions sorted by key and time are folded batch by batch.
+
+    What is held of a key is its accepted times within a window, at most `limit`, however many events it has.
+    """
     window = seconds * 1_000_000
     keyed = events.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at_micros"))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["at_micros", "event_id"], kind="stable")
-        _, verdicts = fold([], zip(rows["at_micros"], rows["event_id"], strict=True), limit, window)
-        return rows.assign(accepted=verdicts)[["user_id", "event_id", "at_micros", "accepted"]]
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, hits = object(), []
+        for rows in frames:
+            verdicts = []
+            for key, at in zip(rows["user_id"], rows["at_micros"], strict=True):
+                if key != user:
+                    user, hits = key, []
+                hits, said = fold(hits, [(at, 0)], limit, window)
+                verdicts += said
+            yield rows.assign(accepted=verdicts)[["user_id", "event_id", "at_micros", "accepted"]]
 
-    return keyed.groupBy("user_id").applyInPandas(run, OUTPUT)
+    dealt = keyed.repartition("user_id").sortWithinPartitions("user_id", "at_micros", "event_id")
+    return dealt.mapInPandas(run, OUTPUT)

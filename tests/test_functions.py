@@ -14,7 +14,10 @@ def values(spark, rows, schema, column):
 
 @pytest.mark.parametrize(
     ("raw", "value"),
-    [("1,234", 1234.0), ("(1,234.5)", -1234.5), ("-12", -12.0), ("−7", -7.0), ("2.5 million", 2.5e6), ("3 bn", 3e9), ("12 345", 12345.0), ("$ 99", 99.0), ("–", None), ("n/a", None), ("", None), (None, None), ("none", None), ("abc", None), ("0.5", 0.5), ("40k", 40000.0)],
+    [
+        ("1,234", 1234.0), ("(1,234.5)", -1234.5), ("-12", -12.0), ("−7", -7.0), ("–310", -310.0), ("2.5 million", 2.5e6), ("3 bn", 3e9), ("12 lakh", 1.2e6), ("2.5 crore", 2.5e7), ("12 345", 12345.0),
+        ("$ 99", 99.0), ("–", None), ("n/a", None), ("", None), (None, None), ("none", None), ("abc", None), ("0.5", 0.5), ("40k", 40.0), ("5 m", 5.0), ("a (7) b", -7.0), ("v1.5 12", 12.0),
+    ],
 )
 def test_parse_number(spark, raw, value):
     assert values(spark, [(raw,)], "raw string", numbers.parse_number(F.col("raw"))) == [value]
@@ -53,14 +56,15 @@ def test_period_match_tolerance(spark):
     assert values(spark, rows, "s date, e date, ps date, pe date", match) == [True, True, False, False, False]
 
 
-@pytest.mark.parametrize(("label", "year"), [("FY2025", 2025), ("CY2024", 2024), ("FY24/25", 2025), ("2023/24", 2024), ("2023/25", 2023), ("in 2021", 2021), ("2020 and 2021", None), ("FY98/99", 1999), ("nothing", None)])
+@pytest.mark.parametrize(("label", "year"), [("FY2025", 2025), ("CY2024", 2024), ("FY24", 2024), ("FY2024/25", 2025), ("2023/24", 2024), ("FY1999/00", 2000), ("2023/25", None), ("in 2021", 2021), ("2020 and 2021", None), ("the year ended 31 March 2022", 2022), ("nothing", None)])
 def test_label_year(spark, label, year):
     assert values(spark, [(label,)], "label string", periods.label_year(F.col("label"))) == [year]
 
 
 def test_text_functions(spark):
     rows = [("The companies' policies, classes and CO2 was reused",), ("",)]
-    assert values(spark, rows, "t string", text.tokens(F.col("t"))) == [["company", "policy", "classe", "co2", "reused"], []]
+    assert values(spark, rows, "t string", text.tokens(F.col("t"))) == [["company", "policy", "class", "co2", "reused"], []]
+    assert values(spark, [("boxes, pies and CO₂ ﬁnance gas",)], "t string", text.tokens(F.col("t"))) == [["box", "pie", "co2", "finance", "gas"]]
     assert values(spark, [("Page 12 – Annual Report 2024!",)], "t string", text.running_key(F.col("t"))) == ["page # annual report #"]
     assert values(spark, [("One ends. Two (ends)! (three) go; and on",)], "t string", text.sentences(F.col("t"))) == [["One ends.", "Two (ends)!", "(three) go; and on"]]
     assert values(spark, [(1234.5,), (12.3456,), (100.0,), (2.0,)], "v double", text.format_value(F.col("v"))) == ["1,234", "12.346", "100", "2"]
@@ -70,6 +74,16 @@ def test_text_functions(spark):
     assert first == again != other and first.startswith("ev_") and len(first) == 23
 
 
+def test_all_numbers_of_a_text(spark):
+    assert values(spark, [("12,345.5 of -(3) and v2.0, 1.2 million",), ("none",), (None,)], "t string", numbers.number_values(F.col("t"))) == [[12345.5, -3.0, 1.2e6], [], None]
+
+
+def test_periods_are_found_with_their_places(spark):
+    rows = [("from 1 April 2024 to 31 March 2025 (FY2025)",), ("30 Feb 2024",), ("FY2024/25, CY2023 and 2020/21, 2021/24",), (None,)]
+    found = values(spark, rows, "t string", F.transform(periods.find_periods(F.col("t"), F.lit("03-31")), lambda m: F.concat_ws("|", m["from"].cast("string"), m["label"], m["start"].cast("string"), m["explicit"].cast("string"))))
+    assert found == [["0|FY2025|2024-04-01|true", "36|FY2025|2024-04-01|false"], [], ["0|FY2025|2024-04-01|false", "11|CY2023|2023-01-01|false", "22|FY2021|2020-04-01|false"], None]
+
+
 def test_priority(spark):
     rows = [(3, "not_found", 0.0, 10), (1, "partially_supported", 0.75, None), (2, "conflicting", 1.0, 100), (2, "supported", 1.0, 5), (3, "partially_supported", 0.99, 400)]
     assert values(spark, rows, "i int, s string, c double, d int", scoring.priority(F.col("i"), F.col("s"), F.col("c"), F.col("d"))) == [1.0, 0.05, 0.336, 0.0, 0.04]
