@@ -1,4 +1,8 @@
-"""Values that an expression uses several times."""
+"""Values that an expression uses several times.
+
+Explodes of costly arrays are `explode_outer` with a filter behind them throughout the library: for a plain one Spark infers
+a filter on the array's size, which makes the array a second time.
+"""
 
 from __future__ import annotations
 

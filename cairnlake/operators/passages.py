@@ -74,9 +74,9 @@ def passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") ->
     rows = docs.select(F.col(doc_id), kinds.alias("found"))
     numbered = F.transform("found", lambda x, k: F.struct((k + 1).alias("at"), x["line"].alias("section"), x["kind"].alias("kind")))
     staged = rows.select(doc_id, "found", _chunk_ends(F.col("found")).alias("ends"), F.filter(numbered, lambda x: x["kind"] == "heading").alias("path"))
-    parts = staged.select(doc_id, "ends", F.explode(_by_heading(F.col("found"), F.col("path"))).alias("part"))
+    parts = staged.select(doc_id, "ends", F.explode_outer(_by_heading(F.col("found"), F.col("path"))).alias("part"))
     # the section leaves the part first, or each row would carry all rows of its part
-    each = parts.select(doc_id, "ends", "part.section", "part.rows").select(doc_id, "ends", "section", F.explode("rows").alias("x"))
+    each = parts.select(doc_id, "ends", "part.section", "part.rows").select(doc_id, "ends", "section", F.explode_outer("rows").alias("x")).filter("x IS NOT NULL")
     return each.select(
         doc_id,
         evidence_id(F.col(doc_id), F.col("x.ordinal"), F.col("x.line")).alias("passage_id"),
@@ -134,8 +134,8 @@ def html_passages(pages: DataFrame) -> DataFrame:
 
     staged = blocks.withColumn("path", F.aggregate(headings, start, push, lambda acc: acc["out"]))
     numbered = F.transform("found", lambda b, k: F.struct(k.cast("long").alias("ordinal"), b["tag"].alias("tag"), b["body"].alias("body")))
-    parts = staged.select("page_id", F.explode(_by_heading(numbered, F.col("path"))).alias("part"))
-    each = parts.select("page_id", "part.section", "part.rows").select("page_id", "section", F.explode("rows").alias("b"))
+    parts = staged.select("page_id", F.explode_outer(_by_heading(numbered, F.col("path"))).alias("part"))
+    each = parts.select("page_id", "part.section", "part.rows").select("page_id", "section", F.explode_outer("rows").alias("b")).filter("b IS NOT NULL")
     tag = F.col("b.tag")
     kind = F.when(tag.startswith("h"), "heading").when(tag.isin("li", "dt", "dd"), "list_item").when(tag.isin("td", "th", "caption"), "table").otherwise("paragraph")
     return each.select("page_id", F.col("b.ordinal").alias("ordinal"), kind.alias("kind"), "section", F.length("b.body").cast("long").alias("n_chars"), F.col("b.body").alias("body"))
