@@ -231,7 +231,7 @@ def merged_findings(found: DataFrame, merged: DataFrame, models: DataFrame) -> D
     more = F.array_compact(F.array(F.when(F.col("far"), "views differ by two ranks"), F.when(F.col("doubted"), "contradiction not confirmed by values"), F.when(F.col("unsure"), "model could not resolve it")))
     reasons = F.concat("reasons", more)
     return joined.select(
-        "company_id", "code", "completeness", "status", F.when(F.col("model_status").isNull(), F.col("rules_confidence")).otherwise(F.round(F.least(F.lit(0.95), mean), 2)).alias("confidence"),
+        "company_id", "code", "completeness", "status", F.when(F.col("model_status").isNull(), F.col("rules_confidence")).otherwise(F.round(F.round(F.least(F.lit(0.95), mean), 6), 2)).alias("confidence"),
         (F.col("had") | (F.size(reasons) > 0) | F.col("status").isin("conflicting", "human_review")).alias("requires_review"), F.array_join(reasons, "; ").alias("reasons"),
     )
 

@@ -323,7 +323,7 @@ s2 AS (SELECT *, coalesce(abs(CASE ms WHEN 'not_found' THEN 0 WHEN 'partially_su
 s3 AS (SELECT *, CASE WHEN far THEN 'human_review' ELSE b END AS d FROM s2),
 s4 AS (SELECT *, wr AND mc < 5e-1 AND d <> 'conflicting' AS unsure, coalesce(ms = 'conflicting', false) AND d <> 'conflicting' AS doubted FROM s3),
 s5 AS (SELECT *, CASE WHEN unsure THEN 'human_review' ELSE d END AS status, list_concat(reasons, [x for x in [CASE WHEN far THEN 'views differ by two ranks' END, CASE WHEN doubted THEN 'contradiction not confirmed by values' END, CASE WHEN unsure THEN 'model could not resolve it' END] if x IS NOT NULL]) AS rs FROM s4)
-SELECT company_id, code, c AS completeness, status, CASE WHEN ms IS NULL THEN rc ELSE round(least(95e-2, (rc + mc) / 2 * CASE WHEN ms = status THEN 1e0 ELSE 85e-2 END), 2) END AS confidence,
+SELECT company_id, code, c AS completeness, status, CASE WHEN ms IS NULL THEN rc ELSE round(round(least(95e-2, (rc + mc) / 2 * CASE WHEN ms = status THEN 1e0 ELSE 85e-2 END), 6)::DECIMAL(18, 6), 2)::DOUBLE END AS confidence,
   had OR len(rs) > 0 OR status IN ('conflicting', 'human_review') AS requires_review, array_to_string(rs, '; ') AS reasons FROM s5"""
 _HASH = "|".join(f"{r[0]}:{r[2]}" for r in REQUIREMENTS)
 _SEARCH = ", ".join("('{0}', '{1}', [{2}], [{3}])".format(c, " ".join([t, s, *terms]), ", ".join(f"'{x}'" for x in terms), ", ".join(f"'{x}'" for x in [topic, *terms[:3]])) for c, _, t, topic, s, terms in REQUIREMENTS)
