@@ -1,73 +1,24 @@
-"""What the corpus operators share: materialised tables, batch scans of texts, stable hashes."""
+"""What the corpus operators share: batch scans of texts, stable hashes, and the library's tables in the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import weakref
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.scratch import discard, materialise, shared_path, shared_root, standing_on  # noqa: F401
+
 #: Bytes that part words, `[\x20\x09-\x0D]`; bytes.split() without arguments splits at exactly these.
 SPACES = b" \t\n\x0b\x0c\r"
 #: Byte table: A-Z lower-cased, everything outside `[0-9A-Za-z]` and the bytes from 0x80 up made a space.
 WORD_TABLE = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in bytes(range(256)).lower())
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where that is unset (tests) one of our own.
-
-    A master that isn't local must name the folder: a machine-local one would lose rows there.
-    """
-    if found := spark.conf.get("spark.checkpoint.dir", ""):
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    spark.conf.set("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='cairnlake-')}")
-    return spark.conf.get("spark.checkpoint.dir")
-
-
-def shared_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-#: Where the tables are that a frame reads, for `discard`.
-_PATHS: weakref.WeakKeyDictionary[DataFrame, list[str]] = weakref.WeakKeyDictionary()
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` once to the shared folder and read it from there, which cuts its lineage.
-
-    Lost executors only cost their running tasks: what later jobs read is a finished table.
-    """
-    spark, path = df.sparkSession, shared_path(df.sparkSession, label)
-    df.write.parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
-    _PATHS[table] = [path]
-    return table
-
-
-def standing_on(view: DataFrame, *tables: DataFrame) -> DataFrame:
-    """`view`, which reads `tables`: who discards it, discards them."""
-    _PATHS[view] = [path for table in tables for path in _PATHS.pop(table, [])]
-    return view
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables of `materialise` that no later job reads. Call it only once all that stands on them is written."""
-    for table in tables:
-        for path in _PATHS.pop(table, []):
-            spark = table.sparkSession
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 #: Bytes of text of which Python objects are made at once; a longer text is alone.
 SLICE_BYTES = 1 << 20
 
