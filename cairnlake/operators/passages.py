@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.binding import let
 from ..functions.numbers import parse_number
-from ..functions.periods import period_of_label
+from ..functions.periods import periods_of_labels
 from ..functions.text import evidence_id, running_key
 
 #: Characters of a document after which a chunk ends, once a line ends a sentence.
@@ -143,14 +143,11 @@ def html_passages(pages: DataFrame) -> DataFrame:
 
 def is_header_row(cells: Column) -> Column:
     """Whether a row's cells behind the first name periods (at least half of them) or hold no number; false without any."""
-    filled = F.filter(F.slice(cells, 2, 1000), lambda c: c != "")
-
-    def of(values: Column) -> Column:
-        dated = F.size(F.filter(values, lambda c: period_of_label(c, F.lit("12-31")).isNotNull()))
-        numeric = F.size(F.filter(values, lambda c: parse_number(c).isNotNull() & period_of_label(c, F.lit("12-31")).isNull()))
-        return (F.size(values) > 0) & ((dated >= F.greatest(F.lit(1), F.floor(F.size(values) / 2))) | (numeric == 0))
-
-    return let(filled, of)
+    filled = F.filter(F.slice(cells, F.lit(2), F.greatest(F.size(cells), F.lit(1))), lambda c: c != "")
+    read = F.arrays_zip(filled.alias("cell"), periods_of_labels(filled, F.lit("12-31")).alias("period"))
+    dated = F.size(F.filter(read, lambda c: c["period"].isNotNull()))
+    numeric = F.exists(read, lambda c: parse_number(c["cell"]).isNotNull() & c["period"].isNull())
+    return (F.size(filled) > 0) & ((dated >= F.greatest(F.lit(1), F.floor(F.size(filled) / 2))) | ~numeric)
 
 
 def html_tables(pages: DataFrame) -> DataFrame:

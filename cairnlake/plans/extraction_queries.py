@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.periods import find_periods, period_of_label
-from ..operators.extraction import rate_metrics, sentence_metrics, table_row_metrics
+from ..operators.extraction import first_of_equal_metrics, passage_metrics, rate_metrics, sentence_metrics, table_row_metrics
 from ..sources.tables import table
 from ..streaming.rate_limit import limited_batch
 
@@ -81,7 +81,37 @@ def table_row_extraction(spark, sf_dir):
     context = F.when(F.col("s_suppkey") % 7 == 4, "Energy use in GJ").otherwise("")
     values = F.array(n, F.when(F.col("s_suppkey") % 5 == 0, "–").otherwise(F.concat(F.lit("("), n, F.lit(")"))))
     rows = suppliers.select(F.col("s_suppkey").alias("id"), label.alias("label"), context.alias("context"), F.array(F.lit("FY2024"), F.lit("earlier")).alias("headers"), values.alias("values"))
-    return table_row_metrics(rows)
+    return table_row_metrics(rows).select("id", "metric_key", "unit", "year", "value", "normalized_value", "confidence")
+
+
+def passage_extraction(spark, sf_dir):
+    """SCL-25, SCL-26, SEG-19: passages of each kind read by what they are, with sections, captions, default periods and a March year end;
+    one of equal values of a passage."""
+    n = F.format_number(F.floor(F.abs("s_acctbal")), 0)
+    way = F.col("s_suppkey") % 6
+    period = F.struct(F.lit("FY2021").alias("label"), F.lit("2020-04-01").cast("date").alias("start"), F.lit("2021-03-31").cast("date").alias("end"))
+    cells = F.struct(
+        F.lit("Waste generated").alias("label"), F.array(n, F.lit("–"), F.lit("5"), F.lit("7")).alias("values"), F.array(F.lit("FY2024"), F.lit("FY2023"), F.lit("note")).alias("headers"),
+        F.lit("restated, in thousand tonnes").alias("caption"),
+    )
+    text = _written(
+        F.col("s_suppkey"),
+        F.concat(F.lit("Energy consumption was "), n, F.lit(" MWh in FY2024. Energy consumption was "), n, F.lit(" MWh in FY2024.")),
+        F.concat(n, F.lit("\u00a0tCO2e, biogenic")),
+        F.concat(F.lit("Sites took "), n, F.lit(" m3 in 2022.")),
+        F.concat(F.lit("Energy consumption "), n, F.lit(" MWh")),
+        F.lit("Waste generated"),
+        F.concat(F.lit("Energy consumers bought "), n, F.lit(" MWh in FY2024. LTIFR was 1.5 in FY2024.")),
+    )
+    passages = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("passage_id"), text.alias("text"), F.when(way == 2, "Water withdrawal").alias("section"),
+        _written(F.col("s_suppkey"), *[F.lit(k) for k in ("paragraph", "list_item", "paragraph", "heading", "table_row", "paragraph")]).alias("kind"),
+        F.when(way == 4, cells).alias("cells"), F.when(way == 1, 0.9).otherwise(1.0).alias("confidence"), F.lit("03-31").alias("fiscal_year_end"), period.alias("default_period"),
+    )
+    found = first_of_equal_metrics(passage_metrics(passages), passage="passage_id", order="place")
+    return found.select(
+        "passage_id", "metric_key", "value", "unit", "normalized_value", "period_label", F.col("period_end").cast("string").alias("period_end"), "period_inferred", "restated", "confidence", "source",
+    )
 
 
 def rate_limit_replay(spark, sf_dir):
@@ -90,7 +120,7 @@ def rate_limit_replay(spark, sf_dir):
     return limited_batch(events, limit=2, seconds=3600).select("event_id", "accepted")
 
 
-QUERIES = {f.__name__: f for f in (metric_extraction_text, rate_extraction, period_finder, table_row_extraction, rate_limit_replay)}
+QUERIES = {f.__name__: f for f in (metric_extraction_text, rate_extraction, period_finder, table_row_extraction, passage_extraction, rate_limit_replay)}
 
 ORACLES = {
     "metric_extraction_text": """WITH o AS (SELECT o_orderkey AS id, floor(o_totalprice) AS n, year(o_orderdate)::INT AS y, o_orderkey % 10 AS way FROM orders),
@@ -115,4 +145,11 @@ m(way, metric_key, unit, factor, confidence) AS (VALUES (0, 'energy_electricity'
 c AS (SELECT id, metric_key, unit, factor, 2024 AS year, n AS value, confidence FROM s JOIN m USING (way) UNION ALL
   SELECT id, metric_key, unit, factor, NULL, -n, round(confidence - 2e-1, 2) FROM s JOIN m USING (way) WHERE NOT dash)
 SELECT id, metric_key, unit, year, value, round(value * factor, 6) AS normalized_value, confidence FROM c""",
+    "passage_extraction": """WITH s AS (SELECT s_suppkey AS passage_id, floor(abs(s_acctbal)) AS n, s_suppkey % 6 AS way FROM supplier),
+m(way, metric_key, given, unit, factor, period_label, period_end, period_inferred, restated, confidence, source) AS (VALUES
+  (0, 'energy_total', NULL, 'MWh', 1e0, 'FY2024', '2024-03-31', false, false, 85e-2, 'text'), (1, 'ghg_biogenic', NULL, 'tCO2e', 1e0, 'FY2021', '2021-03-31', true, false, 612e-3, 'text'),
+  (2, 'water_withdrawal', NULL, 'm3', 1e0, 'FY2022', '2022-03-31', false, false, 6e-1, 'text'), (4, 'waste_generated', NULL, 'kt', 1e3, 'FY2024', '2024-03-31', false, true, 92e-2, 'table'),
+  (4, 'waste_generated', 5, 'kt', 1e3, 'FY2021', '2021-03-31', true, true, 72e-2, 'table'), (5, 'ltifr', 15e-1, 'rate', 1e0, 'FY2024', '2024-03-31', false, false, 75e-2, 'text'))
+SELECT passage_id, metric_key, coalesce(given, n) AS value, unit, round(coalesce(given, n) * factor, 6) AS normalized_value, period_label, period_end, period_inferred, restated, confidence, source
+FROM s JOIN m USING (way)""",
 }

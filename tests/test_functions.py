@@ -87,3 +87,28 @@ def test_periods_are_found_with_their_places(spark):
 def test_priority(spark):
     rows = [(3, "not_found", 0.0, 10), (1, "partially_supported", 0.75, None), (2, "conflicting", 1.0, 100), (2, "supported", 1.0, 5), (3, "partially_supported", 0.99, 400)]
     assert values(spark, rows, "i int, s string, c double, d int", scoring.priority(F.col("i"), F.col("s"), F.col("c"), F.col("d"))) == [1.0, 0.05, 0.336, 0.0, 0.04]
+
+
+@pytest.mark.parametrize(
+    "text, fye, want",
+    [
+        ("12 months ending on December 31, 2023", "12-31", [("FY2023", "2023-01-01", "2023-12-31", True)]),
+        ("from 1 April 2023 to 31 March 2024 and FY2024", "03-31", [("FY2024", "2023-04-01", "2024-03-31", True), ("FY2024", "2023-04-01", "2024-03-31", False)]),
+        ("31 March 2024 to 1 April 2023", "03-31", [("FY2024", "2023-04-01", "2024-03-31", False), ("FY2023", "2022-04-01", "2023-03-31", False)]),
+        ("the year ended 29 February 2024", "12-31", [("FY2024", "2023-03-01", "2024-02-29", True)]),
+        ("30 February 2024", "12-31", [("FY2024", "2024-01-01", "2024-12-31", False)]),
+        ("FY1999/00, 1999/2000 and 12,2001", "12-31", [("FY2000", "2000-01-01", "2000-12-31", False)]),
+        ("in 2024", "not a day", [("FY2024", "2024-01-01", "2024-12-31", False)]),
+        (None, "12-31", None),
+        ("", None, []),
+    ],
+)
+def test_period_mentions(spark, text, fye, want):
+    found = values(spark, [(text, fye)], "t string, f string", periods.period_mentions(F.col("t"), F.col("f")))[0]
+    assert (found and [(m["label"], str(m["start"]), str(m["end"]), m["explicit"]) for m in found]) == (want or found)
+    assert (found is None) == (want is None)
+
+
+def test_labels_in_arrays(spark):
+    found = values(spark, [(["FY2024", None, "2023 and 2022", "2021"],), (None,), ([],)], "t array<string>", periods.periods_of_labels(F.col("t"), F.lit("12-31")))
+    assert [[p and p["label"] for p in ps] if ps is not None else None for ps in found] == [["FY2024", None, None, "FY2021"], None, []]

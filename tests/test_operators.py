@@ -4,7 +4,9 @@ import collections
 import datetime as dt
 import math
 import re
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from cairnlake.functions.text import STOP_WORDS
@@ -13,7 +15,7 @@ from cairnlake.operators import disclosures as D
 from cairnlake.operators import passages as P
 from cairnlake.operators import retrieval as R
 from cairnlake.operators import workflow as W
-from cairnlake.operators.extraction import sentence_metrics, table_row_metrics
+from cairnlake.operators.extraction import passage_metrics, rate_metrics, sentence_metrics, table_row_metrics
 from cairnlake.plans import text_queries
 from cairnlake.streaming.ingest import document_stream, on_superseded, passage_stream
 from cairnlake.streaming.rate_limit import OUTPUT, fold, limited, limited_batch
@@ -214,6 +216,45 @@ def test_review_fold_and_metrics(spark):
     assert (scored["precision"], scored["recall"], scored["f1"]) == (0.0, 0.0, 0.0)
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("Scope 1 emissions were 12,450\u00a0tCO2e in FY2024.", [("ghg_scope1", 12450.0, "FY2024", 0.85)]),
+        ("Scope 1 emissions were 12\u202f450\u202ftCO2e in FY2024.", [("ghg_scope1", 12450.0, "FY2024", 0.85)]),
+        ("Energy consumers bought 5 MWh in FY2024.", []),
+        ("Total energy was 2024 MWh.", []),
+        ("Water withdrawal: 5 ML (2023: 7 ML).", [("water_withdrawal", 5.0, None, 0.75), ("water_withdrawal", 7.0, "FY2023", 0.7)]),
+        ("We target a reduction of emissions of 5 tCO2e by 2030.", []),
+        ("Scope 1 emissions fell to (310) tCO2e.", [("ghg_scope1", -310.0, None, 0.75)]),
+        ("Scope 2 emissions, location-based, and by market-based factors were 3 kt CO2e in 2023.", [("ghg_scope2_location", 3.0, "FY2023", 0.85)]),
+        ("Fuel use was 4 GJ of diesel.", [("energy_fuel", 4.0, None, 0.75)]),
+        ("", []),
+        (None, []),
+    ],
+)
+def test_sentence_probes(spark, text, want):
+    rows = sentence_metrics(spark.createDataFrame([(1, text)], "id long, text string")).collect()
+    assert sorted((r["metric_key"], r["value"], r["period_label"], r["confidence"]) for r in rows) == sorted(want)
+
+
+def test_a_long_text_takes_linear_time(spark):
+    """One sentence of a MB with 40,000 numbers."""
+    one = "scope 1 emissions were 5 tCO2e and "
+    text = one * 30_000
+    began = time.perf_counter()
+    assert sentence_metrics(spark.createDataFrame([(1, text[:100_000] + ". " + "A 5 " * 250_000)], "id long, text string")).count() == len(text[:100_000].split("tCO2e")) - 1
+    assert rate_metrics(spark.createDataFrame([(1, "TRIR of 2.5 " * 20_000)], "id long, text string")).count() == 20_000
+    assert time.perf_counter() - began < 120
+
+
+def test_passages_of_each_kind(spark):
+    cells = {"label": "GHG intensity (kgCO2e per unit)", "values": ["1.5", "n/a", "2"], "headers": ["FY2023", "FY2022"], "caption": None}
+    rows = [("p", "paragraph", "TRIR (total recordable injury rate) was 2.5 in FY2023. Water intake was 3 m3.", None, None, 0.5), ("t", "table_row", None, None, cells, 1.0), ("e", "table_row", "x", None, None, 1.0), ("h", "heading", "Water intake 3 m3", None, None, 1.0)]
+    frame = spark.createDataFrame(rows, "passage_id string, kind string, text string, section string, cells struct<label:string,values:array<string>,headers:array<string>,caption:string>, confidence double")
+    found = sorted((r["passage_id"], r["metric_key"], r["value"], r["unit"], r["period_label"], r["confidence"]) for r in passage_metrics(frame).collect())
+    assert found == [("p", "trir", 2.5, "rate", "FY2023", 0.375), ("p", "water_withdrawal", 3.0, "m3", None, 0.375), ("t", "ghg_intensity", 1.5, "kgCO2e/unit", "FY2023", 0.92)]
+
+
 def test_extraction(spark):
     texts = spark.createDataFrame([(1, "In FY2024 energy use was 1,200 MWh and 300 MWh came later, 9 GJ too."), (2, "Water withdrawal was 5 thousand m3."), (3, "Scope 3 target for 2030.")], "id long, text string")
     rows = {(r["id"], r["value"]): (r["metric_key"], r["unit"], r["year"], r["confidence"]) for r in sentence_metrics(texts).collect()}
