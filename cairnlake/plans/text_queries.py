@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import parse_number
 from ..functions.text import STOP_WORDS, evidence_id, sentences
 from ..operators import passages as P
+from ..operators import postings as PX
 from ..operators import retrieval as R
 from ..sources.tables import table
 
@@ -99,31 +100,25 @@ def term_doc_frequency(spark, sf_dir):
     return R.term_statistics(_passages(spark, sf_dir))
 
 
-def _queries(spark, sf_dir):
-    items = table(spark, sf_dir, "benchmark")
-    words = F.split(F.trim(F.regexp_replace(F.regexp_replace("text", r"[^A-Za-z]+", " "), r" +", " ")), " ")
-    query = F.array_join(F.slice(words, 1, 6), " ")
-    return items.select(F.col("item_id").alias("query_id"), query.alias("query"), F.array(F.array_join(F.slice(words, 1, 2), " "), F.array_join(F.slice(words, 3, 2), " ")).alias("phrases"), F.slice(words, 5, 2).alias("section_terms"))
-
-
 def bm25_search(spark, sf_dir):
-    """DOM-1, WIN-9, SRT-1 as its SQL has it: item prefixes, and only passages that share a term; see bm25_search_whole."""
-    return R.bm25(_passages(spark, sf_dir), _queries(spark, sf_dir), terms_only=True)
+    """DOM-1, WIN-9, SRT-1: the eight best passages by BM25 for each item's whole text, from a stored index that skips blocks."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return PX.search(spark, PX.indexed(_passages(spark, sf_dir)), items)
 
 
 def bm25_search_whole(spark, sf_dir):
-    """DOM-1..3, WIN-9, SRT-1: the eight best passages for each item's whole text, its sentences being the phrases."""
+    """DOM-1..3, WIN-9, SRT-1: the eight best passages for each item's whole text, its sentences being the phrases and its words the section terms."""
     words = F.split(F.trim(F.regexp_replace("text", r"[^A-Za-z0-9]+", " ")), " ")
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.array_distinct(sentences(F.trim("text"))).alias("phrases"), F.filter(F.array_distinct(words), lambda w: w != "").alias("section_terms"))
     return R.bm25(_passages(spark, sf_dir), items)
 
 
 def phrase_match(spark, sf_dir):
-    """JN-16 as its SQL has it: benchmark items whose first eight words a document contains; see phrase_match_whole."""
-    words = F.split(F.trim(F.regexp_replace(F.lower("text"), r"\s+", " ")), " ")
-    phrases = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("phrase_id"), F.array_join(F.slice(words, 1, 8), " ").alias("phrase"))
-    found = R.phrase_matches(_docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text"), phrases)
-    return found.select(F.col("id").alias("doc_id"), F.col("phrase_id").alias("item_id"))
+    """JN-16: how many of an item's distinct sentences a document contains, white space folded."""
+    split = F.array_distinct(F.transform(sentences(F.trim("text")), lambda s: F.trim(F.regexp_replace(F.lower(s), r"\s+", " "))))
+    phrases = table(spark, sf_dir, "benchmark").select("item_id", F.explode(split).alias("phrase")).filter("phrase <> ''")
+    found = R.phrase_matches(_docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text"), phrases.select(F.struct("item_id", "phrase").alias("phrase_id"), "phrase"))
+    return found.groupBy(F.col("id").alias("doc_id"), F.col("phrase_id.item_id").alias("item_id")).agg(F.count("*").alias("sentences"))
 
 
 def phrase_match_whole(spark, sf_dir):
@@ -189,6 +184,14 @@ def tokens_sql(column: str) -> str:
 
 POSTINGS_SQL = f"""tokenised AS (SELECT passage_id, kind, section, line, {tokens_sql("line")} AS ts FROM passages),
 postings AS (SELECT passage_id, term, count(*) AS tf, max(greatest(len(ts), 1)) AS length FROM (SELECT passage_id, ts, unnest(ts) AS term FROM tokenised) GROUP BY passage_id, term)"""
+_SENTENCES_SQL = r"string_split(regexp_replace(trim(text, ' '), '([.;!?])\s+([A-Z(])', '\1' || chr(1) || '\2', 'g'), chr(1))"
+_SCORED_SQL = f"""wanted AS (SELECT DISTINCT item_id AS query_id, unnest({tokens_sql("text")}) AS term FROM benchmark),
+df AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
+n AS (SELECT count(*)::DOUBLE AS n, avg(len(ts)) AS mean FROM tokenised),
+scored AS (
+  SELECT query_id, passage_id, sum(round(ln(1e0 + (n - df + 5e-1) / (df + 5e-1)) * (tf * 24e-1 / (tf + 14e-1 * (1 - 75e-2 + 75e-2 * length / mean))), 9)::DECIMAL(28, 9))::DOUBLE AS raw
+  FROM postings JOIN df USING (term) JOIN wanted USING (term), n GROUP BY ALL
+)"""
 _VERSIONS_SQL = """SELECT o_custkey, o_orderkey, o_orderdate::DATE::VARCHAR AS o_orderdate, row_number() OVER w AS version, lead(o_orderkey) OVER w AS superseded_by
 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)"""
 
@@ -236,24 +239,26 @@ SELECT doc_id, first_id, copies, sha256 FROM h JOIN f USING (sha256) WHERE doc_i
 SELECT o_custkey, year::BIGINT AS year, weight FROM s QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY weight DESC, p) = 1""",
     "tokenize_terms": f"SELECT doc_id, len(t)::BIGINT AS n_tokens, len(list_distinct(t))::BIGINT AS n_terms FROM (SELECT doc_id, {tokens_sql('text')} AS t FROM documents)",
     "term_doc_frequency": f"WITH {LINES_SQL}, {POSTINGS_SQL} SELECT term, count(*) AS df, sum(tf)::BIGINT AS total_tf FROM postings GROUP BY term",
-    "bm25_search": f"""WITH {LINES_SQL}, {POSTINGS_SQL}, w AS (
-  SELECT item_id, string_split(trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'), ' '), ' ') AS w FROM benchmark
-), q AS (SELECT item_id AS query_id, array_to_string(w[1:6], ' ') AS query, [array_to_string(w[1:2], ' '), array_to_string(w[3:4], ' ')] AS phrases, w[5:6] AS section_terms FROM w),
-wanted AS (SELECT DISTINCT query_id, unnest({tokens_sql("query")}) AS term FROM q),
-df AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
-n AS (SELECT count(*)::DOUBLE AS n, avg(len(ts)) AS mean FROM tokenised),
-scored AS (
-  SELECT query_id, passage_id, sum(round(ln(1e0 + (n - df + 5e-1) / (df + 5e-1)) * (tf * 24e-1 / (tf + 14e-1 * (1 - 75e-2 + 75e-2 * length / mean))), 9)::DECIMAL(28, 9))::DOUBLE AS raw
-  FROM postings JOIN df USING (term) JOIN wanted USING (term), n GROUP BY ALL
-), shares AS (SELECT *, raw / max(raw) OVER (PARTITION BY query_id) AS share FROM scored),
+    "bm25_search": f"""WITH {LINES_SQL}, {POSTINGS_SQL}, {_SCORED_SQL}
+SELECT query_id, passage_id, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, passage_id) AS rank, round(raw, 6) AS score FROM scored QUALIFY rank <= 8""",
+    "bm25_search_whole": f"""WITH {LINES_SQL}, {POSTINGS_SQL}, {_SCORED_SQL},
+phrases AS (SELECT DISTINCT item_id AS query_id, unnest({_SENTENCES_SQL}) AS p FROM benchmark),
+held AS (SELECT query_id, passage_id, count(*) AS n FROM tokenised JOIN phrases ON contains(lower(line), lower(p)) WHERE trim(p, ' ') <> '' GROUP BY ALL),
+words AS (SELECT DISTINCT item_id AS query_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9]+'))) AS w FROM benchmark),
+named AS (SELECT DISTINCT query_id, section FROM (SELECT DISTINCT section FROM tokenised WHERE section IS NOT NULL) JOIN words ON contains(lower(section), w)),
+hits AS (SELECT query_id, passage_id, coalesce(raw, 0) AS raw, coalesce(n, 0) AS n FROM scored FULL JOIN held USING (query_id, passage_id)),
 final AS (
-  SELECT query_id, passage_id, round((6e-1 * share + least(45e-2, 15e-2 * len([p for p in phrases if contains(lower(line), lower(p))]))
-    + CASE WHEN len([t for t in section_terms if contains(lower(coalesce(section, '')), lower(t))]) > 0 THEN 1e-1 ELSE 0e0 END) * CASE kind WHEN 'heading' THEN 35e-2 WHEN 'table' THEN 6e-1 ELSE 1e0 END, 6) AS score
-  FROM shares JOIN tokenised USING (passage_id) JOIN q USING (query_id))
+  SELECT h.query_id, passage_id, round((coalesce(6e-1 * raw / nullif(max(raw) OVER (PARTITION BY h.query_id), 0), 0) + least(45e-2, 15e-2 * n) + CASE WHEN s.query_id IS NOT NULL THEN 1e-1 ELSE 0e0 END)
+    * CASE kind WHEN 'heading' THEN 35e-2 WHEN 'table' THEN 6e-1 ELSE 1e0 END, 6) AS score
+  FROM hits h JOIN tokenised USING (passage_id) LEFT JOIN named s ON s.query_id = h.query_id AND s.section = tokenised.section)
 SELECT query_id, passage_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id) AS rank, score FROM final QUALIFY rank <= 8""",
-    "phrase_match": r"""WITH d AS (SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g'), ' ') AS t FROM documents),
-p AS (SELECT item_id, array_to_string(string_split(trim(regexp_replace(lower(text), '\s+', ' ', 'g'), ' '), ' ')[1:8], ' ') AS phrase FROM benchmark)
-SELECT doc_id, item_id FROM d JOIN p ON contains(t, phrase)""",
+    "phrase_match": rf"""WITH d AS (SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g'), ' ') AS t FROM documents),
+p AS (SELECT DISTINCT item_id, trim(regexp_replace(lower(s), '\s+', ' ', 'g'), ' ') AS phrase FROM (SELECT item_id, unnest({_SENTENCES_SQL}) AS s FROM benchmark))
+SELECT doc_id, item_id, count(*) AS sentences FROM d JOIN p ON contains(t, phrase) WHERE phrase <> '' GROUP BY ALL""",
+    "phrase_match_whole": r"""WITH d AS (SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g'), ' ') AS t FROM documents),
+w AS (SELECT item_id, string_split(trim(regexp_replace(lower(text), '\s+', ' ', 'g'), ' '), ' ') AS w FROM benchmark),
+p AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(len(w) - 7, 1) + 1), lambda k: array_to_string(w[k : k + 7], ' '))) AS phrase FROM w)
+SELECT doc_id, item_id, count(*) AS windows FROM d JOIN p ON contains(t, phrase) WHERE phrase <> '' GROUP BY ALL""",
     "sentence_split": r"""WITH s AS (SELECT doc_id, string_split(regexp_replace(text, '([.;!?])\s+([A-Z(])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS s FROM documents)
 SELECT doc_id, len(s)::BIGINT AS n_sentences, list_max([length(x) for x in s])::BIGINT AS longest FROM s""",
     "number_parsing": """WITH c AS (SELECT o_orderkey, round(o_totalprice * 100)::BIGINT // 100 AS whole, o_orderkey % 8 AS way FROM orders),

@@ -13,6 +13,7 @@ from cairnlake.functions.text import STOP_WORDS
 from cairnlake.operators import assessment as A
 from cairnlake.operators import disclosures as D
 from cairnlake.operators import passages as P
+from cairnlake.operators import patterns, postings
 from cairnlake.operators import retrieval as R
 from cairnlake.operators import workflow as W
 from cairnlake.operators.extraction import passage_metrics, rate_metrics, sentence_metrics, table_row_metrics
@@ -166,10 +167,82 @@ def test_phrases_of_any_length_and_inside_tokens(spark, monkeypatch):
     frames = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(phrases, "phrase_id long, phrase string")
     assert {(3, 10), (1, 11), (2, 12), (6, 13), (None, 18)} <= want
     assert sorted(map(tuple, R.phrase_matches(*frames).collect()), key=repr) == sorted(want, key=repr)
-    monkeypatch.setattr(R, "MOST_SCANNED", 100)
+    monkeypatch.setattr(patterns, "MOST_CHARS", 60)  # several blocks
     assert sorted(map(tuple, R.phrase_matches(*frames).collect()), key=repr) == sorted(want, key=repr)
 
 
+def test_no_pair_of_text_and_phrase_is_made(spark):
+    frames = spark.createDataFrame([(1, "a b")], "id long, text string"), spark.createDataFrame([(1, "a")], "phrase_id long, phrase string")
+    plan = R.phrase_matches(*frames)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+@pytest.mark.parametrize(
+    "pattern, want",
+    [
+        (r"scope\s*2\b[^.]{0,80}location", {"location"}), (r"(?:emissions|ghg)\s+target", {"target"}), (r"ab|cd", None), (r"abc|defg", {"abc", "defg"}), (r"(?:total)?\s+water", {"water"}),
+        (r"\d+", None), (r"a(?:bcd)+e", {"bcd"}), (r"(?:bcd)*", None), (r"\bTOKEN\b", {"token"}), (r"é\w+", None), (r"(?=abcd)x", None), (r"colou?rs", {"colo"}),
+    ],
+)
+def test_required_literals(pattern, want):
+    assert patterns.required_literals(pattern) == (want and frozenset(want))
+
+
+def test_patterns_are_found_where_they_match():
+    some = [r"scope\s*2\b[^.]{0,20}location", r"abc|defg", r"\bx\d", r"skip", r"in\w+ing", r"^the", r"[ſs]kin"]
+    texts = ["Scope 2 is LOCATION", "ABC", "xdefgy", "x1", "the ſKIP", "ın x inkıng", "", "Kskin", "none", "İNKING"]
+    index = patterns.Patterns(some)
+    for text in texts:
+        assert sorted(index.find(text)) == [k for k, p in enumerate(some) if re.search(p, text, re.IGNORECASE)], text
+
+
+def test_pattern_checks_with_contexts(spark, monkeypatch):
+    rows = [
+        ("p1", "We set a target of 30 %.", "paragraph", "Climate"), ("p2", "A target here", "paragraph", None), ("p3", "Targets", "heading", "Climate"), ("p4", "a policy, a target", "list_item", "Policy"),
+        ("p5", None, "paragraph", "Climate"), ("p6", "target", "table", "Climate"), ("p7", "x" * 200 + " policy " + "y" * 200, "table_row", ""),
+    ]
+    checks = [("c1", [r"target"], [r"climate"]), ("c2", [r"nowhere", r"polic(?:y|ies)", r"target"], None), ("c3", [r"target"], [])]
+    passages = spark.createDataFrame(rows, "passage_id string, text string, kind string, section string")
+    frame = spark.createDataFrame(checks, "check_id string, patterns array<string>, context array<string>")
+    for most in (patterns.MOST_CHARS, 30):
+        monkeypatch.setattr(patterns, "MOST_CHARS", most)
+        found = {(r["passage_id"], r["check_id"]): r["snippet"] for r in patterns.check_matches(passages, frame, keep=["passage_id"]).collect()}
+        assert set(found) == {("p1", "c1"), ("p1", "c2"), ("p1", "c3"), ("p2", "c2"), ("p2", "c3"), ("p4", "c2"), ("p4", "c3"), ("p7", "c2")}
+        assert found["p7", "c2"] == "x" * 59 + " policy " + "y" * 59 and found["p4", "c2"] == "a policy, a target"
+
+
+def test_the_index_gives_the_same_rows_and_reads_less(spark, tmp_path):
+    """200 blocks, of which few hold the rare terms; then an increment, which changes frequencies and the mean length."""
+    rows = [(f"p{k:05}", " ".join(["water"] * (1 + k % 3) + ["emission target"] * (k % 1000 == 7) + [f"w{k % 17}"] * (k % 5))) for k in range(20_000)]
+    rows += [(f"q{k:05}", "rare water" if k % 50 == 0 else "the of") for k in range(300)]
+    passages = spark.createDataFrame(rows, "passage_id string, line string")
+    queries = spark.createDataFrame([(1, "Water emission targets"), (2, "rare waters"), (3, "nowhere"), (4, None), (5, "w3 w4 w5")], "query_id long, query string")
+
+    def brute(rows):
+        def tokens(x):
+            return [w[:-1] if w in ("targets", "waters") else w for w in re.findall("[a-z0-9]+", x.lower()) if w not in STOP_WORDS]
+
+        terms = [(p, collections.Counter(tokens(t)), len(tokens(t)) or 1) for p, t in rows]
+        mean, df = sum(sum(c.values()) for _, c, _ in terms) / len(terms), collections.Counter(t for _, c, _ in terms for t in c)
+        out = {}
+        for q, text in [(1, "Water emission targets"), (2, "rare waters"), (5, "w3 w4 w5")]:
+            idf = {t: math.log(1 + (len(terms) - df[t] + 0.5) / (df[t] + 0.5)) for t in set(tokens(text))}
+            scores = [(round(sum(round(idf[t] * c[t] * 2.4 / (c[t] + 1.4 * (0.25 + 0.75 * n / mean)), 9) for t in idf if c[t]), 6), p) for p, c, n in terms if idf.keys() & c]
+            out[q] = [(s, p) for s, p in sorted(scores, key=lambda x: (-x[0], x[1]))[:8]]
+        return out
+
+    path, counts = postings.append(passages.filter("passage_id < 'q'"), f"{tmp_path}/index"), {}
+    for part in ("p", "q"):
+        if part == "q":
+            postings.append(passages.filter("passage_id >= 'q'"), path)
+        found = {}
+        for r in postings.search(spark, path, queries, counts=counts).orderBy("query_id", "rank").collect():
+            found.setdefault(r["query_id"], []).append((r["score"], r["passage_id"]))
+        want = {q: x for q, x in brute([r for r in rows if r[0][0] <= part]).items() if x}
+        assert {q: [s for s, _ in x] for q, x in found.items()} == {q: [s for s, _ in x] for q, x in want.items()} and found == want
+        assert counts["read"] < counts["all"]
+
+
 def test_whole_items_are_searched(spark, tmp_path):
     item = "Alpha beta gamma delta epsilon zeta eta theta iota kappa. Lambda mu 42 omicron!"
     docs = [(1, "ETA\nTheta iota kappa and more\nplain line here."), (2, "xx delta epsilon zeta eta theta iota\nkappa. lambda mu"), (3, "Lambda mu 42 omicron! it is.\nAlpha beta alone."), (4, None), (5, "tiny onesie"), (6, "epsilon zeta eta theta iota kappa. lambda muon")]
