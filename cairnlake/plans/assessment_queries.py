@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..operators import assessment as A
+from ..operators import checks as C
 from ..operators import workflow as W
+from ..sources.catalogue import flatten, packaged
 from ..sources.facts import FACTS_SQL, metric_facts
 from ..sources.tables import table
 from .text_queries import LINES_SQL, _passages
@@ -50,6 +52,28 @@ def check_pattern_context(spark, sf_dir):
     return ranked.withColumn("rank", rank.cast("long")).filter("rank <= 3").select("doc_id", "rank", "passage_id", "relevance")
 
 
+def _tree(code):
+    return [n for n in flatten(packaged()) if n.code == code]
+
+
+def check_tree_patterns(spark, sf_dir):
+    """DOM-7, DOM-6, SRC-7: a catalogue's nested pattern checks over each document's passages."""
+    passages = _passages(spark, sf_dir).select(F.col("doc_id").alias("company_id"), "passage_id", "ordinal", F.col("line").alias("text"), "kind", "section")
+    found = C.evaluate(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("company_id")), _tree("D1"), passages=passages)
+    return found.select("company_id", "element", "status", F.array_join("passages", ",").alias("passages"), F.array_join("context", ",").alias("context"))
+
+
+def check_tree_metrics(spark, sf_dir):
+    """DOM-7, DOM-4, DOM-5: a catalogue's nested metric checks over each company's facts, with what other periods have."""
+    facts = metric_facts(spark, sf_dir).withColumn("metric_id", F.col("passage_id"))
+    found = C.evaluate(_companies(spark, sf_dir), _tree("M1"), facts=facts, period=AFTER)
+    others = F.when(F.col("status") == "missing", F.regexp_extract("note", "values for other periods only: (.*)", 1)).otherwise("")
+    return found.select(
+        "company_id", "element", "status", "weak", F.array_join("passages", ",").alias("passages"), F.array_join("context", ",").alias("context"),
+        F.size("metrics").cast("long").alias("n_metrics"), others.alias("other_periods"),
+    )
+
+
 def requirement_completeness(spark, sf_dir):
     """AGG-5: weighted share of satisfied elements."""
     return _findings(spark, sf_dir).select("company_id", "code", "completeness", "missing")
@@ -220,7 +244,7 @@ _CHECKS = {"check_metric": "metric", "check_metric_period": "metric_period", "ch
 QUERIES = {name: _check(kind) for name, kind in _CHECKS.items()} | {
     f.__name__: f
     for f in (
-        check_pattern_context, requirement_completeness, requirement_status, finding_confidence, review_triggers, findings_status_counts, remediation_priority, dashboard_top_gaps,
+        check_pattern_context, check_tree_patterns, check_tree_metrics, requirement_completeness, requirement_status, finding_confidence, review_triggers, findings_status_counts, remediation_priority, dashboard_top_gaps,
         gap_expansion, action_sync, merge_policy, evidence_links, run_diff, stale_findings,
     )
 }
@@ -230,6 +254,28 @@ ORACLES = {name: f"{_F} SELECT company_id, code, element, status, weak, array_to
   SELECT *, lower(concat_ws(' ', line, section)) AS c FROM passages WHERE kind <> 'heading' AND regexp_matches(line, '(?i)(license|token|password|secret)')
 ), scored AS (SELECT *, contains(c, 'version')::BIGINT + contains(c, 'the')::BIGINT + contains(c, 'de')::BIGINT + contains(c, 'under')::BIGINT AS relevance FROM hits)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY relevance DESC, ordinal) AS rank, passage_id, relevance FROM scored WHERE relevance > 0 QUALIFY rank <= 3""",
+    "check_tree_patterns": rf"""WITH {LINES_SQL}, m AS (
+  SELECT doc_id, ordinal, passage_id, regexp_matches(line, '(?i)licen[sc]e|copyright') AS w, regexp_matches(line, '(?i)version \d') AND regexp_matches(line || ' ' || coalesce(section, ''), '(?i)public|general') AS a,
+    regexp_matches(line, '(?i)password|secret|token') AS b, regexp_matches(line, '(?i)under|with') AS bb, regexp_matches(line, '(?i)mit license|apache') AS c, regexp_matches(line, '(?i)[a-z0-9.]+@[a-z0-9.]+') AS e
+  FROM passages WHERE kind <> 'heading'
+), l AS (SELECT doc_id, {", ".join(f"list(passage_id ORDER BY ordinal) FILTER ({x}) AS {x}" for x in ("w", "a", "b", "bb", "c", "e"))} FROM m GROUP BY doc_id),
+t AS (SELECT d.doc_id, w, e, CASE WHEN a IS NOT NULL THEN a WHEN b IS NOT NULL AND bb IS NOT NULL THEN bb ELSE c END AS x FROM documents d LEFT JOIN l USING (doc_id))
+SELECT doc_id AS company_id, 'terms' AS element, CASE WHEN w IS NULL THEN 'not_applicable' WHEN x IS NULL THEN 'missing' ELSE 'satisfied' END AS status,
+  CASE WHEN w IS NULL OR x IS NULL THEN '' ELSE array_to_string(x[1:3], ',') END AS passages, CASE WHEN w IS NULL THEN '' ELSE array_to_string(w[1:2], ',') END AS context FROM t
+UNION ALL SELECT doc_id, 'contact', CASE WHEN e IS NULL THEN 'missing' ELSE 'satisfied' END, coalesce(array_to_string(e[1:3], ','), ''), '' FROM t""",
+    "check_tree_metrics": f"""WITH {FACTS_SQL}, u AS (
+  SELECT company_id, metric_key AS k, period_label = '{AFTER}' AS here, inferred, passage_id AS p, period_label, (method <> 'table', -confidence_pct, passage_id) AS o FROM facts WHERE NOT base_year
+), l AS (
+  SELECT company_id, list(p ORDER BY o) FILTER (here AND k = 'Brand#2') AS w, list(p ORDER BY o) FILTER (here AND k = 'Brand#9') AS a, list(p ORDER BY o) FILTER (here AND k = 'Brand#4') AS b,
+    list(p ORDER BY o) FILTER (here AND k IN ('Brand#3', 'Brand#5') AND NOT inferred) AS x, list(p ORDER BY o) FILTER (here AND k IN ('Brand#3', 'Brand#5')) AS y,
+    list(p ORDER BY o) FILTER (here AND k = 'Brand#7') AS v, list(p ORDER BY o) FILTER (NOT here AND k = 'Brand#7') AS z, array_to_string(list_sort(list(DISTINCT period_label) FILTER (NOT here AND k = 'Brand#7')), ', ') AS zs
+  FROM u GROUP BY company_id
+), t AS (SELECT s_suppkey AS company_id, l.* EXCLUDE company_id, CASE WHEN a IS NOT NULL THEN a WHEN x IS NOT NULL THEN x[1:1] WHEN b IS NOT NULL THEN b ELSE y[1:1] END AS d FROM supplier LEFT JOIN l ON company_id = s_suppkey)
+SELECT company_id, 'detail' AS element, CASE WHEN w IS NULL THEN 'not_applicable' WHEN d IS NULL THEN 'missing' ELSE 'satisfied' END AS status, coalesce(w IS NOT NULL AND d IS NOT NULL AND a IS NULL AND x IS NULL, false) AS weak,
+  CASE WHEN w IS NULL OR d IS NULL THEN '' ELSE array_to_string(d[1:3], ',') END AS passages, coalesce(array_to_string(w[1:2], ','), '') AS context,
+  CASE WHEN w IS NULL OR d IS NULL THEN 0 ELSE least(5, len(d)) END::BIGINT AS n_metrics, '' AS other_periods FROM t
+UNION ALL SELECT company_id, 'value', CASE WHEN v IS NULL THEN 'missing' ELSE 'satisfied' END, false, coalesce(array_to_string(v[1:3], ','), array_to_string(z[1:2], ','), ''), '', least(5, coalesce(len(v), 0))::BIGINT,
+  CASE WHEN v IS NULL THEN coalesce(zs, '') ELSE '' END FROM t""",
     "requirement_completeness": f"{_F} SELECT company_id, code, completeness, missing FROM findings",
     "requirement_status": f"{_F} SELECT company_id, code, status FROM findings",
     "finding_confidence": f"{_F} SELECT company_id, code, confidence FROM findings",
