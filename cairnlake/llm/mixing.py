@@ -4,7 +4,8 @@ Each source gets a target of words: its weight's share of all words, at most `MO
 over being shared again by weight. Document rates minimise the entropy sum of w (r log r - r), w = size + mean size,
 under one token constraint a source, sum of r * size = target, and 0 <= r <= MOST_REPEATS. The dual is convex with one
 variable a source: r = min(MOST_REPEATS, exp(tilt * size / (size + mean size))). Newton steps on it are aggregations
-over (source, size) counts, which hold a row for each distinct size of a source, not for each document.
+over (source, size) counts, which hold a row for each distinct size of a source, not for each document. The sources' numbers are a
+table too, so that there may be as many sources as documents.
 
 Rates are rounded to whole copies by a hash of the id, then the copies nearest to rounding otherwise are moved up or
 down until the source's words meet its target; that cut is found by two rounds of histograms, so no source is ever
@@ -16,17 +17,15 @@ sources without words have target 0; an empty table gives no rows; repeated rows
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, unit_interval
+from ..operators.ranking import global_rank
+from .common import discard, materialise, unit_interval
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_REPEATS = 3
-#: Sources are a mixture's components: their table is broadcast and their duals are solved side by side.
-MOST_SOURCES = 100_000
 STEPS, TOLERANCE = 40, 1e-7
 SEED = 271828
 COARSE, FINE = 1 << 10, 1 << 20
@@ -36,86 +35,85 @@ def word_count(text: F.Column) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def targets(sizes: np.ndarray, weights: np.ndarray, most: float = MOST_REPEATS) -> np.ndarray:
-    """All of the words shared by weight; none above `most` times its size, the excess shared again."""
-    out, left, free = np.zeros(len(sizes)), float(sizes.sum()), sizes > 0
-    while free.any() and left > 0:
-        share = left * weights / weights[free].sum()
-        over = free & (share >= most * sizes)
-        if not over.any():
-            out[free] = share[free]
-            break
-        out[over] = most * sizes[over]
-        left -= out[over].sum()
-        free &= ~over
-    return out
-
-
 def _tilted(tilt: str, mean: str, full: str) -> F.Column:
     size = F.col("__mix_size")
     rate = F.exp(F.col(tilt) * size / (size + F.col(mean)))
     return F.when(F.col(full), F.lit(float(MOST_REPEATS))).otherwise(F.least(F.lit(float(MOST_REPEATS)), F.coalesce(rate, F.lit(1.0))))
 
 
-def _solve(counts: DataFrame, size: np.ndarray, mean: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Tilts by safeguarded Newton steps; each step is one aggregation with the sources' few numbers broadcast."""
-    spark = counts.sparkSession
-    full = goal >= MOST_REPEATS * size * (1 - 1e-12)
-    tilt, low, high = np.zeros(len(size)), np.full(len(size), -np.inf), np.full(len(size), np.inf)
-    open_ = ~full & (goal > 0)
+def _targets(sources: DataFrame) -> DataFrame:
+    """Adds __mix_target to (__mix_words, __mix_weight) rows: all words shared by weight, none above MOST_REPEATS times its own.
+
+    A source is full where level * weight reaches that; a rising level is found by one sum over the sources a step.
+    """
+    most = MOST_REPEATS * F.col("__mix_words")
+    able, total = F.col("__mix_words") > 0, None
+    level = None
+    while True:
+        full = able & (F.lit(level) * F.col("__mix_weight") >= most) if level is not None else F.lit(False)
+        held, free, words = sources.agg(F.sum(F.when(full, most)), F.sum(F.when(able & ~full, F.col("__mix_weight"))), F.sum("__mix_words")).first()
+        total = words or 0
+        rising = (total - (held or 0)) / free if free else level
+        if level is not None and rising is not None and rising <= level or not free:
+            break
+        level = rising
+    share = F.lit(level) * F.col("__mix_weight") if level is not None else F.lit(0.0)
+    return sources.withColumn("__mix_target", F.when(able, F.least(share, most.cast("double"))).otherwise(0.0))
+
+
+def _tilts(counts: DataFrame, sources: DataFrame) -> DataFrame:
+    """Adds __mix_tilt and __mix_full by safeguarded Newton steps on the dual, which has one variable a source.
+
+    The state of all sources is a table; a step is one join with the (source, size) counts and one aggregation by source.
+    """
+    endless = float("inf")
+    full = F.col("__mix_target") >= MOST_REPEATS * F.col("__mix_words") * (1 - 1e-12)
+    state = sources.withColumns({"__mix_full": full, "__mix_tilt": F.lit(0.0), "low": F.lit(-endless), "high": F.lit(endless)})
+    state = materialise(state.withColumn("open", ~full & (F.col("__mix_target") > 0)), "mix-state")
+    z = F.col("__mix_size") / (F.col("__mix_size") + F.col("__mix_mean"))
+    rate = _tilted("__mix_tilt", "__mix_mean", "__mix_full")
+    words = F.col("__mix_size") * F.col("n") * rate
     for _ in range(STEPS):
-        if not open_.any():
+        if not state.filter("open").limit(1).count():
             break
-        state = spark.createDataFrame([(int(k), float(tilt[k]), float(mean[k]), False) for k in np.flatnonzero(open_)], "__mix_source int, t double, m double, f boolean")
-        rate = _tilted("t", "m", "f")
-        z = F.col("__mix_size") / (F.col("__mix_size") + F.col("m"))
-        words = F.col("__mix_size") * F.col("n") * rate
-        found = (
-            counts.join(F.broadcast(state), "__mix_source")
-            .groupBy("__mix_source")
-            .agg(F.sum(words).alias("w"), F.sum(F.when(rate < MOST_REPEATS, words * z).otherwise(0.0)).alias("d"))
-            .collect()
-        )
-        for k, w, d in found:
-            if abs(w - goal[k]) <= TOLERANCE * goal[k]:
-                open_[k] = False
-                continue
-            low[k], high[k] = (max(low[k], tilt[k]), high[k]) if w < goal[k] else (low[k], min(high[k], tilt[k]))
-            step = tilt[k] - (np.log(w) - np.log(goal[k])) * w / d if d > 0 and w > 0 else np.nan
-            if not low[k] < step < high[k]:
-                step = (low[k] + high[k]) / 2 if np.isfinite(low[k] + high[k]) else low[k] + 8 if w < goal[k] else high[k] - 8
-            tilt[k] = step
-    return np.round(tilt, 6), full  # sums of doubles differ by their order: what is used doesn't
+        going = state.filter("open").select("__mix_source", "__mix_tilt", "__mix_mean", "__mix_full")
+        sums = counts.join(going, "__mix_source").groupBy("__mix_source").agg(F.sum(words).alias("w"), F.sum(F.when(rate < MOST_REPEATS, words * z).otherwise(0.0)).alias("d"))
+        both = state.join(sums, "__mix_source", "left")
+        w, d, goal, tilt = (F.col(c) for c in ("w", "d", "__mix_target", "__mix_tilt"))
+        close = F.abs(w - goal) <= TOLERANCE * goal
+        both = both.withColumn("open", F.col("open") & ~F.coalesce(close, F.lit(False)))
+        both = both.withColumns({"low": F.when(F.col("open") & (w < goal), F.greatest("low", tilt)).otherwise(F.col("low")), "high": F.when(F.col("open") & (w >= goal), F.least("high", tilt)).otherwise(F.col("high"))})
+        step = F.when((d > 0) & (w > 0), tilt - (F.log(w) - F.log(goal)) * w / d)
+        middle = F.when((F.col("low") > -endless) & (F.col("high") < endless), (F.col("low") + F.col("high")) / 2).when(w < goal, F.col("low") + 8).otherwise(F.col("high") - 8)
+        moved = F.when((step > F.col("low")) & (step < F.col("high")), step).otherwise(middle)
+        before = state
+        state = materialise(both.withColumn("__mix_tilt", F.when(F.col("open"), moved).otherwise(tilt)).drop("w", "d"), "mix-state")
+        discard(before)
+    # sums of doubles differ by their order: what is used doesn't
+    return state.withColumn("__mix_tilt", F.round("__mix_tilt", 6)).drop("low", "high", "open", "__mix_weight")
 
 
 def solve(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame | None:
     """One row a source: its numbers, tilt and rounding cut. `sized` has __mix_name, __mix_size and __mix_u."""
-    spark = sized.sparkSession
     by_size = materialise(sized.groupBy("__mix_name", "__mix_size").agg(F.count("*").alias("n")), "mix-sizes")
-    totals = by_size.groupBy("__mix_name").agg(F.sum(F.col("__mix_size") * F.col("n")).alias("w"), F.sum("n").alias("n"))
-    rows = totals.limit(MOST_SOURCES + 1).collect()
-    if len(rows) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    if not rows:
+    totals = by_size.groupBy("__mix_name").agg(F.sum(F.col("__mix_size") * F.col("n")).alias("__mix_words"), F.sum("n").alias("__mix_docs"))
+    ranked = global_rank(totals, F.asc_nulls_last("__mix_name"), name="__mix_source")  # by code point
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("__mix_source") - 1, F.lit(len(weights))) + 1).cast("int"))
+    mean = F.greatest(F.col("__mix_words") / F.col("__mix_docs"), F.lit(1.0))
+    sources = materialise(ranked.withColumns({"__mix_weight": weight, "__mix_mean": mean}).drop("__mix_docs"), "mix-sources")
+    if not sources.limit(1).count():
         return None
-    rows.sort(key=lambda r: (r["__mix_name"] is None, r["__mix_name"] or ""))  # by code point, null last
-    size = np.array([r["w"] for r in rows], dtype=float)
-    mean = np.maximum(size / np.array([r["n"] for r in rows]), 1.0)
-    goal = targets(size, np.array([weights[k % len(weights)] for k in range(len(rows))], dtype=float))
-    names = spark.createDataFrame([(k, r["__mix_name"]) for k, r in enumerate(rows)], "__mix_source int, __mix_name string")
-    counts = by_size.join(F.broadcast(names), by_size["__mix_name"].eqNullSafe(names["__mix_name"])).select("__mix_source", "__mix_size", "n")
-    tilt, full = _solve(counts, size, mean, goal)
-    state = spark.createDataFrame(
-        [(k, r["__mix_name"], int(size[k]), float(goal[k]), float(mean[k]), float(tilt[k]), bool(full[k])) for k, r in enumerate(rows)],
-        "__mix_source int, __mix_name string, __mix_words long, __mix_target double, __mix_mean double, __mix_tilt double, __mix_full boolean",
-    )
-    return _cuts(sized, state)
+    names = sources.select("__mix_source", F.col("__mix_name").alias("__mix_key"))
+    counts = by_size.join(names, F.col("__mix_name").eqNullSafe(F.col("__mix_key"))).select("__mix_source", "__mix_size", "n")
+    counts = materialise(counts, "mix-counts")
+    discard(by_size)
+    return _cuts(sized, _tilts(counts, _targets(sources)))
 
 
 def _rounded(sized: DataFrame, state: DataFrame) -> DataFrame:
-    """Adds the rate and its first rounding. `state` is a row a source, bounded by MOST_SOURCES."""
+    """Adds the rate and its first rounding. `state` is a row a source; Spark broadcasts it where it is small."""
     small = state.withColumnRenamed("__mix_name", "__mix_key")
-    joined = sized.join(F.broadcast(small), sized["__mix_name"].eqNullSafe(small["__mix_key"])).drop("__mix_key")
+    joined = sized.join(small, sized["__mix_name"].eqNullSafe(small["__mix_key"])).drop("__mix_key")
     value = F.col("__mix_rate") + F.col("__mix_u")
     return (
         joined.withColumn("__mix_rate", _tilted("__mix_tilt", "__mix_mean", "__mix_full"))
@@ -141,7 +139,7 @@ def _cuts(sized: DataFrame, state: DataFrame) -> DataFrame:
     state = state.withColumns({"__mix_up": F.lit(True), "__mix_need": F.lit(0.0)})
     took = _rounded(sized, state).groupBy("__mix_source").agg(F.sum(F.col("__mix_floor") * F.col("__mix_size")).alias("took"))
     state = materialise(
-        state.join(F.broadcast(took), "__mix_source", "left").withColumns({
+        state.join(took, "__mix_source", "left").withColumns({
             "__mix_up": F.coalesce(F.col("took"), F.lit(0)) < F.col("__mix_target"),
             "__mix_need": F.abs(F.col("__mix_target") - F.coalesce(F.col("took"), F.lit(0))),
         }).drop("took"),
@@ -157,12 +155,12 @@ def _cuts(sized: DataFrame, state: DataFrame) -> DataFrame:
         .groupBy("__mix_source")
         .agg(F.max("__mix_coarse").alias("__mix_edge"), F.max_by(F.col("__mix_need") - (F.col("upto") - F.col("w")), "__mix_coarse").alias("__mix_rest"))
     )
-    state = materialise(state.join(F.broadcast(edge), "__mix_source", "left"), "mix-edge")
+    state = materialise(state.join(edge, "__mix_source", "left"), "mix-edge")
     within = _rounded(sized, state).withColumns({"__mix_coarse": coarse, "__mix_fine": fine}).filter(F.col("__mix_coarse") == F.col("__mix_edge"))
     sums = within.groupBy("__mix_source", "__mix_fine", "__mix_rest").agg(F.sum("__mix_size").alias("w"))
     upto = F.sum("w").over(Window.partitionBy("__mix_source").orderBy("__mix_fine"))  # FINE rows a source at most
     cut = sums.withColumn("upto", upto).filter(F.col("upto") - F.col("w") / 2 <= F.col("__mix_rest")).groupBy("__mix_source").agg(F.max("__mix_fine").alias("__mix_cut"))
-    return materialise(state.join(F.broadcast(cut), "__mix_source", "left"), "mix-cut")
+    return materialise(state.join(cut, "__mix_source", "left"), "mix-cut")
 
 
 def _copies(sized: DataFrame, state: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from cairnlake.llm import registry
 from cairnlake.llm.components import components
-from cairnlake.llm.mixing import MOST_REPEATS, mix, mix_plan, targets
+from cairnlake.llm.mixing import MOST_REPEATS, _targets, mix, mix_plan
 from cairnlake.llm.near_duplicates import REGISTERS, _may_link, classes, keep_one_each, shingles, signatures
 from cairnlake.llm.sharding import shard_documents, split
 from cairnlake.llm.warc import candidates, read_archives, records, write_archives
@@ -23,11 +23,43 @@ from .helpers import DOCS, PROSE, SPACE_WORDS, awkward, clashing, docs_frame, lo
 # --- mixing
 
 
+def targets(sizes, weights, most=MOST_REPEATS):
+    """All of the words shared by weight; none above `most` times its size, the excess shared again."""
+    out, left, free = np.zeros(len(sizes)), float(sizes.sum()), sizes > 0
+    while free.any() and left > 0:
+        share = left * weights / weights[free].sum()
+        over = free & (share >= most * sizes)
+        if not over.any():
+            out[free] = share[free]
+            break
+        out[over] = most * sizes[over]
+        left -= out[over].sum()
+        free &= ~over
+    return out
+
+
 def test_targets_share_all_words_and_stop_at_the_cap():
     found = targets(np.array([100.0, 1000.0, 10.0, 0.0]), np.array([5.0, 2.0, 1.0, 5.0]))
     assert found[0] == 300 and found[2] == 30 and found[3] == 0 and found.sum() == pytest.approx(1110)
 
 
+def test_targets_of_tables(spark):
+    rng = random.Random(7)
+    for n in (1, 2, 5, 60):
+        rows = [(rng.choice([0, 1, 10, 1000, 100_000]), rng.choice([5.0, 2.0, 1.0])) for _ in range(n)]
+        found = [r["__mix_target"] for r in _targets(spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, __mix_words long, __mix_weight double")).orderBy("k").collect()]
+        assert found == pytest.approx(targets(np.array([r[0] for r in rows], dtype=float), np.array([r[1] for r in rows])), rel=1e-9)
+
+
+def test_as_many_sources_as_documents(spark):
+    """200,000 sources; each has one document, and all words are shared out."""
+    docs = spark.range(200_000).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', int(id % 5))").alias("text"), F.format_string("s%06d", "id").alias("source"))
+    found = mix_plan(docs).toPandas()
+    assert len(found) == 200_000 and (found["copies"] <= 3).all()
+    assert found["target"].sum() == pytest.approx(found["size"].sum(), rel=1e-6)
+    assert ((found["copies"] * found["size"] - found["target"]).abs() <= found["size"]).all()
+
+
 def test_mix_query_meets_targets(spark, sf_dir):
     rows = registry.QUERIES["op1_mix_sources"](spark, sf_dir).toPandas()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").toPandas()
