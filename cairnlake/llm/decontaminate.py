@@ -187,7 +187,8 @@ def _by_join(docs: DataFrame, items: DataFrame, text: str, keep: list[str], n: i
 
         return rows_of
 
-    windows = materialise(_window_rows(items.filter("t is not null").select("item", "t"), schema, of_item).distinct(), "leak-windows")
+    held_by = materialise(_window_rows(items.filter("t is not null").select("item", "t"), schema, of_item).distinct(), "leak-items")
+    windows = materialise(held_by.select("size", "hash", "words").distinct(), "leak-windows")  # each once, whatever items share it
     sizes = [r["size"] for r in windows.select("size").distinct().collect()]  # at most n
     slot = F.pmod("hash", F.lit(BITS)) + 1  # the functions count from 1
     rows = windows.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits")).collect()
@@ -196,7 +197,7 @@ def _by_join(docs: DataFrame, items: DataFrame, text: str, keep: list[str], n: i
         start = (bucket - 1) * 4096
         table[start : start + len(bits)] = np.frombuffer(bits, dtype=np.uint8)
     held = spark.sparkContext.broadcast(table)
-    found = T.StructType([T.StructField("digest", T.StringType()), T.StructField("at", T.LongType()), *schema.fields[1:]])
+    found = T.StructType([T.StructField("digest", T.StringType()), T.StructField("places", T.ArrayType(T.LongType())), *schema.fields[1:]])
 
     def of_document():
         bits = held.value
@@ -207,18 +208,23 @@ def _by_join(docs: DataFrame, items: DataFrame, text: str, keep: list[str], n: i
             for size in sizes:
                 grams = _grams(hashes, size)
                 place = (grams.view(np.int64) % BITS).astype(np.int64)
-                for at in np.flatnonzero((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1):
-                    out.append((digest, int(at), size, int(grams[at].view(np.int64)), b" ".join(words[at : at + size])))
+                at = np.flatnonzero((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1)
+                at = at[np.argsort(grams[at], kind="stable")]
+                for same in np.split(at, np.flatnonzero(np.diff(grams[at].view(np.int64))) + 1) if len(at) else ():
+                    out.append((digest, same.tolist(), size, int(grams[same[0]].view(np.int64)), b" ".join(words[same[0] : same[0] + size])))
             return out
 
         return rows_of
 
     own = F.col(f"`{text}`").cast("string")
+    # a row for each different window of a text, with all its places: a frequent one is a row a document
     likely = _window_rows(docs.select(_digest(own).alias("digest"), own.alias("t")).filter("t is not null"), found, of_document)
-    hits = likely.join(windows, ["hash", "size", "words"]).select("digest", "at", (F.col("at") + F.col("size")).alias("end"), "item")
-    ranges = F.array_sort(F.collect_set(F.struct(F.col("at").alias("start"), F.col("end"))))
-    per = materialise(hits.groupBy("digest").agg(ranges.alias("ranges"), F.array_sort(F.collect_set("item")).alias("hit_items")), "leak-hits")
-    discard(windows)
+    hits = materialise(likely.join(windows, ["hash", "size", "words"]).distinct(), "leak-found")  # copies of a text are one
+    places = hits.select("digest", "size", F.explode_outer("places").alias("start")).select("digest", F.struct("start", (F.col("start") + F.col("size")).alias("end")).alias("r"))
+    ranges = places.groupBy("digest").agg(F.array_sort(F.collect_set("r")).alias("ranges"))
+    named = hits.select("digest", "size", "hash", "words").join(held_by, ["size", "hash", "words"]).groupBy("digest").agg(F.array_sort(F.collect_set("item")).alias("hit_items"))
+    per = materialise(ranges.join(named, "digest", "left"), "leak-hits")
+    discard(windows, held_by, hits)
     one = F.struct(F.lit(-1).cast("long").alias("start"), F.lit(-1).cast("long").alias("end"))
     start = F.struct(F.array().cast(RANGES).alias("out"), one.alias("last"))
 
@@ -230,7 +236,9 @@ def _by_join(docs: DataFrame, items: DataFrame, text: str, keep: list[str], n: i
     merged = F.aggregate("ranges", start, step, lambda acc: F.concat(acc["out"], F.array(acc["last"])))
     per_text = per.select(F.col("digest").alias("__digest"), merged.alias("hit_ranges"), "hit_items")
     fresh = [c for c in keep if c not in ("n_words", "hit_ranges", "hit_items")]
-    counted = scan_texts(docs.select(own.alias("__own"), _digest(own).alias("__digest"), *[F.col(f"`{c}`") for c in fresh]), "__own", ["__digest", *fresh], [T.StructField("n_words", T.LongType())], lambda: lambda texts: [[len(_words(x)) for x in texts]])
+    # texts without a word can't be hit: each has a key of its own, so that they aren't all one
+    key = F.when(F.coalesce(F.length(own), F.lit(0)) == 0, F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"))).otherwise(_digest(own))
+    counted = scan_texts(docs.select(own.alias("__own"), key.alias("__digest"), *[F.col(f"`{c}`") for c in fresh]), "__own", ["__digest", *fresh], [T.StructField("n_words", T.LongType())], lambda: lambda texts: [[len(_words(x)) for x in texts]])
     joined = counted.join(per_text, "__digest", "left").drop("__digest")
     none = F.array().cast("array<string>")
     result = joined.select(*[F.col(f"`{c}`") for c in fresh], "n_words", F.coalesce("hit_ranges", F.array().cast(RANGES)).alias("hit_ranges"), F.coalesce("hit_items", none).alias("hit_items"))

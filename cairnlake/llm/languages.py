@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, scan_texts, slices, unit_interval
+from .common import discard, materialise, mix64, slices, unit_interval
 
 #: Labelled rows of each language that are learned from: about this many, chosen by a hash of their id.
 FIT_ROWS = 4_000
@@ -30,6 +30,8 @@ GRAMS, SLOTS, LOOKUPS = 20_000, 1 << 20, 3
 SIZES = (3, 4)
 #: Languages a plane of the filter; each plane has a 64-bit word a slot (8 MB).
 PLANE = 64
+#: Languages that are learned, the most frequent ones, and those of one filter (64 MB).
+MOST_LANGUAGES, A_PASS = 1024, 512
 SEED = 8128
 _ODD = (np.random.default_rng(SEED).integers(1 << 62, size=8, dtype=np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
 
@@ -90,28 +92,18 @@ class Filter:
         counts = np.array([np.count_nonzero(masks[k // PLANE] & np.uint64(1 << k % PLANE)) for k in range(len(self.languages))], dtype=float)
         return np.maximum(0, (counts - len(hashes) * self.false_rate) / (1 - self.false_rate))
 
-    def predict(self, data: bytes | None) -> tuple[str, float]:
-        hashes = grams(data)
-        if not len(hashes) or not self.languages:
-            return "und", 0.0
-        counts = self.hits(hashes)
-        best = int(np.argmax(counts))  # languages are in the order that ties take
-        total = counts.sum()
-        return self.languages[best], float(counts[best] / total) if total > 0 else 0.0
 
+def learn(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", most: int = FIT_ROWS) -> list[Filter]:
+    """Filters of the MOST_LANGUAGES most frequent languages, A_PASS of them each, from about `most` rows of each language.
 
-def learn(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", most: int = FIT_ROWS) -> Filter:
-    """A filter from about `most` rows of each language; it grows by a plane for each PLANE languages.
-
-    Languages are counted first. Tasks send summed n-gram counts; at most GRAMS a language reach the driver.
+    These bounds are those of the labelled sample that is learned from: rows of rarer labels aren't in it. Languages are counted first,
+    and the sample's rows are chosen by a join with the counts. Tasks send summed n-gram counts; at most GRAMS a language reach the driver.
     """
     known = docs.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{lang}`").cast("string").alias("__lang"), F.col(f"`{text}`").alias("__t")).dropna(subset=["__id", "__lang"])
-    sizes = {r["__lang"]: r["count"] for r in known.groupBy("__lang").count().collect()}
-    languages = sorted(sizes, key=lambda x: (-sizes[x], x))
-    if not languages:
-        return Filter([], [])
-    share = F.create_map(*[F.lit(x) for k in languages for x in (k, most / sizes[k])])
-    chosen = known.filter(unit_interval("__id", seed=SEED) < share[F.col("__lang")])
+    sizes = known.groupBy("__lang").agg(F.count("*").alias("__n")).orderBy(F.desc("__n"), "__lang").limit(MOST_LANGUAGES)
+    sizes = materialise(sizes, "language-sizes")
+    languages = [r["__lang"] for r in sizes.orderBy(F.desc("__n"), "__lang").collect()]  # MOST_LANGUAGES at most
+    chosen = known.join(sizes, "__lang").filter(unit_interval("__id", seed=SEED) < F.lit(float(most)) / F.col("__n"))
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())])
 
     def count(batches):
@@ -126,24 +118,47 @@ def learn(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
 
     summed = chosen.select("__lang", "__t").mapInArrow(count, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    top = summed.withColumn("rank", rank).filter(F.col("rank") <= GRAMS).select("lang", "gram").toPandas()
-    return Filter(languages, [top.loc[top["lang"] == k, "gram"].to_numpy(dtype=np.int64).view(np.uint64) for k in languages])
-
-
-def identify(docs: DataFrame, trained: Filter, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """`keep` (default: all columns), lang_pred and score. One pass, no shuffle; the filter is 8 MB for each PLANE languages."""
-    held = docs.sparkSession.sparkContext.broadcast(trained)
-
-    def make():
-        def work(texts):
+    top = materialise(summed.withColumn("rank", rank).filter(F.col("rank") <= GRAMS).select("lang", "gram"), "language-grams")
+    filters = []
+    for k in range(0, len(languages), A_PASS):
+        some = languages[k : k + A_PASS]
+        found = top.filter(F.col("lang").isin(some)).toPandas()
+        per = dict(iter(found.groupby("lang")["gram"]))
+        filters.append(Filter(some, [per[x].to_numpy(dtype=np.int64).view(np.uint64) if x in per else np.empty(0, dtype=np.uint64) for x in some]))
+    discard(sizes, top)
+    return filters
+
+
+def identify(docs: DataFrame, trained: list[Filter], *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """`keep` (default: all columns), lang_pred and score. No shuffle; a filter of up to 8 * A_PASS / PLANE MB is broadcast for each
+    A_PASS languages, and texts run through them one after the other, with the best language so far and the sum of all hits."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
+    state = [T.StructField("__lang", T.StringType()), T.StructField("__best", T.DoubleType()), T.StructField("__sum", T.DoubleType())]
+    row = F.struct(F.lit(0).alias("__none"), *[F.col(f"`{c}`") for c in keep]).alias("__row")
+    found = docs.select(F.col(f"`{text}`").cast("string").alias("__words_of"), row, F.lit("und").alias("__lang"), F.lit(0.0).alias("__best"), F.lit(0.0).alias("__sum"))
+    for part in trained:
+        held = docs.sparkSession.sparkContext.broadcast(part)
+        schema = found.schema
+
+        def run(batches, held=held, schema=schema):
             own = held.value
-            found = [own.predict(x) for x in texts]
-            return [[x for x, _ in found], [s for _, s in found]]
-
-        return work
-
-    fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    return scan_texts(docs, text, docs.columns if keep is None else keep, fields, make)
+            for batch in (part for whole in batches for part in slices(whole, 0)):
+                out = []
+                for data, lang, best, total in zip(batch.column(0).cast(pa.binary()).to_pylist(), *[batch.column(k).to_pylist() for k in (2, 3, 4)], strict=True):
+                    hashes = grams(data)
+                    if len(hashes):
+                        counts = own.hits(hashes)
+                        k = int(np.argmax(counts))  # languages are in the order that ties take
+                        if lang == "und" or counts[k] > best:
+                            lang, best = own.languages[k], float(counts[k])
+                        total += float(counts.sum())
+                    out.append((lang, best, total))
+                columns = zip(*out, strict=True) if out else ((), (), ())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.float64(), pa.float64()), strict=True)]], names=schema.names)
+
+        found = found.mapInArrow(run, T.StructType([schema["__words_of"], schema["__row"], *state]))
+    score = F.when(F.col("__sum") > 0, F.col("__best") / F.col("__sum")).otherwise(0.0)
+    return found.select(*[F.col("__row")[c].alias(c) for c in keep], F.col("__lang").alias("lang_pred"), score.alias("score"))
 
 
 def op6_language_id(spark, sf_dir: str) -> DataFrame:

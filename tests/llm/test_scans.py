@@ -1,16 +1,19 @@
 """Operators that read each text once: token counts, quality, secrets, licenses, languages, decontamination."""
 
+import collections
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cairnlake.llm import registry
+from cairnlake.llm import decontaminate, registry
 from cairnlake.llm.automaton import Dfa, Scanner, parse
 from cairnlake.llm.decontaminate import contamination, n_hit, remove_documents, remove_spans
+from cairnlake.llm import languages
 from cairnlake.llm.languages import Filter, grams, identify, learn
 from cairnlake.llm.licenses import BASE as LICENSE_BASE
 from cairnlake.llm.licenses import license_matches
@@ -232,6 +235,51 @@ def brute_language(text, trained):
     return counts
 
 
+def predict(trained, data):
+    hashes = grams(data)
+    counts = trained.hits(hashes)
+    return (trained.languages[int(np.argmax(counts))], 0.0) if len(hashes) else ("und", 0.0)
+
+
+def test_passes_and_stray_labels(spark, monkeypatch):
+    """5,000 labels: the filter holds the most frequent ones, in several passes that give what one gives."""
+    words = {k: "".join(chr(97 + (k * 7 + j * j) % 26) for j in range(40)) for k in range(9)}
+    rows = [(k, f"{words[k % 9]} {words[k % 9][::-1]}", f"l{k % 9}", "s", 1) for k in range(180)] + [(1000 + k, f"stray {k}", f"x{k}", "s", 1) for k in range(5000)]
+    docs = docs_frame(spark, rows)
+    monkeypatch.setattr(languages, "MOST_LANGUAGES", 9)
+    one = {r["doc_id"]: (r["lang_pred"], round(r["score"], 9)) for r in identify(docs, learn(docs), keep=["doc_id"]).collect()}
+    monkeypatch.setattr(languages, "A_PASS", 2)
+    trained = learn(docs)
+    assert [len(f.languages) for f in trained] == [2, 2, 2, 2, 1]
+    assert {r["doc_id"]: (r["lang_pred"], round(r["score"], 9)) for r in identify(docs, trained, keep=["doc_id"]).collect()} == one
+    assert all(one[k][0] == f"l{k % 9}" for k in range(180)) and len(one) == 5180
+    assert identify(clashing(docs), trained).columns == [*clashing(docs).columns[:5], *[c for c in clashing(docs).columns[5:] if c != "score"], "lang_pred", "score"]
+
+
+def test_language_query_against_exact_sets(spark, sf_dir):
+    """The query with sets of n-grams in place of the filter: the same languages but where hits are nearly equal."""
+    docs = [r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    known = [r for r in docs if r["lang"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5]
+    assert len(known) < languages.FIT_ROWS  # the sample holds every row
+    counts = {}
+    for r in known:
+        counts.setdefault(r["lang"], collections.Counter()).update(grams((r["text"] or "").encode()).tolist())
+    top = {lang: {g for g, _ in sorted(c.items(), key=lambda x: (-x[1], np.uint64(x[0]).view(np.int64)))[: languages.GRAMS]} for lang, c in counts.items()}
+    found = {r["doc_id"]: r for r in registry.QUERIES["op6_language_id"](spark, sf_dir).collect()}
+    differ = 0
+    for r in docs:
+        own = grams((r["text"] or "").encode()).tolist()
+        hits = {lang: sum(g in held for g in own) for lang, held in top.items()}
+        want = max(hits.values()) if own else 0
+        assert found[r["doc_id"]]["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+        if not own:
+            assert found[r["doc_id"]]["lang_pred"] == "und"
+        elif hits[found[r["doc_id"]]["lang_pred"]] < want:
+            differ += 1
+            assert hits[found[r["doc_id"]]["lang_pred"]] >= want - 2 - len(own) // 50
+    assert differ <= len(docs) // 100
+
+
 def test_language_filter_against_sets(spark, sf_dir):
     """Each n-gram's languages by the bit-sliced filter are those of plain sets, but for the false positives it corrects."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text is not null and lang is not null")
@@ -242,7 +290,7 @@ def test_language_filter_against_sets(spark, sf_dir):
     for r in rows[80:]:
         want, found = brute_language(r["text"], sets), trained.hits(grams(r["text"].encode()))
         assert np.abs(found - want).max() <= 1 + 0.01 * len(grams(r["text"].encode()))
-        assert sum(want) == 0 or trained.predict(r["text"].encode())[0] in {names[k] for k, n in enumerate(want) if n >= max(want) - 2}
+        assert sum(want) == 0 or predict(trained, r["text"].encode())[0] in {names[k] for k, n in enumerate(want) if n >= max(want) - 2}
 
 
 def test_more_languages_than_bits_of_a_word():
@@ -250,7 +298,7 @@ def test_more_languages_than_bits_of_a_word():
     words = [f"zz{k:03}qq" for k in range(150)]
     texts = [" ".join([w.translate(str.maketrans("0123456789", "abcdefghij"))] * 3) for w in words]
     trained = Filter(names, [np.unique(grams(t.encode())) for t in texts])
-    assert [trained.predict(t.encode())[0] for t in texts] == names
+    assert [predict(trained, t.encode())[0] for t in texts] == names
 
 
 def test_language_cases(spark):
@@ -304,6 +352,17 @@ def test_contamination_by_join_is_the_same(spark, monkeypatch):
     assert contamination(docs_frame(spark, []), items).count() == 0
 
 
+def test_a_word_that_most_documents_hold(spark, monkeypatch):
+    """One-word items, shared by several: each document has a row a window, and both ways give the same."""
+    rows = [(k, f"the cat {k} the dog the the " * (1 + k % 3) + "end", "en", "s", 1) for k in range(300)] + [(900 + k, t, None, None, None) for k, t in enumerate(["", None, "  ", "The", "x"] * 20)]
+    docs = docs_frame(spark, rows)
+    items = spark.createDataFrame([(1, "the"), (2, "The!"), (3, "the cat"), (4, "dog"), (5, None), (6, "nowhere at all")], "item_id long, text string")
+    want = sorted(map(str, contamination(docs, items, keep=["doc_id"]).collect()))
+    monkeypatch.setattr(decontaminate, "MOST_BROADCAST", 0)
+    found = contamination(docs, items, keep=["doc_id"])
+    assert sorted(map(str, found.collect())) == want and found.filter("size(hit_items) = 4").count() == 300
+
+
 def test_removal(spark):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     docs = clashing(docs_frame(spark))
