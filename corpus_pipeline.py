@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnlake.llm.common import materialise
+from cairnlake.llm.common import discard, materialise
 from cairnlake.llm.decontaminate import remove_documents
 from cairnlake.llm.mixing import mix
 from cairnlake.llm.near_duplicates import keep_one_each
@@ -59,5 +59,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(before)  # the next stages read only what is written now; the given table isn't ours to delete and stays
     return STAGES[-1][1](spark, docs, sf_dir)
