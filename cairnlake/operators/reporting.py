@@ -80,36 +80,94 @@ def export_rows(rows: DataFrame, *, requirement_set: str, run_id: Column, method
     )
 
 
-def evidence_package(rows: DataFrame, elements: DataFrame, links: DataFrame, reviews: DataFrame) -> DataFrame:
-    """A JSON document per company: its findings in order, each with elements, evidence and reviews, then the limitations."""
+def _evidence(links: DataFrame, passages: DataFrame) -> DataFrame:
+    """Per finding its evidence in the order of rank, each with its passage's document, page and text; links to unknown passages go."""
+    known = links.join(passages.select("passage_id", "document_id", "page", "text"), "passage_id")
+    return known.groupBy("company_id", "code").agg(F.array_sort(F.collect_list(F.struct("rank", "role", F.col("elements").alias("element_keys"), "passage_id", "document_id", "page", "text"))).alias("evidence"))
+
+
+def finding_trails(rows: DataFrame, elements: DataFrame, links: DataFrame, passages: DataFrame, reviews: DataFrame, actions: DataFrame, history: DataFrame) -> DataFrame:
+    """One row a finding: company_id, code and its trail as JSON: finding, elements, evidence with texts, passages that elements cite
+    without being linked, reviews by seq, actions by priority, and the last twelve runs.
+
+    `history` has company_id, code, run_id, status, completeness and created_at. The cited but unlinked passages are an array
+    difference within the finding; only those are looked up besides the linked ones.
+    """
+    keys = ["company_id", "code"]
+    context = F.col("context") if "context" in elements.columns else F.array().cast("array<string>")
+    own = elements.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("ordinal", "element", "status", "weak", F.col("passages").alias("passage_ids")))).alias("elements"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.concat("passages", context))))).alias("cited"),
+    )
+    linked = links.groupBy(*keys).agg(F.collect_set("passage_id").alias("linked"))
+    both = own.join(linked, keys, "left")
+    unlinked = F.array_except("cited", F.coalesce("linked", F.array().cast("array<string>")))
+    more = both.select(*keys, F.explode(unlinked).alias("passage_id")).join(passages.select("passage_id", "document_id", "page", "text"), "passage_id")
+    also = more.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("passage_id", "document_id", "page", "text"))).alias("also_cited"))
+    said = reviews.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seq", "decision", "new_status"))).alias("reviews"))
+    todo = actions.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("priority")).alias("p"), "gap_key", "action_status"))), lambda a: F.struct(a["gap_key"].alias("gap_key"), a["action_status"].alias("status"), (-a["p"]).alias("priority"))).alias("actions"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("created_at"), F.desc("run_id")))
+    runs = history.withColumn("n", place).filter("n <= 12").groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "run_id", "status", "completeness"))), lambda h: F.struct(h["run_id"].alias("run_id"), h["status"].alias("status"), h["completeness"].alias("completeness"))).alias("history"))
+    whole = rows.drop("reviews")
+    for part in (own.drop("cited"), _evidence(links, passages), also, said, todo, runs):
+        whole = whole.join(part, keys, "left")
+    lists = [F.coalesce(c, F.array()).alias(c) for c in ("elements", "evidence", "also_cited", "reviews", "actions", "history")]
+    finding = F.struct("code", "title", "status", "effective_status", "review_state", "completeness", "confidence", "missing", "n_evidence")
+    return whole.select(*keys, F.to_json(F.struct(finding.alias("finding"), *lists)).alias("trail"))
+
+
+def evidence_package(rows: DataFrame, elements: DataFrame, links: DataFrame, reviews: DataFrame, passages: DataFrame, documents: DataFrame, actions: DataFrame, *, run: dict[str, str]) -> DataFrame:
+    """A JSON document per company: the run, its documents, its findings in order, each with rationale, elements, evidence with texts and
+    reviews, its actions by priority, and the limitations. `documents` has company_id and document_id."""
     keys = ["company_id", "code"]
     own = elements.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ordinal", "element", "status", "weak"))).alias("elements"))
-    cited = links.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", "passage_id", "role", F.col("elements").alias("element_keys")))).alias("evidence"))
     said = reviews.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seq", "decision"))).alias("reviews"))
-    joined = rows.select(*keys, "ordinal", "status", "effective_status", "completeness", "confidence").join(own, keys, "left").join(cited, keys, "left").join(said, keys, "left")
+    joined = rows.drop("reviews").withColumn("rationale", rationale(F.col("status"), F.col("completeness"), F.col("missing"), F.col("n_evidence")))
+    joined = joined.join(own, keys, "left").join(_evidence(links, passages), keys, "left").join(said, keys, "left")
     none = [F.coalesce(c, F.array()).alias(c) for c in ("elements", "evidence", "reviews")]
-    one = F.struct("ordinal", "code", "status", "effective_status", "completeness", "confidence", *none)
+    one = F.struct("ordinal", "code", "title", "status", "effective_status", "review_state", "completeness", "confidence", "missing", "rationale", *none)
     whole = joined.groupBy("company_id").agg(F.array_sort(F.collect_list(one)).alias("findings"))
-    return whole.select("company_id", F.size("findings").cast("long").alias("n_findings"), F.to_json(F.struct("company_id", "findings", F.array(*map(F.lit, LIMITATIONS)).alias("limitations"))).alias("package"))
+    given = documents.groupBy("company_id").agg(F.array_sort(F.collect_set("document_id")).alias("documents"))
+    todo = actions.groupBy("company_id").agg(_by_priority("code", "gap_key", "action_status").alias("actions"))
+    whole = whole.join(given, "company_id", "left").join(todo, "company_id", "left")
+    head = F.struct(*[F.lit(v).alias(k) for k, v in run.items()])
+    lists = [F.coalesce(c, F.array()).alias(c) for c in ("documents", "findings", "actions")]
+    package = F.struct("company_id", head.alias("run"), *lists, F.array(*map(F.lit, LIMITATIONS)).alias("limitations"))
+    return whole.select("company_id", F.size("findings").cast("long").alias("n_findings"), F.to_json(package).alias("package"))
+
 
+def _by_priority(*columns: str) -> Column:
+    """Actions as structs, the most pressing first."""
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("priority")).alias("p"), *columns)))
+    return F.transform(ordered, lambda a: F.struct(*[a[c].alias(c) for c in columns], (-a["p"]).alias("priority")))
 
-def markdown_report(rows: DataFrame, links: DataFrame, actions: DataFrame) -> DataFrame:
-    """A report per company: summary table, findings with up to four passages each, actions by priority, limitations."""
+
+def markdown_report(rows: DataFrame, links: DataFrame, actions: DataFrame, passages: DataFrame, *, run: dict[str, str]) -> DataFrame:
+    """A report per company: title and run, summary table with priorities, findings with confidence, rationale and up to four quoted passages
+    each, actions by priority, limitations. `rows` has priority; `run` title, set, period, id and mode."""
     keys = ["company_id", "code"]
-    four = links.filter("rank <= 4").groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "role", "passage_id"))), lambda e: F.concat(F.lit("- *"), e["role"], F.lit("* — "), e["passage_id"])).alias("cited"))
-    joined = rows.join(four, keys, "left")
+    quoted = F.transform(
+        F.slice("evidence", 1, 4),
+        lambda e: F.concat(F.lit("- *"), e["role"], F.lit("* — "), e["document_id"].cast("string"), F.lit(", p."), e["page"].cast("string"), F.lit(": “"), F.substring(e["text"], 1, 220), F.lit("”")),
+    )
+    joined = rows.join(_evidence(links, passages), keys, "left").withColumn("cited", F.coalesce(quoted, F.array().cast("array<string>")))
     percent = F.concat(F.round(F.col("completeness") * 100).cast("long").cast("string"), F.lit("%"))
-    line = F.concat(F.lit("| "), F.col("code"), F.lit(" "), F.col("title"), F.lit(" | "), label_of(F.col("status")), F.lit(" | "), percent, F.lit(" |"))
-    told = F.concat(F.lit("### "), F.col("code"), F.lit("\n\n**"), label_of(F.col("status")), F.lit("** · completeness "), percent, F.lit("\n"))
-    missing = F.when(F.col("missing") != "", F.concat(F.lit("\nMissing: "), F.col("missing"))).otherwise("")
-    section = F.concat(told, F.array_join(F.coalesce("cited", F.array().cast("array<string>")), "\n"), missing)
+    line = F.concat(F.lit("| "), F.col("code"), F.lit(" "), F.col("title"), F.lit(" | "), label_of(F.col("status")), F.lit(" | "), percent, F.lit(" | "), F.format_string("%.2f", "priority"), F.lit(" |"))
+    told = F.concat(
+        F.lit("### "), F.col("code"), F.lit(" — "), F.col("title"), F.lit("\n\n**"), label_of(F.col("status")), F.lit("** · completeness "), percent, F.lit(" · confidence "), F.format_string("%.2f", "confidence"), F.lit("\n\n"),
+        rationale(F.col("status"), F.col("completeness"), F.col("missing"), F.col("n_evidence")), F.lit("\n\n"),
+    )
+    missing = F.when(F.col("missing") != "", F.concat(F.lit("\n\nMissing: "), F.col("missing"))).otherwise("")
+    section = F.concat(told, F.array_join("cited", "\n"), missing, F.lit("\n"))
     each = joined.groupBy("company_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", line.alias("line"), section.alias("section")))).alias("f"))
-    todo = actions.groupBy("company_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("priority")).alias("p"), "code", "gap_key"))).alias("a"))
+    todo = actions.groupBy("company_id").agg(_by_priority("code", "gap_key", "action_status").alias("a"))
     both = each.join(todo, "company_id", "left")
-    tasks = F.transform("a", lambda a: F.concat(F.lit("1. "), a["code"], F.lit(" "), a["gap_key"], F.lit(" (priority "), F.format_string("%.3f", -a["p"]), F.lit(")")))
+    tasks = F.transform("a", lambda a: F.concat(F.lit("1. **"), a["gap_key"], F.lit("** ("), a["code"], F.lit(", priority "), F.format_string("%.2f", a["priority"]), F.lit(", "), a["action_status"], F.lit(")")))
+    title = F.concat(F.lit("# Company "), F.col("company_id").cast("string"), F.lit(f" — {run['title']}\n\n*{run['set']}* · period {run['period']} · run `{run['id']}` ({run['mode']})\n"))
     parts = F.concat(
-        F.array(F.lit("## Summary"), F.lit("| Requirement | Status | Completeness |"), F.lit("|---|---|---|")), F.transform("f", lambda f: f["line"]), F.array(F.lit("## Findings")), F.transform("f", lambda f: f["section"]),
-        F.when(F.col("a").isNotNull(), F.concat(F.array(F.lit("## Recommended actions")), tasks)).otherwise(F.array().cast("array<string>")), F.array(F.lit("## Limitations"), *[F.lit(f"- {x}") for x in LIMITATIONS]),
+        F.array(title, F.lit("## Summary\n"), F.lit("| Requirement | Status | Completeness | Priority |"), F.lit("|---|---|---|---|")), F.transform("f", lambda f: f["line"]), F.array(F.lit("\n## Findings\n")),
+        F.transform("f", lambda f: f["section"]), F.when(F.col("a").isNotNull(), F.concat(F.array(F.lit("## Recommended actions\n")), tasks, F.array(F.lit("")))).otherwise(F.array().cast("array<string>")),
+        F.array(F.lit("## Limitations\n"), *[F.lit(f"- {x}") for x in LIMITATIONS]),
     )
     return both.select("company_id", F.array_join(parts, "\n").alias("report"))
 
@@ -128,13 +186,15 @@ def last_of_each(rows: DataFrame, *, by: str, order: list[Column], limit: int) -
     return rows.withColumn("place", place.cast("long")).filter(F.col("place") <= limit)
 
 
-def company_metrics(facts: DataFrame, documents: DataFrame, labels: dict[str, str]) -> DataFrame:
-    """Metrics of current documents with their label (the key where there is none) and source, by key, period and confidence."""
+def company_metrics(facts: DataFrame, documents: DataFrame, passages: DataFrame, labels: dict[str, str]) -> DataFrame:
+    """Metrics of current documents with their label (the key where there is none), page and source, and their place in the company's list by
+    key, period's end and falling confidence."""
     named = F.coalesce(F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])[F.col("metric_key")], "metric_key")
-    joined = facts.join(documents, "document_id")
+    joined = facts.join(documents, "document_id").join(passages.select("passage_id", "page"), "passage_id")
+    order = Window.partitionBy("company_id").orderBy("metric_key", F.coalesce(F.col("period_end").cast("string"), F.lit("")), F.desc("confidence_pct"), "passage_id")
     return joined.select(
-        "company_id", "metric_key", named.alias("label"), "normalized_value", "normalized_unit", "period_label", "confidence_pct", "method", "passage_id",
-        F.concat(F.col("title"), F.lit(", "), F.col("method")).alias("source"),
+        "company_id", F.row_number().over(order).cast("long").alias("place"), "metric_key", named.alias("label"), "normalized_value", "normalized_unit", "period_label", "confidence_pct", "method", "passage_id", "page",
+        F.concat(F.col("title"), F.lit(", p."), F.col("page").cast("string")).alias("source"),
     )
 
 
@@ -178,7 +238,7 @@ def evaluation_summary(cases: DataFrame) -> DataFrame:
         F.round(F.coalesce(tp / F.nullif(tp + fp, F.lit(0)), F.lit(0.0)), 6).alias("gap_precision"), F.round(F.coalesce(tp / F.nullif(tp + fn, F.lit(0)), F.lit(0.0)), 6).alias("gap_recall"),
         F.round(F.avg(F.when(corpus, F.col("recall_at_5"))), 6).alias("recall_at_5"), F.round(F.avg(F.when(corpus, F.col("support_precision"))), 6).alias("support_precision"),
         F.round(F.coalesce(1 - F.sum("invalid") / F.nullif(F.sum("cited"), F.lit(0)), F.lit(1.0)), 6).alias("citation_validity"), F.round(F.avg(F.col("requires_review").cast("double")), 6).alias("review_rate"),
-        F.median("latency_ms").alias("latency_ms"), F.round(F.avg("tokens"), 6).alias("tokens"), F.count_if("failed").alias("errors"),
+        F.round(F.avg("tokens"), 6).alias("tokens"), F.count_if("failed").alias("errors"),
     )
 
 

@@ -11,7 +11,7 @@ from ..operators import retrieval
 from ..operators import workflow as W
 from ..sources.facts import FACTS_SQL, metric_facts
 from ..sources.tables import table
-from .assessment_queries import _BOTH, _F, _PRIORITY, AFTER, BEFORE, _companies, _conflicts, _elements, _findings, _gaps, remediation_priority
+from .assessment_queries import _BOTH, _F, _PRIORITY, AFTER, BEFORE, _companies, _conflicts, _elements, _findings, _gaps, findings_sql, remediation_priority
 from .text_queries import LINES_SQL, POSTINGS_SQL, _passages, tokens_sql
 
 #: code, ordinal, title, topic, summary, search terms
@@ -101,15 +101,30 @@ def csv_export_rows(spark, sf_dir):
     return R.export_rows(rows, requirement_set=SET_ID, run_id=F.lit(RUN_ID))
 
 
+RUN = {"id": RUN_ID, "set": SET_ID, "period": AFTER, "mode": "rules", "title": "evidence assessment"}
+
+
 def evidence_package(spark, sf_dir):
-    """SNK-4, SNK-6: findings with elements, evidence and reviews as one JSON document per company."""
-    package = R.evidence_package(_rows(spark, sf_dir), _elements(spark, sf_dir), _links(spark, sf_dir), _reviews(spark, sf_dir))
-    return package.select("company_id", "n_findings", F.get_json_object("package", "$.findings[1].code").alias("second"), F.get_json_object("package", "$.findings[0].evidence[0].passage_id").alias("first_passage"), F.get_json_object("package", "$.findings[3].reviews[0].decision").alias("first_decision"), F.get_json_object("package", "$.limitations[2]").alias("last_limitation"))
+    """SNK-4, SNK-6: run, documents, findings with rationale, elements, quoted evidence and reviews, and actions as one JSON document per company."""
+    documents = metric_facts(spark, sf_dir).filter(F.col("period_label") == AFTER).select("company_id", "document_id")
+    return R.evidence_package(_rows(spark, sf_dir), _elements(spark, sf_dir), _links(spark, sf_dir), _reviews(spark, sf_dir), _sources(spark, sf_dir), documents, _actions(spark, sf_dir), run=RUN)
 
 
 def markdown_report(spark, sf_dir):
-    """SNK-5: a report per company: summary, findings with passages, actions, limitations."""
-    return R.markdown_report(_rows(spark, sf_dir), _links(spark, sf_dir), _actions(spark, sf_dir))
+    """SNK-5: a report per company: title, summary, findings with rationale and quoted passages, actions, limitations."""
+    priorities = remediation_priority(spark, sf_dir).select("company_id", "code", "priority")
+    rows = _rows(spark, sf_dir).join(priorities, ["company_id", "code"], "left").withColumn("priority", F.coalesce("priority", F.lit(0.0)))
+    return R.markdown_report(rows, _links(spark, sf_dir), _actions(spark, sf_dir), _sources(spark, sf_dir), run=RUN)
+
+
+def finding_trails(spark, sf_dir):
+    """JN-10: each finding's trail as JSON: elements, evidence with texts, what elements cite without a link, reviews, actions, two runs' history."""
+    facts = metric_facts(spark, sf_dir).filter(F.col("period_label") == AFTER)
+    first = facts.groupBy("company_id").agg(F.min("passage_id").alias("first_passage"))
+    context = F.when((F.col("element") == "period") & F.col("first_passage").isNotNull(), F.array("first_passage")).otherwise(F.array().cast("array<string>"))
+    elements = _elements(spark, sf_dir).join(first, "company_id", "left").withColumn("context", context)
+    runs = [_findings(spark, sf_dir, period).select("company_id", "code", F.lit(f"run-{period[4:]}").alias("run_id"), "status", "completeness", F.lit(period).alias("created_at")) for period in (BEFORE, AFTER)]
+    return R.finding_trails(_rows(spark, sf_dir), elements, _links(spark, sf_dir), _sources(spark, sf_dir), _reviews(spark, sf_dir), _actions(spark, sf_dir), runs[0].unionByName(runs[1]))
 
 
 def finding_history(spark, sf_dir):
@@ -119,9 +134,9 @@ def finding_history(spark, sf_dir):
 
 
 def company_metrics(spark, sf_dir):
-    """JN-2, DOM-16: metrics of documents that nothing supersedes, with label and source."""
+    """JN-2, DOM-16, SRT-3: metrics of documents that nothing supersedes, with label, page, source and place in the company's list."""
     orders = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("document_id"), F.concat(F.lit("Order of "), "o_orderpriority").alias("title"))
-    return R.company_metrics(metric_facts(spark, sf_dir), orders, {"Brand#1": "First brand", "Brand#2": "Second brand"})
+    return R.company_metrics(metric_facts(spark, sf_dir), orders, _sources(spark, sf_dir), {"Brand#1": "First brand", "Brand#2": "Second brand"})
 
 
 def passage_neighbours(spark, sf_dir):
@@ -282,7 +297,7 @@ def display_formats(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        run_findings, findings_to_review, explorer_gaps, status_shares, open_actions, action_dependencies, csv_export_rows, evidence_package, markdown_report, finding_history, company_metrics, passage_neighbours,
+        run_findings, findings_to_review, explorer_gaps, status_shares, open_actions, action_dependencies, csv_export_rows, evidence_package, markdown_report, finding_trails, finding_history, company_metrics, passage_neighbours,
         passage_usage, passage_metric_keys, peers_by_name, job_targets, document_changes, element_changes, merged_findings, related_evidence, candidate_passages, requirement_search, catalogue_status, catalogue_load,
         run_manifest, first_boundary, evaluation_summary, call_statistics, dashboard_counts, display_formats,
     )
@@ -325,6 +340,10 @@ s4 AS (SELECT *, wr AND mc < 5e-1 AND d <> 'conflicting' AS unsure, coalesce(ms
 s5 AS (SELECT *, CASE WHEN unsure THEN 'human_review' ELSE d END AS status, list_concat(reasons, [x for x in [CASE WHEN far THEN 'views differ by two ranks' END, CASE WHEN doubted THEN 'contradiction not confirmed by values' END, CASE WHEN unsure THEN 'model could not resolve it' END] if x IS NOT NULL]) AS rs FROM s4)
 SELECT company_id, code, c AS completeness, status, CASE WHEN ms IS NULL THEN rc ELSE round(round(least(95e-2, (rc + mc) / 2 * CASE WHEN ms = status THEN 1e0 ELSE 85e-2 END), 6)::DECIMAL(18, 6), 2)::DOUBLE END AS confidence,
   had OR len(rs) > 0 OR status IN ('conflicting', 'human_review') AS requires_review, array_to_string(rs, '; ') AS reasons FROM s5"""
+_EVIDENCE_SQL = """ev AS (SELECT company_id, code, list({'rank': rank, 'role': role, 'element_keys': names, 'passage_id': passage_id, 'document_id': document_id, 'page': page, 'text': text} ORDER BY rank) AS evidence
+  FROM links JOIN sources USING (passage_id) GROUP BY ALL)"""
+_TOLD = f"""{_LABEL.format('status')} || ': ' || round(completeness * 100)::BIGINT || ' % of the applicable elements are established by ' || n_evidence || CASE WHEN n_evidence = 1 THEN ' passage.' ELSE ' passages.' END
+  || CASE WHEN missing <> '' THEN ' Missing: ' || missing || '.' ELSE '' END"""
 _HASH = "|".join(f"{r[0]}:{r[2]}" for r in REQUIREMENTS)
 _SEARCH = ", ".join("('{0}', '{1}', [{2}], [{3}])".format(c, " ".join([t, s, *terms]), ", ".join(f"'{x}'" for x in terms), ", ".join(f"'{x}'" for x in [topic, *terms[:3]])) for c, _, t, topic, s, terms in REQUIREMENTS)
 
@@ -339,18 +358,42 @@ ORACLES = {
   {_FIXED2.format('confidence', 2)} AS confidence, {_FIXED2.format('coalesce(priority, 0)', 3)} AS priority, missing AS missing_elements, CASE WHEN document_id IS NOT NULL THEN 'Document ' || document_id || ' p.' || page ELSE '' END AS primary_source,
   {_LABEL.format('status')} || ': ' || round(completeness * 100)::BIGINT || ' % of the applicable elements are established by ' || n_evidence || CASE WHEN n_evidence = 1 THEN ' passage.' ELSE ' passages.' END || CASE WHEN missing <> '' THEN ' Missing: ' || missing || '.' ELSE '' END AS rationale,
   'rules' AS method, '{SET_ID}' AS requirement_set, '{RUN_ID}' AS run_id FROM rows_ LEFT JOIN (SELECT company_id, code, priority FROM priorities) USING (company_id, code)""",
-    "evidence_package": f"""{_ROWS_SQL} SELECT company_id, count(*) AS n_findings, max(code) FILTER (ordinal = 2) AS second, max(passage_id) FILTER (ordinal = 1) AS first_passage,
-  max((SELECT arg_min(decision, seq) FROM reviews v WHERE v.company_id = r.company_id AND v.code = r.code)) FILTER (ordinal = 4) AS first_decision, '{R.LIMITATIONS[2]}' AS last_limitation FROM rows_ r GROUP BY company_id""",
-    "markdown_report": f"""{_ROWS_SQL}, cited AS (SELECT company_id, code, string_agg('- *' || role || '* — ' || passage_id, chr(10) ORDER BY rank) AS cited FROM links WHERE rank <= 4 GROUP BY ALL),
-f AS (SELECT company_id, ordinal, '| ' || code || ' ' || title || ' | ' || {_LABEL.format('status')} || ' | ' || round(completeness * 100)::BIGINT || '% |' AS line,
-  '### ' || code || chr(10) || chr(10) || '**' || {_LABEL.format('status')} || '** · completeness ' || round(completeness * 100)::BIGINT || '%' || chr(10) || coalesce(cited, '') || CASE WHEN missing <> '' THEN chr(10) || 'Missing: ' || missing ELSE '' END AS section
-  FROM rows_ LEFT JOIN cited USING (company_id, code)),
-a AS (SELECT company_id, string_agg('1. ' || code || ' ' || gap_key || ' (priority ' || {_FIXED2.format('priority', 3)} || ')', chr(10) ORDER BY priority DESC, code, gap_key) AS todo FROM actions GROUP BY company_id)
-SELECT company_id, concat_ws(chr(10), '## Summary', '| Requirement | Status | Completeness |', '|---|---|---|', string_agg(line, chr(10) ORDER BY ordinal), '## Findings', string_agg(section, chr(10) ORDER BY ordinal),
-  CASE WHEN any_value(todo) IS NOT NULL THEN '## Recommended actions' END, any_value(todo), '## Limitations', {", ".join(f"'- {x}'" for x in R.LIMITATIONS)}) AS report FROM f LEFT JOIN a USING (company_id) GROUP BY company_id""",
+    "evidence_package": f"""{_ROWS_SQL}, {_EVIDENCE_SQL}, own AS (SELECT company_id, code, list({{'ordinal': ordinal, 'element': element, 'status': status, 'weak': weak}} ORDER BY ordinal) AS els FROM elements GROUP BY ALL),
+said AS (SELECT company_id, code, list({{'seq': seq, 'decision': decision}} ORDER BY seq, decision) AS revs FROM reviews GROUP BY ALL),
+f AS (SELECT r.company_id, list({{'ordinal': r.ordinal, 'code': r.code, 'title': title, 'status': r.status, 'effective_status': effective_status, 'review_state': review_state, 'completeness': completeness, 'confidence': confidence, 'missing': missing,
+  'rationale': {_TOLD}, 'elements': coalesce(els, []), 'evidence': coalesce(evidence, []), 'reviews': coalesce(revs, [])}} ORDER BY r.ordinal) AS findings
+  FROM rows_ r LEFT JOIN own USING (company_id, code) LEFT JOIN ev USING (company_id, code) LEFT JOIN said USING (company_id, code) GROUP BY r.company_id),
+docs AS (SELECT company_id, list_sort(list(DISTINCT document_id)) AS documents FROM facts WHERE period_label = '{AFTER}' GROUP BY company_id),
+todo AS (SELECT company_id, list({{'code': code, 'gap_key': gap_key, 'action_status': action_status, 'priority': priority}} ORDER BY priority DESC, code, gap_key) AS actions FROM actions GROUP BY company_id)
+SELECT company_id, len(findings)::BIGINT AS n_findings, to_json({{'company_id': company_id, 'run': {RUN}, 'documents': coalesce(documents, []), 'findings': findings, 'actions': coalesce(todo.actions, []), 'limitations': {R.LIMITATIONS}}})::VARCHAR AS package
+FROM f LEFT JOIN docs USING (company_id) LEFT JOIN todo USING (company_id)""",
+    "markdown_report": f"""{_ROWS_SQL}, cited AS (SELECT company_id, code, string_agg('- *' || role || '* — ' || document_id || ', p.' || page || ': “' || substr(text, 1, 220) || '”', chr(10) ORDER BY rank) AS cited
+  FROM (SELECT *, row_number() OVER (PARTITION BY company_id, code ORDER BY rank) AS k FROM links JOIN sources USING (passage_id)) WHERE k <= 4 GROUP BY ALL),
+f AS (SELECT company_id, ordinal, '| ' || code || ' ' || title || ' | ' || {_LABEL.format('status')} || ' | ' || round(completeness * 100)::BIGINT || '% | ' || {_FIXED2.format('coalesce(priority, 0)', 2)} || ' |' AS line,
+  '### ' || code || ' — ' || title || chr(10) || chr(10) || '**' || {_LABEL.format('status')} || '** · completeness ' || round(completeness * 100)::BIGINT || '% · confidence ' || {_FIXED2.format('confidence', 2)} || chr(10) || chr(10) || {_TOLD} || chr(10) || chr(10)
+    || coalesce(cited, '') || CASE WHEN missing <> '' THEN chr(10) || chr(10) || 'Missing: ' || missing ELSE '' END || chr(10) AS section
+  FROM rows_ LEFT JOIN cited USING (company_id, code) LEFT JOIN (SELECT company_id, code, priority FROM priorities) USING (company_id, code)),
+a AS (SELECT company_id, string_agg('1. **' || gap_key || '** (' || code || ', priority ' || {_FIXED2.format('priority', 2)} || ', ' || action_status || ')', chr(10) ORDER BY priority DESC, code, gap_key) AS todo FROM actions GROUP BY company_id)
+SELECT company_id, concat_ws(chr(10), '# Company ' || company_id || ' — {RUN['title']}' || chr(10) || chr(10) || '*{SET_ID}* · period {AFTER} · run `{RUN_ID}` (rules)' || chr(10), '## Summary' || chr(10), '| Requirement | Status | Completeness | Priority |', '|---|---|---|---|',
+  string_agg(line, chr(10) ORDER BY ordinal), chr(10) || '## Findings' || chr(10), string_agg(section, chr(10) ORDER BY ordinal),
+  CASE WHEN any_value(todo) IS NOT NULL THEN '## Recommended actions' || chr(10) END, any_value(todo) || chr(10), '## Limitations' || chr(10), {", ".join(f"'- {x}'" for x in R.LIMITATIONS)}) AS report FROM f LEFT JOIN a USING (company_id) GROUP BY company_id""",
+    "finding_trails": f"""{_ROWS_SQL}, {findings_sql(BEFORE, '_b')}, {_EVIDENCE_SQL}, firsts_ AS (SELECT company_id, min(passage_id) AS first_passage FROM facts WHERE period_label = '{AFTER}' GROUP BY company_id),
+els AS (SELECT e.*, CASE WHEN element = 'period' AND first_passage IS NOT NULL THEN [first_passage] ELSE [] END AS context FROM elements e LEFT JOIN firsts_ USING (company_id)),
+own AS (SELECT company_id, code, list({{'ordinal': ordinal, 'element': element, 'status': status, 'weak': weak, 'passage_ids': passages}} ORDER BY ordinal) AS els FROM els GROUP BY ALL),
+more AS (SELECT DISTINCT company_id, code, unnest(list_concat(passages, context)) AS passage_id FROM els),
+also AS (SELECT company_id, code, list({{'passage_id': passage_id, 'document_id': document_id, 'page': page, 'text': text}} ORDER BY passage_id) AS also_cited
+  FROM more m JOIN sources USING (passage_id) WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.company_id = m.company_id AND l.code = m.code AND l.passage_id = m.passage_id) GROUP BY ALL),
+said AS (SELECT company_id, code, list({{'seq': seq, 'decision': decision, 'new_status': new_status}} ORDER BY seq, decision) AS revs FROM reviews GROUP BY ALL),
+todo AS (SELECT company_id, code, list({{'gap_key': gap_key, 'status': action_status, 'priority': priority}} ORDER BY priority DESC, gap_key) AS acts FROM actions GROUP BY ALL),
+hist AS (SELECT company_id, code, [{{'run_id': 'run-{AFTER[4:]}', 'status': a.status, 'completeness': a.completeness}}, {{'run_id': 'run-{BEFORE[4:]}', 'status': b.status, 'completeness': b.completeness}}] AS history FROM findings a JOIN findings_b b USING (company_id, code))
+SELECT r.company_id, r.code, to_json({{'finding': {{'code': r.code, 'title': title, 'status': r.status, 'effective_status': effective_status, 'review_state': review_state, 'completeness': r.completeness, 'confidence': r.confidence, 'missing': r.missing, 'n_evidence': n_evidence}},
+  'elements': coalesce(els, []), 'evidence': coalesce(evidence, []), 'also_cited': coalesce(also_cited, []), 'reviews': coalesce(revs, []), 'actions': coalesce(acts, []), 'history': history}})::VARCHAR AS trail
+FROM rows_ r LEFT JOIN own USING (company_id, code) LEFT JOIN ev USING (company_id, code) LEFT JOIN also USING (company_id, code) LEFT JOIN said USING (company_id, code) LEFT JOIN todo USING (company_id, code) LEFT JOIN hist USING (company_id, code)""",
     "finding_history": "SELECT o_custkey AS company_id, o_orderkey AS run_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS place FROM orders WHERE o_orderstatus <> 'P' QUALIFY place <= 12",
-    "company_metrics": f"""WITH {FACTS_SQL} SELECT company_id, metric_key, CASE metric_key WHEN 'Brand#1' THEN 'First brand' WHEN 'Brand#2' THEN 'Second brand' ELSE metric_key END AS label, normalized_value, normalized_unit, period_label, confidence_pct, method, passage_id,
-  'Order of ' || o_orderpriority || ', ' || method AS source FROM facts JOIN orders ON o_orderkey = document_id WHERE o_orderstatus = 'F'""",
+    "company_metrics": f"""WITH {FACTS_SQL}, sources AS (SELECT passage_id, min(confidence_pct - 80) AS page FROM facts GROUP BY passage_id)
+SELECT company_id, row_number() OVER (PARTITION BY company_id ORDER BY metric_key, period_end, confidence_pct DESC, passage_id) AS place, metric_key,
+  CASE metric_key WHEN 'Brand#1' THEN 'First brand' WHEN 'Brand#2' THEN 'Second brand' ELSE metric_key END AS label, normalized_value, normalized_unit, period_label, confidence_pct, method, passage_id, page,
+  'Order of ' || o_orderpriority || ', p.' || page AS source FROM facts JOIN orders ON o_orderkey = document_id JOIN sources USING (passage_id) WHERE o_orderstatus = 'F'""",
     "passage_neighbours": f"WITH {LINES_SQL} SELECT doc_id, ordinal, passage_id, lag(passage_id) OVER w AS before, lead(passage_id) OVER w AS after FROM passages WINDOW w AS (PARTITION BY doc_id ORDER BY ordinal)",
     "passage_usage": f"""{_ROWS_SQL}, c AS (SELECT l.*, s.document_id FROM links l JOIN sources s USING (passage_id)) SELECT passage_id, company_id, code, row_number() OVER (PARTITION BY passage_id ORDER BY company_id DESC, code) AS place,
   count(*) OVER (PARTITION BY document_id) AS document_links FROM c QUALIFY place <= 20""",
