@@ -52,7 +52,18 @@ def catalogue_frame(spark: SparkSession, catalogue: list[Element]) -> DataFrame:
 
 
 def element_results(companies: DataFrame, facts: DataFrame, catalogue: list[Element], period_label: str) -> DataFrame:
-    """company, code, element with status (satisfied, missing, not_applicable), weak, confidence and its passages.
+    """`element_results_of` for one period."""
+    return element_results_of(companies, facts, catalogue, [period_label]).drop("period_label")
+
+
+def catalogue_keys(catalogue: list[Element]) -> list[str]:
+    """The metric keys that any element looks at."""
+    return sorted({k for e in catalogue for k in (*e.strong, *e.weak, *((e.when,) if e.when else ()))})
+
+
+def element_results_of(companies: DataFrame, facts: DataFrame, catalogue: list[Element], periods: list[str]) -> DataFrame:
+    """period_label, company, code, element with status (satisfied, missing, not_applicable), weak, confidence and its passages, for all
+    periods from one aggregation.
 
     Up to three passages by (table first, confidence, id) stand for an element. Facts are reduced to the catalogue's
     keys, and per role to the first three before anything is collected: Spark cuts each task's rows to them before the
@@ -64,25 +75,25 @@ def element_results(companies: DataFrame, facts: DataFrame, catalogue: list[Elem
         elements.select("code", "element", F.explode("weak").alias("metric_key"), F.lit("weak").alias("role"))
     )
     keys = keys.unionByName(elements.filter("when_key IS NOT NULL").select("code", "element", F.col("when_key").alias("metric_key"), F.lit("when").alias("role")))
-    used = facts.filter((F.col("period_label") == period_label) & ~F.col("base_year")).join(F.broadcast(keys), "metric_key")
+    used = facts.filter(F.col("period_label").isin(periods) & ~F.col("base_year")).join(F.broadcast(keys), "metric_key")
     # a strong fact of a stated period counts once more, as explicit
     roles = F.when((F.col("role") == "strong") & ~F.col("inferred"), F.array(F.lit("strong"), F.lit("explicit"))).otherwise(F.array("role"))
     order = F.struct((F.col("method") != "table").alias("t"), (-F.col("confidence_pct")).alias("c"), F.col("passage_id").alias("p"), F.col("method").alias("m"))
-    each = used.select("company_id", "code", "element", F.explode(roles).alias("role"), order.alias("o"))
-    rank = F.row_number().over(Window.partitionBy("company_id", "code", "element", "role").orderBy("o"))
+    each = used.select("period_label", "company_id", "code", "element", F.explode(roles).alias("role"), order.alias("o"))
+    rank = F.row_number().over(Window.partitionBy("period_label", "company_id", "code", "element", "role").orderBy("o"))
     three = each.withColumn("rank", rank).filter("rank <= 3")
 
     def best(role: str) -> Column:
         return F.array_sort(F.collect_list(F.when(F.col("role") == role, F.col("o"))))
 
-    grouped = three.groupBy("company_id", "code", "element").agg(
+    grouped = three.groupBy("period_label", "company_id", "code", "element").agg(
         best("strong").alias("strong_best"), best("weak").alias("weak_best"),
         F.count_if(F.col("role") == "when").alias("n_when"),
         F.count_if(F.col("role") == "explicit").alias("n_explicit"),
     )
     cells = [F.struct(F.lit(e.code).alias("code"), F.lit(e.element).alias("element"), F.lit(k).alias("ordinal"), F.lit(e.weight).alias("weight"), F.lit(e.kind).alias("kind")) for k, e in enumerate(catalogue)]
-    grid = companies.select("company_id", F.explode(F.array(*cells)).alias("cell")).select("company_id", "cell.*")
-    joined = grid.join(grouped, ["company_id", "code", "element"], "left")
+    grid = companies.select("company_id", F.explode(F.array(*cells)).alias("cell")).select("company_id", "cell.*", F.explode(F.array(*map(F.lit, periods))).alias("period_label"))
+    joined = grid.join(grouped, ["period_label", "company_id", "code", "element"], "left")
     n_strong, n_weak = (F.coalesce(F.size(c), F.lit(0)) for c in ("strong_best", "weak_best"))
     chosen = F.when(n_strong > 0, F.col("strong_best")).when(n_weak > 0, F.col("weak_best"))
     applicable = (F.col("kind") != "conditional") | (F.coalesce("n_when", F.lit(0)) > 0)
@@ -90,7 +101,7 @@ def element_results(companies: DataFrame, facts: DataFrame, catalogue: list[Elem
     weak = F.when(F.col("kind") == "metric_period", F.coalesce("n_explicit", F.lit(0)) == 0).otherwise(n_strong == 0)
     staged = joined.withColumn("status", status).withColumn("chosen", F.when(F.col("status") == "satisfied", chosen))
     return staged.select(
-        "company_id", "code", "element", "ordinal", "weight", "kind", "status",
+        "period_label", "company_id", "code", "element", "ordinal", "weight", "kind", "status",
         ((F.col("status") == "satisfied") & weak).alias("weak"),
         F.coalesce(F.transform("chosen", lambda s: s["p"]), F.array().cast("array<string>")).alias("passages"),
         F.array_max(F.transform("chosen", lambda s: -s["c"])).alias("confidence_pct"),
@@ -99,10 +110,15 @@ def element_results(companies: DataFrame, facts: DataFrame, catalogue: list[Elem
 
 
 def requirement_conflicts(facts: DataFrame, catalogue: list[Element], period_label: str) -> DataFrame:
-    """company, code and the metric keys of the requirement on which its sources disagree."""
+    """`requirement_conflicts_of` for one period."""
+    return requirement_conflicts_of(facts, catalogue, [period_label]).drop("period_label")
+
+
+def requirement_conflicts_of(facts: DataFrame, catalogue: list[Element], periods: list[str]) -> DataFrame:
+    """period_label, company, code and the metric keys of the requirement on which its sources disagree."""
     keys = facts.sparkSession.createDataFrame(sorted({(e.code, k) for e in catalogue for k in e.strong + e.weak}), "code string, metric_key string")
-    found = conflicts(facts.filter((F.col("period_label") == period_label) & ~F.col("base_year")), by=["company_id", "metric_key"])
-    return found.join(F.broadcast(keys), "metric_key").select("company_id", "code", "metric_key", "low_passage", "high_passage")
+    found = conflicts(facts.filter(F.col("period_label").isin(periods) & ~F.col("base_year")), by=["period_label", "company_id", "metric_key"])
+    return found.join(F.broadcast(keys), "metric_key").select("period_label", "company_id", "code", "metric_key", "low_passage", "high_passage")
 
 
 def completeness() -> Column:
@@ -236,29 +252,47 @@ def merged_findings(found: DataFrame, merged: DataFrame, models: DataFrame) -> D
     )
 
 
-def diff_runs(before: DataFrame, after: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
-    """Findings of two runs that differ in status, completeness (3 places) or evidence, and every cause.
+#: Versions of a run's method (fixed values).
+VERSION_FIELDS = ("pipeline_version", "extraction_version", "rules_version", "prompt_version", "llm_model", "mode")
+
+
+def manifest_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """What differs between two runs of a company, by their manifests: company_id, the requirements of both, whether documents changed, and
+    the version fields that did.
+
+    A manifest has company_id, requirements (code to content hash), documents (structs of lineage_id, id and sha256) and versions (a struct
+    of VERSION_FIELDS). Documents are compared by lineage: added, removed, or of another id or hash. A run that isn't there has none.
+    """
+    sides = [m.select("company_id", *[F.col(c).alias(f"{c}_{end}") for c in ("requirements", "documents", "versions")]) for m, end in ((before, "before"), (after, "after"))]
+    both = sides[0].join(sides[1], "company_id", "full_outer")
+    listed = [F.array_distinct(F.coalesce(f"documents_{end}", F.array())) for end in ("before", "after")]
+    moved = F.size(F.array_except(*listed)) + F.size(F.array_except(*reversed(listed))) > 0
+    fields = F.array_compact(F.array(*[F.when(~F.col(f"versions_before.{f}").eqNullSafe(F.col(f"versions_after.{f}")), f) for f in VERSION_FIELDS]))
+    return both.select("company_id", "requirements_before", "requirements_after", moved.alias("documents_changed"), fields.alias("fields"))
+
+
+def diff_runs(before: DataFrame, after: DataFrame, manifest_before: DataFrame, manifest_after: DataFrame) -> DataFrame:
+    """Findings of two runs that differ in status, completeness (3 places) or evidence, with evidence added and removed and every cause.
 
-    `manifest` has company_id, code, revised, documents_changed and method_changed of the pair of runs; without it documents are
-    taken to have changed where evidence differs. A cause of documents needs evidence that differs; where nothing else explains
-    a difference, the selection of evidence does.
+    Causes come from the runs' manifests (see `manifest_changes`): a requirement that only one of them has, or whose content hash
+    differs; documents, where they changed and the evidence differs too; the method, where a version field differs. Where
+    nothing else explains a difference, the selection of evidence does.
     """
     a = before.select("company_id", "code", F.col("status").alias("status_before"), F.col("completeness").alias("share_before"), F.col("evidence").alias("evidence_before"))
     b = after.select("company_id", "code", F.col("status").alias("status_after"), F.col("completeness").alias("share_after"), F.col("evidence").alias("evidence_after"))
-    both = a.join(b, ["company_id", "code"], "full_outer")
-    if manifest is None:
-        both = both.withColumns({"revised": F.lit(False), "documents_changed": F.lit(True), "method_changed": F.lit(False)})
-    else:
-        both = both.join(manifest, ["company_id", "code"], "left")
+    both = a.join(b, ["company_id", "code"], "full_outer").join(manifest_changes(manifest_before, manifest_after), "company_id", "left")
     none = F.array().cast("array<string>")
-    added = F.size(F.array_except(F.coalesce("evidence_after", none), F.coalesce("evidence_before", none))).cast("long")
-    removed = F.size(F.array_except(F.coalesce("evidence_before", none), F.coalesce("evidence_after", none))).cast("long")
+    here, there = F.coalesce("evidence_after", none), F.coalesce("evidence_before", none)
+    staged = both.withColumns({
+        "added": F.array_sort(F.array_except(here, there)), "removed": F.array_sort(F.array_except(there, here)), "fields": F.coalesce("fields", none),
+        "hash_before": F.try_element_at("requirements_before", F.col("code")), "hash_after": F.try_element_at("requirements_after", F.col("code")),
+    })
     moved = ~F.col("status_before").eqNullSafe(F.col("status_after")) | (F.round(F.coalesce("share_before", F.lit(0.0)), 3) != F.round(F.coalesce("share_after", F.lit(0.0)), 3))
-    listed = F.when(F.col("status_before").isNull(), "requirement added").when(F.col("status_after").isNull(), "requirement removed").when(F.coalesce("revised", F.lit(False)), "requirement revised")
-    causes = F.array_compact(F.array(listed, F.when(F.coalesce("documents_changed", F.lit(False)) & (F.col("added") + F.col("removed") > 0), "documents changed"), F.when(F.coalesce("method_changed", F.lit(False)), "method changed")))
-    changed = both.withColumns({"added": added, "removed": removed}).filter(moved | (added + removed > 0))
+    other = F.size("added") + F.size("removed") > 0
+    listed = F.when(F.col("hash_before").isNull(), "requirement added").when(F.col("hash_after").isNull(), "requirement removed").when(F.col("hash_before") != F.col("hash_after"), "requirement revised")
+    causes = F.array_compact(F.array(listed, F.when(F.coalesce("documents_changed", F.lit(False)) & other, "documents changed"), F.when(F.size("fields") > 0, "method changed")))
     cause = F.when(F.size(causes) > 0, F.array_join(causes, "; ")).otherwise("evidence selection changed")
-    return changed.select("company_id", "code", "status_before", "status_after", "added", "removed", cause.alias("cause"))
+    return staged.filter(moved | other).select("company_id", "code", "status_before", "status_after", "added", "removed", "fields", cause.alias("cause"))
 
 
 def element_changes(before: DataFrame, after: DataFrame) -> DataFrame:

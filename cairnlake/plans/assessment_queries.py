@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from ..functions import scoring
@@ -10,6 +12,7 @@ from ..operators import checks as C
 from ..operators import workflow as W
 from ..sources.catalogue import flatten, packaged
 from ..sources.facts import FACTS_SQL, metric_facts
+from ..sources.scratch import materialise
 from ..sources.tables import table
 from .text_queries import LINES_SQL, _passages
 
@@ -20,21 +23,56 @@ def _companies(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("company_id"), F.col("s_nationkey").cast("long").alias("org_id"))
 
 
-def _elements(spark, sf_dir, period=AFTER):
-    return A.element_results(_companies(spark, sf_dir), metric_facts(spark, sf_dir), A.CATALOGUE, period)
+class Run:
+    """The tables of an assessment, each made once: the facts that the catalogue looks at from one scan, elements and conflicts of all
+    periods from one aggregation each. Both are rows a company, far fewer than facts; they are written to the shared folder."""
+
+    def __init__(self, spark, sf_dir, *periods):
+        self.spark, self.sf_dir, self.periods = spark, sf_dir, list(periods or (AFTER,))
+
+    @cached_property
+    def companies(self):
+        return _companies(self.spark, self.sf_dir)
+
+    @cached_property
+    def facts(self):
+        wanted = F.col("metric_key").isin(A.catalogue_keys(A.CATALOGUE)) & F.col("period_label").isin(self.periods) & ~F.col("base_year")
+        return materialise(metric_facts(self.spark, self.sf_dir).filter(wanted), "run-facts")
+
+    @cached_property
+    def _elements(self):
+        return materialise(A.element_results_of(self.companies, self.facts, A.CATALOGUE, self.periods), "run-elements")
+
+    @cached_property
+    def _conflicts(self):
+        return materialise(A.requirement_conflicts_of(self.facts, A.CATALOGUE, self.periods), "run-conflicts")
 
+    def elements(self, period=AFTER):
+        return self._elements.filter(F.col("period_label") == period).drop("period_label")
 
-def _conflicts(spark, sf_dir, period=AFTER):
-    return A.requirement_conflicts(metric_facts(spark, sf_dir), A.CATALOGUE, period)
+    def conflicts(self, period=AFTER):
+        return self._conflicts.filter(F.col("period_label") == period).drop("period_label")
 
+    def findings(self, period=AFTER):
+        return A.findings(self.elements(period), self.conflicts(period))
 
-def _findings(spark, sf_dir, period=AFTER):
-    return A.findings(_elements(spark, sf_dir, period), _conflicts(spark, sf_dir, period))
+    def gaps(self, period=AFTER):
+        return A.gaps(self.findings(period), self.elements(period), self.conflicts(period))
+
+    def links(self):
+        return A.evidence_links(self.elements(), self.conflicts())
+
+    def priorities(self):
+        """company_id, code, status and priority of findings that aren't supported, by a fixed calendar."""
+        importance = F.create_map(*[F.lit(x) for kv in A.IMPORTANCE.items() for x in kv])[F.col("code")]
+        days = F.when(F.col("company_id") % 5 != 0, F.col("company_id") * 7 % 250)
+        found = self.findings().filter("status <> 'supported'")
+        return found.select("company_id", "code", "status", scoring.priority(importance, F.col("status"), F.col("completeness"), days).alias("priority"))
 
 
 def _check(kind):
     def query(spark, sf_dir):
-        rows = _elements(spark, sf_dir).filter(F.col("kind") == kind)
+        rows = Run(spark, sf_dir).elements().filter(F.col("kind") == kind)
         return rows.select("company_id", "code", "element", "status", "weak", F.array_join("passages", ",").alias("passages"))
 
     return query
@@ -76,37 +114,34 @@ def check_tree_metrics(spark, sf_dir):
 
 def requirement_completeness(spark, sf_dir):
     """AGG-5: weighted share of satisfied elements."""
-    return _findings(spark, sf_dir).select("company_id", "code", "completeness", "missing")
+    return Run(spark, sf_dir).findings().select("company_id", "code", "completeness", "missing")
 
 
 def requirement_status(spark, sf_dir):
     """AGG-6: status per company and requirement."""
-    return _findings(spark, sf_dir).select("company_id", "code", "status")
+    return Run(spark, sf_dir).findings().select("company_id", "code", "status")
 
 
 def finding_confidence(spark, sf_dir):
     """AGG-7: confidence per finding."""
-    return _findings(spark, sf_dir).select("company_id", "code", "confidence")
+    return Run(spark, sf_dir).findings().select("company_id", "code", "confidence")
 
 
 def review_triggers(spark, sf_dir):
     """AGG-9, FIL-14: findings that a human should see."""
-    return _findings(spark, sf_dir).filter("requires_review").select("company_id", "code", "status")
+    return Run(spark, sf_dir).findings().filter("requires_review").select("company_id", "code", "status")
 
 
 def findings_status_counts(spark, sf_dir):
     """AGG-10, AGG-19: findings by status within an organisation."""
-    found = _findings(spark, sf_dir).join(_companies(spark, sf_dir), "company_id")
+    found = Run(spark, sf_dir).findings().join(_companies(spark, sf_dir), "company_id")
     counts = found.groupBy("org_id", "status").agg(F.count("*").alias("n"), F.count_if("requires_review").alias("needs_review"), F.sum(F.round(F.col("completeness") * 10000).cast("long")).alias("completeness_sum"))
     return counts
 
 
 def remediation_priority(spark, sf_dir):
     """SCL-29: priority of findings that aren't supported, by a fixed calendar."""
-    importance = F.create_map(*[F.lit(x) for kv in A.IMPORTANCE.items() for x in kv])[F.col("code")]
-    days = F.when(F.col("company_id") % 5 != 0, F.col("company_id") * 7 % 250)
-    found = _findings(spark, sf_dir).filter("status <> 'supported'")
-    return found.select("company_id", "code", "status", scoring.priority(importance, F.col("status"), F.col("completeness"), days).alias("priority"))
+    return Run(spark, sf_dir).priorities()
 
 
 def dashboard_top_gaps(spark, sf_dir):
@@ -115,27 +150,23 @@ def dashboard_top_gaps(spark, sf_dir):
     return W.top_per_group(rows, by="company_id", order=[F.desc("priority"), F.col("company_id"), F.col("code")], each=3, overall=8)
 
 
-def _gaps(spark, sf_dir, period):
-    elements, conflicts = _elements(spark, sf_dir, period), _conflicts(spark, sf_dir, period)
-    return A.gaps(A.findings(elements, conflicts), elements, conflicts)
-
-
 def gap_expansion(spark, sf_dir):
     """DOM-12: what each finding leaves open."""
-    return _gaps(spark, sf_dir, AFTER)
+    return Run(spark, sf_dir).gaps()
 
 
 def action_sync(spark, sf_dir):
     """DOM-13, JN-18: last period's actions against this period's gaps."""
+    run = Run(spark, sf_dir, BEFORE, AFTER)
     state = F.element_at(F.array(*map(F.lit, ["open", "in_progress", "done", "dismissed"])), (F.col("company_id") % 4 + 1).cast("int"))
-    existing = _gaps(spark, sf_dir, BEFORE).select("company_id", "code", "gap_key", state.alias("action_status"), (F.col("company_id") % 7 == 0).alias("closed"))
-    assessed = _findings(spark, sf_dir).filter(F.col("company_id") % 11 != 0)
-    return A.sync_actions(_gaps(spark, sf_dir, AFTER), existing, assessed)
+    existing = run.gaps(BEFORE).select("company_id", "code", "gap_key", state.alias("action_status"), (F.col("company_id") % 7 == 0).alias("closed"))
+    assessed = run.findings().filter(F.col("company_id") % 11 != 0)
+    return A.sync_actions(run.gaps(AFTER), existing, assessed)
 
 
 def merge_policy(spark, sf_dir):
     """DOM-11: model verdicts merged into the rules' elements."""
-    elements = _elements(spark, sf_dir)
+    elements = Run(spark, sf_dir).elements()
     way = (F.col("company_id") + F.length("element")) % 4
     verdict = F.when(way == 0, "yes").when(way == 1, "no").when(way == 2, "unclear")
     verdicts = elements.select("company_id", "code", "element", verdict.alias("verdict"), (F.col("company_id") % 3 != 0).alias("valid"), (F.col("company_id") % 2 == 0).alias("confident"))
@@ -145,15 +176,28 @@ def merge_policy(spark, sf_dir):
 
 def evidence_links(spark, sf_dir):
     """WIN-7: passages linked to findings with role and rank."""
-    return A.evidence_links(_elements(spark, sf_dir), _conflicts(spark, sf_dir))
+    return Run(spark, sf_dir).links()
+
+
+def _manifest(run, period):
+    """What a run of a period was given: a hash of each requirement, its documents by lineage, and the versions of its method."""
+    later = period == AFTER
+    # R3 was revised between the runs, R4 wasn't in the first one's catalogue
+    hashes = [(c, f"{c}-2" if later and c == "R3" else c) for c in sorted(A.IMPORTANCE) if later or c != "R4"]
+    requirements = F.map_from_entries(F.array(*[F.struct(F.lit(c), F.sha2(F.lit(h), 256)) for c, h in hashes]))
+    lineage = F.struct((F.col("document_id") % 10).alias("lineage_id"), F.col("document_id").alias("id"), F.sha2(F.col("document_id").cast("string"), 256).alias("sha256"))
+    own = run.facts.filter(F.col("period_label") == period).groupBy("company_id").agg(F.array_sort(F.collect_set(lineage)).alias("documents"))
+    same = {f: F.lit("1") for f in A.VERSION_FIELDS} | {"rules_version": F.when(F.col("company_id") % 5 == 0, F.lit(period)).otherwise("1"), "llm_model": F.lit(None).cast("string")}
+    versions = F.struct(*[v.alias(k) for k, v in same.items()])
+    return run.companies.select("company_id").join(own, "company_id", "left").select("company_id", requirements.alias("requirements"), F.coalesce("documents", F.array()).alias("documents"), versions.alias("versions"))
 
 
 def run_diff(spark, sf_dir):
-    """DOM-14, JN-17, SET-1: findings that changed between two runs, and why."""
-    cells = _companies(spark, sf_dir).select("company_id", F.explode(F.array(*map(F.lit, sorted(A.IMPORTANCE)))).alias("code"))
-    id_ = F.col("company_id")
-    manifest = cells.select("company_id", "code", (F.col("code") == "R3").alias("revised"), (id_ % 3 != 0).alias("documents_changed"), (id_ % 5 == 0).alias("method_changed"))
-    return A.diff_runs(_findings(spark, sf_dir, BEFORE), _findings(spark, sf_dir, AFTER), manifest)
+    """DOM-14, JN-17, SET-1: findings that changed between two runs, and why, by the runs' manifests."""
+    run = Run(spark, sf_dir, BEFORE, AFTER)
+    before = run.findings(BEFORE).filter("code <> 'R4'")
+    found = A.diff_runs(before, run.findings(AFTER), _manifest(run, BEFORE), _manifest(run, AFTER))
+    return found.select("company_id", "code", "status_before", "status_after", *[F.array_join(c, ",").alias(c) for c in ("added", "removed", "fields")], "cause")
 
 
 def stale_findings(spark, sf_dir):
@@ -162,7 +206,7 @@ def stale_findings(spark, sf_dir):
     from .text_queries import document_versions
 
     superseded = document_versions(spark, sf_dir).filter("superseded_by IS NOT NULL").select(F.col("o_orderkey").alias("document_id"))
-    linked = _findings(spark, sf_dir).select("company_id", "code", F.explode("evidence").alias("passage_id"))
+    linked = Run(spark, sf_dir).findings().select("company_id", "code", F.explode("evidence").alias("passage_id"))
     stale = linked.join(facts, "passage_id").join(superseded, "document_id", "left_semi")
     return stale.groupBy("company_id", "code").agg(F.countDistinct("document_id").alias("documents"), F.count("*").alias("passages"))
 
@@ -308,13 +352,16 @@ SELECT coalesce(f.company_id, e.company_id) AS company_id, coalesce(f.code, e.co
   CASE WHEN e.passage_id IS NOT NULL THEN 'conflicting' ELSE 'supporting' END AS role, coalesce(names, '') AS elements,
   row_number() OVER (PARTITION BY coalesce(f.company_id, e.company_id), coalesce(f.code, e.code) ORDER BY seen IS NULL, seen, coalesce(f.passage_id, e.passage_id)) AS rank
 FROM firsts f FULL OUTER JOIN ends e ON e.company_id = f.company_id AND e.code = f.code AND e.passage_id = f.passage_id""",
-    "run_diff": f"""{_BOTH}, d AS (
-  SELECT coalesce(a.company_id, b.company_id) AS company_id, coalesce(a.code, b.code) AS code, b.status AS status_before, a.status AS status_after, b.completeness AS cb, a.completeness AS ca,
-    len([x for x in coalesce(a.evidence, []) if not list_contains(coalesce(b.evidence, []), x)])::BIGINT AS added, len([x for x in coalesce(b.evidence, []) if not list_contains(coalesce(a.evidence, []), x)])::BIGINT AS removed
-  FROM findings a FULL OUTER JOIN findings_b b ON a.company_id = b.company_id AND a.code = b.code)
-SELECT company_id, code, status_before, status_after, added, removed, coalesce(nullif(concat_ws('; ', CASE WHEN status_before IS NULL THEN 'requirement added' WHEN status_after IS NULL THEN 'requirement removed'
-  WHEN code = 'R3' THEN 'requirement revised' END, CASE WHEN company_id % 3 <> 0 AND added + removed > 0 THEN 'documents changed' END, CASE WHEN company_id % 5 = 0 THEN 'method changed' END), ''), 'evidence selection changed') AS cause
-FROM d WHERE status_before IS DISTINCT FROM status_after OR round(cb, 3) IS DISTINCT FROM round(ca, 3) OR added + removed > 0""",
+    "run_diff": f"""{_BOTH}, keyed AS (SELECT company_id, period_label, document_id FROM facts WHERE NOT base_year AND metric_key IN ({", ".join(f"'{k}'" for k in A.catalogue_keys(A.CATALOGUE))}) AND period_label IN ('{BEFORE}', '{AFTER}')),
+docs AS (SELECT company_id, coalesce(list_sort(list(DISTINCT document_id) FILTER (period_label = '{BEFORE}')), []) <> coalesce(list_sort(list(DISTINCT document_id) FILTER (period_label = '{AFTER}')), []) AS moved FROM keyed GROUP BY company_id),
+d AS (
+  SELECT coalesce(a.company_id, b.company_id) AS company_id, coalesce(a.code, b.code) AS code, b.status AS status_before, a.status AS status_after, coalesce(b.completeness, 0) AS cb, coalesce(a.completeness, 0) AS ca,
+    list_sort([x for x in coalesce(a.evidence, []) if not list_contains(coalesce(b.evidence, []), x)]) AS added, list_sort([x for x in coalesce(b.evidence, []) if not list_contains(coalesce(a.evidence, []), x)]) AS removed
+  FROM findings a FULL OUTER JOIN (SELECT * FROM findings_b WHERE code <> 'R4') b ON a.company_id = b.company_id AND a.code = b.code)
+SELECT company_id, code, status_before, status_after, array_to_string(added, ',') AS added, array_to_string(removed, ',') AS removed, CASE WHEN company_id % 5 = 0 THEN 'rules_version' ELSE '' END AS fields,
+  coalesce(nullif(concat_ws('; ', CASE code WHEN 'R4' THEN 'requirement added' WHEN 'R3' THEN 'requirement revised' END, CASE WHEN coalesce(moved, false) AND len(added) + len(removed) > 0 THEN 'documents changed' END,
+    CASE WHEN company_id % 5 = 0 THEN 'method changed' END), ''), 'evidence selection changed') AS cause
+FROM d LEFT JOIN docs USING (company_id) WHERE status_before IS DISTINCT FROM status_after OR round(cb, 3) <> round(ca, 3) OR len(added) + len(removed) > 0""",
     "stale_findings": f"""{_F}, linked AS (SELECT company_id, code, unnest(evidence) AS passage_id FROM findings),
 superseded AS (SELECT o_orderkey FROM orders QUALIFY lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) IS NOT NULL)
 SELECT l.company_id, l.code, count(DISTINCT document_id) AS documents, count(*) AS passages FROM linked l JOIN (SELECT passage_id, document_id FROM facts WHERE period_label = '{AFTER}') USING (passage_id)

@@ -10,8 +10,9 @@ from ..operators import reporting as R
 from ..operators import retrieval
 from ..operators import workflow as W
 from ..sources.facts import FACTS_SQL, metric_facts
+from ..sources.scratch import materialise
 from ..sources.tables import table
-from .assessment_queries import _BOTH, _F, _PRIORITY, AFTER, BEFORE, _companies, _conflicts, _elements, _findings, _gaps, findings_sql, remediation_priority
+from .assessment_queries import _BOTH, _F, _PRIORITY, AFTER, BEFORE, Run, _companies, findings_sql
 from .text_queries import LINES_SQL, POSTINGS_SQL, _passages, tokens_sql
 
 #: code, ordinal, title, topic, summary, search terms
@@ -37,67 +38,72 @@ def _reviews(spark, sf_dir):
     )
 
 
-def _links(spark, sf_dir):
-    return A.evidence_links(_elements(spark, sf_dir), _conflicts(spark, sf_dir))
-
-
 def _sources(spark, sf_dir):
     """Passages of facts; the page is that of the document's line."""
     facts = metric_facts(spark, sf_dir)
     return facts.groupBy("passage_id").agg(F.min("document_id").alias("document_id"), F.min(F.col("confidence_pct") - 80).alias("page"), F.min(F.concat_ws(" ", "metric_key", "unit")).alias("text"))
 
 
-def _rows(spark, sf_dir):
-    requirements = _requirements(spark).select("code", "ordinal", "title")
-    return R.run_findings(_findings(spark, sf_dir), requirements, _reviews(spark, sf_dir), _links(spark, sf_dir), _sources(spark, sf_dir))
+def _rows(run, sources):
+    requirements = _requirements(run.spark).select("code", "ordinal", "title")
+    return R.run_findings(run.findings(), requirements, _reviews(run.spark, run.sf_dir), run.links(), sources)
+
+
+def _simple_rows(spark, sf_dir):
+    return _rows(Run(spark, sf_dir), _sources(spark, sf_dir))
+
+
+def _with_sources(spark, sf_dir, *periods):
+    """A run and the passages that it may cite, made once."""
+    return Run(spark, sf_dir, *periods), materialise(_sources(spark, sf_dir), "run-sources")
 
 
 def run_findings(spark, sf_dir):
     """JN-9, PRJ-1, WIN-3, SRT-7: findings with requirement, review state and primary evidence."""
-    return _rows(spark, sf_dir).select("company_id", "code", "title", "status", "effective_status", "review_state", "reviews", "n_evidence", "passage_id", "primary_role", "document_id", "page", "primary_text")
+    return _simple_rows(spark, sf_dir).select("company_id", "code", "title", "status", "effective_status", "review_state", "reviews", "n_evidence", "passage_id", "primary_role", "document_id", "page", "primary_text")
 
 
 def findings_to_review(spark, sf_dir):
     """FIL-7: findings that want a review and have none, and those overridden."""
-    rows = _rows(spark, sf_dir)
+    rows = _simple_rows(spark, sf_dir)
     both = R.filtered_findings(rows, review="needed").unionByName(R.filtered_findings(rows, status="not_found", review="override"))
     return both.select("company_id", "code", "status", "review_state")
 
 
 def explorer_gaps(spark, sf_dir):
     """FIL-9: findings whose effective status isn't supported and whose wording contains "en"."""
-    rows = _rows(spark, sf_dir).join(_requirements(spark).select("code", "topic"), "code")
+    rows = _simple_rows(spark, sf_dir).join(_requirements(spark).select("code", "topic"), "code")
     return R.explorer_filter(rows, view="gaps", text="EN").select("company_id", "code", "effective_status")
 
 
 def status_shares(spark, sf_dir):
     """AGG-20: the share of each status of its organisation's findings."""
-    counts = _findings(spark, sf_dir).join(_companies(spark, sf_dir), "company_id").groupBy("org_id", "status").agg(F.count("*").alias("n"))
+    counts = Run(spark, sf_dir).findings().join(_companies(spark, sf_dir), "company_id").groupBy("org_id", "status").agg(F.count("*").alias("n"))
     total = counts.groupBy("org_id").agg(F.sum("n").alias("total"))
     return counts.join(total, "org_id").select("org_id", "status", "n", F.round(F.col("n") / F.col("total"), 6).alias("share"))
 
 
-def _actions(spark, sf_dir):
-    priorities = remediation_priority(spark, sf_dir).select("company_id", "code", "priority")
+def _actions(run):
     state = F.element_at(F.array(*map(F.lit, ["open", "in_progress", "done", "dismissed", "blocked"])), (F.col("company_id") % 5 + 1).cast("int"))
-    return _gaps(spark, sf_dir, AFTER).join(priorities, ["company_id", "code"]).select("company_id", "code", "gap_key", "priority", state.alias("action_status"), F.concat_ws("/", F.col("company_id").cast("string"), "code", "gap_key").alias("created_at"))
+    joined = run.gaps().join(run.priorities().select("company_id", "code", "priority"), ["company_id", "code"])
+    return joined.select("company_id", "code", "gap_key", "priority", state.alias("action_status"), F.concat_ws("/", F.col("company_id").cast("string"), "code", "gap_key").alias("created_at"))
 
 
 def open_actions(spark, sf_dir):
     """FIL-8, FIL-10, SRT-6: the 100 most pressing open actions."""
-    return R.filtered_actions(_actions(spark, sf_dir), "open").limit(100).drop("created_at")
+    return R.filtered_actions(_actions(Run(spark, sf_dir)), "open").limit(100).drop("created_at")
 
 
 def action_dependencies(spark, sf_dir):
     """JN-19: what each action waits for, of its own company."""
-    actions = _actions(spark, sf_dir).select("company_id", "code", "gap_key", F.col("created_at").alias("action_id"), F.array(F.lit("R2:missing:energy"), F.lit("R4:missing:water"), F.lit("R9:none")).alias("depends_on"))
+    actions = _actions(Run(spark, sf_dir)).select("company_id", "code", "gap_key", F.col("created_at").alias("action_id"), F.array(F.lit("R2:missing:energy"), F.lit("R4:missing:water"), F.lit("R9:none")).alias("depends_on"))
     return A.resolved_dependencies(actions).select("action_id", F.array_join("needs", ",").alias("needs"))
 
 
 def csv_export_rows(spark, sf_dir):
     """SNK-3, SCL-36: the findings export with its fourteen columns."""
-    priorities = remediation_priority(spark, sf_dir).select("company_id", "code", "priority")
-    rows = _rows(spark, sf_dir).join(priorities, ["company_id", "code"], "left").withColumn("priority", F.coalesce("priority", F.lit(0.0)))
+    run, sources = _with_sources(spark, sf_dir)
+    rows = _rows(run, sources).join(run.priorities().select("company_id", "code", "priority"), ["company_id", "code"], "left").withColumn("priority", F.coalesce("priority", F.lit(0.0)))
     return R.export_rows(rows, requirement_set=SET_ID, run_id=F.lit(RUN_ID))
 
 
@@ -107,14 +113,15 @@ RUN = {"id": RUN_ID, "set": SET_ID, "period": AFTER, "mode": "rules", "title": "
 def evidence_package(spark, sf_dir):
     """SNK-4, SNK-6: run, documents, findings with rationale, elements, quoted evidence and reviews, and actions as one JSON document per company."""
     documents = metric_facts(spark, sf_dir).filter(F.col("period_label") == AFTER).select("company_id", "document_id")
-    return R.evidence_package(_rows(spark, sf_dir), _elements(spark, sf_dir), _links(spark, sf_dir), _reviews(spark, sf_dir), _sources(spark, sf_dir), documents, _actions(spark, sf_dir), run=RUN)
+    run, sources = _with_sources(spark, sf_dir)
+    return R.evidence_package(_rows(run, sources), run.elements(), run.links(), _reviews(spark, sf_dir), sources, documents, _actions(run), run=RUN)
 
 
 def markdown_report(spark, sf_dir):
     """SNK-5: a report per company: title, summary, findings with rationale and quoted passages, actions, limitations."""
-    priorities = remediation_priority(spark, sf_dir).select("company_id", "code", "priority")
-    rows = _rows(spark, sf_dir).join(priorities, ["company_id", "code"], "left").withColumn("priority", F.coalesce("priority", F.lit(0.0)))
-    return R.markdown_report(rows, _links(spark, sf_dir), _actions(spark, sf_dir), _sources(spark, sf_dir), run=RUN)
+    run, sources = _with_sources(spark, sf_dir)
+    rows = _rows(run, sources).join(run.priorities().select("company_id", "code", "priority"), ["company_id", "code"], "left").withColumn("priority", F.coalesce("priority", F.lit(0.0)))
+    return R.markdown_report(rows, run.links(), _actions(run), sources, run=RUN)
 
 
 def finding_trails(spark, sf_dir):
@@ -122,9 +129,10 @@ def finding_trails(spark, sf_dir):
     facts = metric_facts(spark, sf_dir).filter(F.col("period_label") == AFTER)
     first = facts.groupBy("company_id").agg(F.min("passage_id").alias("first_passage"))
     context = F.when((F.col("element") == "period") & F.col("first_passage").isNotNull(), F.array("first_passage")).otherwise(F.array().cast("array<string>"))
-    elements = _elements(spark, sf_dir).join(first, "company_id", "left").withColumn("context", context)
-    runs = [_findings(spark, sf_dir, period).select("company_id", "code", F.lit(f"run-{period[4:]}").alias("run_id"), "status", "completeness", F.lit(period).alias("created_at")) for period in (BEFORE, AFTER)]
-    return R.finding_trails(_rows(spark, sf_dir), elements, _links(spark, sf_dir), _sources(spark, sf_dir), _reviews(spark, sf_dir), _actions(spark, sf_dir), runs[0].unionByName(runs[1]))
+    run, sources = _with_sources(spark, sf_dir, BEFORE, AFTER)
+    elements = run.elements().join(first, "company_id", "left").withColumn("context", context)
+    runs = [run.findings(period).select("company_id", "code", F.lit(f"run-{period[4:]}").alias("run_id"), "status", "completeness", F.lit(period).alias("created_at")) for period in (BEFORE, AFTER)]
+    return R.finding_trails(_rows(run, sources), elements, run.links(), sources, _reviews(spark, sf_dir), _actions(run), runs[0].unionByName(runs[1]))
 
 
 def finding_history(spark, sf_dir):
@@ -146,7 +154,7 @@ def passage_neighbours(spark, sf_dir):
 
 def passage_usage(spark, sf_dir):
     """JN-6, JN-7: the first twenty findings that cite each passage, and how often its document is cited."""
-    links = _links(spark, sf_dir).join(_sources(spark, sf_dir), "passage_id")
+    links = Run(spark, sf_dir).links().join(_sources(spark, sf_dir), "passage_id")
     first = R.last_of_each(links, by="passage_id", order=[F.desc("company_id"), F.col("code")], limit=20)
     used = links.groupBy("document_id").agg(F.count("*").alias("document_links"))
     return first.join(used, "document_id").select("passage_id", "company_id", "code", "place", "document_links")
@@ -155,7 +163,7 @@ def passage_usage(spark, sf_dir):
 def passage_metric_keys(spark, sf_dir):
     """JN-11, JN-12: metric keys of each cited passage."""
     keys = metric_facts(spark, sf_dir).groupBy("passage_id").agg(F.array_join(F.array_sort(F.collect_set("metric_key")), ",").alias("keys"), F.count("*").alias("n"))
-    return _links(spark, sf_dir).select("passage_id").distinct().join(keys, "passage_id", "left")
+    return Run(spark, sf_dir).links().select("passage_id").distinct().join(keys, "passage_id", "left")
 
 
 def peers_by_name(spark, sf_dir):
@@ -186,15 +194,17 @@ def document_changes(spark, sf_dir):
 
 def element_changes(spark, sf_dir):
     """SET-3: elements whose status differs between two runs."""
-    return A.element_changes(_elements(spark, sf_dir, BEFORE), _elements(spark, sf_dir, AFTER))
+    run = Run(spark, sf_dir, BEFORE, AFTER)
+    return A.element_changes(run.elements(BEFORE), run.elements(AFTER))
 
 
 def merged_findings(spark, sf_dir):
     """DOM-11: findings after verdicts are merged, with status, confidence and reasons made anew."""
-    elements = _elements(spark, sf_dir)
+    run = Run(spark, sf_dir)
+    elements = run.elements()
     way = (F.col("company_id") + F.length("element")) % 4
     verdicts = elements.select("company_id", "code", "element", F.when(way == 0, "yes").when(way == 1, "no").when(way == 2, "unclear").alias("verdict"), (F.col("company_id") % 3 != 0).alias("valid"), (F.col("company_id") % 2 == 0).alias("confident"))
-    found = A.findings(elements, _conflicts(spark, sf_dir))
+    found = run.findings()
     id_ = F.col("company_id")
     said = F.element_at(F.array(*map(F.lit, ["supported", "partially_supported", "not_found", "conflicting"])), (id_ % 4 + 1).cast("int"))
     models = found.filter(id_ % 7 != 0).select("company_id", "code", said.alias("model_status"), ((id_ % 10) / 10).alias("model_confidence"), (id_ % 3 == 0).alias("wants_review"), (id_ % 2).alias("n_evidence"))
@@ -210,12 +220,13 @@ def _hits(spark, sf_dir):
 
 def related_evidence(spark, sf_dir):
     """SET-6: the first three hits that are no evidence yet."""
-    return A.related_passages(_hits(spark, sf_dir), _links(spark, sf_dir))
+    return A.related_passages(_hits(spark, sf_dir), Run(spark, sf_dir).links())
 
 
 def candidate_passages(spark, sf_dir):
     """SRT-12: passages shown to a model, each once, twelve at most."""
-    return A.candidate_passages(_elements(spark, sf_dir), _conflicts(spark, sf_dir), _hits(spark, sf_dir))
+    run = Run(spark, sf_dir)
+    return A.candidate_passages(run.elements(), run.conflicts(), _hits(spark, sf_dir))
 
 
 def requirement_search(spark, sf_dir):
@@ -279,7 +290,7 @@ def call_statistics(spark, sf_dir):
 def dashboard_counts(spark, sf_dir):
     """AGG-18, JN-4, SRT-10: companies, findings, open gaps and reviews of each organisation, and its first three companies."""
     companies = _companies(spark, sf_dir)
-    found = _findings(spark, sf_dir).join(companies, "company_id")
+    found = Run(spark, sf_dir).findings().join(companies, "company_id")
     counts = found.groupBy("org_id").agg(F.countDistinct("company_id").alias("companies"), F.count("*").alias("findings"), F.count_if(F.col("status") != "supported").alias("gaps"), F.count_if("requires_review").alias("reviews"))
     first = R.last_of_each(companies, by="org_id", order=[F.col("company_id")], limit=3).groupBy("org_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("company_id")), lambda c: c.cast("string")), ",").alias("first_companies"))
     return counts.join(first, "org_id")

@@ -122,8 +122,22 @@ def test_run_diff_names_its_cause(spark):
     schema = "company_id long, code string, status string, completeness double, evidence array<string>"
     before = spark.createDataFrame([(1, "A", "supported", 1.0, ["p"]), (1, "B", "not_found", 0.0, []), (1, "C", "supported", 1.0, ["p"]), (1, "D", "supported", 1.0, [])], schema)
     after = spark.createDataFrame([(1, "A", "supported", 1.0, ["q"]), (1, "B", "supported", 1.0, []), (1, "C", "supported", 1.0, ["p"]), (1, "E", "supported", 1.0, [])], schema)
-    rows = {r["code"]: (r["cause"], r["added"], r["removed"]) for r in A.diff_runs(before, after).collect()}
-    assert rows == {"A": ("documents changed", 1, 1), "B": ("evidence selection changed", 0, 0), "D": ("requirement removed", 0, 0), "E": ("requirement added", 0, 0)}
+    fields = ", ".join(f"{f} string" for f in A.VERSION_FIELDS).replace(" string", ":string").replace(", ", ",")
+    manifests = f"company_id long, requirements map<string,string>, documents array<struct<lineage_id:long,id:long,sha256:string>>, versions struct<{fields}>"
+    one = ("1", "1", "1", None, None, "rules")
+
+    def diff(requirements, documents, versions):
+        old = spark.createDataFrame([(1, {"A": "x", "B": "x", "C": "x", "D": "x"}, [(1, 10, "h"), (2, 20, "h")], one)], manifests)
+        new = spark.createDataFrame([(1, requirements, documents, versions)], manifests)
+        return {r["code"]: (r["cause"], r["added"], r["removed"], r["fields"]) for r in A.diff_runs(before, after, old, new).collect()}
+
+    same = [(2, 20, "h"), (1, 10, "h")]
+    assert diff({"A": "x", "B": "x", "C": "y", "E": "x"}, same, one) == {
+        "A": ("evidence selection changed", ["q"], ["p"], []), "B": ("evidence selection changed", [], [], []), "D": ("requirement removed", [], [], []), "E": ("requirement added", [], [], []),
+    }
+    moved = diff({"A": "y", "B": "x", "E": "x"}, [(1, 11, "h"), (2, 20, "h")], ("1", "1", "2", None, "m", "rules"))
+    assert moved["A"] == ("requirement revised; documents changed; method changed", ["q"], ["p"], ["rules_version", "llm_model"]) and moved["B"][0] == "method changed"
+    assert diff({"A": "x", "B": "x", "E": "x"}, same[:1], one)["A"][0] == "documents changed"
 
 
 def test_passages_and_versions(spark):

@@ -29,13 +29,22 @@ def test_run_findings_and_exports(spark):
     assert R.filtered_findings(rows, review="needed").count() == 0 and R.filtered_findings(rows, review="override").count() == 1
     assert R.explorer_filter(rows.withColumn("topic", F.lit("t")), view="gaps").count() == 0
     elements = spark.createDataFrame([(1, "A", 0, "e", "satisfied", False), (1, "B", 1, "f", "missing", False), (1, "B", 0, "e", "satisfied", True)], "company_id long, code string, ordinal int, element string, status string, weak boolean")
-    package = json.loads(R.evidence_package(rows, elements, links, reviews).first()["package"])
-    assert [f["code"] for f in package["findings"]] == ["A", "B"] and package["limitations"] == R.LIMITATIONS
+    actions = spark.createDataFrame([(1, "B", "missing:x", 0.35, "open"), (1, "B", "review", 0.5, "done")], "company_id long, code string, gap_key string, priority double, action_status string")
+    documents = spark.createDataFrame([(1, 8), (1, 7), (1, 7)], "company_id long, document_id long")
+    run = {"id": "r1", "title": "assessment", "set": "s@1", "period": "FY1", "mode": "rules"}
+    package = json.loads(R.evidence_package(rows, elements, links, reviews, passages, documents, actions, run=run).first()["package"])
+    assert [f["code"] for f in package["findings"]] == ["A", "B"] and package["limitations"] == R.LIMITATIONS and package["documents"] == [7, 8] and package["run"] == run
     second = package["findings"][1]
-    assert [e["element"] for e in second["elements"]] == ["e", "f"] and [e["passage_id"] for e in second["evidence"]] == ["p2", "p1"] and [r["decision"] for r in second["reviews"]] == ["accept", "override", "comment"]
-    actions = spark.createDataFrame([(1, "B", "missing:x", 0.35)], "company_id long, code string, gap_key string, priority double")
-    report = R.markdown_report(rows, links, actions).first()["report"]
-    assert "| B Second | Partially supported | 50% |" in report and "- *supporting* — p1" in report and "1. B missing:x (priority 0.350)" in report and report.endswith(R.LIMITATIONS[-1])
+    assert [e["element"] for e in second["elements"]] == ["e", "f"] and [(e["passage_id"], e["page"], e["text"][:1]) for e in second["evidence"]] == [("p2", 4, "u"), ("p1", 3, "t")] and [r["decision"] for r in second["reviews"]] == ["accept", "override", "comment"]
+    assert package["findings"][0]["evidence"] == [] and [a["gap_key"] for a in package["actions"]] == ["review", "missing:x"] and second["rationale"].startswith("Partially supported: 50 %")
+    report = R.markdown_report(rows.withColumn("priority", F.lit(0.35)), links, actions, passages, run=run).first()["report"]
+    assert report.startswith("# Company 1 — assessment\n") and "| B Second | Partially supported | 50% | 0.35 |" in report and f"- *supporting* — 7, p.3: “{'t' * 220}”" in report
+    assert "1. **missing:x** (B, priority 0.35, open)" in report and report.endswith(R.LIMITATIONS[-1])
+    cited = elements.withColumn("passages", F.when(F.col("element") == "e", F.array(F.lit("p1"))).otherwise(F.array())).withColumn("context", F.array(F.lit("p2"), F.lit("unknown")))
+    history = spark.createDataFrame([(1, "A", f"r{k:02}", "supported", 1.0, k) for k in range(15)], "company_id long, code string, run_id string, status string, completeness double, created_at long")
+    trails = {r["code"]: json.loads(r["trail"]) for r in R.finding_trails(rows, cited, links, passages, reviews, actions, history).collect()}
+    assert [p["passage_id"] for p in trails["A"]["also_cited"]] == ["p1", "p2"] and trails["A"]["evidence"] == [] and [h["run_id"] for h in trails["A"]["history"]] == [f"r{k:02}" for k in range(14, 2, -1)]
+    assert trails["B"]["also_cited"] == [] and [a["gap_key"] for a in trails["B"]["actions"]] == ["review", "missing:x"] and trails["B"]["history"] == []
     line = R.export_rows(rows.withColumn("priority", F.lit(0.35)), requirement_set="s@1", run_id=F.lit(5)).filter("requirement = 'B'").first()
     assert len(line) == 15 and line["primary_source"] == "Document 7 p.3" and line["rationale"] == "Partially supported: 50 % of the applicable elements are established by 1 passage. Missing: x."
 
@@ -59,6 +68,12 @@ def test_merge_makes_status_and_confidence_anew(spark):
     assert rows == {1: ("partially_supported", 0.7, False), 2: ("human_review", 0.55, True), 3: ("human_review", 0.38, True), 4: ("conflicting", 0.34, True), 5: ("not_found", 0.6, False)}
 
 
+def test_document_changes(spark):
+    docs = "company_id long, lineage_id long, document_id long, version long, sha256 string"
+    old, new = spark.createDataFrame([(1, 1, 10, 1, "a"), (1, 2, 20, 1, "b"), (1, 3, 30, 1, "c")], docs), spark.createDataFrame([(1, 1, 11, 2, "x"), (1, 3, 30, 1, "c"), (1, 4, 40, 1, "d")], docs)
+    assert {r["lineage_id"]: (r["change"], r["before_version"], r["after_version"]) for r in A.document_changes(old, new).collect()} == {1: ("replaced", 1, 2), 2: ("removed", None, None), 4: ("added", None, None)}
+
+
 def test_related_candidates_and_dependencies(spark):
     links = spark.createDataFrame([(1, "R", "p1")], "company_id long, code string, passage_id string")
     hits = spark.createDataFrame([(1, "R", f"p{k}", k) for k in range(1, 7)], "company_id long, code string, passage_id string, rank long")
@@ -70,16 +85,6 @@ def test_related_candidates_and_dependencies(spark):
     assert {r["action_id"]: r["needs"] for r in A.resolved_dependencies(actions).collect()} == {"i1": ["i2"], "i2": [], "i3": ["i3"]}
 
 
-def test_changes_between_runs(spark):
-    schema = "company_id long, code string, status string, completeness double, evidence array<string>"
-    before = spark.createDataFrame([(1, "A", "supported", 1.0, ["p"]), (1, "B", "supported", 1.0, ["p"])], schema)
-    after = spark.createDataFrame([(1, "A", "not_found", 0.0, ["p"]), (1, "B", "supported", 1.0, ["q"])], schema)
-    manifest = spark.createDataFrame([(1, "A", True, True, True), (1, "B", False, False, False)], "company_id long, code string, revised boolean, documents_changed boolean, method_changed boolean")
-    assert {r["code"]: r["cause"] for r in A.diff_runs(before, after, manifest).collect()} == {"A": "requirement revised; method changed", "B": "evidence selection changed"}
-    docs = "company_id long, lineage_id long, document_id long, version long, sha256 string"
-    old, new = spark.createDataFrame([(1, 1, 10, 1, "a"), (1, 2, 20, 1, "b"), (1, 3, 30, 1, "c")], docs), spark.createDataFrame([(1, 1, 11, 2, "x"), (1, 3, 30, 1, "c"), (1, 4, 40, 1, "d")], docs)
-    assert {r["lineage_id"]: (r["change"], r["before_version"], r["after_version"]) for r in A.document_changes(old, new).collect()} == {1: ("replaced", 1, 2), 2: ("removed", None, None), 4: ("added", None, None)}
-
 
 def test_catalogue_load_outcomes(spark):
     files = spark.createDataFrame([(k, "body") for k in "abcd"], "set_id string, body string")
