@@ -225,30 +225,6 @@ def load_catalogue(files: DataFrame, loaded: DataFrame, used: DataFrame) -> Data
     return both.select("set_id", "content_hash", done.alias("outcome"))
 
 
-def evaluation_summary(cases: DataFrame) -> DataFrame:
-    """Accuracy, gap precision and recall, recall at 5 and support of corpus cases, citation validity, review rate, latency, tokens.
-
-    `cases`: source, gold, predicted, recall_at_5, support_precision, cited, invalid, requires_review, latency_ms, tokens, failed.
-    """
-    gap, said = F.col("gold") != "supported", F.col("predicted") != "supported"
-    tp, fp, fn = F.count_if(gap & said), F.count_if(~gap & said), F.count_if(gap & ~said)
-    corpus = F.col("source") == "corpus"
-    return cases.agg(
-        F.count("*").alias("cases"), F.round(F.avg((F.col("gold") == F.col("predicted")).cast("double")), 6).alias("status_accuracy"),
-        F.round(F.coalesce(tp / F.nullif(tp + fp, F.lit(0)), F.lit(0.0)), 6).alias("gap_precision"), F.round(F.coalesce(tp / F.nullif(tp + fn, F.lit(0)), F.lit(0.0)), 6).alias("gap_recall"),
-        F.round(F.avg(F.when(corpus, F.col("recall_at_5"))), 6).alias("recall_at_5"), F.round(F.avg(F.when(corpus, F.col("support_precision"))), 6).alias("support_precision"),
-        F.round(F.coalesce(1 - F.sum("invalid") / F.nullif(F.sum("cited"), F.lit(0)), F.lit(1.0)), 6).alias("citation_validity"), F.round(F.avg(F.col("requires_review").cast("double")), 6).alias("review_rate"),
-        F.round(F.avg("tokens"), 6).alias("tokens"), F.count_if("failed").alias("errors"),
-    )
-
-
-def evaluation_report(summaries: DataFrame) -> DataFrame:
-    """One markdown line a mode of an evaluation summary, with a header."""
-    line = F.concat(F.lit("| "), F.col("mode"), F.lit(" | "), F.col("cases").cast("string"), F.lit(" | "), F.format_string("%.1f%%", F.col("status_accuracy") * 100), F.lit(" |"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("mode", line.alias("line")))), lambda x: x["line"])
-    return summaries.agg(F.concat(F.lit("| Mode | Cases | Status accuracy |\n|---|---|---|\n"), F.array_join(ordered, "\n")).alias("report"))
-
-
 def slug(text: Column) -> Column:
     """Lower-case letters and digits with single hyphens between."""
     return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")

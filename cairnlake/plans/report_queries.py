@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import format_value
 from ..operators import assessment as A
+from ..operators import evaluation as E
 from ..operators import reporting as R
 from ..operators import retrieval
 from ..operators import workflow as W
+from ..operators.ranking import evenly_spaced
 from ..sources.facts import FACTS_SQL, metric_facts
 from ..sources.scratch import materialise
 from ..sources.tables import table
@@ -266,17 +268,31 @@ def first_boundary(spark, sf_dir):
     return hits.groupBy("doc_id").agg(F.min_by("passage_id", "ordinal").alias("passage_id"), F.min("ordinal").alias("ordinal"))
 
 
+def _evaluated(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_id"), F.floor("o_totalprice").alias("value"))
+    return E.run_cases(E.generated_cases(orders))
+
+
+def evaluation_cases(spark, sf_dir):
+    """DOM-21, DOM-22: a generated case for each order, assessed all at once: gold and predicted status, conflict, value and citations."""
+    found = _evaluated(spark, sf_dir)
+    return found.select("case_id", "gold", "predicted", "gold_conflict", "predicted_conflict", "value_found", "citations", "cost")
+
+
 def evaluation_summary(spark, sf_dir):
-    """AGG-21, AGG-22, SET-5, SNK-8: figures of labelled documents taken as cases."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "source", "text")
-    cases = table(spark, sf_dir, "labels").join(docs, "doc_id")
-    odd = F.regexp_count("text", F.lit(r"[#*$%&|<>]")) * 20 > F.length("text")
-    pages, gold = F.sequence(F.lit(1).cast("long"), F.col("doc_id") % 7 + 1), F.array(F.col("doc_id") % 5, F.col("doc_id") % 9)
-    return R.evaluation_summary(cases.select(
-        F.when(F.col("doc_id") % 3 == 0, "corpus").otherwise("made").alias("source"), F.when(F.col("quality") == 1, "supported").otherwise("not_found").alias("gold"), F.when(odd, "not_found").otherwise("supported").alias("predicted"),
-        F.arrays_overlap(F.slice(pages, 1, 5), gold).cast("double").alias("recall_at_5"), ((F.col("doc_id") % 4) / 4).alias("support_precision"), (F.col("doc_id") % 6).alias("cited"), F.when(F.col("doc_id") % 6 == 5, 1).otherwise(0).alias("invalid"),
-        (F.col("doc_id") % 8 == 0).alias("requires_review"), F.col("n_chars").cast("double").alias("latency_ms"), F.col("n_chars").alias("tokens"), (F.col("doc_id") % 50 == 0).alias("failed"),
-    ))
+    """AGG-21, AGG-22, SET-5: the figures of that run."""
+    return E.summary(_evaluated(spark, sf_dir))
+
+
+def evaluation_report(spark, sf_dir):
+    """SNK-8: the figures as a report."""
+    return E.report(evaluation_summary(spark, sf_dir).withColumn("mode", F.lit("rules")))
+
+
+def sampled_cases(spark, sf_dir):
+    """WIN-13: a hundred order lines at equal distances in the order of their price."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return evenly_spaced(lines, 100, F.col("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber"))
 
 
 def call_statistics(spark, sf_dir):
@@ -310,7 +326,7 @@ QUERIES = {
     for f in (
         run_findings, findings_to_review, explorer_gaps, status_shares, open_actions, action_dependencies, csv_export_rows, evidence_package, markdown_report, finding_trails, finding_history, company_metrics, passage_neighbours,
         passage_usage, passage_metric_keys, peers_by_name, job_targets, document_changes, element_changes, merged_findings, related_evidence, candidate_passages, requirement_search, catalogue_status, catalogue_load,
-        run_manifest, first_boundary, evaluation_summary, call_statistics, dashboard_counts, display_formats,
+        run_manifest, first_boundary, evaluation_cases, evaluation_summary, evaluation_report, sampled_cases, call_statistics, dashboard_counts, display_formats,
     )
 }
 
@@ -355,6 +371,29 @@ _EVIDENCE_SQL = """ev AS (SELECT company_id, code, list({'rank': rank, 'role': r
   FROM links JOIN sources USING (passage_id) GROUP BY ALL)"""
 _TOLD = f"""{_LABEL.format('status')} || ': ' || round(completeness * 100)::BIGINT || ' % of the applicable elements are established by ' || n_evidence || CASE WHEN n_evidence = 1 THEN ' passage.' ELSE ' passages.' END
   || CASE WHEN missing <> '' THEN ' Missing: ' || missing || '.' ELSE '' END"""
+def _draw(name):
+    return f"('0x' || substr(md5('{E.SEED}:' || o_orderkey || ':{name}'), 1, 8))::BIGINT / 4294967296e0"
+
+
+_KIND = "CASE WHEN {0} < 5e-1 THEN 'standard' WHEN {0} < 65e-2 THEN 'paraphrase' WHEN {0} < 85e-2 THEN 'absent' ELSE 'trap' END"
+#: Cases as they are generated, and what the rules make of each wording: they miss paraphrases and take one trap for a boundary.
+_CASES_SQL = f"""WITH k AS (
+  SELECT o_orderkey AS case_id, floor(o_totalprice)::BIGINT AS v, {", ".join(f"{_KIND.format(_draw(e))} AS k_{e}" for e in E.WORDING)}, {_draw("conflict")} < 2e-1 AS c FROM orders
+), t AS (
+  SELECT case_id, k_value, k_boundary, k_method, k_value = 'standard' AND c AS conflict, k_value IN ('standard', 'paraphrase') AS v1, k_boundary IN ('standard', 'paraphrase') AS b1, k_method IN ('standard', 'paraphrase') AS m1,
+    k_value = 'standard' AS v2, k_boundary IN ('standard', 'trap') AS b2, k_method = 'standard' AS m2,
+    [x for x in [{", ".join("CASE k_{0} {1} END".format(e, " ".join(f"WHEN '{kind}' THEN replace('{w}', '{{v}}', format('{{:,}}', v))" for kind, w in ways.items())) for e, ways in E.WORDING.items())},
+      CASE WHEN k_value = 'standard' AND c THEN replace('{E.CONFLICT}', '{{w}}', format('{{:,}}', v + v // 20)) END] if x IS NOT NULL] AS parts FROM k
+), r AS (
+  SELECT *, CASE WHEN v1 THEN v2 END AS value_found, ((v2)::INT + (b2)::INT + (m2)::INT + (conflict)::INT)::INT AS citations, length(array_to_string(parts, ' '))::INT AS cost,
+    CASE WHEN conflict THEN 'conflicting' WHEN v1 AND b1 AND m1 THEN 'supported' WHEN v1 OR b1 OR m1 THEN 'partially_supported' ELSE 'not_found' END AS gold,
+    CASE WHEN conflict THEN 'conflicting' WHEN v2 AND b2 AND m2 THEN 'supported' WHEN v2 OR b2 OR m2 THEN 'partially_supported' ELSE 'not_found' END AS predicted FROM t)"""
+_SUMMARY_SQL = """SELECT count(*) AS cases, round(avg((gold = predicted)::INT), 6) AS status_accuracy,
+  round(count(*) FILTER (gold <> 'supported' AND predicted <> 'supported') / count(*) FILTER (predicted <> 'supported')::DOUBLE, 6) AS gap_precision, round(count(*) FILTER (gold <> 'supported' AND predicted <> 'supported') / count(*) FILTER (gold <> 'supported')::DOUBLE, 6) AS gap_recall,
+  round(sum(2 * (v1 AND v2)::INT + (b1 AND b2)::INT + (m1 AND m2)::INT) / sum(2 * v2::INT + b2::INT + m2::INT)::DOUBLE, 6) AS element_precision,
+  round(sum(2 * (v1 AND v2)::INT + (b1 AND b2)::INT + (m1 AND m2)::INT) / sum(2 * v1::INT + b1::INT + m1::INT)::DOUBLE, 6) AS element_recall,
+  1e0 AS conflict_precision, 1e0 AS conflict_recall, round(avg(value_found::INT), 6) AS numeric_accuracy, count(value_found) AS numeric_cases, 1e0 AS citation_validity, sum(citations)::BIGINT AS citations,
+  round(avg(conflict::INT), 6) AS review_rate, median(cost::DOUBLE) AS median_cost FROM r"""
 _HASH = "|".join(f"{r[0]}:{r[2]}" for r in REQUIREMENTS)
 _SEARCH = ", ".join("('{0}', '{1}', [{2}], [{3}])".format(c, " ".join([t, s, *terms]), ", ".join(f"'{x}'" for x in terms), ", ".join(f"'{x}'" for x in [topic, *terms[:3]])) for c, _, t, topic, s, terms in REQUIREMENTS)
 
@@ -435,11 +474,15 @@ SELECT p_brand, requirements, (p_size // 10) || '.' || (p_size % 10) AS version,
     "catalogue_load": """SELECT p_partkey::VARCHAR AS set_id, sha256(concat_ws('|', p_name, p_brand, p_type)) AS content_hash, CASE p_partkey % 3 WHEN 0 THEN 'loaded' WHEN 1 THEN 'skipped' ELSE CASE WHEN p_partkey % 2 = 0 THEN 'refused' ELSE 'replaced' END END AS outcome FROM part""",
     "run_manifest": f"WITH {FACTS_SQL} SELECT company_id, string_agg(document_id::VARCHAR, ',' ORDER BY document_id) AS documents, count(*) AS n, sha256('{_HASH}') AS requirements_hash FROM (SELECT DISTINCT company_id, document_id FROM facts WHERE period_label = '{AFTER}') GROUP BY company_id",
     "first_boundary": f"WITH {LINES_SQL} SELECT doc_id, arg_min(passage_id, ordinal) AS passage_id, min(ordinal) AS ordinal FROM passages WHERE regexp_matches(line, '(?i)the') AND regexp_matches(line, '(?i)license|token|under') GROUP BY doc_id",
-    "evaluation_summary": """WITH c AS (SELECT doc_id, n_chars, quality = 0 AS gap, len(regexp_extract_all(text, '[#*$%&|<>]')) * 20 > length(text) AS said FROM labels JOIN documents USING (doc_id)),
-t AS (SELECT *, count(*) FILTER (gap AND said) OVER () AS tp, count(*) FILTER (NOT gap AND said) OVER () AS fp, count(*) FILTER (gap AND NOT said) OVER () AS fn, least(doc_id % 7 + 1, 5) AS top FROM c)
-SELECT count(*) AS cases, round(avg((gap = said)::INT), 6) AS status_accuracy, round(coalesce(any_value(tp) / nullif(any_value(tp + fp), 0), 0), 6) AS gap_precision, round(coalesce(any_value(tp) / nullif(any_value(tp + fn), 0), 0), 6) AS gap_recall,
-  round(avg(((doc_id % 5 BETWEEN 1 AND top) OR (doc_id % 9 BETWEEN 1 AND top))::INT) FILTER (doc_id % 3 = 0), 6) AS recall_at_5, round(avg((doc_id % 4) / 4e0) FILTER (doc_id % 3 = 0), 6) AS support_precision,
-  round(1 - count(*) FILTER (doc_id % 6 = 5) / sum(doc_id % 6)::DOUBLE, 6) AS citation_validity, round(avg((doc_id % 8 = 0)::INT), 6) AS review_rate, median(n_chars::DOUBLE) AS latency_ms, round(avg(n_chars), 6) AS tokens, count(*) FILTER (doc_id % 50 = 0) AS errors FROM t""",
+    "evaluation_cases": f"""{_CASES_SQL} SELECT case_id, gold, predicted, conflict AS gold_conflict, conflict AS predicted_conflict, value_found, citations, cost FROM r""",
+    "evaluation_summary": f"""{_CASES_SQL} {_SUMMARY_SQL}""",
+    "evaluation_report": f"""{_CASES_SQL}, s AS ({_SUMMARY_SQL})
+SELECT concat_ws(chr(10), '| Figure | rules |', '|---|---|', '| Cases | ' || cases || ' |', {", ".join(f"'| {n} | ' || format('{{:.1f}}', {c} * 100) || '% |'" for n, c in (
+  ("Status accuracy", "status_accuracy"), ("Gap detection, precision", "gap_precision"), ("Gap detection, recall", "gap_recall"), ("Element detection, precision", "element_precision"), ("Element detection, recall", "element_recall"),
+  ("Contradictions, precision", "conflict_precision"), ("Contradictions, recall", "conflict_recall")))}, '| Values found | ' || format('{{:.1f}}', numeric_accuracy * 100) || '% (' || numeric_cases || ' values) |',
+  '| Citation validity | ' || format('{{:.1f}}', citation_validity * 100) || '% |', '| Review rate | ' || format('{{:.1f}}', review_rate * 100) || '% |', '| Median cost | ' || format('{{:.1f}}', median_cost) || ' |') AS report FROM s""",
+    "sampled_cases": """WITH r AS (SELECT l_orderkey, l_linenumber, l_extendedprice, row_number() OVER (ORDER BY l_extendedprice, l_orderkey, l_linenumber) - 1 AS k, count(*) OVER () AS n FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_extendedprice FROM r WHERE k IN (SELECT i * (SELECT count(*) FROM lineitem) // 100 FROM range(100) t(i))""",
     "call_statistics": "SELECT user_id, count(*) AS calls, count(*) FILTER (event_type = 'view') AS cached, (sum(floor(value)) FILTER (event_type <> 'view'))::BIGINT AS tokens, count(*) FILTER (event_type = 'error') AS failures FROM events GROUP BY user_id",
     "dashboard_counts": f"""{_F}, c AS (SELECT s_nationkey::BIGINT AS org_id, count(DISTINCT company_id) AS companies, count(*) AS findings, count(*) FILTER (status <> 'supported') AS gaps, count(*) FILTER (requires_review) AS reviews FROM findings JOIN supplier ON s_suppkey = company_id GROUP BY ALL),
 f AS (SELECT s_nationkey::BIGINT AS org_id, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS r FROM supplier)
