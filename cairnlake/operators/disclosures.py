@@ -137,3 +137,75 @@ def cell_notes(cell_end: Column) -> Column:
         F.when(cell_end, "other fiscal year end"),
     ]
     return F.array_join(F.array_compact(F.array(*notes)), "; ")
+
+
+#: How a company says what it consolidates, and what a passage must be about for it to count (fixed values).
+BOUNDARY, ABOUT = r"(?i)((?:operational|financial)[\s-]control|equity[\s-]share)", r"(?i)emission|ghg|greenhouse|scope|report"
+#: Share of a period that a peer's must have in common with the focal company's, and the notes that forbid a comparison (fixed values).
+SAME_PERIOD, HINDERING = 0.98, ("period", "boundary", "method", "conflict", "denominator")
+
+
+def boundaries(passages: DataFrame) -> DataFrame:
+    """company_id, approach and passage_id: how each company consolidates, by its first passage (ordinal) that says so and is about reporting."""
+    hits = passages.filter(F.col("text").rlike(BOUNDARY) & F.col("text").rlike(ABOUT))
+    named = F.replace(F.lower(F.regexp_extract("text", BOUNDARY, 1)), F.lit("-"), F.lit(" "))
+    return hits.groupBy("company_id").agg(F.min_by(F.struct(named.alias("approach"), "passage_id"), "ordinal").alias("first")).select("company_id", "first.*")
+
+
+def noted_grid(
+    companies: DataFrame, facts: DataFrame, passages: DataFrame, stated: DataFrame, metrics: list[str], fallback: dict[str, str], period_label: str,
+    *, emissions: tuple[str, ...] = (), ratios: tuple[str, ...] = (), shares: tuple[str, ...] = (),
+) -> DataFrame:
+    """A cell per company and metric with its best value and notes of nine kinds on what limits a comparison with the focal company.
+
+    `companies` has org_id, company_id, focal (its organisation's), period_start and period_end; `passages` passage_id, extraction_method,
+    page_confidence and text; `stated` what `boundaries` gives. Kinds: missing, method (a looser key stands in), conflict (values further
+    apart than SPREAD), converted, ocr, period (inferred, or another one than the focal company's), boundary (of `emissions`: another or
+    none), denominator (of `ratios`) and scope (of `shares`: electricity or energy, by the passage). Look-ups are joins by company and key.
+    """
+    value = F.col("normalized_value")
+    best = F.min(F.struct((F.col("method") != "table").alias("t"), (-F.col("confidence_pct")).alias("c"), F.col("passage_id").alias("p"), value.alias("value"), F.col("normalized_unit").alias("normal"), F.col("unit").alias("unit"), F.col("inferred").alias("inferred")))
+    used = facts.filter((F.col("period_label") == period_label) & ~F.col("base_year") & F.col("metric_key").isin([*metrics, *fallback.values()]))
+    per = used.groupBy("company_id", "metric_key").agg(best.alias("b"), F.count("*").alias("n"), F.array_sort(F.collect_set(F.round(value, 6))).alias("values"))
+    looser = F.create_map(*[F.lit(x) for kv in (fallback or {"": ""}).items() for x in kv])
+    cells = companies.select("*", F.explode(F.array(*map(F.lit, metrics))).alias("metric_key")).withColumn("loose_key", looser[F.col("metric_key")])
+    own = per.select("company_id", "metric_key", F.struct("b", "n", "values").alias("own"))
+    loose = per.select("company_id", F.col("metric_key").alias("loose_key"), F.struct("b", "n", "values").alias("loose"))
+    joined = cells.join(own, ["company_id", "metric_key"], "left").join(loose, ["company_id", "loose_key"], "left").withColumn("x", F.coalesce("own", "loose"))
+    read = passages.select(F.col("passage_id").alias("__p"), "extraction_method", "page_confidence", F.col("text").alias("__t"))
+    joined = joined.withColumn("__p", F.col("x.b.p")).join(read, "__p", "left").join(stated.select("company_id", "approach"), "company_id", "left")
+    focal = companies.filter(F.col("company_id") == F.col("focal")).join(stated.select("company_id", "approach"), "company_id", "left")
+    joined = joined.join(focal.select("focal", F.col("approach").alias("f_approach"), F.col("period_start").alias("f_start"), F.col("period_end").alias("f_end")), "focal", "left")
+    low, high = F.element_at("x.values", 1), F.element_at("x.values", -1)
+    apart = (F.size("x.values") > 1) & (low != 0) & ((high - low) / F.abs(low) > SPREAD)
+    peer, key = F.col("company_id") != F.col("focal"), F.col("metric_key")
+    described = F.concat_ws(" – ", F.date_format("period_start", "dd MMM yyyy"), F.date_format("period_end", "dd MMM yyyy"))
+    unlike = ~period_matches(F.col("period_start"), F.col("period_end"), F.col("f_start"), F.col("f_end"), SAME_PERIOD)
+    pairs = [
+        ("method", F.col("own").isNull(), F.concat(F.lit("shown for "), F.col("loose_key"))),
+        ("conflict", apart, F.concat(F.size("x.values").cast("string"), F.lit(" different values; the surest is shown"))),
+        ("converted", (F.col("x.b.unit") != F.col("x.b.normal")) & ~key.isin(*ratios, ""), F.concat(F.lit("from "), F.col("x.b.unit"))),
+        ("ocr", F.col("extraction_method") == "ocr", F.concat(F.lit("read from a scan, "), F.format_string("%.2f", "page_confidence"))),
+        ("period", F.col("x.b.inferred"), F.lit("inferred from the document")),
+        ("period", peer & unlike, described),
+        ("boundary", key.isin(*emissions, "") & peer & F.col("approach").isNull(), F.lit("not stated")),
+        ("boundary", key.isin(*emissions, "") & peer & (F.col("approach") != F.col("f_approach")), F.concat(F.col("approach"), F.lit(", the focal company by "), F.col("f_approach"))),
+        ("denominator", key.isin(*ratios, ""), F.coalesce("x.b.unit", F.lit("not stated"))),
+        ("scope", key.isin(*shares, ""), F.when(F.contains(F.lower("__t"), F.lit("electric")), "electricity").otherwise("energy")),
+    ]
+    notes = F.array_compact(F.array(*[F.when(F.coalesce(holds, F.lit(False)), F.struct(F.lit(kind).alias("kind"), text.alias("text"))) for kind, holds, text in pairs]))
+    missing = F.array(F.struct(F.lit("missing").alias("kind"), F.lit("not disclosed").alias("text")))
+    return joined.select(
+        "org_id", "company_id", "metric_key", F.col("x").isNotNull().alias("disclosed"), F.col("x.b.value").alias("value"), F.col("x.b.normal").alias("unit"), F.col("x.b.p").alias("passage_id"),
+        (F.col("x.n") - 1).alias("alternatives"), F.when(F.col("x").isNull(), missing).otherwise(notes).alias("notes"),
+    )
+
+
+def comparability(grid: DataFrame, *, by: list[str]) -> DataFrame:
+    """Of each row of a noted grid: coverage, and whether its values can be compared: two or more of one unit, and no note that forbids it."""
+    hinders = F.exists("notes", lambda n: n["kind"].isin(*HINDERING))
+    shown = F.col("disclosed")
+    grouped = grid.groupBy(*by).agg(F.count_if(shown).alias("n"), F.count("*").alias("of"), F.countDistinct(F.when(shown, F.coalesce("unit", F.lit("")))).alias("units"), F.coalesce(F.bool_or(F.when(shown, hinders)), F.lit(False)).alias("hindered"))
+    fine = (F.col("n") >= 2) & (F.col("units") == 1) & ~F.col("hindered")
+    label = F.when(fine, "directly comparable").when(F.col("n") >= 2, "limited, see notes").otherwise("too few values")
+    return grouped.select(*by, F.concat_ws("/", F.col("n").cast("string"), F.col("of").cast("string")).alias("coverage"), fine.alias("comparable"), label.alias("label"))

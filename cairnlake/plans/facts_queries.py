@@ -90,6 +90,33 @@ def benchmark_comparability(spark, sf_dir):
     return noted.join(focal, "org_id").select("org_id", "company_id", "metric_key", D.cell_notes(other_end).alias("notes"))
 
 
+def _noted(spark, sf_dir):
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("org_id"), F.col("s_suppkey").alias("company_id"))
+    focal = suppliers.groupBy("org_id").agg(F.min("company_id").alias("focal"))
+    year = F.lit(int(PERIOD[2:]))
+    end = periods.year_end_day(year, F.when(F.col("company_id") % 2 == 0, "12-31").otherwise("03-31"))
+    companies = suppliers.join(focal, "org_id").withColumn("period_end", end).withColumn("period_start", periods.start_for_end(F.col("period_end")))
+    facts = metric_facts(spark, sf_dir)
+    read = facts.groupBy("passage_id").agg(F.min("confidence_pct").alias("c"), F.min("unit").alias("u")).select(
+        "passage_id", F.when(F.col("c") < 90, "ocr").otherwise("text").alias("extraction_method"), (F.col("c") / 100).alias("page_confidence"), F.when(F.col("u") == "kWh", "Electricity bought").otherwise("Energy used").alias("text"))
+    way = F.col("company_id") % 5
+    said = F.when(way == 0, "Our report follows operational control.").when(way == 1, "GHG figures by Financial-Control").when(way == 2, "Equity share is held by a fund.").otherwise("Emissions by equity share, then operational control")
+    passages = suppliers.select("company_id", F.lit("a").alias("passage_id"), F.lit(1).alias("ordinal"), F.lit("A report").alias("text")).unionByName(suppliers.select("company_id", F.lit("b").alias("passage_id"), F.lit(2).alias("ordinal"), said.alias("text")))
+    return D.noted_grid(companies, facts, read, D.boundaries(passages), METRICS, FALLBACK, PERIOD, emissions=tuple(METRICS[:4]), ratios=(METRICS[4],), shares=(METRICS[5],))
+
+
+def benchmark_notes(spark, sf_dir):
+    """DOM-15: cells with notes of nine kinds on what limits a comparison."""
+    found = _noted(spark, sf_dir)
+    notes = F.array_join(F.transform("notes", lambda n: F.concat_ws(": ", n["kind"], n["text"])), "; ")
+    return found.select("org_id", "company_id", "metric_key", "value", "passage_id", "alternatives", notes.alias("notes"))
+
+
+def benchmark_comparable(spark, sf_dir):
+    """DOM-15, AGG-17: which rows of the noted grid can be compared."""
+    return D.comparability(_noted(spark, sf_dir), by=["org_id", "metric_key"])
+
+
 def gold_value_tolerance(spark, sf_dir):
     """JN-23: gold values found among the extracted ones within 0.5 %."""
     facts = metric_facts(spark, sf_dir)
@@ -139,11 +166,29 @@ grid AS (
 """
 )
 
+_NOTED_SQL = f"""WITH {FACTS_SQL}, per AS (
+  SELECT company_id, metric_key, count(*) AS n, list_sort(list(DISTINCT round(normalized_value, 6))) AS vs,
+    first({{'v': normalized_value, 'p': passage_id, 'u': unit, 'i': inferred}} ORDER BY method <> 'table', -confidence_pct, passage_id, normalized_value) AS b
+  FROM facts WHERE period_label = '{PERIOD}' AND NOT base_year GROUP BY ALL
+), read AS (SELECT passage_id, min(confidence_pct) AS c, min(unit) AS u FROM facts GROUP BY passage_id),
+companies AS (SELECT s_nationkey::BIGINT AS org_id, s_suppkey AS company_id, min(s_suppkey) OVER (PARTITION BY s_nationkey) AS focal, CASE s_suppkey % 5 WHEN 0 THEN 'operational control' WHEN 1 THEN 'financial control' WHEN 2 THEN NULL ELSE 'equity share' END AS approach FROM supplier),
+cells AS (SELECT c.*, f.approach AS f_approach, k AS metric_key, CASE k WHEN 'Brand#1' THEN 'Brand#11' WHEN 'Brand#2' THEN 'Brand#12' END AS loose_key FROM companies c JOIN companies f ON f.company_id = c.focal, (SELECT unnest([{_METRICS_SQL}]) AS k)),
+x AS (SELECT c.*, a.n IS NULL AS looser, coalesce(a.n, l.n) AS n, coalesce(a.vs, l.vs) AS vs, coalesce(a.b, l.b) AS b FROM cells c
+  LEFT JOIN per a ON a.company_id = c.company_id AND a.metric_key = c.metric_key LEFT JOIN per l ON l.company_id = c.company_id AND l.metric_key = c.loose_key),
+noted AS (SELECT x.*, CASE WHEN n IS NULL THEN ['missing: not disclosed'] ELSE [y FOR y IN [
+  CASE WHEN looser THEN 'method: shown for ' || loose_key END, CASE WHEN len(vs) > 1 AND vs[1] <> 0 AND (vs[-1] - vs[1]) / abs(vs[1]) > 1e-2 THEN 'conflict: ' || len(vs) || ' different values; the surest is shown' END,
+  CASE WHEN b.u <> 'MWh' AND metric_key <> 'Brand#5' THEN 'converted: from ' || b.u END, CASE WHEN c < 90 THEN 'ocr: read from a scan, 0.' || c END, CASE WHEN b.i THEN 'period: inferred from the document' END,
+  CASE WHEN company_id % 2 <> focal % 2 THEN 'period: ' || CASE company_id % 2 WHEN 0 THEN '01 Jan {PERIOD[2:]} – 31 Dec {PERIOD[2:]}' ELSE '01 Apr {int(PERIOD[2:]) - 1} – 31 Mar {PERIOD[2:]}' END END,
+  CASE WHEN metric_key IN ({", ".join(f"'{m}'" for m in METRICS[:4])}) AND company_id <> focal AND approach IS NULL THEN 'boundary: not stated' END,
+  CASE WHEN metric_key IN ({", ".join(f"'{m}'" for m in METRICS[:4])}) AND company_id <> focal AND approach <> f_approach THEN 'boundary: ' || approach || ', the focal company by ' || f_approach END,
+  CASE WHEN metric_key = 'Brand#5' THEN 'denominator: ' || b.u END, CASE WHEN metric_key = 'Brand#6' THEN 'scope: ' || CASE WHEN r.u = 'kWh' THEN 'electricity' ELSE 'energy' END END] IF y IS NOT NULL] END AS notes
+  FROM x LEFT JOIN read r ON r.passage_id = x.b.p)
+"""
 QUERIES = {
     f.__name__: f
     for f in (
         conflict_detection, unit_normalization, fiscal_year_alignment, period_match_join, metric_best_value, metric_time_series, key_disclosures_change,
-        peer_benchmark_grid, benchmark_coverage, benchmark_comparability, gold_value_tolerance, metrics_any_period, period_descriptions,
+        peer_benchmark_grid, benchmark_coverage, benchmark_comparability, benchmark_notes, benchmark_comparable, gold_value_tolerance, metrics_any_period, period_descriptions,
     )
 }
 
@@ -179,6 +224,9 @@ SELECT org_id, metric_key, d || '/' || n AS coverage, comparable, CASE WHEN d =
 SELECT org_id, company_id, metric_key, concat_ws('; ', CASE WHEN value IS NULL THEN 'not disclosed' END, CASE WHEN used_key <> metric_key THEN 'looser key' END,
   CASE WHEN sources_differ THEN 'sources differ' END, CASE WHEN any_inferred THEN 'period inferred' END, CASE WHEN company_id % 2 <> focal % 2 THEN 'other fiscal year end' END) AS notes
 FROM grid JOIN focal USING (org_id)""",
+    "benchmark_notes": _NOTED_SQL + "SELECT org_id, company_id, metric_key, b.v AS value, b.p AS passage_id, n - 1 AS alternatives, array_to_string(notes, '; ') AS notes FROM noted",
+    "benchmark_comparable": _NOTED_SQL + """, g AS (SELECT org_id, metric_key, count(n) AS k, count(*) AS m, coalesce(bool_or(len([y FOR y IN notes IF regexp_matches(y, '^(period|boundary|method|conflict|denominator):')]) > 0) FILTER (n IS NOT NULL), false) AS h FROM noted GROUP BY ALL)
+SELECT org_id, metric_key, k || '/' || m AS coverage, k >= 2 AND NOT h AS comparable, CASE WHEN k >= 2 AND NOT h THEN 'directly comparable' WHEN k >= 2 THEN 'limited, see notes' ELSE 'too few values' END AS label FROM g""",
     "gold_value_tolerance": f"""WITH {FACTS_SQL}, gold AS (
   SELECT metric_key, 'FY' || y AS period_label, 1e3 + substr(metric_key, 7, 3)::INT AS gold FROM (SELECT DISTINCT p_brand AS metric_key FROM part), range(1995, 2002) t(y))
 SELECT g.metric_key, g.period_label, g.gold, coalesce(bool_or(abs(f.normalized_value - gold) <= 5e-3 * abs(gold)), false) AS found

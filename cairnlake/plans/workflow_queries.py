@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import workflow as W
+from ..operators.answers import validated_answers
 from ..sources.tables import table
 
 KINDS = ["click", "error", "purchase", "signup", "view"]
@@ -102,6 +103,19 @@ def _judged(spark, sf_dir):
     return labels.join(docs, "doc_id")
 
 
+def answer_validation(spark, sf_dir):
+    """DOM-10: turns of conversations stand for model answers of five forms: out of range, cut off, of unknown status, sound, and no JSON at all."""
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("answer_id"), F.concat(F.lit("R"), (F.col("conv_id") % 4 + 1).cast("string")).alias("code"), "text")
+    whole = '{"status":"supported","confidence":1.5,"evidence_ids":["p2","x","p1","p2"],"element_judgements":[{"key":"total","verdict":"yes","evidence_ids":["p2","y"]},{"key":"nope"}]}'
+    way = F.col("answer_id") % 5
+    raw = F.when(way == 0, whole).when(way == 1, whole[:40]).when(way == 2, '{"status":"odd","confidence":"0.25"}').when(way == 3, '{"confidence":-1,"status":"not_found","evidence_ids":["p2"],"requires_human_review":true}').otherwise(F.col("text"))
+    elements = spark.createDataFrame([("R1", "total"), ("R2", "total"), ("R3", "other")], "code string, element string")
+    both = F.when(F.col("answer_id") % 2 == 0, F.array(F.lit("p1"), F.lit("p2"))).otherwise(F.array(F.lit("p1")))
+    found = validated_answers(turns.select("answer_id", "code", raw.alias("raw")), elements, turns.select("answer_id", F.explode(both).alias("passage_id")))
+    told = F.array_join(F.transform("judgements", lambda j: F.concat_ws(":", j["element"], j["verdict"], F.array_join(j["evidence_ids"], "+"))), ",")
+    return found.select("answer_id", "parsed", "status", "confidence", "requires_human_review", F.array_join("evidence_ids", ",").alias("evidence_ids"), told.alias("judgements"), *[F.array_join(c, ",").alias(c) for c in ("invalid_ids", "unknown_elements")])
+
+
 def eval_prf(spark, sf_dir):
     """AGG-21: precision, recall and F1 of a symbol rule against the quality labels."""
     return _judged(spark, sf_dir).agg(*W.precision_recall(F.col("predicted_bad"), F.col("bad")))
@@ -130,7 +144,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         latest_run, previous_run, applicability_latest, review_state_fold, review_queue_anti, company_card, usage_month_to_date, usage_summary_pivot, plan_limit_check,
-        rate_limit_window, audit_json_fields, eval_prf, eval_confusion, eval_accuracy_by_group, citation_validation,
+        rate_limit_window, audit_json_fields, answer_validation, eval_prf, eval_confusion, eval_accuracy_by_group, citation_validation,
     )
 }
 
@@ -161,6 +175,13 @@ FROM events LEFT JOIN customer ON user_id = c_custkey ORDER BY ts DESC, event_id
 p AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0e0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0e0 END AS r FROM c)
 SELECT tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0e0 END, 6) AS f1 FROM p""",
     "eval_confusion": f"WITH {_JUDGED} SELECT bad, predicted_bad, count(*) AS n FROM judged GROUP BY ALL",
+    "answer_validation": """WITH t AS (SELECT conv_id * 100 + turn AS answer_id, conv_id % 4 + 1 AS r, (conv_id * 100 + turn) % 2 = 0 AS two FROM conversations)
+SELECT answer_id, answer_id % 5 IN (0, 2, 3) AS parsed, CASE answer_id % 5 WHEN 0 THEN 'supported' WHEN 3 THEN 'not_found' ELSE 'human_review' END AS status,
+  CASE answer_id % 5 WHEN 0 THEN 1e0 WHEN 2 THEN 25e-2 WHEN 3 THEN 0e0 ELSE 5e-1 END AS confidence, answer_id % 5 = 3 AS requires_human_review,
+  CASE answer_id % 5 WHEN 0 THEN CASE WHEN two THEN 'p2,p1' ELSE 'p1' END WHEN 3 THEN CASE WHEN two THEN 'p2' ELSE '' END ELSE '' END AS evidence_ids,
+  CASE WHEN answer_id % 5 = 0 AND r <= 2 THEN 'total:yes:' || CASE WHEN two THEN 'p2' ELSE '' END ELSE '' END AS judgements,
+  CASE answer_id % 5 WHEN 0 THEN CASE WHEN two THEN '' ELSE 'p2,p2,' || CASE WHEN r <= 2 THEN 'p2,' ELSE '' END END || 'x' || CASE WHEN r <= 2 THEN ',y' ELSE '' END WHEN 3 THEN CASE WHEN two THEN '' ELSE 'p2' END ELSE '' END AS invalid_ids,
+  CASE WHEN answer_id % 5 = 0 THEN CASE WHEN r <= 2 THEN 'nope' ELSE 'nope,total' END ELSE '' END AS unknown_elements FROM t""",
     "eval_accuracy_by_group": f"WITH {_JUDGED} SELECT source, lang, count(*) AS n, count(*) FILTER (bad = predicted_bad) AS \"right\", round(count(*) FILTER (bad = predicted_bad) / count(*), 6) AS accuracy FROM judged GROUP BY ALL",
     "citation_validation": """WITH c AS (SELECT DISTINCT conv_id, (conv_id * 7 + turn * 3) % 1000 AS id FROM conversations), f AS (SELECT conv_id, id, id IN (SELECT doc_id FROM documents WHERE lang <> 'de') AS ok FROM c)
 SELECT conv_id, string_agg(id::VARCHAR, ',' ORDER BY id) AS cited, coalesce(string_agg(id::VARCHAR, ',' ORDER BY id) FILTER (NOT ok), '') AS invalid, round(1 - count(*) FILTER (NOT ok) / count(*), 3) AS valid_share
