@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import format_value
 from ..operators import assessment as A
+from ..operators import disclosures as D
 from ..operators import evaluation as E
+from ..operators import narrative as N
 from ..operators import reporting as R
 from ..operators import retrieval
 from ..operators import workflow as W
@@ -231,6 +233,30 @@ def candidate_passages(spark, sf_dir):
     return A.candidate_passages(run.elements(), run.conflicts(), _hits(spark, sf_dir))
 
 
+def _differences(run):
+    """Conflicts of a run with both values: the requirement's keys on which sources disagree."""
+    found = D.conflicts(run.facts.filter(F.col("period_label") == AFTER), by=["company_id", "metric_key"])
+    return run.conflicts().join(found.select("company_id", "metric_key", "low_value", "high_value", "spread", F.col("normalized_unit").alias("unit")), ["company_id", "metric_key"])
+
+
+def _labelled(run):
+    return run.elements().withColumn("label", F.concat(F.initcap("element"), F.lit(" of "), F.col("code")))
+
+
+def finding_rationales(spark, sf_dir):
+    """SCL-36: each finding in words: values that differ, what is evidenced, missing, weak or not applicable."""
+    run = Run(spark, sf_dir)
+    related = A.related_passages(_hits(spark, sf_dir), run.links())
+    return N.rationales(run.findings(), _labelled(run), _differences(run), related)
+
+
+def model_prompts(spark, sf_dir):
+    """DOM-9: the prompt of each finding, with twelve passages at most."""
+    run, sources = _with_sources(spark, sf_dir)
+    candidates = A.candidate_passages(run.elements(), run.conflicts(), _hits(spark, sf_dir))
+    return N.prompts(_requirements(spark), _labelled(run), _differences(run), candidates, sources, AFTER)
+
+
 def requirement_search(spark, sf_dir):
     """DOM-2: the eight best passages for each requirement's wording."""
     return retrieval.bm25(_passages(spark, sf_dir), retrieval.requirement_queries(_requirements(spark).withColumn("metric_keys", F.array().cast("array<string>"))))
@@ -325,7 +351,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         run_findings, findings_to_review, explorer_gaps, status_shares, open_actions, action_dependencies, csv_export_rows, evidence_package, markdown_report, finding_trails, finding_history, company_metrics, passage_neighbours,
-        passage_usage, passage_metric_keys, peers_by_name, job_targets, document_changes, element_changes, merged_findings, related_evidence, candidate_passages, requirement_search, catalogue_status, catalogue_load,
+        passage_usage, passage_metric_keys, peers_by_name, job_targets, document_changes, element_changes, merged_findings, related_evidence, candidate_passages, finding_rationales, model_prompts, requirement_search, catalogue_status, catalogue_load,
         run_manifest, first_boundary, evaluation_cases, evaluation_summary, evaluation_report, sampled_cases, call_statistics, dashboard_counts, display_formats,
     )
 }
@@ -371,6 +397,12 @@ _EVIDENCE_SQL = """ev AS (SELECT company_id, code, list({'rank': rank, 'role': r
   FROM links JOIN sources USING (passage_id) GROUP BY ALL)"""
 _TOLD = f"""{_LABEL.format('status')} || ': ' || round(completeness * 100)::BIGINT || ' % of the applicable elements are established by ' || n_evidence || CASE WHEN n_evidence = 1 THEN ' passage.' ELSE ' passages.' END
   || CASE WHEN missing <> '' THEN ' Missing: ' || missing || '.' ELSE '' END"""
+_FULL_SQL = "upper(element[1]) || element[2:] || ' of ' || code"
+_NAME_SQL = "element || ' of ' || code"
+_SHOWN_SQL = "format('{{:,}}', round({0})::BIGINT)"
+_DIFFER_SQL = f"""differ AS (SELECT c.*, lo, hi FROM conflicts c JOIN (SELECT company_id, metric_key, min(normalized_value) AS lo, max(normalized_value) AS hi FROM facts WHERE period_label = '{AFTER}' AND NOT base_year GROUP BY ALL) USING (company_id, metric_key))"""
+
+
 def _draw(name):
     return f"('0x' || substr(md5('{E.SEED}:' || o_orderkey || ':{name}'), 1, 8))::BIGINT / 4294967296e0"
 
@@ -461,6 +493,26 @@ FROM b FULL OUTER JOIN a USING (company_id, lineage_id) WHERE a.d IS DISTINCT FR
   UNION ALL SELECT company_id, code, unnest([low_passage, high_passage]), unnest([1, 2]), 2, 0, metric_key FROM conflicts UNION ALL SELECT company_id, code, passage_id, 0, 3, rank, '' FROM hits),
 d AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY company_id, code, passage_id ORDER BY stage, pos, name, k) = 1)
 SELECT company_id, code, passage_id, row_number() OVER (PARTITION BY company_id, code ORDER BY stage, pos, name, k, passage_id) AS place FROM d QUALIFY place <= 12""",
+    "finding_rationales": f"""{_ROWS_SQL}, {_DIFFER_SQL}, l AS (SELECT company_id, code, count(*) FILTER (status <> 'not_applicable') AS m, count(*) FILTER (status = 'satisfied') AS k, string_agg({_NAME_SQL}, '; ' ORDER BY ordinal) FILTER (status = 'missing') AS missing_,
+  string_agg({_NAME_SQL}, '; ' ORDER BY ordinal) FILTER (status = 'satisfied' AND weak) AS weak_, string_agg({_NAME_SQL}, '; ' ORDER BY ordinal) FILTER (status = 'not_applicable') AS moot_ FROM elements GROUP BY ALL),
+dd AS (SELECT company_id, code, string_agg('Sources differ on ' || metric_key || ': ' || {_SHOWN_SQL.format('lo')} || ' MWh and ' || {_SHOWN_SQL.format('hi')} || ' MWh, ' || {_FIXED2.format('round((hi - lo) / abs(lo), 4) * 100', 1)} || ' % apart.', ' ' ORDER BY metric_key) AS d FROM differ GROUP BY ALL),
+rel AS (SELECT company_id, 'R1' AS code, least(3, count(*)) AS n FROM hits h WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.company_id = h.company_id AND l.code = h.code AND l.passage_id = h.passage_id) GROUP BY company_id)
+SELECT f.company_id, f.code, concat_ws(' ', CASE WHEN status = 'conflicting' THEN d || ' A reviewer has to say which value holds.' WHEN status = 'supported' THEN 'All ' || m || ' applicable elements are evidenced.'
+    WHEN k > 0 THEN k || ' of ' || m || ' applicable elements are evidenced (' || round(completeness * 100)::BIGINT || ' % of the weight).'
+    WHEN status = 'not_found' THEN 'None of the elements was found, which doesn''t prove that they don''t exist.' || CASE WHEN coalesce(n, 0) > 0 THEN ' Related passages: ' || n || '.' ELSE '' END END,
+  CASE WHEN status <> 'not_found' THEN 'Missing: ' || missing_ || '.' END, 'Weaker evidence: ' || weak_ || '.', 'Not applicable: ' || moot_ || '.') AS rationale
+FROM findings f JOIN l USING (company_id, code) LEFT JOIN dd USING (company_id, code) LEFT JOIN rel USING (company_id, code)""",
+    "model_prompts": f"""{_ROWS_SQL}, {_DIFFER_SQL}, summaries(code, title, summary) AS (VALUES {", ".join(f"('{r[0]}', '{r[2]}', '{r[4]}')" for r in REQUIREMENTS)}),
+e AS (SELECT company_id, code, string_agg('- ' || element || ' | ' || {_FULL_SQL} || ' | ' || format('{{:.1f}}', weight) || ' | ' || CASE status WHEN 'missing' THEN 'not found' WHEN 'not_applicable' THEN 'not applicable' ELSE 'satisfied' END || CASE WHEN weak THEN ' (weak)' ELSE '' END, chr(10) ORDER BY ordinal) AS e
+  FROM elements GROUP BY ALL),
+dd AS (SELECT company_id, code, string_agg('- ' || metric_key || ': ' || {_SHOWN_SQL.format('lo')} || ' [' || low_passage || '] and ' || {_SHOWN_SQL.format('hi')} || ' [' || high_passage || ']', chr(10) ORDER BY metric_key) AS d FROM differ GROUP BY ALL),
+c AS (SELECT company_id, code, unnest(passages[1:2]) AS passage_id, 1 AS stage, ordinal AS o, '' AS nm, generate_subscripts(passages[1:2], 1) - 1 AS k FROM elements
+  UNION ALL SELECT company_id, code, unnest([low_passage, high_passage]), 2, 0, metric_key, generate_subscripts([low_passage, high_passage], 1) - 1 FROM conflicts UNION ALL SELECT company_id, code, passage_id, 3, rank, '', 0 FROM hits),
+g AS (SELECT company_id, code, passage_id, min((stage, o, nm, k)) AS f FROM c GROUP BY ALL), p AS (SELECT company_id, code, passage_id, row_number() OVER (PARTITION BY company_id, code ORDER BY f, passage_id) AS place FROM g QUALIFY place <= 12),
+q AS (SELECT company_id, code, count(*) AS n, string_agg('[' || passage_id || '] document ' || document_id || ', p.' || page || chr(10) || '"' || text || '"', chr(10) ORDER BY place) AS p FROM p JOIN sources USING (passage_id) GROUP BY ALL)
+SELECT e.company_id, e.code, coalesce(n, 0) AS n_passages, concat_ws(chr(10), 'REQUIREMENT ' || e.code || ': ' || title, 'SUMMARY ' || summary, 'PERIOD {AFTER}', 'ELEMENTS (key | label | weight | result by rule)', e, 'VALUES THAT DIFFER', coalesce(d, '- none'),
+  'PASSAGES', coalesce(p, '- none'), 'Answer in JSON and judge every element once.') AS prompt
+FROM e JOIN summaries USING (code) LEFT JOIN dd USING (company_id, code) LEFT JOIN q USING (company_id, code)""",
     "requirement_search": f"""WITH {LINES_SQL}, {POSTINGS_SQL}, q(query_id, query, phrases, section_terms) AS (VALUES {_SEARCH}),
 wanted AS (SELECT DISTINCT query_id, unnest({tokens_sql("query")}) AS term FROM q), df AS (SELECT term, count(*) AS df FROM postings GROUP BY term), n AS (SELECT count(*)::DOUBLE AS n, avg(len(ts)) AS mean FROM tokenised),
 scored AS (SELECT query_id, passage_id, sum(round(ln(1e0 + (n - df + 5e-1) / (df + 5e-1)) * (tf * 24e-1 / (tf + 14e-1 * (1 - 75e-2 + 75e-2 * length / mean))), 9)::DECIMAL(28, 9))::DOUBLE AS raw FROM postings JOIN df USING (term) JOIN wanted USING (term), n GROUP BY ALL),
