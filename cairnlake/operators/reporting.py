@@ -180,6 +180,34 @@ def write_run(rows: DataFrame, path: str, *, by: str = "run_id") -> None:
     rows.repartition(by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
+def coverage_blocks(facts: DataFrame, documents: DataFrame) -> DataFrame:
+    """Per company what its documents cover: documents and ready ones, pages and scanned pages, periods, types and metrics.
+
+    `facts` has company_id, document_id, page, scanned, period_label; `documents` document_id, status and type. Documents and pages are reduced
+    to one row each before they are counted, so no distinct set is held in one place.
+    """
+    pages = facts.groupBy("company_id", "document_id", "page").agg(F.bool_or("scanned").alias("scanned"), F.count("*").alias("metrics"), F.collect_set("period_label").alias("periods"))
+    per = pages.groupBy("company_id", "document_id").agg(F.count("*").alias("pages"), F.count_if("scanned").alias("scanned_pages"), F.sum("metrics").alias("metrics"), F.array_distinct(F.flatten(F.collect_set("periods"))).alias("periods"))
+    joined = per.join(documents, "document_id")
+    return joined.groupBy("company_id").agg(
+        F.count("*").alias("documents"), F.count_if(F.col("status") == "ready").alias("ready"), F.sum("pages").alias("pages"), F.sum("scanned_pages").alias("scanned_pages"), F.sum("metrics").alias("metrics"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("periods")))).alias("periods"), F.array_sort(F.collect_set("type")).alias("types"),
+    )
+
+
+def unresolved(rows: DataFrame, reasons: DataFrame, *, most: int = 3) -> DataFrame:
+    """Findings that conflict, want a human or are flagged, with their first `most` reasons (company_id, code, reason) in alphabetical order."""
+    open_ = rows.filter(F.col("status").isin("conflicting", "human_review") | F.col("requires_review"))
+    why = reasons.groupBy("company_id", "code").agg(F.slice(F.array_sort(F.collect_set("reason")), 1, most).alias("reasons"))
+    return open_.join(why, ["company_id", "code"], "left").withColumn("reasons", F.coalesce("reasons", F.array().cast("array<string>")))
+
+
+def action_views(actions: DataFrame) -> DataFrame:
+    """How many actions each view of a company shows: open (all that isn't finished), done, and all but the dismissed ones."""
+    status = F.col("action_status")
+    return actions.groupBy("company_id").agg(F.count_if(status.isin(OPEN)).alias("open"), F.count_if(status == "done").alias("done"), F.count_if(status != "dismissed").alias("all"))
+
+
 def last_of_each(rows: DataFrame, *, by: str, order: list[Column], limit: int) -> DataFrame:
     """The first `limit` rows of each group with their place; Spark cuts each task's rows before the shuffle."""
     place = F.row_number().over(Window.partitionBy(by).orderBy(*order))

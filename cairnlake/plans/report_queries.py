@@ -257,6 +257,29 @@ def model_prompts(spark, sf_dir):
     return N.prompts(_requirements(spark), _labelled(run), _differences(run), candidates, sources, AFTER)
 
 
+def company_coverage(spark, sf_dir):
+    """AGG-12, AGG-13, DOM-17, FIL-2: what the ready and other documents of each company cover."""
+    facts = metric_facts(spark, sf_dir).select("company_id", "document_id", (F.col("confidence_pct") - 80).alias("page"), (F.col("confidence_pct") < 90).alias("scanned"), "period_label")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document_id"), F.when(F.col("o_orderstatus") == "F", "ready").otherwise("processing").alias("status"), F.col("o_orderpriority").alias("type"))
+    found = R.coverage_blocks(facts, orders)
+    return found.select("company_id", "documents", "ready", "pages", "scanned_pages", "metrics", F.array_join("periods", ",").alias("periods"), F.array_join("types", ",").alias("types"))
+
+
+def unresolved_findings(spark, sf_dir):
+    """FIL-14: findings that want a human, with three reasons at most: keys on which sources differ, elements that are missing or doubtful."""
+    run = Run(spark, sf_dir)
+    elements = run.elements()
+    reasons = run.conflicts().select("company_id", "code", F.concat(F.lit("sources differ on "), "metric_key").alias("reason"))
+    reasons = reasons.unionByName(elements.filter("status = 'missing'").select("company_id", "code", F.concat(F.lit("no evidence for "), "element").alias("reason")))
+    reasons = reasons.unionByName(elements.filter("doubtful").select("company_id", "code", F.concat(F.lit("only doubtful text for "), "element").alias("reason")))
+    return R.unresolved(run.findings(), reasons).select("company_id", "code", "status", F.array_join("reasons", "; ").alias("reasons"))
+
+
+def action_views(spark, sf_dir):
+    """FIL-10: how many actions each view of a company shows."""
+    return R.action_views(_actions(Run(spark, sf_dir)))
+
+
 def requirement_search(spark, sf_dir):
     """DOM-2: the eight best passages for each requirement's wording."""
     return retrieval.bm25(_passages(spark, sf_dir), retrieval.requirement_queries(_requirements(spark).withColumn("metric_keys", F.array().cast("array<string>"))))
@@ -351,7 +374,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         run_findings, findings_to_review, explorer_gaps, status_shares, open_actions, action_dependencies, csv_export_rows, evidence_package, markdown_report, finding_trails, finding_history, company_metrics, passage_neighbours,
-        passage_usage, passage_metric_keys, peers_by_name, job_targets, document_changes, element_changes, merged_findings, related_evidence, candidate_passages, finding_rationales, model_prompts, requirement_search, catalogue_status, catalogue_load,
+        passage_usage, passage_metric_keys, peers_by_name, job_targets, document_changes, element_changes, merged_findings, related_evidence, candidate_passages, finding_rationales, model_prompts, company_coverage, unresolved_findings, action_views, requirement_search, catalogue_status, catalogue_load,
         run_manifest, first_boundary, evaluation_cases, evaluation_summary, evaluation_report, sampled_cases, call_statistics, dashboard_counts, display_formats,
     )
 }
@@ -513,6 +536,13 @@ q AS (SELECT company_id, code, count(*) AS n, string_agg('[' || passage_id || ']
 SELECT e.company_id, e.code, coalesce(n, 0) AS n_passages, concat_ws(chr(10), 'REQUIREMENT ' || e.code || ': ' || title, 'SUMMARY ' || summary, 'PERIOD {AFTER}', 'ELEMENTS (key | label | weight | result by rule)', e, 'VALUES THAT DIFFER', coalesce(d, '- none'),
   'PASSAGES', coalesce(p, '- none'), 'Answer in JSON and judge every element once.') AS prompt
 FROM e JOIN summaries USING (code) LEFT JOIN dd USING (company_id, code) LEFT JOIN q USING (company_id, code)""",
+    "company_coverage": f"""WITH {FACTS_SQL}, f AS (SELECT company_id, document_id, confidence_pct - 80 AS page, confidence_pct < 90 AS scanned, period_label, o_orderstatus = 'F' AS ready, o_orderpriority FROM facts JOIN orders ON o_orderkey = document_id)
+SELECT company_id, count(DISTINCT document_id) AS documents, count(DISTINCT document_id) FILTER (ready) AS ready, count(DISTINCT (document_id, page)) AS pages, count(DISTINCT (document_id, page)) FILTER (scanned) AS scanned_pages, count(*)::BIGINT AS metrics,
+  string_agg(DISTINCT period_label, ',' ORDER BY period_label) AS periods, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS types FROM f GROUP BY company_id""",
+    "unresolved_findings": f"""{_F}, why AS (SELECT company_id, code, 'sources differ on ' || metric_key AS reason FROM conflicts UNION SELECT company_id, code, 'no evidence for ' || element FROM elements WHERE status = 'missing'
+  UNION SELECT company_id, code, 'only doubtful text for ' || element FROM elements WHERE doubtful), three AS (SELECT company_id, code, array_to_string(list_sort(list(reason))[1:3], '; ') AS reasons FROM why GROUP BY ALL)
+SELECT company_id, code, status, coalesce(reasons, '') AS reasons FROM findings LEFT JOIN three USING (company_id, code) WHERE status IN ('conflicting', 'human_review') OR requires_review""",
+    "action_views": f"""{_ROWS_SQL} SELECT company_id, count(*) FILTER (action_status IN ('open', 'in_progress', 'blocked')) AS "open", count(*) FILTER (action_status = 'done') AS done, count(*) FILTER (action_status <> 'dismissed') AS "all" FROM actions GROUP BY company_id""",
     "requirement_search": f"""WITH {LINES_SQL}, {POSTINGS_SQL}, q(query_id, query, phrases, section_terms) AS (VALUES {_SEARCH}),
 wanted AS (SELECT DISTINCT query_id, unnest({tokens_sql("query")}) AS term FROM q), df AS (SELECT term, count(*) AS df FROM postings GROUP BY term), n AS (SELECT count(*)::DOUBLE AS n, avg(len(ts)) AS mean FROM tokenised),
 scored AS (SELECT query_id, passage_id, sum(round(ln(1e0 + (n - df + 5e-1) / (df + 5e-1)) * (tf * 24e-1 / (tf + 14e-1 * (1 - 75e-2 + 75e-2 * length / mean))), 9)::DECIMAL(28, 9))::DOUBLE AS raw FROM postings JOIN df USING (term) JOIN wanted USING (term), n GROUP BY ALL),
