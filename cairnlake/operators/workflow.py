@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.periods import period_of_label
+
 #: Plan limits (fixed values); None is unlimited.
 PLANS = [("explorer", 3, 10, 150, 15), ("professional", 50, 500, 600, 300), ("enterprise", None, None, None, None)]
 
@@ -68,3 +70,29 @@ def citation_check(cited: DataFrame, valid: DataFrame, *, by: str, ids: str) ->
     spread = cited.select(by, F.explode(F.array_distinct(ids)).alias("id")).join(valid.select("id", F.lit(True).alias("found")), "id", "left")
     grouped = spread.groupBy(by).agg(F.array_sort(F.collect_list("id")).alias("all"), F.array_sort(F.collect_list(F.when(F.col("found").isNull(), F.col("id")))).alias("bad"))
     return grouped.select(by, F.array_join("all", ",").alias("cited"), F.array_join("bad", ",").alias("invalid"), F.round(1 - F.size("bad") / F.size("all"), 3).alias("valid_share"))
+
+
+#: Modes of a run, and document statuses that a run waits for (fixed values).
+MODES, PENDING = ("rules", "hybrid"), ("uploaded", "processing")
+
+
+def requested_runs(requests: DataFrame, companies: DataFrame, documents: DataFrame, sets: DataFrame, usage: DataFrame, *, models: bool = False) -> DataFrame:
+    """Requests for runs (request_id, company_id, set_id, mode, period) with accepted, the first reason against it, and the period's days.
+
+    `companies` has company_id and fiscal_year_end; `documents` company_id, document_id and status of current documents; `sets` set_id; `usage`
+    company_id, used and allowed runs (null: unlimited). Checked in this order: set, mode, whether a model is there, period, documents, those
+    still in progress (three are named), those that are ready, quota. All requests are checked by the same joins.
+    """
+    per = documents.groupBy("company_id").agg(
+        F.count("*").alias("documents"), F.count_if(F.col("status") == "ready").alias("ready"), F.slice(F.array_sort(F.collect_set(F.when(F.col("status").isin(*PENDING), F.col("document_id").cast("string")))), 1, 3).alias("pending"),
+    )
+    joined = requests.join(companies, "company_id", "left").join(sets.select("set_id", F.lit(True).alias("known")).distinct(), "set_id", "left").join(per, "company_id", "left").join(usage, "company_id", "left")
+    joined = joined.withColumn("found", period_of_label(F.col("period"), F.col("fiscal_year_end")))
+    reason = F.coalesce(
+        F.when(F.col("known").isNull(), "unknown requirement set"), F.when(~F.coalesce(F.col("mode").isin(*MODES), F.lit(False)), "unknown mode"), F.when((F.col("mode") == "hybrid") & F.lit(not models), "no model is configured"),
+        F.when(F.col("found").isNull(), F.concat(F.lit("period not understood: "), F.coalesce("period", F.lit("none")))), F.when(F.coalesce("documents", F.lit(0)) == 0, "no documents"),
+        F.when(F.size("pending") > 0, F.concat(F.lit("still in progress: "), F.array_join("pending", ", "))), F.when(F.col("ready") == 0, "no document is ready"), F.when(F.col("used") >= F.col("allowed"), "no runs left"),
+    )
+    staged = joined.withColumn("reason", reason)
+    days = [F.when(F.col("reason").isNull(), F.col(f"found.{c}")).alias(f"period_{c}") for c in ("label", "start", "end")]
+    return staged.select("request_id", "company_id", "set_id", "mode", F.col("reason").isNull().alias("accepted"), "reason", *days)

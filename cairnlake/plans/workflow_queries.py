@@ -116,6 +116,23 @@ def answer_validation(spark, sf_dir):
     return found.select("answer_id", "parsed", "status", "confidence", "requires_human_review", F.array_join("evidence_ids", ",").alias("evidence_ids"), told.alias("judgements"), *[F.array_join(c, ",").alias(c) for c in ("invalid_ids", "unknown_elements")])
 
 
+def run_requests(spark, sf_dir):
+    """DOM-20: a request of each customer for a run: whether it may start, and what speaks against it."""
+    way = F.col("c_custkey") % 7
+    customers = table(spark, sf_dir, "customer").select("c_custkey")
+    requests = customers.select(
+        F.col("c_custkey").alias("request_id"), F.col("c_custkey").alias("company_id"), F.when(way == 0, "none@1").otherwise("core@2.1").alias("set_id"), F.when(way == 1, "guess").when(way == 2, "hybrid").otherwise("rules").alias("mode"),
+        F.when(way == 3, "sometime").otherwise("FY1997").alias("period"),
+    )
+    companies = customers.select(F.col("c_custkey").alias("company_id"), F.when(F.col("c_custkey") % 2 == 0, "12-31").otherwise("03-31").alias("fiscal_year_end"))
+    state = F.when(F.col("o_orderstatus") == "F", "ready").when(F.col("o_orderkey") % 11 == 0, "processing").otherwise("failed")
+    documents = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("company_id"), F.col("o_orderkey").alias("document_id"), state.alias("status"))
+    usage = _events(spark, sf_dir).groupBy(F.col("user_id").alias("company_id")).agg(F.count("*").alias("used")).withColumn("allowed", F.lit(12))
+    sets = spark.createDataFrame([("core@2.1",)], "set_id string")
+    found = W.requested_runs(requests, companies, documents, sets, usage)
+    return found.select("request_id", "accepted", F.coalesce("reason", F.lit("")).alias("reason"), F.col("period_start").cast("string").alias("period_start"), F.col("period_end").cast("string").alias("period_end"))
+
+
 def eval_prf(spark, sf_dir):
     """AGG-21: precision, recall and F1 of a symbol rule against the quality labels."""
     return _judged(spark, sf_dir).agg(*W.precision_recall(F.col("predicted_bad"), F.col("bad")))
@@ -144,7 +161,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         latest_run, previous_run, applicability_latest, review_state_fold, review_queue_anti, company_card, usage_month_to_date, usage_summary_pivot, plan_limit_check,
-        rate_limit_window, audit_json_fields, answer_validation, eval_prf, eval_confusion, eval_accuracy_by_group, citation_validation,
+        rate_limit_window, audit_json_fields, answer_validation, run_requests, eval_prf, eval_confusion, eval_accuracy_by_group, citation_validation,
     )
 }
 
@@ -175,6 +192,12 @@ FROM events LEFT JOIN customer ON user_id = c_custkey ORDER BY ts DESC, event_id
 p AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0e0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0e0 END AS r FROM c)
 SELECT tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0e0 END, 6) AS f1 FROM p""",
     "eval_confusion": f"WITH {_JUDGED} SELECT bad, predicted_bad, count(*) AS n FROM judged GROUP BY ALL",
+    "run_requests": """WITH d AS (SELECT o_custkey, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS ready, array_to_string(list_sort(list(o_orderkey::VARCHAR) FILTER (o_orderstatus <> 'F' AND o_orderkey % 11 = 0))[1:3], ', ') AS pending FROM orders GROUP BY o_custkey),
+u AS (SELECT user_id, count(*) AS used FROM events GROUP BY user_id),
+t AS (SELECT c_custkey AS c, CASE c_custkey % 7 WHEN 0 THEN 'unknown requirement set' WHEN 1 THEN 'unknown mode' WHEN 2 THEN 'no model is configured' WHEN 3 THEN 'period not understood: sometime'
+    ELSE CASE WHEN n IS NULL THEN 'no documents' WHEN pending IS NOT NULL THEN 'still in progress: ' || pending WHEN ready = 0 THEN 'no document is ready' WHEN used >= 12 THEN 'no runs left' ELSE '' END END AS reason
+  FROM customer LEFT JOIN d ON o_custkey = c_custkey LEFT JOIN u ON user_id = c_custkey)
+SELECT c AS request_id, reason = '' AS accepted, reason, CASE WHEN reason = '' THEN CASE WHEN c % 2 = 0 THEN '1997-01-01' ELSE '1996-04-01' END END AS period_start, CASE WHEN reason = '' THEN CASE WHEN c % 2 = 0 THEN '1997-12-31' ELSE '1997-03-31' END END AS period_end FROM t""",
     "answer_validation": """WITH t AS (SELECT conv_id * 100 + turn AS answer_id, conv_id % 4 + 1 AS r, (conv_id * 100 + turn) % 2 = 0 AS two FROM conversations)
 SELECT answer_id, answer_id % 5 IN (0, 2, 3) AS parsed, CASE answer_id % 5 WHEN 0 THEN 'supported' WHEN 3 THEN 'not_found' ELSE 'human_review' END AS status,
   CASE answer_id % 5 WHEN 0 THEN 1e0 WHEN 2 THEN 25e-2 WHEN 3 THEN 0e0 ELSE 5e-1 END AS confidence, answer_id % 5 = 3 AS requires_human_review,
