@@ -220,6 +220,13 @@ def evidence_links(elements: DataFrame, disagreements: DataFrame) -> DataFrame:
     return both.select("company_id", "code", "passage_id", F.when(F.col("conflict"), "conflicting").otherwise("supporting").alias("role"), names.alias("elements"), rank.cast("long").alias("rank"))
 
 
+def with_related(links: DataFrame, related: DataFrame) -> DataFrame:
+    """Links and, behind each finding's last rank, its related passages (company_id, code, passage_id, place), which support nothing."""
+    last = links.groupBy("company_id", "code").agg(F.max("rank").alias("last"))
+    more = related.join(last, ["company_id", "code"], "left").withColumn("rank", F.coalesce("last", F.lit(0)) + F.col("place"))
+    return links.unionByName(more.select("company_id", "code", "passage_id", F.lit("related").alias("role"), F.lit("").alias("elements"), F.col("rank").cast("long").alias("rank")))
+
+
 #: Statuses a verdict can be far from (fixed values).
 RANKS = {"not_found": 0, "partially_supported": 1, "supported": 2}
 

@@ -227,6 +227,12 @@ def related_evidence(spark, sf_dir):
     return A.related_passages(_hits(spark, sf_dir), Run(spark, sf_dir).links())
 
 
+def finding_evidence(spark, sf_dir):
+    """WIN-7: supporting and conflicting passages of each finding, then related ones."""
+    links = Run(spark, sf_dir).links()
+    return A.with_related(links, A.related_passages(_hits(spark, sf_dir), links))
+
+
 def candidate_passages(spark, sf_dir):
     """SRT-12: passages shown to a model, each once, twelve at most."""
     run = Run(spark, sf_dir)
@@ -374,7 +380,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         run_findings, findings_to_review, explorer_gaps, status_shares, open_actions, action_dependencies, csv_export_rows, evidence_package, markdown_report, finding_trails, finding_history, company_metrics, passage_neighbours,
-        passage_usage, passage_metric_keys, peers_by_name, job_targets, document_changes, element_changes, merged_findings, related_evidence, candidate_passages, finding_rationales, model_prompts, company_coverage, unresolved_findings, action_views, requirement_search, catalogue_status, catalogue_load,
+        passage_usage, passage_metric_keys, peers_by_name, job_targets, document_changes, element_changes, merged_findings, related_evidence, finding_evidence, candidate_passages, finding_rationales, model_prompts, company_coverage, unresolved_findings, action_views, requirement_search, catalogue_status, catalogue_load,
         run_manifest, first_boundary, evaluation_cases, evaluation_summary, evaluation_report, sampled_cases, call_statistics, dashboard_counts, display_formats,
     )
 }
@@ -516,6 +522,9 @@ FROM b FULL OUTER JOIN a USING (company_id, lineage_id) WHERE a.d IS DISTINCT FR
   UNION ALL SELECT company_id, code, unnest([low_passage, high_passage]), unnest([1, 2]), 2, 0, metric_key FROM conflicts UNION ALL SELECT company_id, code, passage_id, 0, 3, rank, '' FROM hits),
 d AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY company_id, code, passage_id ORDER BY stage, pos, name, k) = 1)
 SELECT company_id, code, passage_id, row_number() OVER (PARTITION BY company_id, code ORDER BY stage, pos, name, k, passage_id) AS place FROM d QUALIFY place <= 12""",
+    "finding_evidence": f"""{_ROWS_SQL}, rel AS (SELECT company_id, code, passage_id, row_number() OVER (PARTITION BY company_id ORDER BY rank) AS place FROM hits h
+  WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.company_id = h.company_id AND l.code = h.code AND l.passage_id = h.passage_id) QUALIFY place <= 3), m AS (SELECT company_id, code, max(rank) AS last FROM links GROUP BY ALL)
+SELECT company_id, code, passage_id, role, names AS elements, rank FROM links UNION ALL SELECT company_id, code, passage_id, 'related', '', coalesce(last, 0) + place FROM rel LEFT JOIN m USING (company_id, code)""",
     "finding_rationales": f"""{_ROWS_SQL}, {_DIFFER_SQL}, l AS (SELECT company_id, code, count(*) FILTER (status <> 'not_applicable') AS m, count(*) FILTER (status = 'satisfied') AS k, string_agg({_NAME_SQL}, '; ' ORDER BY ordinal) FILTER (status = 'missing') AS missing_,
   string_agg({_NAME_SQL}, '; ' ORDER BY ordinal) FILTER (status = 'satisfied' AND weak) AS weak_, string_agg({_NAME_SQL}, '; ' ORDER BY ordinal) FILTER (status = 'not_applicable') AS moot_ FROM elements GROUP BY ALL),
 dd AS (SELECT company_id, code, string_agg('Sources differ on ' || metric_key || ': ' || {_SHOWN_SQL.format('lo')} || ' MWh and ' || {_SHOWN_SQL.format('hi')} || ' MWh, ' || {_FIXED2.format('round((hi - lo) / abs(lo), 4) * 100', 1)} || ' % apart.', ' ' ORDER BY metric_key) AS d FROM differ GROUP BY ALL),
