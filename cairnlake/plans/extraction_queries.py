@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.periods import find_periods, period_of_label
 from ..operators.extraction import first_of_equal_metrics, passage_metrics, rate_metrics, sentence_metrics, table_row_metrics
-from ..sources.tables import table
+from ..sources.tables import dealt, table
 from ..streaming.rate_limit import limited_batch
 
 
@@ -20,7 +20,7 @@ def _written(choice: F.Column, *ways: F.Column) -> F.Column:
 
 def metric_extraction_text(spark, sf_dir):
     """SCL-19..23, WIN-11, WIN-12: sentences of ten wordings, read back into typed values with period and qualifiers."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.year("o_orderdate").cast("string").alias("y"))
+    orders = dealt(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.year("o_orderdate").cast("string").alias("y")), "o_orderkey")
     n, y = _amount("o_totalprice"), F.col("y")
     text = _written(
         F.col("o_orderkey"),
@@ -53,7 +53,7 @@ def rate_extraction(spark, sf_dir):
 
 def period_finder(spark, sf_dir):
     """SCL-12..16: periods in the six wordings, with a March year end; a label's own period."""
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.year("o_orderdate").alias("y"))
+    orders = dealt(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.year("o_orderdate").alias("y")), "id")
     y, before, short = F.col("y").cast("string"), (F.col("y") - 1).cast("string"), F.substring(F.col("y").cast("string"), 3, 2)
     text = _written(
         F.col("id"),

@@ -17,7 +17,7 @@ from cairnlake.operators import patterns, postings
 from cairnlake.operators import retrieval as R
 from cairnlake.operators import workflow as W
 from cairnlake.operators.extraction import passage_metrics, rate_metrics, sentence_metrics, table_row_metrics
-from cairnlake.plans import text_queries
+from cairnlake.plans import extraction_queries, text_queries
 from cairnlake.streaming.ingest import document_stream, on_superseded, passage_stream
 from cairnlake.streaming.rate_limit import OUTPUT, fold, limited, limited_batch
 
@@ -354,6 +354,19 @@ def test_sentence_probes(spark, text, want):
     assert sorted((r["metric_key"], r["value"], r["period_label"], r["confidence"]) for r in rows) == sorted(want)
 
 
+def test_sentences_are_read_by_one_python_worker(spark):
+    """One function reads values, mentions and base years: each further one in the plan is another worker beside each task."""
+    frame = sentence_metrics(spark.createDataFrame([(1, "In the 2018 base year and the 2019 base year, Scope 1 emissions were 5 tCO2e, and 4 tCO2e later.")], "id long, text string"))
+    assert frame._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") <= 2  # the other one folds the text
+    assert [(r["value"], r["period_label"], r["base_year"]) for r in frame.orderBy("place").collect()] == [(5.0, "FY2019", True), (4.0, "FY2019", True)]
+
+
+@pytest.mark.parametrize("name", ["metric_extraction_text", "period_finder"])
+def test_orders_are_read_on_all_cores(spark, name):
+    frame = extraction_queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert frame.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+
+
 def test_a_long_text_takes_linear_time(spark):
     """One sentence of a MB with 40,000 numbers."""
     one = "scope 1 emissions were 5 tCO2e and "
