@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.text import sentences
 from ..sources.catalogue import flatten
 from ..sources.scratch import materialise
+from ..sources.tables import dealt
 from . import disclosures as D
 from .assessment import status_of
 from .checks import evaluate
@@ -85,7 +86,7 @@ def run_cases(cases: DataFrame) -> DataFrame:
     A sentence is a passage. Its values and their conflicts, the checks of the catalogue and their completeness are computed for all
     cases together, keyed by case.
     """
-    cases = materialise(cases, "eval-cases")
+    cases = materialise(dealt(cases, "case_id"), "eval-cases")
     split = cases.select(F.col("case_id").alias("company_id"), F.posexplode(sentences(F.col("text"))).alias("ordinal", "text")).filter("text <> ''")
     passages = split.select("*", F.concat_ws(":", F.col("company_id").cast("string"), F.col("ordinal").cast("string")).alias("passage_id"), F.lit("paragraph").alias("kind"), F.lit(None).cast("string").alias("section"))
     found = sentence_metrics(passages.select("passage_id", "text"), by="passage_id")
