@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.periods import _label
+from ..sources.scratch import materialise
 from .passages import BULLET, join_lines
 
 #: How much larger than the body a heading is, and the gap (in sizes) and difference in size within a block (fixed values).
@@ -27,19 +28,14 @@ BOLD, LONGEST, CAPTION = 90, 160, 120
 _PAGE = ("document_id", "page")
 
 
-def body_sizes(lines: DataFrame) -> DataFrame:
-    """document_id and body: the font size of most characters, of equal ones that seen first."""
-    per = lines.groupBy("document_id", "size").agg(F.sum(F.length("text")).alias("n"), F.min(F.struct("page", "line_no")).alias("first"))
-    return per.groupBy("document_id").agg(F.min_by("size", F.struct(-F.col("n"), "first")).alias("body"))
-
-
-def heading_sizes(lines: DataFrame) -> DataFrame:
-    """document_id, size, level (from 0, the largest first) and cover_only: sizes of headings; those of the first page of several alone
-    are the title's."""
-    pages = lines.groupBy("document_id").agg(F.max("page").alias("pages"))
-    used = lines.groupBy("document_id", "size").agg(F.max("page").alias("last")).join(body_sizes(lines), "document_id").filter(F.col("size") >= F.col("body") * HEADING)
-    level = F.row_number().over(Window.partitionBy("document_id").orderBy(F.desc("size"))) - 1
-    return used.join(pages, "document_id").select("document_id", "size", level.alias("level"), ((F.col("last") == 1) & (F.col("pages") > 1)).alias("cover_only"))
+def document_sizes(lines: DataFrame) -> DataFrame:
+    """document_id, body (the font size of most characters, of equal ones that seen first) and heads: sizes of headings with level (from 0,
+    the largest first) and cover_only (those of the first page of several alone are the title's)."""
+    per = lines.groupBy("document_id", "size").agg(F.sum(F.length("text")).alias("n"), F.min(F.struct("page", "line_no")).alias("first"), F.max("page").alias("last"))
+    own = per.groupBy("document_id").agg(F.min_by("size", F.struct(-F.col("n"), "first")).alias("body"), F.max("last").alias("pages"), F.sort_array(F.collect_list(F.struct("size", "last")), asc=False).alias("sizes"))
+    large = F.filter("sizes", lambda x: x["size"] >= F.col("body") * HEADING)
+    heads = F.transform(large, lambda x, k: F.struct(x["size"].alias("size"), k.alias("level"), ((x["last"] == 1) & (F.col("pages") > 1)).alias("cover_only")))
+    return own.select("document_id", "body", heads.alias("heads"))
 
 
 def outside_tables(lines: DataFrame, tables: DataFrame) -> DataFrame:
@@ -55,7 +51,11 @@ def outside_tables(lines: DataFrame, tables: DataFrame) -> DataFrame:
     wide, high = F.least("x1", "t_x1") - F.greatest("x0", "t_x0"), F.least("y1", "t_y1") - F.greatest("y0", "t_y0")
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
     met = placed.join(spread, [*_PAGE, "cx", "cy"]).filter((wide > 0) & (high > 0) & (wide * high >= COVERED * F.when(area > 0, area).otherwise(1.0)))
-    return lines.join(met.select(*_PAGE, "line_no").distinct(), [*_PAGE, "line_no"], "left_anti")
+    # marks of covered lines go with the lines by document, which is how all that follows wants them: texts move once
+    marks = met.select(*_PAGE, "line_no").distinct().withColumn("__met", F.lit(True))
+    both = lines.withColumn("__met", F.lit(False)).unionByName(marks, allowMissingColumns=True).repartition("document_id")
+    covered = F.max("__met").over(Window.partitionBy(*_PAGE, "line_no"))
+    return both.withColumn("__covered", covered).filter("NOT __met AND (NOT __covered OR document_id IS NULL OR page IS NULL OR line_no IS NULL)").drop("__met", "__covered")
 
 
 def blocks(lines: DataFrame) -> DataFrame:
@@ -82,10 +82,9 @@ def layout_passages(lines: DataFrame, tables: DataFrame) -> DataFrame:
     confidence. A table's caption is the block before it on its page, if that is a heading or short; titles (headings of a size that
     is on the cover alone) make no passage.
     """
-    sizes = heading_sizes(lines)
-    levels = sizes.groupBy("document_id").agg(F.count("*").alias("n_levels"))
-    grouped = blocks(outside_tables(lines, tables)).filter("text <> ''").join(body_sizes(lines), "document_id")
-    grouped = grouped.join(sizes, ["document_id", "size"], "left").join(levels, "document_id", "left")
+    grouped = blocks(outside_tables(lines, tables)).filter("text <> ''").join(document_sizes(lines), "document_id")
+    head = F.get(F.filter("heads", lambda h: h["size"] == F.col("size")), F.lit(0))
+    grouped = grouped.withColumns({"level": head["level"], "cover_only": head["cover_only"], "n_levels": F.size("heads")})
     large = F.col("size") >= F.col("body") * HEADING
     heading = (large | (F.col("bold") & (F.length("text") < BOLD))) & (F.length("text") < LONGEST) & ~F.col("text").rlike("[.:]$")
     told = grouped.withColumn("heading", heading).withColumn("kind", F.when(F.col("heading") & F.coalesce("cover_only", F.lit(False)), "title").when(F.col("heading"), "heading").when(F.col("text").rlike(BULLET), "list_item").otherwise("paragraph"))
@@ -99,15 +98,17 @@ def layout_passages(lines: DataFrame, tables: DataFrame) -> DataFrame:
         *_PAGE, F.col("y0").alias("top"), F.lit(1).alias("later"), F.col("table_no").cast("long").alias("nth"), F.lit("table").alias("kind"), F.lit(None).cast("long").alias("level"), F.lit("").alias("text"), "confidence",
         "headers", F.col("rows").cast(row).alias("rows"),
     )
+    shown = materialise(shown, "layout-blocks")  # prose, tables and rows read it
     order = Window.partitionBy(*_PAGE).orderBy("top", "later", "nth")
     short = F.when(F.col("kind").isin("heading", "title") | (F.length("text") < CAPTION), F.col("text")).otherwise("")
     last = F.last(F.when(F.col("kind") != "table", short), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    every = shown.unionByName(boxed).withColumn("caption", F.coalesce(last, F.lit(""))).filter("kind <> 'title'")
-    plain = every.filter("kind <> 'table'")
+    # only blocks that can be captions meet the tables, and only on their pages
+    near = shown.withColumn("text", short).join(tables.select(*_PAGE).distinct(), [*_PAGE], "left_semi")
+    grid = near.unionByName(boxed).withColumn("caption", F.coalesce(last, F.lit(""))).filter("kind = 'table'")
+    plain = shown.filter("kind <> 'title'")
     empty = "struct<label:string,values:array<string>,headers:array<string>,caption:string>"
     kept = [*_PAGE, "top", "kind", "level", "text", "confidence"]
     prose = plain.select(*kept, F.lit(None).cast("long").alias("table_no"), F.lit(None).cast("long").alias("row_no"), F.lit(None).cast(empty).alias("cells"))
-    grid = every.filter("kind = 'table'")
     line = F.transform("rows", lambda r: F.concat(r["label"], F.lit(" | "), F.array_join(r["values"], " | ")))
     head = F.when(F.size("headers") > 0, F.concat(F.lit(" | "), F.array_join("headers", " | "))).otherwise("")
     whole = F.trim(F.concat_ws("\n", "caption", head, F.array_join(line, "\n")))

@@ -3,7 +3,7 @@
 import random
 
 from cairnlake.functions.periods import _label
-from cairnlake.operators.layout import _parted, layout_passages, outside_tables, text_tables
+from cairnlake.operators.layout import _parted, blocks, document_sizes, layout_passages, outside_tables, text_tables
 
 LINE = "document_id string, page int, line_no int, text string, confidence double"
 
@@ -78,3 +78,12 @@ def test_passages_of_a_laid_out_document(spark):
         ("table_row", None, "Bold words — Total: FY1: 5"), ("table", None, "Bold words\n\nNone |  | 6"), ("table_row", None, "Bold words — None: : 6"), ("heading", 1, "Water"), ("paragraph", None, "Short of it"), ("paragraph", None, "Ends so:"),
     ]
     assert rows[6]["cells"].asDict(recursive=True) == {"label": "Total", "values": ["5"], "headers": ["FY1"], "caption": "Bold words"}
+
+
+def test_texts_of_lines_move_once(spark):
+    """Lines go by document once; neither windows nor the sizes of the document move them again."""
+    lines = spark.createDataFrame([("d", 1, 0, "x", 0.0, 0.0, 9.0, 9.0, 10.0, False, 1.0, 0)], BOX)
+    found = blocks(outside_tables(lines, spark.createDataFrame([("d", 1, 1, 0.0, 90.0, 9.0, 99.0, [], [], 1.0)], TABLE))).join(document_sizes(lines).hint("merge"), "document_id")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "document_id" in line and ", page" not in line and "size" not in line]
+    assert sum("REPARTITION" in line for line in moved) == 1 and len(moved) == 2  # lines, and one row a document
