@@ -2,10 +2,12 @@
 
 import datetime as dt
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from cairnlake.functions import numbers, periods, scoring, text, units
+from cairnlake.functions.text import in_parts
 
 
 def values(spark, rows, schema, column):
@@ -112,3 +114,11 @@ def test_period_mentions(spark, text, fye, want):
 def test_labels_in_arrays(spark):
     found = values(spark, [(["FY2024", None, "2023 and 2022", "2021"],), (None,), ([],)], "t array<string>", periods.periods_of_labels(F.col("t"), F.lit("12-31")))
     assert [[p and p["label"] for p in ps] if ps is not None else None for ps in found] == [["FY2024", None, None, "FY2021"], None, []]
+
+
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 200])
+def test_texts_are_changed_in_parts(n):
+    texts = [None if k % 7 == 3 else f"é{k}" for k in range(n)]
+    whole = pa.array([None, *texts], pa.string()).slice(1)  # a batch may be a slice
+    found = in_parts(whole, str.upper)
+    assert found.type == pa.string() and found.to_pylist() == [t and t.upper() for t in texts]
