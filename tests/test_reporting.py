@@ -131,3 +131,11 @@ def test_display(spark):
 def test_megabytes_are_the_largest_unit(spark):
     sizes = spark.createDataFrame([(1023,), (1 << 20,), (1 << 30,), (5 << 40,)], "n long").select(R.byte_size(F.col("n")))
     assert [r[0] for r in sizes.collect()] == ["1023 B", "1.0 MB", "1024.0 MB", "5242880.0 MB"]
+
+
+def test_ranking_reads_no_text_again(spark):
+    """What ranks passages for requirements is the table that the one pass over the texts wrote."""
+    requirements = spark.createDataFrame([("R1", "Water use", "How much", "water", ["basin level"], [])], "code string, title string, summary string, topic string, search_terms array<string>, metric_keys array<string>")
+    passages = spark.createDataFrame([("p1", "basin level is known", "paragraph", "Water")], "passage_id string, line string, kind string, section string")
+    plan = bm25(passages, requirement_queries(requirements))._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "regexp_extract_all" not in plan
