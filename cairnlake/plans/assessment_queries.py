@@ -11,12 +11,14 @@ from ..operators import assessment as A
 from ..operators import checks as C
 from ..operators import workflow as W
 from ..sources.catalogue import flatten, packaged
-from ..sources.facts import FACTS_SQL, metric_facts
+from ..sources.facts import FACTS_SQL, metric_facts, period_facts
 from ..sources.scratch import materialise
 from ..sources.tables import table
 from .text_queries import LINES_SQL, _passages
 
 BEFORE, AFTER = "FY1997", "FY1998"
+#: What a run looks at of a fact.
+_LOOKED_AT = ("company_id", "document_id", "passage_id", "metric_key", "normalized_value", "normalized_unit", "period_label", "method", "confidence_pct", "inferred", "base_year")
 
 
 def _companies(spark, sf_dir):
@@ -24,8 +26,8 @@ def _companies(spark, sf_dir):
 
 
 class Run:
-    """The tables of an assessment, each made once: the facts that the catalogue looks at from one scan, elements and conflicts of all
-    periods from one aggregation each. Both are rows a company, far fewer than facts; they are written to the shared folder."""
+    """The tables of an assessment, each made once: the facts that the catalogue looks at from one scan, elements, conflicts and findings of
+    all periods from one aggregation each, and links. All are rows a company, far fewer than facts; they are written to the shared folder."""
 
     def __init__(self, spark, sf_dir, *periods):
         self.spark, self.sf_dir, self.periods = spark, sf_dir, list(periods or (AFTER,))
@@ -36,8 +38,8 @@ class Run:
 
     @cached_property
     def facts(self):
-        wanted = F.col("metric_key").isin(A.catalogue_keys(A.CATALOGUE)) & F.col("period_label").isin(self.periods) & ~F.col("base_year")
-        return materialise(metric_facts(self.spark, self.sf_dir).filter(wanted), "run-facts")
+        wanted = F.col("metric_key").isin(A.catalogue_keys(A.CATALOGUE)) & ~F.col("base_year")
+        return materialise(period_facts(self.spark, self.sf_dir, *self.periods).filter(wanted).select(*_LOOKED_AT), "run-facts")
 
     @cached_property
     def _elements(self):
@@ -47,6 +49,14 @@ class Run:
     def _conflicts(self):
         return materialise(A.requirement_conflicts_of(self.facts, A.CATALOGUE, self.periods), "run-conflicts")
 
+    @cached_property
+    def _findings(self):
+        return materialise(A.findings(self._elements, self._conflicts, "period_label"), "run-findings")
+
+    @cached_property
+    def _links(self):
+        return materialise(A.evidence_links(self.elements(), self.conflicts()), "run-links")
+
     def elements(self, period=AFTER):
         return self._elements.filter(F.col("period_label") == period).drop("period_label")
 
@@ -54,13 +64,13 @@ class Run:
         return self._conflicts.filter(F.col("period_label") == period).drop("period_label")
 
     def findings(self, period=AFTER):
-        return A.findings(self.elements(period), self.conflicts(period))
+        return self._findings.filter(F.col("period_label") == period).drop("period_label")
 
     def gaps(self, period=AFTER):
         return A.gaps(self.findings(period), self.elements(period), self.conflicts(period))
 
     def links(self):
-        return A.evidence_links(self.elements(), self.conflicts())
+        return self._links
 
     def priorities(self):
         """company_id, code, status and priority of findings that aren't supported, by a fixed calendar."""
@@ -202,7 +212,7 @@ def run_diff(spark, sf_dir):
 
 def stale_findings(spark, sf_dir):
     """JN-3, STR-5: findings whose evidence stands in superseded documents."""
-    facts = metric_facts(spark, sf_dir).filter(F.col("period_label") == AFTER).select("passage_id", "document_id")
+    facts = period_facts(spark, sf_dir, AFTER).select("passage_id", "document_id")
     from .text_queries import document_versions
 
     superseded = document_versions(spark, sf_dir).filter("superseded_by IS NOT NULL").select(F.col("o_orderkey").alias("document_id"))

@@ -2,13 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from datetime import date
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import periods, units
 from ..functions.text import evidence_id
 from .tables import table
 
+#: Ends of the fiscal years of companies with even and with odd ids.
+EVEN_END, ODD_END = "12-31", "03-31"
+
+
+def days_of(*periods: str) -> Column:
+    """Whether a fact's day is one that the periods `FY<year>` can hold, whenever the company's year ends: it is known at the scan."""
+    years = [int(p.removeprefix("FY")) for p in periods]
+    return F.col("day").between(F.lit(date(min(years) - 1, 4, 1)), F.lit(date(max(years), 12, 31)))
+
+
+def period_facts(spark: SparkSession, sf_dir: str, *periods: str) -> DataFrame:
+    """`metric_facts` of some periods; labels are only made for lines of their days."""
+    return metric_facts(spark, sf_dir).filter(days_of(*periods) & F.col("period_label").isin(*periods))
+
 
 def metric_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """org, company, document, passage, metric, value in three units, fiscal period, method, confidence.
@@ -20,6 +36,7 @@ def metric_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     joined = lines.join(parts, lines["l_partkey"] == parts["p_partkey"]).join(suppliers, lines["l_suppkey"] == suppliers["s_suppkey"])
     quantity, day = F.col("l_quantity").cast("long"), F.col("l_shipdate").cast("date")
+    even = F.col("l_suppkey") % 2 == 0
     unit = F.when(quantity % 3 == 0, "MWh").when(quantity % 3 == 1, "GJ").otherwise("kWh")
     staged = joined.select(
         F.col("s_nationkey").cast("long").alias("org_id"),
@@ -30,15 +47,16 @@ def metric_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_type").alias("topic"),
         unit.alias("unit"),
         (F.lit(1000.0) * (F.lit(1.0) + F.lit(0.004) * (F.col("l_linenumber") % 4)) / units.factor(unit)).alias("value"),
-        F.when(F.col("l_suppkey") % 2 == 0, "12-31").otherwise("03-31").alias("fye"),
+        F.when(even, EVEN_END).otherwise(ODD_END).alias("fye"),
         day.alias("day"),
         F.when(F.col("l_returnflag") == "N", "text").otherwise("table").alias("method"),
         (F.lit(95) - F.round(F.col("l_tax") * 100)).cast("long").alias("confidence_pct"),
         (F.col("l_linestatus") == "F").alias("inferred"),
         (F.round(F.col("l_discount") * 100) == 10).alias("base_year"),
+        # of a fixed end, whose month and day aren't read again in each row
+        F.when(even, periods.fiscal_year_of(day, F.lit(EVEN_END))).otherwise(periods.fiscal_year_of(day, F.lit(ODD_END))).alias("fiscal_year"),
     )
-    year = staged.withColumn("fiscal_year", periods.fiscal_year_of(F.col("day"), F.col("fye")))
-    ends = year.withColumn("period_end", periods.year_end_day(F.col("fiscal_year"), F.col("fye")))
+    ends = staged.withColumn("period_end", periods.year_end_day(F.col("fiscal_year"), F.col("fye")))
     return ends.select(
         "*",
         F.concat(F.lit("FY"), F.col("fiscal_year").cast("string")).alias("period_label"),

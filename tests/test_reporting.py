@@ -9,6 +9,8 @@ from cairnlake.operators import assessment as A
 from cairnlake.operators import passages as P
 from cairnlake.operators import reporting as R
 from cairnlake.operators.retrieval import bm25, requirement_queries
+from cairnlake.plans import report_queries
+from cairnlake.sources import facts
 
 
 def small(spark):
@@ -139,3 +141,40 @@ def test_ranking_reads_no_text_again(spark):
     passages = spark.createDataFrame([("p1", "basin level is known", "paragraph", "Water")], "passage_id string, line string, kind string, section string")
     plan = bm25(passages, requirement_queries(requirements))._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" not in plan and "regexp_extract_all" not in plan
+
+
+def lines_of(spark, folder, days):
+    """Tables of a line each for company 1, whose year ends in March, and company 2, and of a second line 1 of a lower confidence."""
+    lines = [(k + 1, 1, 1 + k % 2, 1, 3.0, 0.0, 0.01, "N", "O", day) for k, day in enumerate(days)]
+    lines += [(*lines[0][:5], 0.1, 0.05, *lines[0][7:])]
+    lines = spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, day string")
+    tables = {
+        "lineitem": lines.withColumn("l_shipdate", F.col("day").cast("timestamp")).drop("day"),
+        "part": spark.createDataFrame([(1, "Brand#1", "t")], "p_partkey long, p_brand string, p_type string"),
+        "supplier": spark.createDataFrame([(1, 1), (2, 1)], "s_suppkey long, s_nationkey int"),
+        "conversations": spark.createDataFrame([(1, 1, "user")], "conv_id long, turn long, role string"),
+    }
+    for name, rows in tables.items():
+        rows.write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_facts_of_a_period_are_those_of_its_days(spark, tmp_path):
+    """Both ends of both companies' years are in, and no label is made for a line of another year."""
+    folder = lines_of(spark, tmp_path, [f"{year}-{day}" for year in range(1996, 2000) for day in ("01-01", "03-31", "04-01", "12-31") for _ in "ab"])
+    for labels in (["FY1998"], ["FY1997", "FY1998"]):
+        some, all_ = facts.period_facts(spark, folder, *labels), facts.metric_facts(spark, folder).filter(F.col("period_label").isin(labels))
+        assert sorted(some.collect(), key=repr) == sorted(all_.collect(), key=repr) and some.count() == 8 * len(labels)
+    assert "l_shipdate" in facts.period_facts(spark, folder, "FY1998")._jdf.queryExecution().executedPlan().toString().split("PushedFilters")[1].split("]")[0]
+
+
+def test_a_run_puts_cited_passages_together_once(spark, tmp_path):
+    """Passages that nothing cites are left out, those that are cited keep what all of their lines say, and findings and links are tables."""
+    folder = lines_of(spark, tmp_path, ["1997-06-01", "1998-06-01", "1995-06-01", "1998-07-01", "1997-07-01", "1997-08-01", "1997-09-01"])
+    run, sources = report_queries._with_sources(spark, folder)
+    found = {r["document_id"]: r["page"] for r in sources.collect()}
+    assert found == {1: 10, 2: 14, 4: 14, 5: 14, 7: 14}
+    for table in (run.findings(), run.links()):
+        assert "Aggregate" not in table._jdf.queryExecution().executedPlan().toString()
+    trail = json.loads(report_queries.finding_trails(spark, folder).filter("company_id = 1 AND code = 'R1'").first()["trail"])
+    assert [e["page"] for e in trail["evidence"] if e["document_id"] == 1] == [10] and len(trail["evidence"]) == 3 and trail["history"][0]["run_id"] == "run-98"
