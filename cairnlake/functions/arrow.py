@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_type
 
@@ -28,3 +30,10 @@ def lists(rows: list[list[tuple | None] | None], fields: Fields) -> pa.ListArray
         offsets.append(None if r is None else at)
         at += len(r or ())
     return pa.ListArray.from_arrays(pa.array([*offsets, at], pa.int32()), structs([x for r in rows for x in r or ()], fields))
+
+
+def joined(texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of texts without nulls one after the other, with a line feed after each, and where each begins, then where the last ends."""
+    ended = pc.binary_join_element_wise(texts, *(pa.scalar(x, pa.large_string()) for x in ("", "\n")))
+    bounds = np.frombuffer(ended.buffers()[1], np.int64)[: len(ended) + 1] if len(ended) else np.zeros(1, np.int64)
+    return bounds, np.frombuffer(ended.buffers()[2] or b"", np.uint8)[: bounds[-1]]

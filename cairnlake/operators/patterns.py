@@ -6,22 +6,27 @@ must hold occurs; those literals are found by the same automaton.
 
 from __future__ import annotations
 
+import bisect
 import re
 from re import _constants as op
 from re import _parser as parser
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.arrow import lists, struct_of
+from ..functions.arrow import joined, lists, struct_of
 
 #: Characters of phrases or patterns in one automaton (some 50 bytes each in every worker); more go block by block.
 MOST_CHARS = 2_000_000
 #: Shortest literal that is worth looking for.
 LEAST_LITERAL = 3
+#: Phrases that are looked for without the automaton.
+FEW = 12
 #: Letters beyond ASCII that match an ASCII letter in either case.
 _FOLD = str.maketrans({"ı": "i", "İ": "i", "ſ": "s", "K": "k"})
 
@@ -30,6 +35,7 @@ class Phrases:
     """Which of some phrases occur in a text, whole words or not."""
 
     def __init__(self, phrases: list[str]):
+        self.phrases = phrases
         self.automaton, self.empty = ahocorasick.Automaton(), [k for k, p in enumerate(phrases) if p == ""]
         same: dict[str, list[int]] = {}
         for k, phrase in enumerate(phrases):
@@ -48,6 +54,25 @@ class Phrases:
                 found.update(numbers)
         return sorted(found)
 
+    def find_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Text and number of the phrases that each of some texts holds, ascending; nulls hold none. A few phrases are looked for one by one
+        in all texts at once."""
+        if len(self.phrases) > FEW or self.empty:
+            held = [self.find(t) if t is not None else [] for t in (x.as_py() for x in texts)]
+            return np.repeat(np.arange(len(held)), [len(h) for h in held]), np.array([k for h in held for k in h], np.int64)
+        bounds, whole = joined(pc.fill_null(texts.cast(pa.large_string()), ""))
+        ends, whole, found = bounds.tolist(), whole.tobytes(), []
+        for k, phrase in enumerate(self.phrases):
+            sought = phrase.encode()
+            at = whole.find(sought)
+            while at >= 0:
+                row = bisect.bisect_right(ends, at) - 1
+                if inside := at + len(sought) < ends[row + 1]:  # not over the end of the text
+                    found.append((row, k))
+                at = whole.find(sought, ends[row + 1] if inside else at + 1)
+        found = np.array(sorted(found), np.int64).reshape(-1, 2)
+        return found[:, 0], found[:, 1]
+
 
 def required_literals(pattern: str) -> frozenset[str] | None:
     """Lower-case literals of which each match of `pattern`, in any case, holds one; None if none is sure."""

@@ -3,9 +3,11 @@
 import collections
 import datetime as dt
 import math
+import random
 import re
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,6 +197,29 @@ def test_search_makes_no_texts_of_tokens(spark, monkeypatch):
     assert "size(terms" in found._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_few_phrases_are_found_in_all_texts_at_once(monkeypatch):
+    rng = random.Random(3)
+    some = lambda most: "".join(rng.choice("ab\u00e9\n ") for _ in range(rng.randint(0, most)))
+    for _ in range(300):
+        phrases, texts = [some(4) for _ in range(rng.randint(0, 5))], [None if rng.random() < 0.1 else some(9) for _ in range(rng.randint(0, 12))]
+        want = [(row, k) for row, t in enumerate(texts) for k, p in enumerate(phrases) if t is not None and p in t]
+        for few in (12, -1):
+            monkeypatch.setattr(patterns, "FEW", few)
+            rows, numbers = patterns.Phrases(phrases).find_all(pa.array(["a b", *texts], pa.string()).slice(1))
+            assert list(zip(rows.tolist(), numbers.tolist(), strict=True)) == want
+
+
+def test_search_lowers_whole_texts_only_for_phrases_beyond_ascii(spark, monkeypatch):
+    passages = spark.createDataFrame([("p1", "\u212aelvin W\u0130DE \u00c9"), ("p2", "nothing"), ("p3", None), ("p4", "KELVIN \u00c9T\u00c9")], "passage_id string, line string").select("*", F.lit("paragraph").alias("kind"), F.lit(None).cast("string").alias("section"))
+    plans, keep = [], R.materialise
+    monkeypatch.setattr(R, "materialise", lambda df, label: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df, label))
+    for phrase, want in (("Kelvin", {"p1", "p4"}), ("de \u00c9", {"p1"}), ("\u00e9t\u00e9", {"p4"}), ("wi", {"p1"})):
+        queries = spark.createDataFrame([(1, "unseen", [phrase], [])], "query_id long, query string, phrases array<string>, section_terms array<string>")
+        # a capital I with a dot is two characters in lower case, the second beyond ASCII
+        assert {r["passage_id"] for r in R.bm25(passages, queries).collect()} == want
+    assert [bool(re.search(r"lower\(line", plan)) for plan in plans] == [False, True, True, False]
+
+
 def test_phrases_of_any_length_and_inside_tokens(spark, monkeypatch):
     texts = [
         (1, 'He said "that and the other thing\tis here to stay" twice.'), (2, "one two three four five. Six seven eight"), (3, "a three word phrase, once"), (4, None), (5, ""),
